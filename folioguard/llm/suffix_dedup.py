@@ -43,8 +43,8 @@ from folioguard.llm.common import Rolling, buffers, chunks, mix, nvl_text, read_
 WIDTH = 200
 #: Length of the minimizing substrings: 2**5.
 K = 32
-#: Most distinct segments of one minimizer in a collection; more are dealt out by window.
-HOT = 8192
+#: Most distinct segments of one minimizer in a collection (about 60 MB); more are dealt out by window.
+HOT = 50_000
 #: Segments in a collection, but for the rest of its last minimizer.
 BATCH = 8192
 SLICE = 1 << 19
