@@ -1,8 +1,73 @@
-"""The corpus pipeline: stages applied one after the other to ``documents``."""
+"""The corpus pipeline: five stages, applied one after the other to ``documents``.
 
-STAGES = []
+Each stage takes the documents that its predecessor kept and returns those that it keeps, with the
+columns of ``documents``; the last one returns the packing. The driver of a run writes each stage's
+result as Parquet and reads it again, so no stage repeats another's work and a lost executor costs one
+stage at most.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioguard.llm.common import read_table, scratch, stored
+from folioguard.llm.decontamination import decontaminate
+from folioguard.llm.exact_dedup import DigestIndex, exact_dedup
+from folioguard.llm.packing import pack
+from folioguard.llm.quality import THRESHOLD, fit, score_quality
+from folioguard.llm.set_join import jaccard_join
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the doc_ids of ``kept`` (doc_id), null included."""
+    kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept._kept), "left_semi").select(*COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; the model is fitted on this stage's input."""
+    model = fit(docs, read_table(spark, sf_dir, "labels"))
+    return score_quality(docs, model, COLUMNS).where(F.col("score") >= THRESHOLD).select(*COLUMNS)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays."""
+    index = DigestIndex(spark, f"digests_{uuid.uuid4().hex}", scratch(spark, "digests"))
+    index.append(docs)
+    return _keep(docs, exact_dedup(docs, index).where("kept"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links connect, that with the smallest doc_id stays. Rows without a doc_id stay."""
+    groups = jaccard_join(docs)
+    return _keep(docs, groups.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id"))))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a word inside a benchmark window go."""
+    return _keep(docs, decontaminate(docs, read_table(spark, sf_dir, "benchmark")).where("not contaminated"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packing of what is left."""
+    return pack(docs)
+
+
+STAGES = [("quality classifier", quality), ("exact dedup", exact), ("n-gram jaccard join", near), ("benchmark decontamination", benchmark), ("packing", packing)]
+#: The classifier and the packing cannot be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs, f"stage{k}")
+    return docs

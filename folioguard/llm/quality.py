@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioguard.llm.common import LOWER, Rolling, buffers, chunks, read_table, separated, stored, word_hashes
 
@@ -233,9 +234,11 @@ def _score_batches(model: Kernel | float) -> Callable:
     return run
 
 
-def score_quality(docs: DataFrame, model: Kernel | float) -> DataFrame:
-    """The columns doc_id and text of ``docs`` with ``score``; no shuffle."""
-    return docs.select("doc_id", "text").mapInArrow(_score_batches(model), "doc_id long, text string, score double")
+def score_quality(docs: DataFrame, model: Kernel | float, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``columns`` of ``docs`` (doc_id, text) with ``score`` for every row; no shuffle."""
+    asked = docs.select(*dict.fromkeys([*columns, "text"]))
+    schema = T.StructType([*asked.schema.fields, T.StructField("score", T.DoubleType())])
+    return asked.mapInArrow(_score_batches(model), schema).select(*columns, "score")
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:

@@ -2,7 +2,25 @@
 
 from folioguard.llm.decontamination import OP8_SQL, op8_decontaminate
 from folioguard.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from folioguard.llm.packing import op3_packing
+from folioguard.llm.quality import op5_quality
+from folioguard.llm.secrets import op10_secrets
+from folioguard.llm.set_join import op2_jaccard_join
 from folioguard.llm.suffix_dedup import op1_suffix_dedup
+from folioguard.llm.toxicity import op7_toxicity
+from folioguard.llm.url_filter import OP4_SQL, op4_url_filter
+from folioguard.llm.warc import OP6_SQL, op6_warc
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op8_decontaminate": op8_decontaminate, "op9_exact_dedup": op9_exact_dedup}
-ORACLES = {"op8_decontaminate": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_jaccard_join": op2_jaccard_join,
+    "op3_packing": op3_packing,
+    "op4_url_filter": op4_url_filter,
+    "op5_quality": op5_quality,
+    "op6_warc": op6_warc,
+    "op7_toxicity": op7_toxicity,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_exact_dedup": op9_exact_dedup,
+    "op10_secrets": op10_secrets,
+}
+ORACLES = {"op4_url_filter": OP4_SQL, "op6_warc": OP6_SQL, "op8_decontaminate": OP8_SQL, "op9_exact_dedup": OP9_SQL}
