@@ -311,8 +311,11 @@ def _finish_batches(width: int):
 
 
 def _repeated(made: DataFrame, name: str) -> DataFrame:
-    """The segments whose key occurs at least twice; counts are summed before the shuffle."""
-    keys = made.groupBy("key").count().where("count > 1").select("key")
+    """The segments whose key occurs at least twice; counts are summed before the shuffle.
+
+    The keys are written first: joined as a plain table, a hot key can be split by adaptive execution.
+    """
+    keys = stored(made.groupBy("key").count().where("count > 1").select("key"), "keys")
     return stored(made.join(keys, "key", "left_semi").select("doc_id", "tid", "start", "n", "lead", "key", "h"), name)
 
 
