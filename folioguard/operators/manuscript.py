@@ -68,39 +68,77 @@ def _finding(df: DataFrame, severity: str, category: str, line_no="line_no", det
     return df.select("doc_id", F.lit(severity).alias("severity"), F.lit(category).alias("category"), line.cast("long").alias("line_no"), (F.lit("") if detail is None else detail).alias("detail"))
 
 
+def _hit(severity: str, category: str | F.Column, detail: F.Column) -> F.Column:
+    category = F.lit(category) if isinstance(category, str) else category
+    return F.struct(F.lit(severity).alias("severity"), category.alias("category"), detail.alias("detail"))
+
+
+def _hits(*hits: F.Column) -> F.Column:
+    return F.array_compact(F.array(*hits))
+
+
+def _exploded(rows: DataFrame, hits: F.Column) -> DataFrame:
+    """Findings out of an array of hits per line."""
+    return rows.select("doc_id", "line_no", F.explode(hits).alias("h")).select("doc_id", "h.severity", "h.category", F.col("line_no").cast("long").alias("line_no"), F.coalesce("h.detail", F.lit("")).alias("detail"))
+
+
+def placeholder_hits() -> F.Column:
+    said = F.col("line").rlike("(?i)" + "|".join(f"(?:{p})" for p in PLACEHOLDERS))
+    return _hits(F.when(said, _hit("critical", "placeholder", H.excerpt(F.col("line")))))
+
+
+def heading_hits() -> F.Column:
+    t, about = F.trim("line"), H.excerpt(F.col("line"))
+    numbered = t.rlike(r"^#{2,4}\s+\d+(?:\.\d+)*\.?\s+")
+    return _hits(F.when(numbered, _hit("medium", "numbered_heading", about)), F.when(t.startswith("#### "), _hit("medium", "h4_heading", about)))
+
+
+def tell_hits(phrases: tuple[str, ...] = TELLS) -> F.Column:
+    return _hits(*(F.when(F.contains(F.lower("line"), F.lit(p)), _hit("low", "llm_tell", F.lit(p))) for p in phrases))
+
+
+def vendor_hits(vendors: tuple[str, ...] = VENDORS) -> F.Column:
+    """Reads ``zone``. Each pattern is a constant, so it is compiled once."""
+    t = F.trim("line")
+    prose = (F.col("zone") == "body") & ~(t.startswith("|") & t.endswith("|"))
+    edge = lambda v: F.contains("line", F.lit(v)) & F.col("line").rlike(rf"(?<![A-Za-z0-9_])\Q{v}\E(?![A-Za-z0-9_])")
+    return _hits(*(F.when(prose & edge(v), _hit("high", "vendor_body_mention", F.lit(v))) for v in vendors))
+
+
+def equation_hits() -> F.Column:
+    """Reads ``box``."""
+    return _hits(F.when(F.contains("line", F.lit("$$")) & ~F.col("box"), _hit("medium", "display_equation_outside_box", H.excerpt(F.col("line")))))
+
+
+def with_box(lines: DataFrame) -> DataFrame:
+    """``lines`` with box: the last heading of level 1 to 4 says 'box'."""
+    level = F.regexp_extract("line", r"^(#{1,4})\s+", 1) != ""
+    own = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    return lines.withColumn("box", F.coalesce(F.last(F.when(level, F.contains(F.lower("line"), F.lit("box"))), ignorenulls=True).over(own), F.lit(False)))
+
+
 def placeholders(lines: DataFrame) -> DataFrame:
-    return _finding(lines.where(F.col("line").rlike("(?i)" + "|".join(f"(?:{p})" for p in PLACEHOLDERS))), "critical", "placeholder", detail=H.excerpt(F.col("line")))
+    return _exploded(lines, placeholder_hits())
 
 
 def headings(lines: DataFrame) -> DataFrame:
     """Numbered H2 to H4 and H4 itself; a line may give both."""
-    t = F.trim("line")
-    numbered = t.rlike(r"^#{2,4}\s+\d+(?:\.\d+)*\.?\s+")
-    both = F.array_compact(F.array(F.when(numbered, "numbered_heading"), F.when(t.startswith("#### "), "h4_heading")))
-    rows = lines.select("doc_id", "line_no", F.explode(both).alias("category"), F.lit("medium").alias("severity"), H.excerpt(F.col("line")).alias("detail"))
-    return rows.select("doc_id", "severity", "category", "line_no", "detail")
+    return _exploded(lines, heading_hits())
 
 
 def phrase_tells(lines: DataFrame, phrases: tuple[str, ...] = TELLS) -> DataFrame:
     """One finding per line and phrase, by substring of the lower-cased line."""
-    found = F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(F.lower("line"), p))
-    return _finding(lines.withColumn("phrase", F.explode(found)), "low", "llm_tell", detail=F.col("phrase"))
+    return _exploded(lines, tell_hits(phrases))
 
 
 def vendor_mentions(zoned: DataFrame, vendors: tuple[str, ...] = VENDORS) -> DataFrame:
     """Vendors named in the body outside of tables; case matters, and word edges do."""
-    t = F.trim("line")
-    rows = zoned.where((F.col("zone") == "body") & ~(t.startswith("|") & t.endswith("|")))
-    edge = lambda v: F.regexp_like("line", F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), v, F.lit(r"\E(?![A-Za-z0-9_])")))
-    return _finding(rows.withColumn("vendor", F.explode(F.filter(F.array(*map(F.lit, vendors)), edge))), "high", "vendor_body_mention", detail=F.col("vendor"))
+    return _exploded(zoned, vendor_hits(vendors))
 
 
 def display_equations(lines: DataFrame) -> DataFrame:
     """'$$' where the last heading of level 1 to 4 does not say 'box'."""
-    level = F.regexp_extract("line", r"^(#{1,4})\s+", 1) != ""
-    own = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    in_box = F.coalesce(F.last(F.when(level, F.contains(F.lower("line"), F.lit("box"))), ignorenulls=True).over(own), F.lit(False))
-    return _finding(lines.withColumn("box", in_box).where(F.contains("line", F.lit("$$")) & ~F.col("box")), "medium", "display_equation_outside_box", detail=H.excerpt(F.col("line")))
+    return _exploded(with_box(lines), equation_hits())
 
 
 def unsupported_systematic(lines: DataFrame) -> DataFrame:
@@ -153,15 +191,58 @@ def duplicate_dois(refs: DataFrame) -> DataFrame:
     return _finding(rows, "high", "duplicate_doi", F.lit(0), F.concat(F.col("doi"), F.lit(" x"), F.col("count").cast("string")))
 
 
+def reconciled(zoned: DataFrame, refs: DataFrame, most: int = 20) -> DataFrame:
+    """The findings of ``missing_references``, ``author_mismatches``, ``uncited_references`` and
+    ``references_not_detected`` in one pass: entries and uses of a document meet in one partition,
+    and windows over (doc_id, number) inside it take the place of four joins. A null doc_id is a
+    document like any other here.
+
+    doc_id is carried through the explodes on purpose. Where all parts of a union are hashed by doc_id,
+    the planner takes the union to be so too (spark.sql.unionOutputPartitioning) and groups it without
+    an exchange, although its partitions are not aligned; a column out of an explode makes no such claim."""
+    line = F.col("line")
+    doc_id = F.col("doc_id")
+    cited = F.transform(H.citation_numbers(line), lambda n: F.struct(doc_id, n.alias("n"), F.lit(None).cast("string").alias("surname")))
+    named = F.transform(H.author_citations(line), lambda c: F.struct(doc_id, c["n"].alias("n"), c["surname"].alias("surname")))
+    uses = zoned.where("zone = 'body'").select("line_no", F.explode(F.concat(cited, named)).alias("u")).select("u.doc_id", "u.n", "line_no", "u.surname")
+    rows = uses.unionByName(refs.select("doc_id", F.col("ref_no").alias("n"), "entry"), allowMissingColumns=True).where("n IS NOT NULL")
+    is_ref, is_cite = F.col("line_no").isNull(), F.col("line_no").isNotNull() & F.col("surname").isNull()
+    doc, number = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "n")
+    rows = rows.withColumn("has_refs", F.bool_or(is_ref).over(doc)).select(
+        "*", F.bool_or(is_cite).over(number).alias("is_cited"), F.max("entry").over(number).alias("met")
+    )
+    names = H.author_tokens(F.col("met"))
+    other = F.col("surname").isNotNull() & (F.col("met") != "") & (F.size(names) > 0) & ~F.array_contains(names, F.col("surname"))
+    at_line = lambda h: F.struct(doc_id, F.col("line_no"), h.alias("h"))
+    own = F.when(is_cite & F.col("has_refs") & F.col("met").isNull(), at_line(_hit("high", "missing_reference", F.col("n").cast("string")))).when(
+        other, at_line(_hit("high", "author_citation_mismatch", F.concat(F.col("surname"), F.lit(" "), F.col("n").cast("string"))))
+    )
+    uncited, undetected = is_ref & ~F.col("is_cited"), is_cite & ~F.col("has_refs")
+    docs = rows.groupBy("doc_id").agg(
+        F.collect_list(own).alias("own"), F.count_if(uncited).alias("k"), F.collect_set(F.when(uncited, F.col("n"))).alias("first"), F.count_if(undetected).alias("markers")
+    )
+    first = F.array_join(F.slice(F.array_sort("first"), 1, most).cast("array<string>"), ",")
+    at_doc = lambda h: F.struct(doc_id, F.lit(0).cast("long").alias("line_no"), h.alias("h"))
+    whole = _hits(
+        F.when(F.col("k") > 0, at_doc(_hit("low", "uncited_reference", F.concat(F.col("k").cast("string"), F.lit(": "), first)))),
+        F.when(F.col("markers") > 0, at_doc(_hit("low", "references_not_detected", F.col("markers").cast("string")))),
+    )
+    out = docs.select(F.explode(F.concat("own", whole)).alias("f"))
+    return out.select("f.doc_id", "f.h.severity", "f.h.category", F.col("f.line_no").alias("line_no"), "f.h.detail")
+
+
 def audit(lines: DataFrame, vendors: tuple[str, ...] = VENDORS) -> DataFrame:
-    """All findings of all manuscripts."""
+    """All findings of all manuscripts.
+
+    The checks of single lines share one pass, those of citations another, so the lines are read for
+    each family of checks and not for each check.
+    """
     zoned = with_zones(lines)
-    refs, cites = bibliography(zoned), citations(zoned)
-    parts = [placeholders(lines), headings(lines), phrase_tells(lines), display_equations(lines), unsupported_systematic(lines), vendor_mentions(zoned, vendors)]
-    parts += [missing_references(cites, refs), author_mismatches(zoned, refs), uncited_references(cites, refs), references_not_detected(cites, refs), duplicate_dois(refs)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    refs = bibliography(zoned)
+    by_line = F.concat(placeholder_hits(), heading_hits(), tell_hits(), equation_hits(), vendor_hits(vendors))
+    out = _exploded(with_box(zoned), by_line)
+    for part in (unsupported_systematic(lines), reconciled(zoned, refs), duplicate_dois(refs)):
+        out = out.unionByName(part)
     return out
 
 

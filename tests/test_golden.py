@@ -123,3 +123,23 @@ def test_stream(spark, tmp_path):
     q = line_findings(spark.readStream.schema("doc_id long, line_no long, line string").parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("found").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r.category for r in spark.table("found").collect()] == ["placeholder"]
+
+
+def test_audit_is_the_union_of_its_checks(spark):
+    texts = [
+        "# A Systematic Review\nXXX here, Cleerly et al.\n## 1.2 Part\n$$x$$\n#### Box 1\n$$y$$\n| Cleerly | a |\nWang et al. [1] and Li and Wu [2, 4-6] [9]\nWang et al. [1], Li and Wu [2], Kim et al. [3]\n"
+        "## References\n[1] Wang A. doi:10.1234/a\n[2] Smith B. doi:10.1234/A.\n[2] Later C.\n more\n[3]  x\n[7] y 10.1234/a 10.1234/a",
+        "Wang et al. [1] [2-3] [TBD]\nno bibliography, which may suggest growth",
+        "## References\n[1] Nobody cites this\n[2] lower case only",
+        "", None, "## References",
+        "Kim et al. [1]\n## References\n1. 1234 no names\n## References\n[1] Kim C.",
+    ]
+    lines = M.lines_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    z = M.with_zones(lines)
+    refs, cites = M.bibliography(z), M.citations(z)
+    parts = [M.placeholders(lines), M.headings(lines), M.phrase_tells(lines), M.display_equations(lines), M.unsupported_systematic(lines), M.vendor_mentions(z)]
+    parts += [M.missing_references(cites, refs), M.author_mismatches(z, refs), M.uncited_references(cites, refs), M.references_not_detected(cites, refs), M.duplicate_dois(refs)]
+    want = sorted(tuple(r) for p in parts for r in p.collect())
+    assert {w[2] for w in want} >= {"placeholder", "missing_reference", "author_citation_mismatch", "uncited_reference", "references_not_detected", "duplicate_doi", "display_equation_outside_box", "vendor_body_mention"}
+    assert sorted(tuple(r) for r in M.audit(lines).collect()) == want
+    assert M.audit(lines.where("false")).count() == 0
