@@ -199,7 +199,7 @@ def reconciled(zoned: DataFrame, refs: DataFrame, most: int = 20) -> DataFrame:
 
     doc_id is carried through the explodes on purpose. Where all parts of a union are hashed by doc_id,
     the planner takes the union to be so too (spark.sql.unionOutputPartitioning) and groups it without
-    an exchange, although its partitions are not aligned; a column out of an explode makes no such claim."""
+    an exchange, which has given several rows per doc_id; a column out of an explode makes no such claim."""
     line = F.col("line")
     doc_id = F.col("doc_id")
     cited = F.transform(H.citation_numbers(line), lambda n: F.struct(doc_id, n.alias("n"), F.lit(None).cast("string").alias("surname")))
