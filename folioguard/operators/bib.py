@@ -11,6 +11,8 @@ from folioguard.functions import text as H
 
 ARXIV = r"(?i)^(?:arxiv:)?(\d{4}\.\d{4,5})(?:v\d+)?$"
 DOI = r"(?i)^(?:doi:)?(10\.\d{4,9}/\S+)$"
+#: The first of these that has a year decides.
+YEAR_FIELDS = ("published-print", "published-online", "issued", "created")
 
 
 def classified(q: Column) -> Column:
@@ -64,3 +66,25 @@ def resolve(queries: DataFrame, records: DataFrame) -> DataFrame:
     keys = F.array_compact(F.array(*(F.when(v.isNotNull(), F.struct(F.lit(k).alias("kind"), v.alias("key"))) for k, v in (("arxiv", F.lower("arxiv")), ("doi", F.lower("doi")), ("title", F.nullif(H.normalised_title(F.col("title")), F.lit("")))))))
     r = records.select("record_id", F.explode(keys).alias("k")).select("k.kind", "k.key", "record_id").groupBy("kind", "key").agg(F.min("record_id").alias("record_id"))
     return q.withColumn("key", key).join(r, ["kind", "key"], "left").select("query", "kind", "value", "record_id", F.col("record_id").isNotNull().alias("resolved"))
+
+
+def crossref_entry(message: Column) -> Column:
+    """struct<title, authors, year, venue, doi, type> of a work message (JSON text); null for bad JSON."""
+    schema = "title ARRAY<STRING>, author ARRAY<STRUCT<given: STRING, family: STRING>>, `container-title` ARRAY<STRING>, DOI STRING, type STRING, " + ", ".join(f"`{k}` STRUCT<`date-parts`: ARRAY<ARRAY<INT>>>" for k in YEAR_FIELDS)
+    m = F.from_json(message, schema)
+    first = lambda c: F.get(c, 0)
+    year = F.coalesce(*(F.nullif(first(first(m[k]["date-parts"])), F.lit(0)) for k in YEAR_FIELDS))
+    authors = F.transform(F.coalesce(m["author"], F.array().cast("array<struct<given:string,family:string>>")), lambda a: F.concat_ws(" ", F.nullif(a["given"], F.lit("")), F.nullif(a["family"], F.lit(""))))
+    kind = F.when(F.startswith(F.coalesce(m["type"], F.lit("")), F.lit("proceedings")), "inproceedings").otherwise("article")
+    entry = F.struct(F.coalesce(first(m["title"]), F.lit("(untitled)")).alias("title"), authors.alias("authors"), year.cast("string").alias("year"), first(m["container-title"]).alias("venue"), m["DOI"].alias("doi"), kind.alias("type"))
+    return F.when(F.try_parse_json(message).isNotNull(), entry)
+
+
+def atom_entry(xml: Column) -> Column:
+    """struct<title, authors, year, venue, doi, arxiv> of a feed's first entry; null without one. Texts must be well-formed XML."""
+    one = lambda path: F.nullif(F.trim(F.regexp_replace(F.xpath_string(xml, F.lit(f"/feed/entry[1]/{path}")), r"\s+", " ")), F.lit(""))
+    authors = F.transform(F.xpath(xml, F.lit("/feed/entry[1]/author/name/text()")), lambda a: F.trim(F.regexp_replace(a, r"\s+", " ")))
+    arxiv = F.nullif(F.regexp_extract(one("id"), r"/abs/([^v]*)", 1), F.lit(""))
+    year = F.nullif(F.substring(one("published"), 1, 4), F.lit(""))
+    entry = F.struct(F.coalesce(one("title"), F.lit("")).alias("title"), authors.alias("authors"), year.alias("year"), F.coalesce(one("*[name()='arxiv:journal_ref']"), F.lit("arXiv preprint")).alias("venue"), one("*[name()='arxiv:doi']").alias("doi"), arxiv.alias("arxiv"))
+    return F.when(F.xpath_boolean(xml, F.lit("/feed/entry")), entry)

@@ -199,3 +199,62 @@ def html_problems(pages: DataFrame, files: DataFrame) -> DataFrame:
     katex = pages.withColumn("n", H.katex_errors(html)).where("n > 0").select("page_id", F.col("n").cast("string").alias("detail"), F.lit("P1").alias("severity"), F.lit("katex").alias("check"))
     out = rows(unknown, "P0", "layout-lock").unionByName(rows(F.array_distinct(H.html_placeholders(html)), "P1", "placeholder")).unionByName(missing)
     return out.unionByName(katex).unionByName(rows(H.unrendered_math(html), "P2", "unrendered-math", 3))
+
+
+def render_findings(measures: DataFrame, font_floor: float = 18.0, slack: float = 2.0) -> DataFrame:
+    """slide_id, check, severity of measured slides (slide_id, overflow_x, overflow_y, katex_errors, broken_images, min_font)."""
+    hit = lambda when, check, severity: F.when(when, F.struct(F.lit(check).alias("check"), F.lit(severity).alias("severity")))
+    checks = F.array_compact(F.array(
+        hit(F.col("overflow_y") > slack, "overflow-y", "P1"), hit(F.col("overflow_x") > slack, "overflow-x", "P1"), hit(F.col("katex_errors") > 0, "katex-error", "P1"),
+        hit(F.col("broken_images") > 0, "broken-image", "P1"), hit(F.col("min_font") < font_floor, "font-too-small", "P2"),
+    ))
+    return measures.select("slide_id", F.explode(checks).alias("c")).select("slide_id", "c.*")
+
+
+def equations_of(slides: DataFrame) -> DataFrame:
+    """deck_id, slide, eq (from 0), latex, num of the slides' equations (variants)."""
+    rows = slides.select("deck_id", "slide", F.posexplode("equations").alias("eq", "e"))
+    return rows.select("deck_id", "slide", F.col("eq").cast("long").alias("eq"), F.try_variant_get("e", "$.latex", "string").alias("latex"), F.try_variant_get("e", "$.num", "string").alias("num"))
+
+
+def aesthetics(scores: DataFrame, floor: int = 18, lowest: int = 2) -> DataFrame:
+    """deck_id, mean, rework, weakest of scored slides (deck_id, slide, dims: map of name to score or null).
+
+    rework: slides below ``floor`` in total or with a score up to ``lowest``; totals leave null scores out and are scaled to six dimensions.
+    weakest: the three slides with the smallest totals. Partial results are three slides each, never a deck.
+    """
+    own = F.filter(F.map_values("dims"), lambda v: v.isNotNull())
+    total = F.aggregate(own, F.lit(0.0), lambda a, v: a + v) / F.size(own) * 6
+    rows = scores.select("deck_id", "slide", own.alias("own"), total.alias("total")).where(F.size("own") > 0)
+    bad = (F.col("total") < floor) | F.exists("own", lambda v: v <= lowest)
+    rank = F.row_number().over(Window.partitionBy("deck_id").orderBy("total", "slide"))
+    rows = rows.withColumn("k", rank)
+    weakest = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= 3, F.struct("k", "slide")))), lambda x: x["slide"].cast("string")), ",")
+    return rows.groupBy("deck_id").agg(F.avg("total").alias("mean"), F.count_if(bad).alias("rework"), weakest.alias("weakest"))
+
+
+def review_findings(decks: DataFrame, reports: DataFrame) -> DataFrame:
+    """deck_id, check, severity: decks without a report (deck_id, report JSON), with an unreadable one, or with open rework."""
+    rows = decks.select("deck_id").distinct().join(reports.withColumn("there", F.lit(True)), "deck_id", "left")
+    rework = F.try_variant_get(F.try_parse_json("report"), "$.rework", "array<variant>")
+    hit = lambda check, severity: F.struct(F.lit(check).alias("check"), F.lit(severity).alias("severity"))
+    found = F.when(F.col("there").isNull(), hit("aesthetics-not-run", "P3")).when(rework.isNull(), hit("aesthetics-report-invalid", "P2")).when(F.size(rework) > 0, hit("aesthetics-rework-open", "P2"))
+    return rows.select("deck_id", found.alias("f")).where("f IS NOT NULL").select("deck_id", "f.*")
+
+
+def contain_scale(width: Column, height: Column, box_w: Column, box_h: Column) -> Column:
+    """Scale at which a picture just fits its box; null without an area."""
+    return F.when((width > 0) & (height > 0), F.least(box_w / width, box_h / height))
+
+
+def wrapped(text: Column, most: Column) -> Column:
+    """Lines of at most ``most`` characters, filled word by word; a longer word has a line to itself."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
+
+    def step(a: Column, w: Column) -> Column:
+        longer = F.concat(a["line"], F.lit(" "), w)
+        same = F.struct(a["done"].alias("done"), F.when(a["line"] == "", w).otherwise(longer).alias("line"))
+        return F.when((a["line"] == "") | (F.length(longer) <= most), same).otherwise(F.struct(F.array_append(a["done"], a["line"]).alias("done"), w.alias("line")))
+
+    return F.aggregate(words, start, step, lambda a: F.when(a["line"] == "", a["done"]).otherwise(F.array_append(a["done"], a["line"])))

@@ -33,6 +33,7 @@ def _query(sql: str | None = None):
 
 def _sql(spark: SparkSession, sf: str, sql: str, *tables: str) -> DataFrame:
     """``sql`` over tables passed as DataFrames, so no view of the session is touched."""
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for t in tables:
         sql = re.sub(rf"FROM {t}\b", "FROM {" + t + "}", sql)
     return spark.sql(sql, **{t: table(spark, sf, t) for t in tables})
@@ -229,11 +230,11 @@ def qa_gate(spark, sf):
     return D.qa_gate(D.qa_findings(s, sources(spark, sf)), s)
 
 
-@_query(GATE + ", par AS (SELECT deck_id, count(*) FILTER (slide % 10 = 0) AS issues FROM s WHERE deck_id % 3 > 0 GROUP BY deck_id) SELECT o_orderkey AS deck_id, coalesce(gate, 'MISSING') AS status, coalesce(slides, 0) AS slides, coalesce(max_run, 0) AS max_run, coalesce(issues, -1) AS parity, coalesce(gate, 'MISSING') IN ('MISSING', 'BLOCK') OR coalesce(issues, -1) > 0 AS hard_fail FROM orders LEFT JOIN gates ON gates.deck_id = o_orderkey LEFT JOIN mix ON mix.deck_id = o_orderkey LEFT JOIN par ON par.deck_id = o_orderkey")
+@_query(GATE + ", par AS (SELECT deck_id, count(*) FILTER (slide % 10 = 0) AS issues FROM s GROUP BY deck_id HAVING count(*) > 1) SELECT o_orderkey AS deck_id, coalesce(gate, 'MISSING') AS status, coalesce(slides, 0) AS slides, coalesce(max_run, 0) AS max_run, coalesce(issues, -1) AS parity, coalesce(gate, 'MISSING') IN ('MISSING', 'BLOCK') OR coalesce(issues, -1) > 0 AS hard_fail FROM orders LEFT JOIN gates ON gates.deck_id = o_orderkey LEFT JOIN mix ON mix.deck_id = o_orderkey LEFT JOIN par ON par.deck_id = o_orderkey")
 def corpus_dashboard(spark, sf):
     s = slides(spark, sf)
     gates = D.qa_gate(D.qa_findings(s, sources(spark, sf)), s)
-    parity = s.where("deck_id % 3 > 0").groupBy("deck_id").agg(F.count_if(F.col("slide") % 10 == 0).alias("issues"))
+    parity = s.groupBy("deck_id").agg(F.count_if(F.col("slide") % 10 == 0).alias("issues"), F.count("*").alias("n")).where("n > 1").drop("n")
     manifest = table(spark, sf, "orders").select(F.col("o_orderkey").alias("deck_id"))
     return D.dashboard(manifest, gates.select("deck_id", "gate"), D.layout_mix(s).select("deck_id", "slides", "max_run"), parity)
 
