@@ -135,7 +135,8 @@ def leaves(reps: DataFrame, runs: int, depth: int, bucket: int) -> DataFrame:
     found = None
     for d in range(depth):
         key = rows.withColumn("leaf", F.col("keys")[d])
-        sizes = key.groupBy("run", "leaf").agg(F.count("*").alias("size")).where("size > 1")
+        # Written, so that the join has an exchange of its own and a hot bucket's rows can be split.
+        sizes = stored(key.groupBy("run", "leaf").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
         met = stored(key.join(sizes, ["run", "leaf"]), "paths")
         last = d == depth - 1
         done = met.where(F.lit(True) if last else F.col("size") <= bucket).select("cls", "run", "leaf", "size")
