@@ -52,7 +52,7 @@ DISGUISED = re.compile(
 _IS_LEET = np.array([chr(b) in LEET for b in range(256)])
 _IS_LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
 _IS_GAP = np.array([chr(b) in " ._*-" for b in range(256)])
-#: Longer disguises are decoded piece by piece of this many characters.
+#: Decodings of longer disguises are not remembered.
 WINDOW = 64
 
 
@@ -104,14 +104,16 @@ class Channel:
         if text not in self.seen:
             if len(self.seen) > 100_000:
                 self.seen.clear()
-            pieces = [text[k : k + WINDOW] for k in range(0, len(text), WINDOW)]
-            self.seen[text] = "".join(map(self._decode, pieces))
+            if len(text) > WINDOW:
+                return self._decode(text)
+            self.seen[text] = self._decode(text)
         return self.seen[text]
 
     def _decode(self, text: str) -> str:
-        paths: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
+        # Readings so far are linked lists, so that paths share them and a long run costs linear time.
+        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
         for choices in [*self.readings(text), [("\n", 0.0)]]:
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, done) in paths.items():
                 for s, own in choices:
                     total, p, q = cost + own, a, b
@@ -120,9 +122,18 @@ class Channel:
                         total += float(self.cost[p, q, k])
                         p, q = q, k
                     if (p, q) not in new or total < new[p, q][0]:
-                        new[p, q] = (total, done + s)
+                        new[p, q] = (total, (done, s))
             paths = new
-        return min(paths.values())[1][:-1]
+        least = min(cost for cost, _ in paths.values())
+        return min(self._text(done) for cost, done in paths.values() if cost == least)[:-1]
+
+    @staticmethod
+    def _text(done: tuple | None) -> str:
+        parts = []
+        while done is not None:
+            done, s = done
+            parts.append(s)
+        return "".join(reversed(parts))
 
     def restore(self, text: str) -> str:
         return DISGUISED.sub(lambda m: self.decode(m[0]), text)

@@ -66,3 +66,14 @@ def test_suspects_miss_none():
 def test_model_is_a_distribution(spark):
     cost = language_model(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     np.testing.assert_allclose(np.exp(-cost).sum(2), 1)
+
+
+def test_long_spelled_runs(spark):
+    plain = "the idiot and the loser said the stupid thing is worthless trash to an idiot loser "
+    cost = language_model(spark.createDataFrame([(1, plain * 40)], "doc_id long, text string"))
+    channel = Channel(cost)
+    for n in (6, 33, 40, 64, 65, 200, 20_000):
+        letters = ("idiot" * n)[:n]
+        for gap in " .":
+            got = channel.restore(gap.join(letters))
+            assert got.replace(gap, "").replace(" ", "") == letters and got.count("idiot") == n // 5
