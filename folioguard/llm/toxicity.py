@@ -2,8 +2,8 @@
 
 1. A character language model (trigrams over a-z, word edge and 'other') is counted over all documents;
    each task sends its partial counts, at most STATES**3 rows.
-2. Words that writers disguise (digits and signs for letters, single letters with separators,
-   letters repeated three times or more) are turned into a lattice of readings, and Viterbi search picks
+2. Words that writers may have disguised (digits and signs for letters at any place, spelled-out letters and
+   signs with separators of any width, separators other than blanks in a word, repeated letters) are turned into a lattice of readings, and Viterbi search picks
    the reading with the best product of language model and channel. A word with one reading is its own
    decoding, so only words with a choice are searched.
 3. Evidence is learned from labelled documents: whole words and word beginnings of 4 to 6 bytes, each with
@@ -42,32 +42,36 @@ STATE = np.array([LOWER[b] - 96 if chr(b).isascii() and chr(b).isalpha() else OT
 
 #: The letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
-#: Channel costs, in nats: a sign for a letter, a letter dropped from a run, a separator dropped, a sign kept.
-COST_LEET, COST_RUN, COST_GAP, COST_KEPT = 0.5, 0.3, 0.5, 6.0
+#: Channel costs, in nats: a sign for a letter, a letter dropped from a run, one of a pair dropped, a separator
+#: dropped in a spelled-out run and inside a word, a sign kept in a word, at its end, and standing alone.
+COST_LEET, COST_RUN, COST_PAIR, COST_GAP, COST_SPLIT, COST_KEPT, COST_TAIL, COST_LONE = 0.5, 0.3, 6.0, 0.5, 3.0, 6.0, 2.0, 1.0
+#: Signs that are punctuation at the beginning or end of a word, unless the model prefers a letter; at its end also
+#: three equal ones. The model sees nothing of them but the word's edge.
+PLAIN = "!|+"
+PLAIN_END = re.compile(r"(?:[!|+]|([$@])\1\1+)+\Z")
 _SIGN = "".join(map(re.escape, LEET))
-#: Words with signs between or before letters, with runs, and spaced letters.
-DISGUISED = re.compile(
-    rf"(?<![A-Za-z])[A-Za-z](?:[ ._*-][A-Za-z]){{2,}}(?![A-Za-z])|[A-Za-z{_SIGN}]*(?:[A-Za-z][{_SIGN}]+[A-Za-z]|(?<![A-Za-z0-9])[@$0-9][A-Za-z]|([A-Za-z])\1\1)[A-Za-z{_SIGN}]*"
-)
+_UNIT, _GAP, _MARK = f"[A-Za-z{_SIGN}]", rf"[^A-Za-z0-9{_SIGN}\x80-\U0010ffff]", rf"[^\x00-\x20A-Za-z0-9{_SIGN}\x7f-\U0010ffff]"
+#: Letters and signs with separators of any width between them.
+SPELLED = re.compile(rf"(?:(?<![A-Za-z])[A-Za-z]|(?<![A-Za-z0-9])[{_SIGN}])(?:{_GAP}+{_UNIT}){{2,}}(?<![{_SIGN}](?=[0-9]))(?![A-Za-z])")
+#: Words that hold a sign beside a letter, a letter twice in a row, or separators other than blanks.
+SOLID = rf"(?<!{_UNIT})(?={_UNIT}*(?:[A-Za-z][{_SIGN}]|[{_SIGN}][A-Za-z]|(?i:([a-z])\1)|[A-Za-z]{_MARK}+[A-Za-z])){_UNIT}+(?:{_MARK}+{_UNIT}+)*"
+DISGUISED = re.compile(f"{SPELLED.pattern}|{SOLID}", re.ASCII)
 _IS_LEET = np.array([chr(b) in LEET for b in range(256)])
 _IS_LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
-_IS_GAP = np.array([chr(b) in " ._*-" for b in range(256)])
 #: Decodings of longer disguises are not remembered.
 WINDOW = 64
 
 
 def suspects(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Rows whose bytes may hold a disguise; no disguise escapes, as each kind has one of these patterns."""
-    letter, leet, gap = _IS_LETTER[x], _IS_LEET[x], _IS_GAP[x]
-    if len(x) < 3:
-        return np.zeros(0, np.int64)
-    low = LOWER[x]
+    letter, leet, word, low = _IS_LETTER[x], _IS_LEET[x], WORD[x] > 0, LOWER[x]
+    unit = letter | leet
+    gap = ~word & ~leet
     hit = np.zeros(len(x), bool)
-    hit[1:] |= letter[1:] & leet[:-1]
-    hit[2:] |= letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2])
-    if len(x) >= 5:
-        lone = letter[2:-2] & gap[1:-3] & gap[3:-1] & letter[:-4] & letter[4:]
-        hit[2:-2] |= lone
+    hit[1:] |= (letter[1:] & leet[:-1]) | (leet[1:] & letter[:-1]) | (letter[1:] & (low[1:] == low[:-1]))
+    # A letter or sign between separators, as in the middle of a spelled-out run, and a separator inside a word.
+    hit[1:-1] |= unit[1:-1] & gap[:-2] & gap[2:]
+    hit[1:-1] |= gap[1:-1] & letter[:-2] & (x[1:-1] > 32) & (x[2:] > 32)
     return np.unique(np.searchsorted(at, np.flatnonzero(hit), side="right") - 1)
 
 
@@ -75,29 +79,30 @@ class Channel:
     """Viterbi decoding under the trigram model ``cost`` (negative logarithms, STATES x STATES x STATES)."""
 
     def __init__(self, cost: np.ndarray):
-        self.cost = cost
+        self.cost = cost.tolist()
         self.seen: dict[str, str] = {}
 
-    def readings(self, text: str) -> list[list[tuple[str, float]]]:
-        """For each place of ``text``, the strings it may have meant and their costs."""
-        lattice: list[list[tuple[str, float]]] = []
-        i, spaced = 0, bool(re.fullmatch(r"[A-Za-z](?:[ ._*-][A-Za-z])+", text))
+    def readings(self, text: str) -> list[list[tuple]]:
+        """For each place of ``text``, the strings it may have meant, their costs, and the states that the model is to see for them, if others than their own."""
+        lattice: list[list[tuple]] = []
+        i, spaced = 0, bool(SPELLED.fullmatch(text))
+        head, end = len(text) - len(text.lstrip(PLAIN)), len(text.rstrip("".join(LEET)))
+        tail = len(PLAIN_END.sub("", text))
         while i < len(text):
             c = text[i].lower()
-            j = i
-            while j < len(text) and text[j].lower() == c:
-                j += 1
-            if c.isalpha() and j - i >= 3:
-                lattice.append([(c, COST_RUN), (c * 2, COST_RUN)])
-                i = j
-                continue
-            if c in LEET:
-                lattice.append([(a, COST_LEET) for a in LEET[c]] + [(c, COST_KEPT)])
-            elif spaced and not c.isalpha():
-                lattice.append([("", COST_GAP), (" ", 0.0)])
+            j = i + 1
+            if c.isalpha():
+                while j < len(text) and text[j].lower() == c:
+                    j += 1
+                lattice.append([(c, 0.0)] if j - i == 1 else [(c * 2, 0.0), (c, COST_PAIR)] if j - i == 2 else [(c, COST_RUN), (c * 2, COST_RUN)])
+            elif c in LEET:
+                kept = (c, COST_LONE) if spaced else (c, 0.0, ()) if i < head or i >= tail else (c, COST_TAIL if i >= end else COST_KEPT)
+                lattice.append([(a, COST_LEET) for a in LEET[c]] + [kept])
             else:
-                lattice.append([(c, 0.0)])
-            i += 1
+                while j < len(text) and not text[j].isalpha() and text[j] not in LEET:
+                    j += 1
+                lattice.append([("", COST_GAP if spaced else COST_SPLIT), (text[i:j], 0.0, (EDGE,))])
+            i = j
         return lattice
 
     def decode(self, text: str) -> str:
@@ -115,11 +120,10 @@ class Channel:
         for choices in [*self.readings(text), [("\n", 0.0)]]:
             new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, done) in paths.items():
-                for s, own in choices:
+                for s, own, *state in choices:
                     total, p, q = cost + own, a, b
-                    for ch in s:
-                        k = OTHER if ch in LEET else EDGE if not ch.isalpha() else ord(ch) - 96
-                        total += float(self.cost[p, q, k])
+                    for k in state[0] if state else [OTHER if ch in LEET else EDGE if not ch.isalpha() else ord(ch) - 96 for ch in s]:
+                        total += self.cost[p][q][k]
                         p, q = q, k
                     if (p, q) not in new or total < new[p, q][0]:
                         new[p, q] = (total, (done, s))
@@ -136,7 +140,13 @@ class Channel:
         return "".join(reversed(parts))
 
     def restore(self, text: str) -> str:
-        return DISGUISED.sub(lambda m: self.decode(m[0]), text)
+        """``text`` with its disguises decoded; what reads as itself stays as it is written."""
+
+        def read(m: re.Match) -> str:
+            new = self.decode(m[0]) if re.search("[A-Za-z]", m[0]) else m[0]  # rows of single numbers stay
+            return m[0] if new == m[0].lower() else new
+
+        return DISGUISED.sub(read, text)
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

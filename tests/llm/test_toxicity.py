@@ -1,8 +1,9 @@
 import itertools
+import re
 
 import numpy as np
 
-from folioguard.llm.toxicity import EDGE, OTHER, STATES, Channel, classify_toxicity, language_model, op7_toxicity, restore_texts, suspects
+from folioguard.llm.toxicity import DISGUISED, EDGE, OTHER, STATES, Channel, classify_toxicity, language_model, op7_toxicity, restore_texts, suspects
 
 from .auc import auc
 
@@ -77,3 +78,18 @@ def test_long_spelled_runs(spark):
         for gap in " .":
             got = channel.restore(gap.join(letters))
             assert got.replace(gap, "").replace(" ", "") == letters and got.count("idiot") == n // 5
+
+
+def test_every_kind_of_disguise(spark):
+    plain = "the idiot and the loser said the stupid thing, is it worthless trash? you kill a hello letter ass well! it is all an idiot loser. "
+    channel = Channel(language_model(spark.createDataFrame([(1, plain * 40)], "doc_id long, text string")))
+    cases = {"kil1": "kill", "idio7": "idiot", "a$$": "ass", "!diot": "idiot", "|diot": "idiot", "i d 1 o t": "idiot", "i.d.1.o.t": "idiot", "s-t-u-p-1-d": "stupid"}
+    cases |= {"i  d  i  o  t": "idiot", "i,d,i,o,t": "idiot", "i - d - i - o - t": "idiot", "id.iot": "idiot", "stuupid": "stupid", "STuUPiD": "stupid", "idiot!": "idiot!", "1d10t!!": "idiot!!"}
+    texts = [f"you {w} and" for w in cases] + list(cases)
+    assert [channel.restore(t) for t in texts] == [f"you {w} and" for w in cases.values()] + list(cases.values())
+    assert channel.restore(plain) == plain and channel.restore("Well! Hello, all 3 4 5 1 0") == "Well! Hello, all 3 4 5 1 0"
+    assert re.search(DISGUISED, "lose4")
+    texts += ["a", "", "a.b", "é  a  1  b", "x\ty\tz", "l1", "aA", "plain words"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    found = set(suspects(data, np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))).tolist())
+    assert {i for i, t in enumerate(texts) if re.search(DISGUISED, t)} <= found
