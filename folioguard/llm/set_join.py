@@ -2,9 +2,9 @@
 
 Documents with the same words in the same order form one class; classes are compared, not copies. A
 class's shingles (``n`` words; a text of fewer words, but not none, is one shingle) are embedded by
-HASHES minhash values. In each run, classes are split by a sampled token, the value at one coordinate;
+minhash values. In each run, classes are split by a sampled token, the value at one coordinate;
 buckets of more than ``bucket`` classes are split again by a coordinate that depends on the path so far, up
-to ``depth`` times. Buckets are compared pair by pair; one that stays larger is dealt out as pairs of
+to ``depth`` times. Every run has coordinates of its own, so that runs fail independently. Buckets are compared pair by pair; one that stays larger is dealt out as pairs of
 blocks of ``bucket`` classes, so nothing is left out. As similar sets share a coordinate with probability of
 their similarity, a run keeps a pair at the threshold t together with probability t**depth at least,
 and runs are repeated until the expected recall reaches ``recall``: log(1 - recall) / log(1 - t**depth).
@@ -38,13 +38,21 @@ THRESHOLD = 0.8
 RECALL = 0.999
 BUCKET = 256
 DEPTH = 3
+#: Minhash values of a signature, and the coordinates that a path chooses from at each depth after the first.
 HASHES = 64
+CHOICES = 2
 PIECE = 1 << 19
 SKETCH = "doc_id long, cls binary, n int, keys array<long>, sig binary"
 
 
 def runs_for(threshold: float, depth: int, recall: float) -> int:
-    return min(HASHES, math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth)))
+    """Runs are independent: none shares a coordinate with another (see ``coordinates``)."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth))
+
+
+def coordinates(runs: int, depth: int) -> int:
+    """Minhash values that ``path_keys`` chooses from: per run, one for the first depth and CHOICES for each other."""
+    return runs * (1 + CHOICES * (depth - 1))
 
 
 def least_matches(threshold: float) -> int:
@@ -82,27 +90,31 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, i: int, j: int, n: int) -> tu
     return cls, s, np.searchsorted(sdoc, np.arange(rows + 1))
 
 
-def minhashes(s: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """HASHES minima per set (empty sets: zeros)."""
-    out = np.zeros((len(off) - 1, HASHES), np.uint64)
+def minhashes(s: np.ndarray, off: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """``hashes`` minima per set (empty sets: zeros)."""
+    out = np.zeros((len(off) - 1, hashes), np.uint64)
     some = np.flatnonzero(np.diff(off) > 0)
     if len(some):
-        for k, (a, b) in enumerate(zip(table64(74, HASHES), table64(75, HASHES), strict=True)):
+        for k, (a, b) in enumerate(zip(table64(74, hashes), table64(75, hashes), strict=True)):
             out[some, k] = np.minimum.reduceat((s * a + b) >> np.uint64(24), off[:-1][some])
     return out
 
 
 def path_keys(values: np.ndarray, runs: int, depth: int) -> np.ndarray:
-    """The bucket of each set in each run at depths 1 to ``depth`` (rows x runs x depth)."""
+    """The bucket of each set in each run at depths 1 to ``depth`` (rows x runs x depth).
+
+    Each run has ``coordinates(1, depth)`` columns of ``values`` of its own, so the runs miss a pair independently.
+    """
     rows = np.arange(len(values))
+    own = coordinates(1, depth)
     out = np.zeros((len(values), runs, depth), np.uint64)
-    for r in range(runs):
-        at = np.full(len(values), r)
-        key = np.full(len(values), table64(76, HASHES)[r])
+    for r, salt in enumerate(table64(76, runs)):
+        at = np.full(len(values), r * own)
+        key = np.full(len(values), salt)
         for d in range(depth):
             key = mix(key ^ mix(values[rows, at] + np.uint64(d + 1)))
             out[:, r, d] = key
-            at = (at + 1 + (key % np.uint64(HASHES - 1)).astype(np.int64)) % HASHES
+            at = r * own + 1 + CHOICES * d + (key % np.uint64(CHOICES)).astype(np.int64)
     return out
 
 
@@ -112,7 +124,7 @@ def _sketch_batches(n: int, runs: int, depth: int) -> Callable:
             data, at = buffers(batch.column("text"))
             for i, j in chunks(at, PIECE):
                 cls, s, off = shingle_sets(data, at, i, j, n)
-                values = minhashes(s, off)
+                values = minhashes(s, off, max(HASHES, coordinates(runs, depth)))
                 keys = path_keys(values, runs, depth).reshape(j - i, -1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -120,7 +132,7 @@ def _sketch_batches(n: int, runs: int, depth: int) -> Callable:
                         pa.array([c.tobytes() for c in cls], pa.binary()),
                         pa.array(np.diff(off), pa.int32()),
                         pa.array(list(keys), pa.list_(pa.int64())),
-                        pa.array([v.tobytes() for v in (values & np.uint64(255)).astype(np.uint8)], pa.binary()),
+                        pa.array([v.tobytes() for v in (values[:, :HASHES] & np.uint64(255)).astype(np.uint8)], pa.binary()),
                     ],
                     names=["doc_id", "cls", "n", "keys", "sig"],
                 )

@@ -1,10 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from folioguard.llm.components import components
-from folioguard.llm.set_join import jaccard_join, op2_jaccard_join, runs_for
+from folioguard.llm.set_join import DEPTH, RECALL, THRESHOLD, jaccard_join, minhashes, op2_jaccard_join, path_keys, runs_for
 
 SF = "/root/testdata/sf0.01"
 
@@ -98,3 +99,28 @@ def test_components(spark):
             if u is not None:
                 root[u] = root[v] = min(root[u], root[v])
     assert got == {k: v for k, v in root.items() if any(k in e and e[0] != e[1] and None not in e for e in edges)}
+
+
+def test_recall_at_full_depth():
+    """Pairs of sets at the threshold meet at the last depth of some run as often as RECALL asks for."""
+    r, runs, pairs, missed = np.random.default_rng(8), runs_for(THRESHOLD, DEPTH, RECALL), 40_000, 0
+    assert runs_for(0.5, 5, 0.999) > 64
+    for _ in range(4):
+        s = r.integers(0, 1 << 63, (pairs // 4, 50), dtype=np.uint64)  # 40 of 45 shared: 40 / 50
+        off = np.arange(pairs // 4 + 1) * 45
+        a, b = (path_keys(minhashes(np.sort(x, axis=1).ravel(), off, 128), runs, DEPTH) for x in (s[:, :45], s[:, 5:]))
+        missed += int((a[:, :, -1] != b[:, :, -1]).all(1).sum())
+    print("missed", missed, "of", pairs)
+    assert missed <= 1.2 * (1 - RECALL) * pairs
+
+
+def test_join_at_full_depth(spark):
+    r = random.Random(4)
+    rows = []
+    for k in range(1500):  # 44 shingles each, 40 of them shared; buckets of one force the last depth
+        w = [f"w{r.randrange(10**6)}" for _ in range(52)]
+        rows += [(2 * k, " ".join(w[:48])), (2 * k + 1, " ".join(w[4:]))]
+    got = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), bucket=1).collect()
+    want = brute(rows)
+    assert sum(x[4] for x in want) == 3000
+    assert sum(x.n_links for x in got) >= RECALL * 3000
