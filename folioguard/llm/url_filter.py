@@ -38,26 +38,27 @@ def domains(host: Column) -> Column:
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """domain, action, since, until (null: open) of each entry that changes something; days as DATE."""
+    """domain, action, since, until (null: open) of each entry that changes something; as timestamps."""
     e = entries.where("domain is not null and at is not null and action is not null")
-    e = e.groupBy(F.lower("domain").alias("domain"), F.to_date("at").alias("since")).agg(F.max("action").alias("action"))
+    e = e.groupBy(F.lower("domain").alias("domain"), F.col("at").cast("timestamp").alias("since")).agg(F.max("action").alias("action"))
     return e.withColumn("until", F.lead("since").over(Window.partitionBy("domain").orderBy("since")))
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, bucket_days: int = BUCKET_DAYS) -> DataFrame:
-    """``captures`` (capture_id, url, at) with host, domain and action of the deciding entry, since, and blocked."""
-    c = captures.select("capture_id", url_host(F.col("url")).alias("host"), F.to_date("at").alias("day"))
-    bucket = lambda d: F.floor(F.unix_date(d) / bucket_days).cast("int")
-    visits = c.where("host is not null and day is not null").groupBy("host", "day").agg(F.count("*").alias("captures"))
-    last = visits.agg(F.max("day")).first()[0]
-    v = intervals(entries).where(F.col("since") <= F.lit(last))
-    until = F.coalesce(F.date_sub("until", 1), F.lit(last))
-    v = v.withColumn("bucket", F.explode(F.sequence(bucket(F.col("since")), bucket(F.greatest(F.col("since"), F.least(until, F.lit(last)))))))
-    asked = visits.select("host", "day", bucket(F.col("day")).alias("bucket"), F.posexplode(domains(F.col("host"))).alias("rank", "domain"))
-    met = asked.join(v, ["domain", "bucket"]).where((F.col("day") >= F.col("since")) & (F.col("until").isNull() | (F.col("day") < F.col("until"))))
-    decided = met.groupBy("host", "day").agg(F.min_by(F.struct("domain", "action", "since"), "rank").alias("e"))
-    out = c.join(decided, ["host", "day"], "left")
-    return out.select("capture_id", "host", "day", F.col("e.domain").alias("domain"), F.col("e.action").alias("action"), F.col("e.since").alias("since"), F.coalesce(F.col("e.action") == "block", F.lit(False)).alias("blocked"))
+    """``captures`` (capture_id, url, at) with host, day, domain and action of the deciding entry, since (a timestamp), and blocked."""
+    c = captures.select("capture_id", url_host(F.col("url")).alias("host"), F.col("at").cast("timestamp").alias("at"))
+    bucket = lambda t: F.floor(F.unix_date(F.to_date(t)) / bucket_days).cast("int")
+    visits = c.where("host is not null and at is not null").groupBy("host", "at").agg(F.count("*").alias("captures"))
+    last = visits.agg(F.max("at").alias("last"))
+    v = intervals(entries).crossJoin(F.broadcast(last)).where(F.col("since") <= F.col("last"))
+    until = F.least(F.coalesce(F.col("until") - F.expr("INTERVAL '0.000001' SECOND"), F.col("last")), F.col("last"))
+    v = v.withColumn("bucket", F.explode(F.sequence(bucket(F.col("since")), bucket(until)))).drop("last")
+    asked = visits.select("host", "at", bucket(F.col("at")).alias("bucket"), F.posexplode(domains(F.col("host"))).alias("rank", "domain"))
+    met = asked.join(v, ["domain", "bucket"]).where((F.col("at") >= F.col("since")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
+    decided = met.groupBy("host", "at").agg(F.min_by(F.struct("domain", "action", "since"), "rank").alias("e"))
+    out = c.join(decided, ["host", "at"], "left")
+    day = F.to_date("at").alias("day")
+    return out.select("capture_id", "host", day, F.col("e.domain").alias("domain"), F.col("e.action").alias("action"), F.col("e.since").alias("since"), F.coalesce(F.col("e.action") == "block", F.lit(False)).alias("blocked"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +72,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_add(F.lit("2023-01-01").cast("date"), (F.length("domain") * 37 + F.col("k") * 101) % 700).alias("at"),
         F.when((F.length("domain") + F.col("k")) % 3 == 0, "allow").otherwise("block").alias("action"),
     )
-    out = filter_urls(captures, entries).withColumn("since", F.col("since").cast("string"))
+    out = filter_urls(captures, entries).withColumn("since", F.to_date("since").cast("string"))
     return out.select(F.col("capture_id").alias("page_id"), "host", F.col("day").cast("string").alias("day"), "domain", "action", "since", "blocked")
 
 

@@ -85,3 +85,11 @@ def test_url_filter_cases(spark):
     none = spark.createDataFrame([], "domain string, at string, action string")
     assert filter_urls(spark.createDataFrame(caps, "capture_id long, url string, at string"), none).where("blocked").count() == 0
     assert filter_urls(spark.createDataFrame([], "capture_id long, url string, at string"), none).collect() == []
+
+
+def test_url_filter_times(spark):
+    entries = [("b.com", "2024-01-10 20:00:00", "block"), ("b.com", "2024-01-10 22:00:00", "allow"), ("c.com", "2024-01-30 00:00:00", "block"), ("c.com", "2024-01-31 09:30:00", "allow")]
+    caps = [(1, "http://b.com", "2024-01-10 08:00:00"), (2, "http://b.com", "2024-01-10 20:00:00"), (3, "http://b.com", "2024-01-10 23:00:00"), (4, "http://c.com", "2024-01-31 09:29:59.999999"), (5, "http://c.com", "2024-01-31 09:30:00"), (6, "http://c.com", "2024-01-29 23:59:59")]
+    df = [spark.createDataFrame(caps, "capture_id long, url string, at string"), spark.createDataFrame(entries, "domain string, at string, action string")]
+    for days in (1, 30):
+        assert {r.capture_id: r.blocked for r in filter_urls(*df, days).collect()} == {1: False, 2: True, 3: False, 4: True, 5: False, 6: False}
