@@ -13,8 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioguard.llm.common import read_table, scratch, stored
-from folioguard.llm.decontamination import decontaminate
+from folioguard.llm.common import nvl_text, read_table, scratch, stored
+from folioguard.llm.decontamination import decontaminated_rows
 from folioguard.llm.exact_dedup import DigestIndex, exact_dedup
 from folioguard.llm.packing import pack
 from folioguard.llm.quality import THRESHOLD, fit, score_quality
@@ -49,8 +49,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a word inside a benchmark window go."""
-    return _keep(docs, decontaminate(docs, read_table(spark, sf_dir, "benchmark")).where("not contaminated"))
+    """Documents with a word inside a benchmark window go. Rows are told apart by doc_id and text, as the operator does."""
+    found = decontaminated_rows(docs, read_table(spark, sf_dir, "benchmark")).where("not contaminated")
+    kept = found.select(F.col("doc_id").alias("_kept"), F.col("tid").alias("_tid")).distinct()
+    same = docs.doc_id.eqNullSafe(kept._kept) & (F.xxhash64(nvl_text(docs.text)) == kept._tid)
+    return docs.join(kept, same, "left_semi").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

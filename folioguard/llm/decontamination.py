@@ -93,6 +93,11 @@ def proximity_matches(doc_words: DataFrame, terms: list[str], within: int) -> Da
 
 def decontaminate(docs: DataFrame, items: DataFrame, length: int = LENGTH, anchors: int = ANCHORS) -> DataFrame:
     """One row per row of ``docs``: n_words, n_hit, n_items, items_sha256, contaminated."""
+    return decontaminated_rows(docs, items, length, anchors).drop("tid")
+
+
+def decontaminated_rows(docs: DataFrame, items: DataFrame, length: int = LENGTH, anchors: int = ANCHORS) -> DataFrame:
+    """``decontaminate`` with tid, the hash of the text, which tells rows of one doc_id apart."""
     doc_words = document_words(docs)
     windows = stored(item_windows(items, length), "windows")
     counts = frequencies(doc_words, windows.select(F.explode("words").alias("term")).distinct())
@@ -114,7 +119,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = LENGTH, ancho
     rows = doc_words.select("doc_id", "tid", F.size("w").cast("long").alias("n_words"))
     out = rows.join(hits, rows.doc_id.eqNullSafe(hits.doc_id) & (rows.tid == hits.tid), "left")
     n: Column = F.coalesce("n_hit", F.lit(0))
-    return out.select(rows.doc_id, "n_words", n.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (n > 0).alias("contaminated"))
+    return out.select(rows.doc_id, rows.tid, "n_words", n.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (n > 0).alias("contaminated"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,3 +48,11 @@ def test_empty_and_null(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, SF), "s")
     assert docs.count() == 0
+
+
+def test_contaminated_rows_beside_clean_ones(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(d, t, "en", "s", len(t)) for d in (None, 1) for t in (f"before {item} after", "a clean text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.benchmark(spark, docs, SF).collect()
+    assert {(r.doc_id, r.text) for r in got} == {(None, "a clean text"), (1, "a clean text")} and len(got) == 2
