@@ -1,7 +1,7 @@
 """Operator 5: quality classifier on random Fourier features of document statistics.
 
 Statistics of the whole text (shares of character classes, word and line lengths, repetition of words
-and lines, byte entropy) are standardised and mapped to D random Fourier features, which approximate a
+and lines) are standardised and mapped to D random Fourier features, which approximate a
 Gaussian kernel. Each partition of the labelled rows sums its part of the normal equations; the sum is
 solved with a ridge. Isotonic regression on a fold that the ridge has not seen turns the values
 into probabilities. lang, source, doc_id and labels are never inputs of a score.
@@ -11,9 +11,11 @@ labelled rows (about; chosen by a hash of doc_id) are learned from, a documented
 that reaches the driver is bounded too: 8 partial sums of D x D and the calibration fold's values.
 
 Null and empty texts have all statistics zero and get a score like any other. Labels that are null are
-ignored; several labels of a document count by their mean. Without both labels among the rows to learn
-from, every score is the share of label 1 (0.5 without any). Repeated rows get a row each; columns of
-the input with clashing names are ignored.
+ignored; several labels of a document count by their mean. Equal texts have equal scores, and ties in the
+calibration fold count as one value, so scores do not depend on the order of rows. A null doc_id is held
+out. Without both labels among the rows to learn from, every score is the share of label 1 (0.5 without
+any). Repeated rows get a row each; of rows that repeat a labelled doc_id one is learned from, that with
+the smallest hash of its text. Columns of the input with clashing names are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ FEATURES = 384
 GAMMA = 0.04
 RIDGE = 1e-3
 THRESHOLD = 0.3
+#: Values that agree so far are ties.
+DECIMALS = 9
 PIECE = 1 << 20
 
 #: Character classes, by byte: upper, lower, digit, space, line feed, sentence marks, exclamation, symbols, bars, others, non-ASCII.
@@ -78,12 +82,11 @@ def statistics(data: np.ndarray, at: np.ndarray, rolling: Rolling) -> np.ndarray
             s[:, k] = _sum(kind == k, own) / size
         s[:, N_CLASSES - 1] = np.maximum(0, s[:, N_CLASSES - 1] - 1 / size)  # the separator
         a, h = word_hashes(x, rolling)
-        word = np.concatenate((a, [len(x)]))
         inside = _sum((kind <= 2) | (x >= 128), own)
         doc = np.searchsorted(own, a, side="right") - 1
         count = np.bincount(doc, minlength=n).astype(float)
         some = np.maximum(1, count)
-        gap = np.diff(word)  # a word and what follows it
+        gap = np.minimum(np.concatenate((a[1:], [len(x)]))[: len(a)], own[doc + 1]) - a  # a word and what follows it in its text
         end = np.minimum(gap, 40).astype(float)
         distinct, most = _distinct(doc, h, n)
         k = N_CLASSES
@@ -102,7 +105,7 @@ def statistics(data: np.ndarray, at: np.ndarray, rolling: Rolling) -> np.ndarray
         s[:, k + 9] = _sum(np.concatenate((pair, [False])), own) / some
         # Lines: their number, repetition and length.
         lines = np.flatnonzero(np.concatenate(([True], (x[:-1] == 10) | (x[:-1] == 0))))
-        ends = np.concatenate((lines[1:] - 1, [len(x)]))
+        ends = np.concatenate((lines[1:], [len(x)])) - 1
         full = ends - lines > 1
         lines, ends = lines[full], ends[full]
         ldoc = np.searchsorted(own, lines, side="right") - 1
@@ -134,19 +137,23 @@ class Kernel:
         return np.concatenate((np.cos(z) * np.sqrt(2 / len(self.phase)), np.ones((len(z), 1))), axis=1)
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
-        return self.features(stats) @ self.beta
+        """Values of the linear model; rounded, as the last bits of a matrix product depend on a row's place in it."""
+        return np.round(self.features(stats) @ self.beta, DECIMALS)
 
     def score(self, stats: np.ndarray) -> np.ndarray:
         return calibrated(self.knots, self.raw(stats))
 
 
 def isotonic(value: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the increasing least-squares fit of ``label`` to ``value`` (pool adjacent violators)."""
-    order = np.argsort(value, kind="stable")
+    """Knots of the increasing least-squares fit of ``label`` to ``value`` (pool adjacent violators).
+
+    Labels of equal values are summed first, so the fit is a function of the pairs and not of their order.
+    """
+    values, where = np.unique(value, return_inverse=True)
     blocks: list[list[float]] = []
-    for v, y in zip(value[order].tolist(), label[order].tolist(), strict=True):
-        blocks.append([v, 1.0, y])
-        while len(blocks) > 1 and blocks[-2][2] / blocks[-2][1] >= blocks[-1][2] / blocks[-1][1]:
+    for v, n, y in zip(values.tolist(), np.bincount(where).tolist(), np.bincount(where, label).tolist(), strict=True):
+        blocks.append([v * n, float(n), y])
+        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][1] >= blocks[-1][2] * blocks[-2][1]:
             v2, n2, y2 = blocks.pop()
             blocks[-1][0] += v2
             blocks[-1][1] += n2
@@ -168,13 +175,16 @@ def fold(doc_id: str | Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
     """text, y, fold of about ``sample`` labelled rows at most, none of them held out.
 
-    The labels' sample is bounded by ``sample``, so it is broadcast and the texts are not shuffled.
+    The labels' sample is bounded by ``sample``, so it is broadcast. One row of each doc_id is taken, so the
+    bound holds however often documents repeat one; only the sample's own texts are shuffled for that.
     """
     y = labels.where(F.col(label).isNotNull() & (fold("doc_id") > 0)).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     n = y.count()
     if n > sample:
         y = y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
-    return docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").select("text", "y", fold("doc_id").alias("fold"))
+    met = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")
+    one = met.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return one.select("t.text", "y", fold("doc_id").alias("fold"))
 
 
 def _stat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,8 @@
 Folds by crc32(doc_id as text) mod 5: 0 held out, 1 calibration, 2 to 4 evidence. At most ``sample``
 labelled rows (about; by hash of doc_id) are learned from. lang, source, doc_id and labels are never
 inputs of a score. Null and empty texts have no evidence; null labels are ignored; without both labels every
-score is the share of label 1 (0.0 without any). Texts are read whole; repeated rows get a row each;
+score is the share of label 1 (0.0 without any). Documents with the same evidence have the same score, in any
+order of rows. A null doc_id is held out. Texts are read whole; repeated rows get a row each;
 columns of the input with clashing names are ignored.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioguard.llm.common import LOWER, WORD, Rolling, buffers, chunks, mix, read_table, separated, stored
-from folioguard.llm.quality import SAMPLE, calibrated, fold, isotonic, labelled_sample
+from folioguard.llm.quality import DECIMALS, SAMPLE, calibrated, fold, isotonic, labelled_sample
 
 THRESHOLD = 0.5
 PIECE = 1 << 20
@@ -248,7 +249,7 @@ class Model:
             met = self.hashes[k] == h
             pairs = np.unique(np.stack((doc[met], k[met])), axis=1)
             out[i:j] = np.bincount(pairs[0], self.logs[pairs[1]], j - i)
-        return out
+        return np.round(out, DECIMALS)
 
 
 def _raw_batches(model: Model) -> Callable:
