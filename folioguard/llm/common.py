@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,12 @@ BROADCAST_ROWS = 200_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; ``spark.checkpoint.dir`` names it.
 
-    Only where that setting is absent (local tests) is a folder of our own set.
+    Only a local master may do without that setting (tests); it gets a folder of its own.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf = getattr(spark, "_folioguard_shared", None)
         if not conf:
             conf = "file://" + tempfile.mkdtemp(prefix="folioguard-")
@@ -36,24 +39,51 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """The file system that holds ``path``, and the path as Hadoop's class."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other run uses.
+
+    All paths of a session lie in one folder, which its driver deletes when it ends.
+    """
+    run = getattr(spark, "_folioguard_run", None)
+    if run is None or not run.startswith(shared_dir(spark)):
+        run = spark._folioguard_run = f"{shared_dir(spark)}/folioguard-run-{uuid.uuid4().hex}"
+        fs, p = hadoop_path(spark, run)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return f"{run}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts the lineage.
+    """Write ``df`` to the shared folder and read it back, which cuts the lineage."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """A write's own shuffle files are of no use after it; inside, Spark drops them at once.
 
-    The write's own shuffle files are of no use after it, so Spark is told to drop them at once.
+    The setting is put back as it was. It only tells when files are deleted, so another query of the
+    session that starts meanwhile gets the same rows.
     """
-    spark, path, key = df.sparkSession, scratch(df.sparkSession, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
     try:
-        spark.conf.set(key, "true")
-        df.write.parquet(path)
+        yield
     finally:
-        spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

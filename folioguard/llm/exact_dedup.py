@@ -1,28 +1,34 @@
 """Operator 9 [native]: exact deduplication against a persistent digest index.
 
-The index is a table bucketed and sorted by digest. New data is first reduced to one row per digest
-(partial aggregation runs before the shuffle, so a text that fills a third of the table costs one
-row per task), then a sort-merge anti-join against the index finds the digests that are new, and
-these are appended. The index side of that join is neither shuffled nor sorted again.
+The index is a table bucketed by digest, with as many buckets as the session has shuffle partitions when
+it is made. New data is first reduced to one row per digest (partial aggregation runs before the shuffle,
+so a text that fills a third of the table costs one row per task), then a sort-merge anti-join against
+the index finds the digests that are new, and these are appended. The aggregate's exchange is the only
+one: the join and the bucketed write take its partitions as they are, and the index is read by bucket. Files
+are sorted by digest, but Spark sorts the index side of a join again unless a bucket is one file (see
+``compact``) and spark.sql.legacy.bucketedTableScan.outputOrdering is set.
 
 Texts are equal when they are identical after deleting space, tab, line feed, vertical tab, form
 feed and carriage return. Null counts as the empty text. Within equal texts, the row with the most
-code points in the original text, then the smallest doc_id, stays (a null doc_id comes last); exact
-repetitions of that very row stay together, as nothing tells them apart. Columns of the input with
-clashing names are ignored.
+code points in the original text, then the smallest doc_id, stays (a null doc_id comes last), then that
+with the smallest hash of its text; exact repetitions of that very row stay together, as nothing tells
+them apart. Columns of the input with clashing names are ignored.
+
+Entries are never changed. A text that an earlier batch has brought belongs to the row of that batch, whatever
+its own length, and group_size counts the rows of the batch that brought the text.
 """
 
 from __future__ import annotations
 
-import uuid
+import re
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioguard.llm.common import nvl_text, read_table, scratch
+from folioguard.llm.common import hadoop_path, nvl_text, read_table, scratch, stored
 
-BUCKETS = 64
 #: A digest with more than 1 / HOT_SHARE of all rows is hot; fewer than HOT_SHARE digests can be.
 HOT_SHARE = 512
 SPACE = " \t\n\x0b\x0c\r"
@@ -33,64 +39,118 @@ def digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.translate(text, SPACE, ""), 256))
 
 
+def digest_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, tid (hash of the text), digest and n (code points) of every row."""
+    text = nvl_text("text")
+    return docs.select("doc_id", F.xxhash64(text).alias("tid"), digest(text).alias("digest"), F.length(text).alias("n"))
+
+
 class DigestIndex:
-    """A table ``digest binary, keep_id long, n_chars int, group_size long`` bucketed and sorted by digest."""
+    """A table ``digest binary, keep_id long, keep_tid long, n_chars int, group_size long`` bucketed by digest.
+
+    Its files lie under ``path``, in a folder per version that names the buckets, so another session opens
+    the same index by the path; ``name`` is what the session's catalog calls it.
+    """
 
     SCHEMA = T.StructType(
-        [T.StructField("digest", T.BinaryType()), T.StructField("keep_id", T.LongType()), T.StructField("n_chars", T.IntegerType()), T.StructField("group_size", T.LongType())]
+        [T.StructField("digest", T.BinaryType()), T.StructField("keep_id", T.LongType()), T.StructField("keep_tid", T.LongType()), T.StructField("n_chars", T.IntegerType()), T.StructField("group_size", T.LongType())]
     )
 
-    def __init__(self, spark: SparkSession, name: str, path: str, buckets: int = BUCKETS):
-        """Open the index table ``name``, or create it empty with its files under ``path``."""
-        self.spark, self.name, self.path, self.buckets = spark, name, path, buckets
-        if not spark.catalog.tableExists(name):
-            self._write(spark.createDataFrame([], self.SCHEMA), "overwrite")
-
-    def _write(self, df: DataFrame, mode: str) -> None:
-        columns = [f.name for f in self.SCHEMA.fields]
-        df.select(*columns).write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).mode(mode).saveAsTable(self.name)
+    def __init__(self, spark: SparkSession, name: str, path: str, buckets: int | None = None):
+        """Open the index under ``path``, or create it empty with ``buckets`` (by default the session's shuffle partitions)."""
+        self.spark, self.name, self.path = spark, name, path.rstrip("/")
+        self.version, self.buckets = max(self._versions(), default=(0, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        self._register()
+
+    def _folder(self) -> str:
+        return f"{self.path}/v{self.version}-b{self.buckets}"
+
+    def _versions(self) -> list[tuple[int, int]]:
+        """Versions that were written to the end, with their buckets."""
+        fs, p = hadoop_path(self.spark, self.path)
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        found = [m for n in names if (m := re.fullmatch(r"v(\d+)-b(\d+)", n)) and fs.exists(hadoop_path(self.spark, f"{self.path}/{n}/_SUCCESS")[1])]
+        return [(int(m[1]), int(m[2])) for m in found]
+
+    def _register(self) -> None:
+        if self.spark.catalog.tableExists(self.name):
+            if self.spark.catalog.getTable(self.name).tableType != "EXTERNAL":
+                raise ValueError(f"{self.name} is a table of another kind")
+            self.spark.sql(f"DROP TABLE {self.name}")  # of an external table the files stay
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.SCHEMA.fields)
+        self.spark.sql(f"CREATE TABLE {self.name} ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self._folder()}'")
+
+    def _write(self, df: DataFrame, name: str, mode: str, path: str) -> None:
+        df.select(*self.SCHEMA.names).write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", path).mode(mode).saveAsTable(name)
 
     def read(self) -> DataFrame:
         return self.spark.read.table(self.name)
 
-    def best(self, docs: DataFrame) -> DataFrame:
-        """One row per digest of ``docs``: the row that stays and the number of rows."""
-        rows = docs.select(digest(nvl_text("text")).alias("digest"), F.length(nvl_text("text")).alias("n"), (-F.col("doc_id")).alias("minus"))
-        return rows.groupBy("digest").agg(F.max(F.struct("n", "minus")).alias("m"), F.count("*").alias("group_size")).select(
-            "digest", (-F.col("m.minus")).alias("keep_id"), F.col("m.n").alias("n_chars"), "group_size"
-        )
-
-    def unseen(self, docs: DataFrame) -> DataFrame:
-        """The best rows of those digests of ``docs`` that the index does not hold."""
-        new = self.best(docs).repartition(self.buckets, "digest")
-        return new.join(self.read().hint("merge"), "digest", "left_anti")
+    def unseen(self, rows: DataFrame) -> DataFrame:
+        """Of ``digest_rows``, the best row of each digest that the index does not hold, and how many rows have it."""
+        first = F.min(F.struct((-F.col("n")).alias("minus"), F.col("doc_id").isNull(), "doc_id", "tid")).alias("m")
+        new = rows.groupBy("digest").agg(first, F.count("*").alias("group_size"))
+        new = new.select("digest", F.col("m.doc_id").alias("keep_id"), F.col("m.tid").alias("keep_tid"), (-F.col("m.minus")).alias("n_chars"), "group_size")
+        return new.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
 
     def append(self, docs: DataFrame) -> None:
         """Add the digests of ``docs`` that are new. Running it again with the same rows adds nothing."""
-        self._write(self.unseen(docs), "append")
+        self.append_rows(digest_rows(docs))
+
+    def append_rows(self, rows: DataFrame) -> None:
+        self._write(self.unseen(rows), self.name, "append", self._folder())
+
+    def compact(self) -> None:
+        """Write the index anew, one sorted file per bucket. The version before stays, for queries that read it; older ones go."""
+        fs, _ = hadoop_path(self.spark, self.path)
+        if not fs.exists(hadoop_path(self.spark, self._folder())[1]):
+            return
+        last = self.version
+        # Read as plain files: dealt out by bucket, a bucketed scan would do without the exchange and then not be read by bucket.
+        rows, self.version = self.spark.read.schema(self.SCHEMA).parquet(self._folder()).repartition(self.buckets, "digest"), last + 1
+        self._write(rows, f"{self.name}__next", "overwrite", self._folder())
+        self.spark.sql(f"DROP TABLE {self.name}__next")
+        self._register()
+        for version, buckets in self._versions():
+            if version < last:
+                fs.delete(hadoop_path(self.spark, f"{self.path}/v{version}-b{buckets}")[1], True)
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """Every row of ``docs`` with the row that stays of its group, out of an index that has been given ``docs``.
 
+    A row whose text the index has never been given is an error, not a row less.
+    """
+    return exact_rows(digest_rows(docs), index).drop("tid")
+
+
+def exact_rows(rows: DataFrame, index: DigestIndex) -> DataFrame:
+    """``exact_dedup`` of ``digest_rows``, with tid.
+
     Hot groups are joined by broadcast: there can be fewer than HOT_SHARE of them, whatever the input.
     """
-    entries = index.read().select("digest", "keep_id", "group_size", F.col("n_chars").alias("keep_chars"))
+    entries = index.read().withColumnRenamed("n_chars", "keep_chars")
     total = entries.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
     hot = F.col("group_size") * HOT_SHARE > total
-    rows = docs.select("doc_id", nvl_text("text").alias("text")).select("doc_id", digest(F.col("text")).alias("digest"), F.length("text").alias("n"))
     met = rows.join(F.broadcast(entries.where(hot)), "digest", "left")
-    first, rest = met.where("group_size is not null"), met.where("group_size is null").select("doc_id", "digest", "n")
-    both = first.unionByName(rest.join(entries.where(~hot), "digest"))
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_chars"))
-    return both.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    first, rest = met.where("group_size is not null"), met.where("group_size is null").select(*rows.columns)
+    both = first.unionByName(rest.join(entries.where(~hot), "digest", "left"))
+    size = F.coalesce("group_size", F.raise_error(F.lit("a text is not in the index; append the documents first")).cast("long"))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_chars")) & (F.col("tid") == F.col("keep_tid"))
+    return both.select("doc_id", "keep_id", size.alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "tid")
+
+
+def deduplicated_rows(docs: DataFrame, index: DigestIndex) -> DataFrame:
+    """Append ``docs`` to ``index`` and return ``exact_rows``; each text is read and hashed once."""
+    rows = stored(digest_rows(docs), "digests")
+    index.append_rows(rows)
+    return exact_rows(rows, index)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    index = DigestIndex(spark, f"digests_{uuid.uuid4().hex}", scratch(spark, "digests"))
-    index.append(docs)
-    return exact_dedup(docs, index)
+    """A new index for each run, as the query is about the whole table; its name is that of the table."""
+    index = DigestIndex(spark, f"op9_digests_{zlib.crc32(sf_dir.encode()):08x}", scratch(spark, "index"))
+    return deduplicated_rows(read_table(spark, sf_dir, "documents"), index).drop("tid")
 
 
 OP9_SQL = r"""

@@ -1,8 +1,10 @@
 import re
 
+import pytest
+
 from folioguard.llm.common import scratch
 from folioguard.llm.decontamination import OP8_SQL, decontaminate, document_words, op8_decontaminate, proximity_matches
-from folioguard.llm.exact_dedup import OP9_SQL, DigestIndex, exact_dedup, op9_exact_dedup
+from folioguard.llm.exact_dedup import OP9_SQL, DigestIndex, digest_rows, exact_dedup, op9_exact_dedup
 
 from .oracle import same
 
@@ -30,6 +32,51 @@ def test_exact_dedup_cases(spark):
     spark.sql("DROP TABLE digest_test")
 
 
+def test_rows_that_were_never_appended(spark):
+    index = DigestIndex(spark, "digest_unknown", scratch(spark, "d"), 4)
+    old = spark.createDataFrame([(1, "a"), (2, "a "), (3, "b")], "doc_id long, text string")
+    index.append(old)
+    with pytest.raises(Exception, match="not in the index"):
+        exact_dedup(old.unionByName(spark.createDataFrame([(4, "c")], "doc_id long, text string")), index).collect()
+
+
+def test_batches(spark):
+    """A text belongs to the batch that brought it, and its entry never changes."""
+    path = scratch(spark, "d")
+    index = DigestIndex(spark, "digest_batches", path, 4)
+    one = spark.createDataFrame([(1, "a"), (2, "a "), (3, "b")], "doc_id long, text string")
+    two = spark.createDataFrame([(4, "a    "), (5, "c"), (6, "c"), (0, "b")], "doc_id long, text string")
+    index.append(one)
+    index.append(two)
+    want = {(4, 2, 2, False), (5, 5, 2, True), (6, 5, 2, False), (0, 3, 1, False)}
+    result = lambda i: {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup(two, i).collect()}
+    assert result(index) == want
+    files = lambda i: len(i.read().inputFiles())
+    for k in range(3):
+        index.append(spark.createDataFrame([(10 + k, f"more {k}")], "doc_id long, text string"))
+    before, rows = files(index), sorted(map(tuple, index.read().collect()))
+    index.compact()
+    assert files(index) <= 4 < before and sorted(map(tuple, index.read().collect())) == rows and result(index) == want
+    index.compact()
+    # Another session finds the index by its path.
+    spark.sql("DROP TABLE digest_batches")
+    again = DigestIndex(spark, "digest_batches", path)
+    assert again.buckets == 4 and again.version == 2 and sorted(map(tuple, again.read().collect())) == rows and result(again) == want
+    again.append(two)
+    assert again.read().count() == len(rows)
+
+
+def test_one_exchange(spark):
+    """The aggregate's exchange is the only one on the way into the index."""
+    index = DigestIndex(spark, "digest_plan", scratch(spark, "d"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    index.append(docs)
+    new = index.unseen(digest_rows(docs))
+    new.collect()
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning", plan.split("Initial Plan")[0])) == 1, plan
+
+
 def test_exact_dedup_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     index = DigestIndex(spark, "digest_none", scratch(spark, "d"), 4)
