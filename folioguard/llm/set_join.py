@@ -16,8 +16,10 @@ links are counted once and never shuffled: buckets send back, per class, the num
 smallest class that it is connected to. Connected components of these give the groups.
 
 Texts without words (null, empty) have no shingles and no links; their group is themselves. Rows with a
-null doc_id belong to their words' class; a class without any doc_id is not compared and its group is null.
-Columns of the input with clashing names are ignored.
+null doc_id belong to their words' class and are compared like others; a group without any doc_id has a null
+class_id. Rows that repeat a doc_id are told apart by their text. Columns of the input with clashing names
+are ignored. Classes and shingles are compared by hashes of 128 and 64 bits: at 10**13 shingles some 3 pairs
+of different ones collide, which changes a similarity by one shingle.
 """
 
 from __future__ import annotations
@@ -27,10 +29,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioguard.llm.common import Rolling, buffers, chunks, mix, read_table, separated, stored, table64, word_hashes
+from folioguard.llm.common import Rolling, buffers, chunks, mix, nvl_text, read_table, separated, stored, table64, word_hashes
 from folioguard.llm.components import components
 
 WORDS = 5
@@ -42,7 +45,7 @@ DEPTH = 3
 HASHES = 64
 CHOICES = 2
 PIECE = 1 << 19
-SKETCH = "doc_id long, cls binary, n int, keys array<long>, sig binary"
+SKETCH = "doc_id long, tid long, cls binary, n int, keys array<long>, sig binary"
 
 
 def runs_for(threshold: float, depth: int, recall: float) -> int:
@@ -129,12 +132,13 @@ def _sketch_batches(n: int, runs: int, depth: int) -> Callable:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(i, j - i),
+                        batch.column("tid").slice(i, j - i),
                         pa.array([c.tobytes() for c in cls], pa.binary()),
                         pa.array(np.diff(off), pa.int32()),
                         pa.array(list(keys), pa.list_(pa.int64())),
                         pa.array([v.tobytes() for v in (values[:, :HASHES] & np.uint64(255)).astype(np.uint8)], pa.binary()),
                     ],
-                    names=["doc_id", "cls", "n", "keys", "sig"],
+                    names=["doc_id", "tid", "cls", "n", "keys", "sig"],
                 )
 
     return run
@@ -180,45 +184,59 @@ def _pairs(task: np.ndarray, block: np.ndarray, n: np.ndarray, sig: np.ndarray,
     return np.concatenate(left), np.concatenate(right)
 
 
-def _arrays(rows: list[dict]) -> tuple:
-    """What ``_pairs`` takes, from rows sorted by task."""
-    same = {}
-    task = np.array([same.setdefault((r["run"], r["leaf"], r["b1"], r["b2"]), len(same)) for r in rows])
-    block = np.array([r["block"] if r["b1"] != r["b2"] else -1 for r in rows])
-    sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(len(rows), -1)
-    leaf = np.array([r["leaves"] for r in rows], np.int64)
-    return task, block, np.array([r["n"] for r in rows]), sig, leaf, np.array([r["run"] for r in rows])
-
-
-def _whole_tasks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[dict]]:
-    """Rows of whole tasks, about ``most`` at a time; the input is sorted by task."""
-    held: list[dict] = []
-    of = lambda r: (r["run"], r["leaf"], r["b1"], r["b2"])
-    for batch in batches:
-        for r in batch.to_pylist():
-            if len(held) >= most and of(r) != of(held[-1]):
-                yield held
-                held = []
-            held.append(r)
-    if held:
-        yield held
-
-
-TASK = "run int, leaf long, b1 int, b2 int, block int, cls binary, doc_id long, copies long, n int, sig binary, leaves array<long>"
+TASK = "run int, leaf long, b1 int, b2 int, block int, cls binary, doc_id long, tid long, copies long, n int, sig binary, leaves array<long>"
+TASK_KEY = ["run", "leaf", "b1", "b2"]
 _TASK_ARROW = pa.schema(
-    [("run", pa.int32()), ("leaf", pa.int64()), ("b1", pa.int32()), ("b2", pa.int32()), ("block", pa.int32()), ("cls", pa.binary()), ("doc_id", pa.int64()), ("copies", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("leaves", pa.list_(pa.int64()))]
+    [("run", pa.int32()), ("leaf", pa.int64()), ("b1", pa.int32()), ("b2", pa.int32()), ("block", pa.int32()), ("cls", pa.binary()), ("doc_id", pa.int64()), ("tid", pa.int64()), ("copies", pa.int64())]
+    + [("n", pa.int32()), ("sig", pa.binary()), ("leaves", pa.list_(pa.int64()))]
 )
 
 
+def _task_starts(table: pa.Table) -> np.ndarray:
+    """For each row whether it is the first one of its task; rows are sorted by task."""
+    keys = [table.column(k).to_numpy() for k in TASK_KEY]
+    return np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0)))
+
+
+def _whole_tasks(batches: Iterator[pa.RecordBatch], most: int = 4096, size: int = 1 << 25) -> Iterator[pa.Table]:
+    """Tables of whole tasks, of about ``most`` rows or ``size`` bytes; one task is never cut. The input is sorted by task."""
+    held, rows, held_bytes = [], 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows, held_bytes = rows + batch.num_rows, held_bytes + batch.nbytes
+        if rows >= most or held_bytes >= size:
+            table = pa.Table.from_batches(held).combine_chunks()
+            last = int(np.flatnonzero(_task_starts(table))[-1])
+            if last:
+                yield table.slice(0, last)
+                # Copied, so that the part already handed out is freed.
+                rest = table.take(pa.array(np.arange(last, rows))).combine_chunks()
+                held, rows, held_bytes = rest.to_batches(), rest.num_rows, rest.nbytes
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _arrays(table: pa.Table) -> tuple:
+    """What ``_pairs`` takes, from rows sorted by task."""
+    col = lambda k: table.column(k).to_numpy()
+    block = np.where(col("b1") != col("b2"), col("block"), -1)
+    data, at = buffers(table.column("sig"))
+    path = pc.list_flatten(table.column("leaves")).to_numpy()
+    n = table.num_rows
+    return np.cumsum(_task_starts(table)), block, col("n"), data[at[0] : at[-1]].reshape(n, -1), path.reshape(n, -1), col("run")
+
+
 def _candidate_batches(t: float) -> Callable:
     """Of each task, the rows that are part of a pair to be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_tasks(batches, 4096):
-            i, j = _pairs(*_arrays(rows), t)
+        for table in _whole_tasks(batches):
+            i, j = _pairs(*_arrays(table), t)
             keep = np.unique(np.concatenate((i, j)))
             if len(keep):
-                yield pa.RecordBatch.from_pylist([rows[k] for k in keep], _TASK_ARROW)
+                yield from table.take(pa.array(keep)).cast(_TASK_ARROW).to_batches()
 
     return run
 
@@ -232,15 +250,15 @@ def _set_batches(n: int) -> Callable:
             want = batch.column("want")
             for i, j in chunks(at, PIECE):
                 cls, s, off = shingle_sets(data, at, i, j, n)
-                out, sets = [], []
-                for k in range(i, j):
-                    for w in want[k].as_py():
-                        if w["cls"] == cls[k - i].tobytes():
-                            out.append(w)
-                            sets.append(s[off[k - i] : off[k - i + 1]].tobytes())
-                if out:
-                    rows = pa.RecordBatch.from_pylist(out, _TASK_ARROW)
-                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(sets, pa.binary())], names=[*rows.schema.names, "shingles"])
+                part = want.slice(i, j - i)
+                asked = pa.RecordBatch.from_struct_array(part.flatten())
+                row = np.repeat(np.arange(j - i), pc.list_value_length(part).to_numpy())
+                own, place = buffers(asked.column("cls"))
+                ok = (own[place[0] : place[-1]].reshape(-1, 16) == cls.view(np.uint8).reshape(j - i, 16)[row]).all(1)
+                asked, row = asked.filter(pa.array(ok)), row[ok]
+                if asked.num_rows:
+                    sets = pa.array([s[off[k] : off[k + 1]].tobytes() for k in range(j - i)], pa.binary()).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([*(asked.column(k).cast(t) for k, t in zip(_TASK_ARROW.names, _TASK_ARROW.types, strict=True)), sets], names=[*_TASK_ARROW.names, "shingles"])
 
     return run
 
@@ -263,42 +281,53 @@ def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray
     return total[i, j].astype(np.int64)
 
 
+def _connected(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n rows the smallest row that the pairs connect it to."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, i, root[j])
+        np.minimum.at(new, j, root[i])
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _verify_batches(t: float) -> Callable:
     """Per class of a task: its links there, and the smallest class that they connect it to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_tasks(batches, 1):
-            seen = {}
-            rows = [seen.setdefault((r["cls"], r["block"]), r) for r in rows if (r["cls"], r["block"]) not in seen]
-            i, j = _pairs(*_arrays(rows), t)
+        for table in _whole_tasks(batches):
+            task, block, *_ = _arrays(table)
+            own, at = buffers(table.column("cls"))
+            kinds = np.rec.fromarrays([task, block, *own[at[0] : at[-1]].reshape(-1, 16).copy().view(np.uint64).T])
+            table = table.take(pa.array(np.sort(np.unique(kinds, return_index=True)[1])))  # repeated rows of the input bring a class again
+            task, *rest = _arrays(table)
+            i, j = _pairs(task, *rest, t)
             if not len(i):
                 continue
-            sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
-            size = np.array([len(s) for s in sets])
-            both = overlaps(sets, i, j)
+            data, at = buffers(table.column("shingles"))
+            sets = [data[at[k] : at[k + 1]].view(np.uint64) for k in range(table.num_rows)]
+            size = np.diff(at) // 8
+            both = np.zeros(len(i), np.int64)
+            order = np.argsort(task[i], kind="stable")
+            for pairs in np.split(order, np.flatnonzero(np.diff(task[i][order])) + 1):
+                rows, local = np.unique(np.concatenate((i[pairs], j[pairs])), return_inverse=True)
+                both[pairs] = overlaps([sets[k] for k in rows], *np.split(local, 2))
             ok = both >= t * (size[i] + size[j] - both) - 1e-9
             i, j = i[ok], j[ok]
-            if not len(i):
-                continue
-            links, docs = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-            copies = np.array([r["copies"] for r in rows])
+            links, docs = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
+            copies = table.column("copies").to_numpy()
             for a, b in ((i, j), (j, i)):
                 np.add.at(links, a, 1)
                 np.add.at(docs, a, copies[b])
-            root = np.arange(len(rows))
-            while True:  # smallest index of the connected rows
-                new = root.copy()
-                np.minimum.at(new, i, root[j])
-                np.minimum.at(new, j, root[i])
-                new = new[new]
-                if (new == root).all():
-                    break
-                root = new
             keep = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([rows[k]["cls"] for k in keep], pa.binary()), pa.array([rows[root[k]]["cls"] for k in keep], pa.binary()), pa.array(links[keep]), pa.array(docs[keep])],
-                names=["cls", "root", "links", "docs"],
-            )
+            if len(keep):
+                cls = table.column("cls").combine_chunks()
+                yield pa.RecordBatch.from_arrays(
+                    [cls.take(pa.array(keep)), cls.take(pa.array(_connected(len(sets), i, j)[keep])), pa.array(links[keep]), pa.array(docs[keep])], names=["cls", "root", "links", "docs"]
+                )
 
     return run
 
@@ -310,40 +339,51 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS,
     doc_id of those with the same words; n_copies: how many those are; n_links: how many other
     classes of copies are at least as similar as ``threshold``; n_linked: how many documents those hold.
     """
+    return jaccard_rows(docs, threshold, n, bucket, depth, recall).drop("tid", "kept")
+
+
+def jaccard_rows(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, bucket: int = BUCKET, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
+    """``jaccard_join`` with tid, the hash of the text, and kept: of the rows that links connect, the one with the
+    smallest doc_id (null last), then tid, is kept; rows without words all are. Repetitions of one row share kept."""
     runs = runs_for(threshold, depth, recall)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64(nvl_text("text")).alias("tid"))
     sketches = stored(docs.mapInArrow(_sketch_batches(n, runs, depth), SKETCH), "sketches")
-    reps = sketches.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "keys", "sig")))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tid").alias("r")
+    reps = sketches.where("n > 0").groupBy("cls").agg(F.min(first).alias("r"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "keys", "sig")))
     reps = stored(reps, "reps")
-    named = reps.where("doc_id is not null")
-    found = leaves(named.select("cls", "keys"), runs, depth, bucket)
+    found = leaves(reps.select("cls", "keys"), runs, depth, bucket)
     own = found.groupBy("cls").agg(F.map_from_entries(F.collect_list(F.struct("run", F.struct("leaf", "size").alias("x")))).alias("m"))
-    rows = named.select("cls", "doc_id", "copies", "n", "sig").join(own, "cls")
+    rows = reps.select("cls", "r.doc_id", "r.tid", "copies", "n", "sig").join(own, "cls")
     rows = rows.withColumn("leaves", F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.coalesce(F.try_element_at("m", r)["leaf"], F.lit(0).cast("long"))))
     rows = rows.select("*", F.explode("m").alias("run", "x")).select("*", "x.leaf", F.ceil(F.col("x.size") / bucket).cast("int").alias("blocks"))
     rows = rows.withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("cls"), F.col("blocks"))).otherwise(0).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"b1": F.least("block", "other"), "b2": F.greatest("block", "other")})
-    task = ["run", "leaf", "b1", "b2"]
-    columns = [c.split()[0] for c in TASK.split(", ")]
-    candidates = rows.select(*columns).repartition(*task).sortWithinPartitions(*task).mapInArrow(_candidate_batches(threshold), TASK)
-    want = candidates.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("want"))
-    sets = docs.join(want, "doc_id").select("text", "want").mapInArrow(_set_batches(n), f"{TASK}, shingles binary")
-    links = stored(sets.repartition(*task).sortWithinPartitions(*task).mapInArrow(_verify_batches(threshold), "cls binary, root binary, links long, docs long"), "links")
+    columns = _TASK_ARROW.names
+    candidates = rows.select(*columns).repartition(*TASK_KEY).sortWithinPartitions(*TASK_KEY).mapInArrow(_candidate_batches(threshold), TASK)
+    want = candidates.groupBy("doc_id", "tid").agg(F.collect_list(F.struct(*columns)).alias("want"))
+    # Rows without an id are found by their text, of which one is enough.
+    texts = docs.where("doc_id is not null").unionByName(docs.where("doc_id is null").groupBy("tid").agg(F.first("text").alias("text")), allowMissingColumns=True)
+    sets = texts.join(want, texts.doc_id.eqNullSafe(want.doc_id) & (texts.tid == want.tid)).select("text", "want").mapInArrow(_set_batches(n), f"{TASK}, shingles binary")
+    links = stored(sets.repartition(*TASK_KEY).sortWithinPartitions(*TASK_KEY).mapInArrow(_verify_batches(threshold), "cls binary, root binary, links long, docs long"), "links")
     roots = components(links.select(F.col("cls").alias("u"), F.col("root").alias("v")))
     counted = links.groupBy("cls").agg(F.sum("links").alias("n_links"), F.sum("docs").alias("n_linked"))
-    info = reps.select("cls", F.col("doc_id").alias("copy_id"), F.col("copies").alias("n_copies"))
+    info = reps.select("cls", "r", F.col("copies").alias("n_copies"))
     info = info.join(counted, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-    groups = info.where("root is not null").groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    info = stored(info.join(groups, "root", "left").select("cls", "copy_id", "n_copies", F.coalesce("class_id", "copy_id").alias("class_id"), "n_links", "n_linked"), "classes")
-    out = sketches.select("doc_id", "cls", "n").join(info.withColumn("worded", F.lit(True)), (sketches.cls == info.cls) & (sketches.n > 0), "left")
+    groups = info.where("root is not null").groupBy("root").agg(F.min("r").alias("g"))
+    info = info.join(groups, "root", "left").select("cls", F.col("r.doc_id").alias("copy_id"), "n_copies", F.coalesce("g", "r").alias("g"), "n_links", "n_linked")
+    info = stored(info, "classes")
+    out = sketches.select("doc_id", "tid", "cls", "n").join(info.withColumn("worded", F.lit(True)), (sketches.cls == info.cls) & (sketches.n > 0), "left")
+    stays = F.col("doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("tid") == F.col("g.tid"))
     return out.select(
         "doc_id",
-        F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(F.col("worded"), F.col("g.doc_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(F.col("worded"), F.col("copy_id")).otherwise(F.col("doc_id")).alias("copy_id"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
+        "tid",
+        F.when(F.col("worded"), stays).otherwise(F.lit(True)).alias("kept"),
     )
 
 

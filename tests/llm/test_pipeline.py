@@ -56,3 +56,38 @@ def test_contaminated_rows_beside_clean_ones(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.benchmark(spark, docs, SF).collect()
     assert {(r.doc_id, r.text) for r in got} == {(None, "a clean text"), (1, "a clean text")} and len(got) == 2
+
+
+def frame(spark, rows, extra=""):
+    return spark.createDataFrame([(d, t, "en", "s", len(t or ""), *(["x"] if extra else [])) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long" + extra)
+
+
+def kept(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+
+def test_exact_stage_goes_by_rows(spark):
+    rows = [(7, "x y"), (7, "xy"), (7, "x  y"), (None, "a b"), (None, "ab"), (None, "c"), (8, "q"), (8, "q"), (9, "r s"), (9, "r\ts"), (None, ""), (4, " ")]
+    got = kept(corpus_pipeline.exact(spark, frame(spark, rows, ", kept string"), SF))
+    assert [r for r in got if r[0] != 9] == sorted([(7, "x  y"), (None, "a b"), (None, "c"), (8, "q"), (4, " ")], key=str)
+    assert len([r for r in got if r[0] == 9]) == 1
+
+
+def test_near_stage_goes_by_rows(spark):
+    w = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(w), " ".join(["z", *w[1:]]), " ".join([*w[:-1], "z"])
+    rows = [(None, b), (5, a), (5, c), (5, a), (None, "other words of its own here"), (None, "other words of its own here"), (None, ""), (3, None)]
+    got = kept(corpus_pipeline.near(spark, frame(spark, rows, ", tid string"), SF))
+    assert len(got) == 4 and {r for r in got if r[1] not in (a, c)} == {(None, "other words of its own here"), (None, ""), (3, None)}
+    assert [r[0] for r in got if r[1] in (a, c)] == [5]
+
+
+def test_all_stages_on_rows_without_ids(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(None, item), (None, "a clean text of five words"), (None, "a  clean text of five words"), (None, item + " tail"), (2, "a clean text  of five words")]
+    docs = frame(spark, rows, ", contaminated string")
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stored(stage(spark, docs, SF), "s")
+        assert docs.columns == list(corpus_pipeline.COLUMNS)
+    assert kept(docs) == [(2, "a clean text  of five words")]
+    assert corpus_pipeline.packing(spark, docs, SF).count() == 1

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from folioguard.llm.components import components
-from folioguard.llm.set_join import DEPTH, RECALL, THRESHOLD, jaccard_join, minhashes, op2_jaccard_join, path_keys, runs_for
+from folioguard.llm.set_join import DEPTH, RECALL, THRESHOLD, jaccard_join, jaccard_rows, minhashes, op2_jaccard_join, path_keys, runs_for
 
 SF = "/root/testdata/sf0.01"
 
@@ -85,6 +85,19 @@ def test_cases(spark):
     assert jaccard_join(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_rows_without_an_id_are_linked(spark):
+    w = [f"w{i}" for i in range(60)]
+    near = lambda *at: " ".join("z" if i in at else x for i, x in enumerate(w))
+    rows = [(None, near(0)), (None, near(59)), (5, near()), (None, "a b c d e f g h i j"), (None, "a b c d e f g h i j k"), (None, "a b c d e f g h i j"), (7, near()), (7, near(0) + "!"), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, jaccard_join(df).collect()), key=str)
+    linked = [(5, 5, 5, 2, 2, 3), (7, 5, 5, 2, 2, 3), (7, 5, 7, 2, 2, 3), (None, 5, 7, 2, 2, 3), (None, 5, None, 1, 2, 4)]
+    alone = [(None, None, None, 2, 1, 1)] * 2 + [(None, None, None, 1, 1, 2)] + [(None, None, None, 1, 0, 0)] * 2
+    assert got == sorted(linked + alone, key=str)
+    kept = sorted(((r.doc_id, r.class_id, r.n_copies) for r in jaccard_rows(df).where("kept").collect()), key=str)
+    assert kept[0] == (5, 5, 2) and len(kept) - 3 in (1, 2) and {k[0] for k in kept[1:]} == {None}
+
+
 def test_runs():
     assert runs_for(0.8, 1, 0.99) == 3 and runs_for(0.8, 3, 0.999) == 10
 
