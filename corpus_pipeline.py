@@ -4,29 +4,46 @@ Each stage takes the documents that its predecessor kept and returns those that
 columns of ``documents``; the last one returns the packing. The driver of a run writes each stage's
 result as Parquet and reads it again, so no stage repeats another's work and a lost executor costs one
 stage at most.
+
+A stage decides about rows, not ids: rows are told apart by doc_id (null equals null) and text. Rows that
+agree in both are repetitions, of which the stages that pick one of a group leave one. A null text counts as
+empty: it is scored like other texts, equals the empty text, has no words, no links and no benchmark
+passage, and is packed without tokens. Rows with neither doc_id nor text hold nothing to compare or to
+tell them apart by; the three stages after the classifier pass them on. Ties go to the smallest doc_id (null last),
+then the smallest hash of the text. Tables without rows give no rows. Columns beside those of ``documents`` are dropped.
 """
 
 from __future__ import annotations
 
-import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioguard.llm.common import nvl_text, read_table, scratch, stored
 from folioguard.llm.decontamination import decontaminated_rows
-from folioguard.llm.exact_dedup import DigestIndex, exact_dedup
+from folioguard.llm.exact_dedup import DigestIndex, deduplicated_rows
 from folioguard.llm.packing import pack
 from folioguard.llm.quality import THRESHOLD, fit, score_quality
-from folioguard.llm.set_join import jaccard_join
+from folioguard.llm.set_join import jaccard_rows
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the doc_ids of ``kept`` (doc_id), null included."""
-    kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept._kept), "left_semi").select(*COLUMNS)
+def _keep(docs: DataFrame, kept: DataFrame, once: bool = True) -> DataFrame:
+    """The rows of ``docs`` that ``kept`` names by doc_id and tid, the hash of the text; repetitions ``once``, or as often as they are.
+
+    Which rows are repeated is found among the names, so texts meet a second shuffle only where they are.
+    """
+    bare = F.col("doc_id").isNull() & F.col("text").isNull()
+    named = kept.groupBy("doc_id", "tid").agg(F.count("*").alias("_rows")).withColumnsRenamed({"doc_id": "_doc_id", "tid": "_tid"})
+    docs = docs.select(*COLUMNS)
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64(nvl_text("text")) == F.col("_tid"))
+    if not once:
+        return docs.where(~bare).join(named, same, "left_semi").unionByName(docs.where(bare))
+    met = docs.where(~bare).join(stored(named, "named"), same)
+    one = met.where("_rows > 1").groupBy("_doc_id", "_tid").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
+    return met.where("_rows = 1").select(*COLUMNS).unionByName(one).unionByName(docs.where(bare))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,23 +54,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    index = DigestIndex(spark, f"digests_{uuid.uuid4().hex}", scratch(spark, "digests"))
-    index.append(docs)
-    return _keep(docs, exact_dedup(docs, index).where("kept"))
+    index = DigestIndex(spark, f"pipeline_digests_{zlib.crc32(sf_dir.encode()):08x}", scratch(spark, "index"))
+    return _keep(docs, deduplicated_rows(docs, index).where("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect, that with the smallest doc_id stays. Rows without a doc_id stay."""
-    groups = jaccard_join(docs)
-    return _keep(docs, groups.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id"))))
+    """Of documents that links connect, one stays: that with the smallest doc_id."""
+    return _keep(docs, jaccard_rows(docs).where("kept"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a word inside a benchmark window go. Rows are told apart by doc_id and text, as the operator does."""
-    found = decontaminated_rows(docs, read_table(spark, sf_dir, "benchmark")).where("not contaminated")
-    kept = found.select(F.col("doc_id").alias("_kept"), F.col("tid").alias("_tid")).distinct()
-    same = docs.doc_id.eqNullSafe(kept._kept) & (F.xxhash64(nvl_text(docs.text)) == kept._tid)
-    return docs.join(kept, same, "left_semi").select(*COLUMNS)
+    """Documents with a word inside a benchmark window go."""
+    return _keep(docs, decontaminated_rows(docs, read_table(spark, sf_dir, "benchmark")).where("not contaminated"), once=False)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
