@@ -6,6 +6,7 @@ array with offsets, so kernels work on whole batches and never on one row at a t
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,10 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 M64 = (1 << 64) - 1
-#: Rows up to which a side may be broadcast; checked by counting, never assumed.
+#: Rows and bytes up to which a side may be broadcast; checked by counting, never assumed.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -105,12 +108,76 @@ def words(c: Column) -> Column:
     return F.filter(F.split(ascii_lower(c), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is.
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows of ``size`` bytes together, else as it is.
 
     The count stops at ``rows`` + 1. Without the hint the planner joins by shuffling both sides.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    width = F.lit(0)
+    for f in df.schema.fields:
+        kind = f.dataType.simpleString()
+        own = F.octet_length(f.name) if kind in ("string", "binary") else F.octet_length(F.concat_ws(" ", f.name)) if kind == "array<string>" else F.size(f.name) * 64 if kind.startswith("array") else F.lit(8)
+        width = width + F.coalesce(own, F.lit(0))
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
+
+
+class BucketedTable:
+    """A table in files under ``path``, bucketed by columns and sorted by others.
+
+    Its files lie in a folder per version that also names the buckets, so another session opens the same
+    table by the path; ``name`` is what the session's catalog calls it.
+    """
+
+    SCHEMA: T.StructType
+    BY: tuple[str, ...]
+    SORT: tuple[str, ...]
+
+    def __init__(self, spark: SparkSession, name: str, path: str, buckets: int | None = None):
+        """Open the table under ``path``, or create it empty with ``buckets`` (by default the session's shuffle partitions)."""
+        self.spark, self.name, self.path = spark, name, path.rstrip("/")
+        self.version, self.buckets = max(self._versions(), default=(0, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        self._register()
+
+    def _folder(self) -> str:
+        return f"{self.path}/v{self.version}-b{self.buckets}"
+
+    def _versions(self) -> list[tuple[int, int]]:
+        """Versions that were written to the end, with their buckets."""
+        fs, p = hadoop_path(self.spark, self.path)
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        found = [m for n in names if (m := re.fullmatch(r"v(\d+)-b(\d+)", n)) and fs.exists(hadoop_path(self.spark, f"{self.path}/{n}/_SUCCESS")[1])]
+        return [(int(m[1]), int(m[2])) for m in found]
+
+    def _register(self) -> None:
+        if self.spark.catalog.tableExists(self.name):
+            if self.spark.catalog.getTable(self.name).tableType != "EXTERNAL":
+                raise ValueError(f"{self.name} is a table of another kind")
+            self.spark.sql(f"DROP TABLE {self.name}")  # of an external table the files stay
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.SCHEMA.fields)
+        self.spark.sql(f"CREATE TABLE {self.name} ({columns}) USING parquet CLUSTERED BY ({', '.join(self.BY)}) SORTED BY ({', '.join(self.SORT)}) INTO {self.buckets} BUCKETS LOCATION '{self._folder()}'")
+
+    def _write(self, df: DataFrame, name: str, mode: str) -> None:
+        with shuffles_dropped(self.spark):
+            df.select(*self.SCHEMA.names).write.format("parquet").bucketBy(self.buckets, *self.BY).sortBy(*self.SORT).option("path", self._folder()).mode(mode).saveAsTable(name)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.table(self.name)
+
+    def compact(self) -> None:
+        """Write the table anew, one sorted file per bucket. The version before stays, for queries that read it; older ones go."""
+        fs, p = hadoop_path(self.spark, self._folder())
+        if not fs.exists(p):
+            return
+        # Read as plain files: dealt out by bucket, a bucketed scan would do without the exchange and then not be read by bucket.
+        rows, last = self.spark.read.schema(self.SCHEMA).parquet(self._folder()).repartition(self.buckets, *self.BY), self.version
+        self.version = last + 1
+        self._write(rows, f"{self.name}__next", "overwrite")
+        self.spark.sql(f"DROP TABLE {self.name}__next")
+        self._register()
+        for version, buckets in self._versions():
+            if version < last:
+                fs.delete(hadoop_path(self.spark, f"{self.path}/v{version}-b{buckets}")[1], True)
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -3,92 +3,135 @@
 Words are runs of digits, letters and non-ASCII characters after lower-casing A-Z. A window is
 ``length`` consecutive words of an item; an item of fewer words, but not none, is one window.
 
-1. Document frequencies of the test terms are counted over all documents (map-side partial sums).
-2. Each window is looked up by its rarest terms: the anchors. Postings of the anchors are stored as
-   a table: term, document, position, and the words around the position.
-3. Offset-adjusted lists are intersected from the rarest anchor: the posting of a window's rarest
-   anchor gives a base, position minus offset, and the base survives if the second anchor's list
-   holds it at its own offset. All anchors of a base meet in one aggregated row.
-4. The words kept with the rarest posting decide the remaining terms exactly.
+1. The index holds a posting (term, document, position) for every word of every document. It is sharded by
+   document: bucketed by its key, and sorted by term inside a bucket, so a term's list in a shard is one run.
+   Texts are split into words once, to build it. It knows nothing of the benchmark and serves any other.
+2. Frequencies of the test terms come from the index. Each window's terms are ranked, rarest first.
+3. Offset-adjusted lists are intersected from the rarest term on: a posting of a window's rarest term gives a
+   base, position minus offset, which survives if the lists of the other terms hold it at their own offsets. The
+   lists of the ``anchors`` rarest terms are intersected over the whole index, the remaining ones in the
+   documents that are left, so lists of common words are only read there.
+4. Proximity matches come from the same lists, rarest term first.
 
 Common words are never anchors unless a window has no others. Windows with equal words are looked up
 once. Postings follow the documents, windows the test set; no document is collected and no pairs of
-documents are formed. Null texts and texts without words have no words, so they are never hit;
-rows that repeat a doc_id are told apart by their text. Columns with clashing names are ignored.
+documents are formed. Grouping by document needs no exchange of postings, as shards hold whole documents.
+A posting has the term's hash, by which lists are sorted and joined, and the word itself, which decides.
+
+Null texts and texts without words have no words, so they are never hit; rows that repeat a doc_id are told
+apart by a hash of their text, repetitions of one row get the same result. Columns with clashing names are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import zlib
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from folioguard.llm.common import nvl_text, read_table, small_enough, stored, words
+from folioguard.llm.common import BucketedTable, nvl_text, read_table, scratch, small_enough, stored, words
 
 LENGTH = 10
 ANCHORS = 2
+#: Offsets of a window are bits of a long.
+LONGEST = 62
 
 
 def item_windows(items: DataFrame, length: int = LENGTH) -> DataFrame:
-    """window_id, words, and the item_ids that contain it, for each distinct window."""
+    """window and words, for each window of each item, with its item_id."""
     w = items.select("item_id", words(nvl_text("text")).alias("w")).where(F.size("w") > 0)
     w = w.withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - length + 1))))
     w = w.select("item_id", F.slice("w", F.col("at"), F.lit(length)).alias("words"))
-    return w.groupBy("words").agg(F.collect_set("item_id").alias("items")).withColumn("window_id", F.sha2(F.concat_ws(" ", "words"), 256))
-
+    return w.select("item_id", F.sha2(F.concat_ws(" ", "words"), 256).alias("window"), "words")
 
-def document_words(docs: DataFrame) -> DataFrame:
-    """doc_id, tid (told apart by text) and the words of every row."""
-    t = nvl_text("text")
-    return docs.select("doc_id", F.xxhash64(t).alias("tid"), words(t).alias("w"))
 
+def document_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with id (doc_id, 0 if null) and key (hash of the text; odd if doc_id is null), neither of them null."""
+    key = F.xxhash64(nvl_text("text")).bitwiseAND(F.lit(-2)).bitwiseOR(F.col("doc_id").isNull().cast("long"))
+    return docs.withColumns({"id": F.coalesce("doc_id", F.lit(0)).cast("long"), "key": key})
 
-def frequencies(doc_words: DataFrame, terms: DataFrame) -> DataFrame:
-    """How often each of ``terms`` (term) occurs in the documents; 0 if never."""
-    found = doc_words.select(F.explode("w").alias("term")).join(small_enough(terms), "term").groupBy("term").count()
-    return terms.join(found, "term", "left").select("term", F.coalesce("count", F.lit(0)).alias("n"))
 
+def _doc_id() -> Column:
+    return F.when(F.col("key").bitwiseAND(F.lit(1)) == 0, F.col("id")).alias("doc_id")
 
-def window_anchors(windows: DataFrame, counts: DataFrame, anchors: int = ANCHORS) -> DataFrame:
-    """The ``anchors`` rarest distinct terms of each window with one offset each, rarest first."""
-    each = windows.select("window_id", F.posexplode("words").alias("offset", "term")).groupBy("window_id", "term").agg(F.min("offset").alias("offset"))
-    ranked = each.join(counts, "term").groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct("n", "term", "offset"))).alias("a"))
-    return ranked.select("window_id", F.slice("a", 1, anchors).alias("a")).withColumn("needed", F.size("a"))
 
+class PositionalIndex(BucketedTable):
+    """Postings ``term long, word string, id long, key long, pos int`` (from 0), sharded by document, sorted by term."""
 
-def positional_index(doc_words: DataFrame, terms: DataFrame, around: int) -> DataFrame:
-    """Postings of ``terms`` (term): term, doc_id, tid, pos (from 0) and the words from pos - around to pos + around."""
-    posts = doc_words.select("doc_id", "tid", "w", F.posexplode("w").alias("pos", "term")).join(small_enough(terms), "term")
-    low = F.greatest(F.lit(0), F.col("pos") - around)
-    context = F.slice("w", low + 1, F.col("pos") - low + around + 1)
-    return posts.select("term", "doc_id", "tid", "pos", low.alias("low"), context.alias("context"))
-
-
-def phrase_matches(index: DataFrame, windows: DataFrame, anchors: DataFrame) -> DataFrame:
-    """doc_id, tid, window_id, base: every place where all words of a window stand in a row."""
-    lists = anchors.select("window_id", "needed", F.posexplode("a").alias("slot", "x")).select("window_id", "needed", "slot", "x.term", "x.offset")
-    lists = lists.join(windows.select("window_id", "words"), "window_id").withColumn("words", F.when(F.col("slot") == 0, F.col("words")))
-    met = index.join(small_enough(lists), "term").withColumn("base", F.col("pos") - F.col("offset")).where("base >= 0")
-    exact = F.slice("context", F.greatest(F.lit(1), F.col("base") - F.col("low") + 1), F.size("words")) == F.col("words")
-    bases = met.groupBy("doc_id", "tid", "window_id", "base").agg(
-        F.max("needed").alias("needed"), F.bit_or(F.expr("shiftleft(1, slot)")).alias("slots"), F.bool_or((F.col("slot") == 0) & exact).alias("exact")
+    SCHEMA = T.StructType(
+        [T.StructField("term", T.LongType()), T.StructField("word", T.StringType()), T.StructField("id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("pos", T.IntegerType())]
     )
-    return bases.where("exact AND bit_count(slots) = needed").select("doc_id", "tid", "window_id", "base")
-
-
-def proximity_matches(doc_words: DataFrame, terms: list[str], within: int) -> DataFrame:
-    """doc_id, tid, first, last: the tightest spans, of at most ``within`` words, that hold every one of ``terms``.
-
-    For each posting of a term, the last earlier or equal place of every other term is carried along
-    the document, so a document's postings need one ordered pass.
+    BY, SORT = ("id", "key"), ("term",)
+
+    def append(self, docs: DataFrame) -> None:
+        """Add the postings of ``docs`` (doc_id, text). Documents that the index holds are not to be given again."""
+        rows = document_keys(docs.select("doc_id", "text")).select("id", "key", F.col("text")).where("text IS NOT NULL").repartition(self.buckets, *self.BY)
+        posts = rows.select("id", "key", F.posexplode(words(F.col("text"))).alias("pos", "word"))
+        self._write(posts.withColumn("term", F.xxhash64("word")), self.name, "append")
+
+    def counts(self, terms: DataFrame) -> DataFrame:
+        """How often each of ``terms`` (word) occurs; 0 if never."""
+        found = self.read().select("term").join(small_enough(terms.select(F.xxhash64("word").alias("term")).distinct()), "term").groupBy("term").count()
+        return terms.join(found, F.xxhash64("word") == F.col("term"), "left").select("word", F.coalesce("count", F.lit(0)).alias("n"))
+
+    def lengths(self) -> DataFrame:
+        """id, key and n_words of the documents that have words."""
+        return self.read().groupBy("id", "key").agg((F.max("pos") + 1).cast("long").alias("n_words"))
+
+
+def ranked_terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """window, rank (0: rarest distinct term), word and one offset of it."""
+    each = windows.select("window", F.posexplode("words").alias("offset", "word")).groupBy("window", "word").agg(F.min("offset").alias("offset"))
+    ranked = each.join(counts, "word").groupBy("window").agg(F.array_sort(F.collect_list(F.struct("n", "word", "offset"))).alias("a"))
+    return ranked.select("window", F.posexplode("a").alias("rank", "x")).select("window", "rank", "x.word", "x.offset", F.xxhash64("x.word").alias("term"))
+
+
+def phrase_matches(index: PositionalIndex, windows: DataFrame, ranked: DataFrame, anchors: int = ANCHORS) -> DataFrame:
+    """id, key, window, base: every place where all words of a window (window, words) stand in a row."""
+    lists = ranked.where(F.col("rank") < anchors)
+    needed = lists.groupBy("window").agg(F.count("*").alias("needed"))
+    lists = small_enough(lists.join(needed, "window"))
+    met = index.read().join(lists, ["term", "word"]).withColumn("base", F.col("pos") - F.col("offset")).where("base >= 0")
+    slots = F.bit_or(F.expr("shiftleft(1L, rank)"))
+    bases = met.groupBy("id", "key", "window", "base").agg(F.max("needed").alias("needed"), slots.alias("slots")).where("bit_count(slots) = needed").select("id", "key", "window", "base")
+    bases = stored(bases, "bases")
+    # The other lists, in the documents that are left.
+    left = bases.select("id", "key").distinct()
+    left = small_enough(left) if _few(left) else left.hint("shuffle_hash")
+    posts = index.read().join(left, ["id", "key"], "left_semi")
+    places = windows.select("window", F.size("words").alias("k"), F.posexplode("words").alias("offset", "word"))
+    asked = bases.join(small_enough(places), "window").select("id", "key", "window", "base", "k", "offset", "word", (F.col("base") + F.col("offset")).alias("pos"))
+    both = asked.join(posts.select("id", "key", "pos", "word"), ["id", "key", "pos", "word"])
+    whole = both.groupBy("id", "key", "window", "base", "k").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("seen"))
+    return whole.where("bit_count(seen) = k").select("id", "key", "window", "base", "k")
+
+
+def _few(df: DataFrame, rows: int = 20_000) -> bool:
+    return df.limit(rows + 1).count() <= rows
+
+
+def proximity_matches(index: PositionalIndex, asked: DataFrame, within: int) -> DataFrame:
+    """query_id, doc_id, key, first, last: the tightest spans, of at most ``within`` words, that hold every one of a query's words.
+
+    ``asked`` has query_id and words (in any order; at most LONGEST distinct ones). Only documents on the list of a
+    query's rarest word are looked at. For each posting of a word, the last earlier or equal place of every other
+    one is carried along the document, so a document's postings need one ordered pass, in its own shard.
     """
-    from pyspark.sql import Window
-
-    posts = doc_words.select("doc_id", "tid", F.posexplode("w").alias("pos", "term")).where(F.col("term").isin(*terms))
-    w = Window.partitionBy("doc_id", "tid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    seen = [F.last(F.when(F.col("term") == t, F.col("pos")), ignorenulls=True).over(w) for t in terms]
-    spans = posts.select("doc_id", "tid", F.col("pos").alias("last"), F.array(*seen).alias("s"))
-    spans = spans.where(F.forall("s", lambda p: p.isNotNull())).withColumn("first", F.array_min("s"))
-    return spans.where(F.col("last") - F.col("first") < within).groupBy("doc_id", "tid", "first").agg(F.min("last").alias("last"))
+    terms = asked.select("query_id", F.explode(F.array_distinct("words")).alias("word")).where("word IS NOT NULL")
+    ranked = terms.join(index.counts(terms.select("word").distinct()), "word").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("a"))
+    ranked = stored(ranked.select("query_id", F.size("a").alias("k"), F.posexplode("a").alias("rank", "x")).select("query_id", "k", "rank", "x.word", F.xxhash64("x.word").alias("term")), "ranked")
+    most = ranked.agg(F.coalesce(F.max("k"), F.lit(0))).first()[0]
+    if most > LONGEST:
+        raise ValueError(f"a query has {most} words, more than {LONGEST}")
+    rarest = index.read().join(small_enough(ranked.where("rank = 0").select("query_id", "term", "word")), ["term", "word"]).select("query_id", "id", "key").distinct()
+    posts = index.read().join(small_enough(ranked.where("rank IS NOT NULL")), ["term", "word"]).join(stored(rarest, "rarest"), ["query_id", "id", "key"], "left_semi")
+    w = Window.partitionBy("id", "key", "query_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    seen = [F.last(F.when(F.col("rank") == r, F.col("pos")), ignorenulls=True).over(w) for r in range(most)] or [F.col("pos")]
+    spans = posts.select("query_id", "id", "key", "k", F.col("pos").alias("last"), F.array(*seen).alias("s")).withColumn("s", F.slice("s", F.lit(1), F.col("k")))
+    spans = spans.where(F.forall("s", lambda p: p.isNotNull())).withColumn("first", F.array_min("s")).where(F.col("last") - F.col("first") < within)
+    spans = spans.groupBy("query_id", "id", "key", "first").agg(F.min("last").alias("last"))
+    return spans.select("query_id", _doc_id(), "key", "first", "last")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, length: int = LENGTH, anchors: int = ANCHORS) -> DataFrame:
@@ -96,34 +139,41 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = LENGTH, ancho
     return decontaminated_rows(docs, items, length, anchors).drop("tid")
 
 
-def decontaminated_rows(docs: DataFrame, items: DataFrame, length: int = LENGTH, anchors: int = ANCHORS) -> DataFrame:
-    """``decontaminate`` with tid, the hash of the text, which tells rows of one doc_id apart."""
-    doc_words = document_words(docs)
-    windows = stored(item_windows(items, length), "windows")
-    counts = frequencies(doc_words, windows.select(F.explode("words").alias("term")).distinct())
-    chosen = stored(window_anchors(windows, counts, anchors), "anchors")
-    terms = chosen.select(F.explode("a.term").alias("term")).distinct()
-    index = stored(positional_index(doc_words, terms, length - 1), "postings")
-    found = phrase_matches(index, windows, chosen).join(small_enough(windows.select("window_id", "items", F.size("words").alias("k"))), "window_id")
+def decontaminated_rows(docs: DataFrame, items: DataFrame, length: int = LENGTH, anchors: int = ANCHORS, name: str = "postings") -> DataFrame:
+    """``decontaminate`` with tid, the hash of the text, over an index made for the run."""
+    index = PositionalIndex(docs.sparkSession, name, scratch(docs.sparkSession, "index"))
+    index.append(docs)
+    return contamination(docs, items, index, length, anchors)
+
+
+def contamination(docs: DataFrame, items: DataFrame, index: PositionalIndex, length: int = LENGTH, anchors: int = ANCHORS) -> DataFrame:
+    """``decontaminate`` with tid, out of an ``index`` that has been given ``docs``."""
+    if length > LONGEST or anchors > LONGEST:
+        raise ValueError(f"windows of more than {LONGEST} words are not supported")
+    each = stored(item_windows(items, length), "windows")
+    windows = stored(each.select("window", "words").distinct(), "windows")
+    ranked = stored(ranked_terms(windows, index.counts(windows.select(F.explode("words").alias("word")).distinct())), "terms")
+    found = stored(phrase_matches(index, windows, ranked, anchors), "found")
     # Runs of hit words: bases are bounded by the document's own length.
-    per_doc = found.groupBy("doc_id", "tid").agg(
-        F.array_sort(F.collect_set(F.struct("base", "k"))).alias("hits"), F.array_sort(F.array_distinct(F.transform(F.flatten(F.collect_set("items")), lambda x: x.cast("string")))).alias("ids")
-    )
+    hits = found.groupBy("id", "key").agg(F.array_sort(F.collect_set(F.struct("base", "k"))).alias("hits"))
     state = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     union = F.aggregate(
         "hits",
         state,
         lambda s, h: F.struct((s["n"] + F.greatest(F.lit(0), h["base"] + h["k"] - F.greatest(s["end"], h["base"]))).alias("n"), F.greatest(s["end"], h["base"] + h["k"]).alias("end")),
     )
-    hits = per_doc.select("doc_id", "tid", union["n"].cast("long").alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.array_join("ids", ",").alias("ids"))
-    rows = doc_words.select("doc_id", "tid", F.size("w").cast("long").alias("n_words"))
-    out = rows.join(hits, rows.doc_id.eqNullSafe(hits.doc_id) & (rows.tid == hits.tid), "left")
-    n: Column = F.coalesce("n_hit", F.lit(0))
-    return out.select(rows.doc_id, rows.tid, "n_words", n.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (n > 0).alias("contaminated"))
+    of = found.select("id", "key", "window").distinct().join(small_enough(each.select("window", F.col("item_id").cast("string").alias("item")).distinct()), "window")
+    ids = of.groupBy("id", "key").agg(F.array_sort(F.collect_set("item")).alias("ids"))
+    per_doc = hits.join(ids, ["id", "key"]).select("id", "key", union["n"].cast("long").alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.array_join("ids", ",").alias("ids"))
+    rows = document_keys(docs.select("doc_id", "text")).select("doc_id", F.xxhash64(nvl_text("text")).alias("tid"), "id", "key")
+    out = rows.join(index.lengths(), ["id", "key"], "left").join(per_doc, ["id", "key"], "left")
+    n, zero = F.coalesce("n_hit", F.lit(0)), F.lit(0).cast("long")
+    return out.select("doc_id", "tid", F.coalesce("n_words", zero).alias("n_words"), n.alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (n > 0).alias("contaminated"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    docs = read_table(spark, sf_dir, "documents")
+    return decontaminated_rows(docs, read_table(spark, sf_dir, "benchmark"), name=f"op8_postings_{zlib.crc32(sf_dir.encode()):08x}").drop("tid")
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

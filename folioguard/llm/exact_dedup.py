@@ -20,14 +20,13 @@ its own length, and group_size counts the rows of the batch that brought the tex
 
 from __future__ import annotations
 
-import re
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioguard.llm.common import hadoop_path, nvl_text, read_table, scratch, stored
+from folioguard.llm.common import BucketedTable, nvl_text, read_table, scratch, stored
 
 #: A digest with more than 1 / HOT_SHARE of all rows is hot; fewer than HOT_SHARE digests can be.
 HOT_SHARE = 512
@@ -45,46 +44,13 @@ def digest_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("tid"), digest(text).alias("digest"), F.length(text).alias("n"))
 
 
-class DigestIndex:
-    """A table ``digest binary, keep_id long, keep_tid long, n_chars int, group_size long`` bucketed by digest.
-
-    Its files lie under ``path``, in a folder per version that names the buckets, so another session opens
-    the same index by the path; ``name`` is what the session's catalog calls it.
-    """
+class DigestIndex(BucketedTable):
+    """A table ``digest binary, keep_id long, keep_tid long, n_chars int, group_size long`` bucketed by digest."""
 
     SCHEMA = T.StructType(
         [T.StructField("digest", T.BinaryType()), T.StructField("keep_id", T.LongType()), T.StructField("keep_tid", T.LongType()), T.StructField("n_chars", T.IntegerType()), T.StructField("group_size", T.LongType())]
     )
-
-    def __init__(self, spark: SparkSession, name: str, path: str, buckets: int | None = None):
-        """Open the index under ``path``, or create it empty with ``buckets`` (by default the session's shuffle partitions)."""
-        self.spark, self.name, self.path = spark, name, path.rstrip("/")
-        self.version, self.buckets = max(self._versions(), default=(0, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))))
-        self._register()
-
-    def _folder(self) -> str:
-        return f"{self.path}/v{self.version}-b{self.buckets}"
-
-    def _versions(self) -> list[tuple[int, int]]:
-        """Versions that were written to the end, with their buckets."""
-        fs, p = hadoop_path(self.spark, self.path)
-        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-        found = [m for n in names if (m := re.fullmatch(r"v(\d+)-b(\d+)", n)) and fs.exists(hadoop_path(self.spark, f"{self.path}/{n}/_SUCCESS")[1])]
-        return [(int(m[1]), int(m[2])) for m in found]
-
-    def _register(self) -> None:
-        if self.spark.catalog.tableExists(self.name):
-            if self.spark.catalog.getTable(self.name).tableType != "EXTERNAL":
-                raise ValueError(f"{self.name} is a table of another kind")
-            self.spark.sql(f"DROP TABLE {self.name}")  # of an external table the files stay
-        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.SCHEMA.fields)
-        self.spark.sql(f"CREATE TABLE {self.name} ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self._folder()}'")
-
-    def _write(self, df: DataFrame, name: str, mode: str, path: str) -> None:
-        df.select(*self.SCHEMA.names).write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", path).mode(mode).saveAsTable(name)
-
-    def read(self) -> DataFrame:
-        return self.spark.read.table(self.name)
+    BY = SORT = ("digest",)
 
     def unseen(self, rows: DataFrame) -> DataFrame:
         """Of ``digest_rows``, the best row of each digest that the index does not hold, and how many rows have it."""
@@ -98,22 +64,7 @@ class DigestIndex:
         self.append_rows(digest_rows(docs))
 
     def append_rows(self, rows: DataFrame) -> None:
-        self._write(self.unseen(rows), self.name, "append", self._folder())
-
-    def compact(self) -> None:
-        """Write the index anew, one sorted file per bucket. The version before stays, for queries that read it; older ones go."""
-        fs, _ = hadoop_path(self.spark, self.path)
-        if not fs.exists(hadoop_path(self.spark, self._folder())[1]):
-            return
-        last = self.version
-        # Read as plain files: dealt out by bucket, a bucketed scan would do without the exchange and then not be read by bucket.
-        rows, self.version = self.spark.read.schema(self.SCHEMA).parquet(self._folder()).repartition(self.buckets, "digest"), last + 1
-        self._write(rows, f"{self.name}__next", "overwrite", self._folder())
-        self.spark.sql(f"DROP TABLE {self.name}__next")
-        self._register()
-        for version, buckets in self._versions():
-            if version < last:
-                fs.delete(hadoop_path(self.spark, f"{self.path}/v{version}-b{buckets}")[1], True)
+        self._write(self.unseen(rows), self.name, "append")
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:

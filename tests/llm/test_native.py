@@ -1,9 +1,10 @@
+import random
 import re
 
 import pytest
 
 from folioguard.llm.common import scratch
-from folioguard.llm.decontamination import OP8_SQL, decontaminate, document_words, op8_decontaminate, proximity_matches
+from folioguard.llm.decontamination import OP8_SQL, PositionalIndex, contamination, decontaminate, op8_decontaminate, proximity_matches
 from folioguard.llm.exact_dedup import OP9_SQL, DigestIndex, digest_rows, exact_dedup, op9_exact_dedup
 
 from .oracle import same
@@ -122,5 +123,57 @@ def test_decontaminate_cases(spark):
     assert sorted((tuple(r) for r in got.collect()), key=str) == want
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), none).collect()} == {0}
-    near = proximity_matches(document_words(spark.createDataFrame(docs, "doc_id long, text string")), ["w3", "w12"], 10)
-    assert {(r.doc_id, r.first, r.last) for r in near.collect()} == {(1, 4, 13), (3, 0, 9), (None, 3, 12), (11, 20003, 20012)}
+
+
+def index_of(spark, docs, name):
+    index = PositionalIndex(spark, name, scratch(spark, "i"), 4)
+    index.append(spark.createDataFrame(docs, "doc_id long, text string"))
+    return index
+
+
+def split(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+
+
+def brute_near(docs, asked, within):
+    out = set()
+    for d, t in docs:
+        w = split(t)
+        for q, terms in asked:
+            spans = {}
+            for last in range(len(w)):
+                at = [max((i for i in range(last + 1) if w[i] == v), default=None) for v in set(terms)]
+                if w[last] in terms and None not in at and last - min(at) < within:
+                    spans[min(at)] = min(spans.get(min(at), last), last)
+            out |= {(q, d, a, b) for a, b in spans.items()}
+    return out
+
+
+def test_proximity(spark):
+    r = random.Random(5)
+    docs = [(i, " ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 40)))) for i in range(40)] + [(None, "a x b"), (None, "b"), (3, "c a b"), (50, None), (51, "q " * 300 + "x A")]
+    asked = [("1", ["a", "b"]), ("2", ["x", "a"]), ("3", ["h", "g", "f", "h"]), ("4", ["missing", "a"]), ("5", ["c"])]
+    index = index_of(spark, docs, "near_postings")
+    got = proximity_matches(index, spark.createDataFrame(asked, "query_id string, words array<string>"), 6)
+    assert {(x.query_id, x.doc_id, x.first, x.last) for x in got.collect()} == brute_near(docs, asked, 6)
+    assert not re.search("Python|Arrow|Pandas", got._jdf.queryExecution().toString())
+    assert proximity_matches(index, spark.createDataFrame([], "query_id string, words array<string>"), 6).collect() == []
+
+
+def test_one_index_for_two_benchmarks(spark):
+    """The index knows nothing of a benchmark, and its documents are split into words once."""
+    r = random.Random(9)
+    text = lambda n: " ".join(r.choice(["on", "of", "it", "so", "we", "go"]) + str(r.randint(0, 2)) for _ in range(n))
+    items = [(i, text(r.randint(1, 30))) for i in range(12)]
+    docs = [(i, text(r.randint(0, 60)) + " " + r.choice(items)[1] + " " + text(5)) for i in range(60)] + [(None, items[3][1]), (None, None), (7, items[5][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    index = index_of(spark, docs, "two_postings")
+    for some in (items[:6], items[6:], [(99, "the on0")]):
+        got = contamination(df, spark.createDataFrame(some, "item_id long, text string"), index, anchors=r.choice([1, 2, 3]))
+        plan = got._jdf.queryExecution().toString()
+        assert "split(" not in plan
+        rows = sorted(((x.doc_id, x.n_words, x.n_hit, x.n_items) for x in got.collect()), key=str)
+        assert rows == sorted((x[:4] for x in brute(docs, some)), key=str)
+    index.compact()
+    again = PositionalIndex(spark, "two_again", index.path)
+    assert again.read().count() == sum(len(split(t)) for _, t in docs)
