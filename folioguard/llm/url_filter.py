@@ -56,7 +56,9 @@ def filter_urls(captures: DataFrame, entries: DataFrame, bucket_days: int = BUCK
     asked = visits.select("host", "at", bucket(F.col("at")).alias("bucket"), F.posexplode(domains(F.col("host"))).alias("rank", "domain"))
     met = asked.join(v, ["domain", "bucket"]).where((F.col("at") >= F.col("since")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
     decided = met.groupBy("host", "at").agg(F.min_by(F.struct("domain", "action", "since"), "rank").alias("e"))
-    out = c.join(decided, ["host", "at"], "left")
+    # Rows without a host or a time would share one key of the join, so they go around it.
+    whole = F.col("host").isNotNull() & F.col("at").isNotNull()
+    out = c.where(whole).join(decided, ["host", "at"], "left").unionByName(c.where(~whole), allowMissingColumns=True)
     day = F.to_date("at").alias("day")
     return out.select("capture_id", "host", day, F.col("e.domain").alias("domain"), F.col("e.action").alias("action"), F.col("e.since").alias("since"), F.coalesce(F.col("e.action") == "block", F.lit(False)).alias("blocked"))
 

@@ -1,4 +1,7 @@
+import glob
 import hashlib
+import os
+import random
 import re
 
 from folioguard.llm.common import scratch
@@ -72,6 +75,36 @@ def test_warc_cases(spark):
     assert list(parse_archive(b"")) == []
 
 
+def test_warc_files_are_bounded(spark):
+    """Few bytes a file, whatever the lengths, and a file of its own for a record beyond them."""
+    r = random.Random(1)
+    rows = [(i, f"http://h/{i}", "".join(r.choices("abcdef é", k=n))) for i, n in enumerate([100] * 300 + [20_000] * 40 + [200_000] * 9 + [1_500_000] * 2)]
+    path = scratch(spark, "warc")
+    write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path, file_bytes=1 << 20)
+    sizes = [os.path.getsize(f) for f in glob.glob(path.removeprefix("file://") + "/*/part-*")]
+    assert len([n for n in sizes if n > 1 << 20]) == 2 and len([n for n in sizes if n]) < 40
+    got = {(x.page_id, x.payload_bytes, x.payload_ok) for x in read_archives(spark, path).collect()}
+    assert got == {(i, len(t.encode()), True) for i, _, t in rows}
+
+
+def test_warc_headers(spark):
+    """Ids are unique, and a revisit names its response's."""
+    body = "<p>" + "x" * 200
+    rows = [(5, "http://a/", body), (6, "http://b/", body), (7, None, body), (8, "http://c/", "short"), (8, "http://d/", "short")]
+    path = scratch(spark, "warc")
+    write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path, date="2024-02-03T04:05:06Z")
+    text = "".join(open(f, newline="").read() for f in glob.glob(path.removeprefix("file://") + "/*/part-*"))
+    heads = [dict(x.split(": ", 1) for x in p.split("\r\n")[1:]) for p in re.split(r"\r\n\r\n(?=WARC/|\Z)", text) if p for p in [p.split("\r\n\r\n")[0]]]
+    ids = [h["WARC-Record-ID"] for h in heads]
+    assert len(set(ids)) == 5 and all(re.fullmatch("<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", i) for i in ids)
+    response = next(h for h in heads if h["X-Page-Id"] == "5")
+    for h in heads:
+        assert h["WARC-Date"] == "2024-02-03T04:05:06Z" and h["Content-Type"] == "application/http; msgtype=response"
+        if h["X-Page-Id"] in "67":
+            assert h["WARC-Type"] == "revisit" and h["WARC-Refers-To"] == response["WARC-Record-ID"]
+            assert h["WARC-Refers-To-Target-URI"] == "http://a/" and h["WARC-Refers-To-Date"] == h["WARC-Date"]
+
+
 def test_url_filter_sql(spark):
     got = same(op4_url_filter(spark, SF), OP4_SQL, SF)
     assert {r[1] for r in got} == {True, False}
@@ -87,6 +120,13 @@ def test_url_filter_cases(spark):
     assert filter_urls(spark.createDataFrame([], "capture_id long, url string, at string"), none).collect() == []
 
 
+def test_url_filter_long_and_repeated(spark):
+    host = ".".join(["a" * 60] * 40) + ".b.com"
+    caps = [(1, f"http://{host}/" + "p" * 200_000, "2024-01-10")] * 3 + [(2, "http://b.com/" + "q" * 100_000, "2024-01-10")] * 2 + [(None, None, None)] * 2 + [(3, "http://b.com", None)]
+    df = filter_urls(spark.createDataFrame(caps, "capture_id long, url string, at string"), spark.createDataFrame([("b.com", "2024-01-01", "block")], "domain string, at string, action string"))
+    assert sorted(((r.capture_id, r.blocked, r.domain) for r in df.collect()), key=str) == sorted([(1, True, "b.com")] * 3 + [(2, True, "b.com")] * 2 + [(None, False, None)] * 2 + [(3, False, None)], key=str)
+
+
 def test_url_filter_times(spark):
     entries = [("b.com", "2024-01-10 20:00:00", "block"), ("b.com", "2024-01-10 22:00:00", "allow"), ("c.com", "2024-01-30 00:00:00", "block"), ("c.com", "2024-01-31 09:30:00", "allow")]
     caps = [(1, "http://b.com", "2024-01-10 08:00:00"), (2, "http://b.com", "2024-01-10 20:00:00"), (3, "http://b.com", "2024-01-10 23:00:00"), (4, "http://c.com", "2024-01-31 09:29:59.999999"), (5, "http://c.com", "2024-01-31 09:30:00"), (6, "http://c.com", "2024-01-29 23:59:59")]
