@@ -52,15 +52,17 @@ PLAIN = "!|+"
 PLAIN_END = re.compile(r"(?:[!|+]|([$@])\1\1+)+\Z")
 _SIGN = "".join(map(re.escape, LEET))
 _UNIT, _GAP, _MARK = f"[A-Za-z{_SIGN}]", rf"[^A-Za-z0-9{_SIGN}\x80-\U0010ffff]", rf"[^\x00-\x20A-Za-z0-9{_SIGN}\x7f-\U0010ffff]"
-#: Letters and signs with separators of any width between them.
-SPELLED = re.compile(rf"(?:(?<![A-Za-z])[A-Za-z]|(?<![A-Za-z0-9])[{_SIGN}])(?:{_GAP}+{_UNIT}){{2,}}(?<![{_SIGN}](?=[0-9]))(?![A-Za-z])")
+#: Letters, repeated or not, and signs with separators of any width between them.
+SPELLED = re.compile(
+    rf"(?:(?<![A-Za-z])(?i:(?P<first>[A-Za-z])(?P=first)*)|(?<![A-Za-z0-9])[{_SIGN}])(?:{_GAP}+(?:(?i:(?P<more>[A-Za-z])(?P=more)*)|[{_SIGN}])){{2,}}(?<![{_SIGN}](?=[0-9]))(?![A-Za-z])"
+)
 #: Words that hold a sign beside a letter, a letter twice in a row, or separators other than blanks.
-SOLID = rf"(?<!{_UNIT})(?={_UNIT}*(?:[A-Za-z][{_SIGN}]|[{_SIGN}][A-Za-z]|(?i:([a-z])\1)|[A-Za-z]{_MARK}+[A-Za-z])){_UNIT}+(?:{_MARK}+{_UNIT}+)*"
+SOLID = rf"(?<!{_UNIT})(?={_UNIT}*(?:[A-Za-z][{_SIGN}]|[{_SIGN}][A-Za-z]|(?i:(?P<twice>[a-z])(?P=twice))|[A-Za-z]{_MARK}+[A-Za-z])){_UNIT}+(?:{_MARK}+{_UNIT}+)*"
 DISGUISED = re.compile(f"{SPELLED.pattern}|{SOLID}", re.ASCII)
 _IS_LEET = np.array([chr(b) in LEET for b in range(256)])
 _IS_LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
-#: Decodings of longer disguises are not remembered.
-WINDOW = 64
+#: Decodings of longer disguises are made alike, but not remembered.
+REMEMBERED = 64
 
 
 def suspects(x: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -86,7 +88,7 @@ class Channel:
     def readings(self, text: str) -> list[list[tuple]]:
         """For each place of ``text``, the strings it may have meant, their costs, and the states that the model is to see for them, if others than their own."""
         lattice: list[list[tuple]] = []
-        i, spaced = 0, bool(SPELLED.fullmatch(text))
+        i, spaced = 0, bool(SPELLED.fullmatch(text))  # in spelled-out text a pair is a run
         head, end = len(text) - len(text.lstrip(PLAIN)), len(text.rstrip("".join(LEET)))
         tail = len(PLAIN_END.sub("", text))
         while i < len(text):
@@ -95,7 +97,7 @@ class Channel:
             if c.isalpha():
                 while j < len(text) and text[j].lower() == c:
                     j += 1
-                lattice.append([(c, 0.0)] if j - i == 1 else [(c * 2, 0.0), (c, COST_PAIR)] if j - i == 2 else [(c, COST_RUN), (c * 2, COST_RUN)])
+                lattice.append([(c, 0.0)] if j - i == 1 else [(c * 2, 0.0), (c, COST_PAIR)] if j - i == 2 and not spaced else [(c, COST_RUN), (c * 2, COST_RUN)])
             elif c in LEET:
                 kept = (c, COST_LONE) if spaced else (c, 0.0, ()) if i < head or i >= tail else (c, COST_TAIL if i >= end else COST_KEPT)
                 lattice.append([(a, COST_LEET) for a in LEET[c]] + [kept])
@@ -110,7 +112,7 @@ class Channel:
         if text not in self.seen:
             if len(self.seen) > 100_000:
                 self.seen.clear()
-            if len(text) > WINDOW:
+            if len(text) > REMEMBERED:
                 return self._decode(text)
             self.seen[text] = self._decode(text)
         return self.seen[text]

@@ -1,11 +1,16 @@
 import itertools
+import math
+import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 
 from folioguard.llm.toxicity import DISGUISED, EDGE, OTHER, STATES, Channel, classify_toxicity, language_model, op7_toxicity, restore_texts, suspects
 
 from .auc import auc
+from .test_quality import brute_score
 
 SF = "/root/testdata/sf0.1"
 
@@ -93,3 +98,85 @@ def test_every_kind_of_disguise(spark):
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     found = set(suspects(data, np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))).tolist())
     assert {i for i, t in enumerate(texts) if re.search(DISGUISED, t)} <= found
+
+
+def test_mixed_disguises(spark):
+    plain = "the idiot and the loser said the stupid thing is worthless trash to an idiot loser. " * 40
+    channel = Channel(language_model(spark.createDataFrame([(1, plain)], "doc_id long, text string")))
+    for n in (5, 40, 200):
+        letters = ("idiot" * n)[: 5 * n]
+        spelled = " ".join({"i": "1", "o": "0"}.get(c, c) if k % 2 else c for k, c in enumerate(letters))
+        assert channel.restore(spelled).replace(" ", "") == letters
+    for text in ("1 d 1 0 t", "i d 1 o t", "1.d.i.0.t", "id-iot", "1d-10t", "i-d_1*o.t", "iii d i ooo t"):
+        assert channel.restore(f"you {text} and") in ("you idiot and",), text
+
+
+def brute_model(texts):
+    """Negative log probabilities by counting one character at a time."""
+    n = np.zeros((STATES, STATES, STATES))
+    joined = b"".join((t or "").encode() + b"\0" for t in texts)
+    state = lambda c: c - 96 if 97 <= c <= 122 else c - 64 if 65 <= c <= 90 else OTHER if c >= 128 or 48 <= c <= 57 else EDGE
+    s = [state(c) for c in joined]
+    for a, b, c in zip(s, s[1:], s[2:]):
+        n[a, b, c] += 1
+    return n
+
+
+def test_score_against_brute_force(spark):
+    """Evidence, noisy-or and calibration again with sets of strings, from texts that ``restore`` gives."""
+    r = random.Random(4)
+    clean = ["river", "stone", "bridge", "slowly", "garden", "letter", "winter"]
+    toxic = ["idiot", "1d10t", "l0ser", "s-t-u-p-i-d", "trash", "i d i o t", "stuuupid"]
+    rows, y = [], {}
+    for i in range(260):
+        bad = r.random() < 0.4
+        words = [r.choice(clean) for _ in range(r.randint(2, 25))] + [r.choice(toxic) for _ in range(r.randint(1, 3) if bad else 0)]
+        r.shuffle(words)
+        rows.append((i, " ".join(words)))
+        if r.random() < 0.9:
+            y[i] = int(bad) if r.random() < 0.95 else r.randint(0, 1)
+    rows += [(1000, None), (1001, ""), (None, "an idiot"), (1002, rows[3][1]), (1003, "IDIOTIC é")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # Where texts meet in a batch is no part of the model, so counts over one partition are the brute-force ones.
+    docs = docs.coalesce(1)
+    cost = language_model(docs)
+    n = brute_model([t for _, t in rows])
+    back = (n.sum(0) + 0.1) / (n.sum(0).sum(1, keepdims=True) + 0.1 * STATES)
+    np.testing.assert_allclose(cost, -np.log((n + 5 * back[None]) / (n.sum(2, keepdims=True) + 5)))
+    channel = Channel(cost)
+
+    def evidence(text):
+        out = set()
+        for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", channel.restore(text or "").encode()):
+            w = bytes(c + 32 if 65 <= c <= 90 else c for c in w)
+            out |= {("word", w)} | {("start", w[:k]) for k in (4, 5, 6) if len(w) > k}
+        return out
+
+    ev = [evidence(t) for _, t in rows]
+    fold = [zlib.crc32(str(d).encode()) % 5 if d is not None else 0 for d, _ in rows]
+    seen, bad = Counter(), Counter()
+    for (d, _), e, f in zip(rows, ev, fold):
+        if d in y and f > 1:
+            seen.update(e)
+            bad.update(e if y[d] else ())
+    low = {e: bad[e] / (k + 6) for e, k in seen.items() if k >= 3 and bad[e] / (k + 6) >= 0.3}
+    raw = [round(sum(-math.log1p(-min(low[x], 0.999)) for x in e if x in low), 9) for e in ev]
+    pairs = [(v, float(y[d])) for (d, _), v, f in zip(rows, raw, fold) if d in y and f == 1]
+    want = dict(zip([d for d, _ in rows], brute_score(pairs, raw)))
+    labels = spark.createDataFrame(list(y.items()), "doc_id long, toxic int")
+    for parts in (1, 5):
+        got = classify_toxicity(docs.repartition(parts) if parts > 1 else docs, labels).collect()
+        assert len(got) == len(rows)
+        for x in got:
+            assert abs(x.score - min(1, max(0, want[x.doc_id]))) < 1e-6 and x.predicted == int(x.score >= 0.5)
+
+
+def test_extra_columns_and_order(spark):
+    rows = [(i, ("the idiot said " if i % 3 == 0 else "the area said ") + f"word{i % 4}", float(i), "x") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0 or i % 50 == 1), 1) for i in range(400)], "doc_id long, toxic int, predicted int")
+    seen = set()
+    for seed in (1, 2, 3):
+        random.Random(seed).shuffle(rows)
+        got = classify_toxicity(spark.createDataFrame(rows, "doc_id long, text string, score double, held_out string").repartition(seed), labels).collect()
+        seen.add(tuple(sorted((x.doc_id, round(x.score, 7), x.predicted) for x in got)))
+    assert len(seen) == 1
