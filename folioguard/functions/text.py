@@ -40,6 +40,27 @@ def strip_emphasis(s: Column) -> Column:
     return F.regexp_replace(F.coalesce(s, F.lit("")), EMPHASIS, "$1")
 
 
+def render_emphasis(escaped: Column) -> Column:
+    """Marks of an escaped text as spans of class key, pos, warn, or metric for a bare mark."""
+    marked = F.regexp_replace(F.coalesce(escaped, F.lit("")), r"==(?:([kpw])\|)?([\s\S]+?)==", "<span class=\"\x00$1\">$2</span>")
+    for role, name in (("k", "key"), ("p", "pos"), ("w", "warn"), ("", "metric")):
+        marked = F.replace(marked, F.lit(f'class="\x00{role}"'), F.lit(f'class="{name}"'))
+    return marked
+
+
+def math_segments(s: Column) -> Column:
+    """array<struct<kind, text>> of prose, inline ($..$, one line) and display ($$..$$) parts in order; empty prose is left out."""
+    cut = F.regexp_replace(F.coalesce(s, F.lit("")), r"\$\$([\s\S]+?)\$\$|\$([^$\n]+?)\$", "\x00d$1\x01$2\x00")
+    parts = F.split(cut, "\x00")
+
+    def segment(p: Column, i: Column) -> Column:
+        display, inline = F.substring_index(F.substring(p, 2, 1 << 30), "\x01", 1), F.substring_index(p, "\x01", -1)
+        math = F.when(display != "", F.struct(F.lit("display").alias("kind"), display.alias("text"))).otherwise(F.struct(F.lit("inline").alias("kind"), inline.alias("text")))
+        return F.when(i % 2 == 1, math).when(p != "", F.struct(F.lit("prose").alias("kind"), p.alias("text")))
+
+    return F.array_compact(F.transform(parts, segment))
+
+
 def emphasis_roles(s: Column) -> Column:
     """Distinct roles: key, pos, warn, or metric for a bare mark, sorted."""
     marks = F.regexp_extract_all(s, F.lit(r"==(?:([kpw])\|)?[\s\S]+?=="), 1)
@@ -101,18 +122,21 @@ def excerpt(line: Column, most: int = 180) -> Column:
 
 
 def citation_numbers(line: Column) -> Column:
-    """Numbers cited by [..]: lists and hyphen ranges of up to 51; a bracket with a bad part counts for nothing."""
+    """Numbers cited by [..]: lists and hyphen ranges of up to 51; a bracket with a bad part counts for nothing.
+
+    Numbers of over 18 digits are no BIGINT; they are left out, and the others of their bracket stay.
+    """
     brackets = F.regexp_extract_all(line, F.lit(r"\[([0-9][0-9,\-\s]*)\]"), 1)
 
     def part(p: Column) -> Column:
         p = F.trim(p)
-        a, b = (F.try_to_number(F.regexp_extract(p, r"^(\d{1,9})\s*-\s*(\d{1,9})$", k), F.lit("999999999")).cast("long") for k in (1, 2))
-        one = F.when(F.regexp_like(p, F.lit(r"^\d{1,9}$")), p.cast("long"))
+        a, b = (F.regexp_extract(p, r"^(\d{1,18})\s*-\s*(\d{1,18})$", k).try_cast("long") for k in (1, 2))
+        one = F.when(F.regexp_like(p, F.lit(r"^\d{1,18}$")), p.try_cast("long"))
         bad = F.array(F.lit(-1).cast("long"))
         fine = a.isNotNull() & b.isNotNull() & (a > 0) & (a <= b) & (b <= a + 50)
         return (
             F.when(F.regexp_like(p, F.lit(r"^\d+\s*-\s*\d+$")), F.when(fine, F.sequence(F.when(fine, a).otherwise(1), F.when(fine, b).otherwise(1))).otherwise(bad))
-            .when(F.regexp_like(p, F.lit(r"^\d+$")), F.when(one > 0, F.array(one)).otherwise(bad))
+            .when(F.regexp_like(p, F.lit(r"^\d+$")), F.when(one.isNull(), F.array().cast("array<long>")).when(one > 0, F.array(one)).otherwise(bad))
             .otherwise(F.array().cast("array<long>"))
         )
 
@@ -160,6 +184,27 @@ def crop_key(src: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(src, "/"), -1), r"(?i)\.[a-z0-9]+$", "")
 
 
+def source_stem(arg: Column) -> Column:
+    """Folder name for a source: its file name without extension, other than word characters as underscores."""
+    base = F.element_at(F.split(F.coalesce(arg, F.lit("")), "/"), -1)
+    stem = slug(F.regexp_replace(base, r"^(\.*[^.].*)\.[^.]*$", "$1"))
+    return F.when(stem == "", "source").otherwise(stem)
+
+
+def source_kind(arg: Column, is_file: Column) -> Column:
+    """struct<kind, arxiv_id>: file, arxiv (an id, or a URL that holds one), or unknown."""
+    own = F.regexp_extract(F.trim(arg), r"^(\d{4}\.\d{4,5})(?:v\d+)?$", 1)
+    url = F.regexp_extract(arg, r"(?i)arxiv\.org/(?:abs|pdf)/(\d{4}\.\d{4,5})", 1)
+    found = F.coalesce(F.nullif(own, F.lit("")), F.nullif(url, F.lit("")))
+    file = F.coalesce(is_file, F.lit(False))
+    return F.struct(F.when(file, "file").when(found.isNotNull(), "arxiv").otherwise("unknown").alias("kind"), F.when(~file, found).alias("arxiv_id"))
+
+
+def with_extension(path: Column, mime: Column) -> Column:
+    """The path with the extension of a picture's type instead of its own."""
+    return F.concat(F.regexp_replace(path, r"(?<=[^/.])\.[^./]*$", ""), extension_for_mime(mime))
+
+
 def slug(stem: Column) -> Column:
     return F.regexp_replace(stem, r"(?U)[^\w]+", "_")
 
@@ -179,9 +224,10 @@ def image_format(content: Column) -> Column:
 
 
 def png_size(content: Column) -> Column:
-    """struct<width, height> of a PNG, else null."""
+    """struct<width, height> of a PNG whose first chunk is its header and has an area, else null."""
     n = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("long")
-    return F.when(F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A", F.struct(n(17).alias("width"), n(21).alias("height")))
+    head = (F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A") & (F.hex(F.substring(content, 13, 4)) == "49484452")
+    return F.when(head & (n(17) > 0) & (n(21) > 0), F.struct(n(17).alias("width"), n(21).alias("height")))
 
 
 def arxiv_id(text: Column, stamp_only: bool = False) -> Column:

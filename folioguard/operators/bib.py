@@ -68,6 +68,11 @@ def resolve(queries: DataFrame, records: DataFrame) -> DataFrame:
     return q.withColumn("key", key).join(r, ["kind", "key"], "left").select("query", "kind", "value", "record_id", F.col("record_id").isNotNull().alias("resolved"))
 
 
+def resolved_counts(resolved: DataFrame) -> DataFrame:
+    """kind, queries, resolved of the rows of ``resolve``."""
+    return resolved.groupBy("kind").agg(F.count("*").alias("queries"), F.count_if("resolved").alias("resolved"))
+
+
 def crossref_entry(message: Column) -> Column:
     """struct<title, authors, year, venue, doi, type> of a work message (JSON text); null for bad JSON."""
     schema = "title ARRAY<STRING>, author ARRAY<STRUCT<given: STRING, family: STRING>>, `container-title` ARRAY<STRING>, DOI STRING, type STRING, " + ", ".join(f"`{k}` STRUCT<`date-parts`: ARRAY<ARRAY<INT>>>" for k in YEAR_FIELDS)

@@ -16,44 +16,70 @@ VOID_EXEMPT = ("paper-title", "section", "equation", "references", "assertion-ev
 DECK = (
     "meta STRUCT<title: STRING>, slides ARRAY<STRUCT<layout: STRING, title: STRING, action_title: STRING, note: STRING, annotation: STRING, source_ref: STRING, "
     "speaker_notes: STRING, points: ARRAY<VARIANT>, questions: ARRAY<STRING>, items: ARRAY<STRING>, entries: ARRAY<STRING>, equations: ARRAY<VARIANT>, "
-    "figure: STRUCT<src: STRING, caption: STRING, cite: STRING, hero: BOOLEAN>, table: STRUCT<caption: STRING, footnote: STRING, rows: ARRAY<ARRAY<VARIANT>>>>>"
+    "figure: STRUCT<src: STRING, caption: STRING, cite: STRING, hero: BOOLEAN>, table: STRUCT<caption: STRING, footnote: STRING, rows: ARRAY<ARRAY<VARIANT>>>, "
+    "authors: VARIANT, affiliation: STRING, venue: STRING, presenter: STRING, num: STRING, eyebrow: STRING, text: STRING, points2: ARRAY<STRING>>>"
 )
+PAIRS = "array<struct<field:string,text:string>>"
 
 
 def slides_of(decks: DataFrame) -> DataFrame:
-    """deck_id, slide (from 1) and the fields of DECK, from decks (deck_id, spec JSON)."""
+    """deck_id, slide (from 1) and the fields of DECK, from decks (deck_id, spec JSON). Decks without slides give no rows; see ``deck_problems``."""
     rows = decks.select("deck_id", F.posexplode(F.from_json("spec", DECK)["slides"]).alias("k", "s"))
     return rows.select("deck_id", (F.col("k") + 1).cast("long").alias("slide"), "s.*")
 
 
-def fields(slides: DataFrame) -> DataFrame:
-    """All audited texts of the slides; blank ones are left out."""
-    pair = lambda name, text: F.struct(name.alias("field"), text.alias("text"))
-    one = lambda name, text: F.array(pair(F.lit(name), text))
-    many = lambda name, c: F.coalesce(F.transform(c, lambda x, i: pair(F.format_string(name + "[%d]", i), x)), F.array().cast("array<struct<field:string,text:string>>"))
+def deck_problems(decks: DataFrame) -> DataFrame:
+    """deck_id, severity, category of decks (deck_id, spec JSON) that cannot be read as an object, or have no slides."""
+    read = F.try_parse_json("spec")
+    slides = F.size(F.from_json("spec", DECK)["slides"])
+    found = F.when(F.coalesce(~F.schema_of_variant(read).startswith("OBJECT"), F.lit(True)), "unreadable").when(F.coalesce(slides, F.lit(0)) <= 0, "no-slides")
+    return decks.select("deck_id", F.lit("P0").alias("severity"), found.alias("category")).where("category IS NOT NULL")
+
+
+def _pair(name: Column, text: Column) -> Column:
+    return F.struct(name.alias("field"), text.alias("text"))
+
+
+def _many(name: str, c: Column) -> Column:
+    return F.coalesce(F.transform(c, lambda x, i: _pair(F.format_string(name + "[%d]", i), x)), F.array().cast(PAIRS))
+
+
+def cell_text(cell: Column) -> Column:
+    """A table cell's text: the value of an object, else the cell itself."""
+    return F.when(F.schema_of_variant(cell).startswith("OBJECT"), F.try_variant_get(cell, "$.v", "string")).otherwise(F.try_variant_get(cell, "$", "string"))
+
+
+def audited(slides: DataFrame) -> Column:
+    """array<struct<field, text>> of a slide's audited texts; blank ones are left out."""
+    one = lambda name, text: F.array(_pair(F.lit(name), text))
 
     def point(p: Column, i: Column) -> Column:
         head, body = (F.try_variant_get(p, f"$.{k}", "string") for k in ("head", "body"))
         split = F.schema_of_variant(p).startswith("OBJECT")
-        return F.when(split, F.array(pair(F.format_string("points[%d].head", i), head), pair(F.format_string("points[%d].body", i), body))).otherwise(F.array(pair(F.format_string("points[%d]", i), F.try_variant_get(p, "$", "string"))))
+        return F.when(split, F.array(_pair(F.format_string("points[%d].head", i), head), _pair(F.format_string("points[%d].body", i), body))).otherwise(F.array(_pair(F.format_string("points[%d]", i), F.try_variant_get(p, "$", "string"))))
 
     def cell(r: Column, i: Column) -> Column:
         value = lambda c: F.coalesce(F.try_variant_get(c, "$.v", "string"), F.try_variant_get(c, "$", "string"))
-        return F.transform(r, lambda c, j: pair(F.format_string("table[%d][%d]", i, j), value(c)))
+        return F.transform(r, lambda c, j: _pair(F.format_string("table[%d][%d]", i, j), value(c)))
 
-    none = F.array().cast("array<struct<field:string,text:string>>")
+    none = F.array().cast(PAIRS)
     every = F.concat(
         *(one(n, F.col(n)) for n in ("action_title", "title", "note", "annotation")),
         F.coalesce(F.flatten(F.transform("points", point)), none),
-        *(many(n, F.col(n)) for n in ("questions", "items", "entries")),
+        *(_many(n, F.col(n)) for n in ("questions", "items", "entries")),
         one("figure.caption", F.col("figure.caption")),
         one("figure.cite", F.col("figure.cite")),
         one("table.caption", F.col("table.caption")),
         one("table.footnote", F.col("table.footnote")),
         F.coalesce(F.flatten(F.transform(F.col("table.rows"), cell)), none),
     )
-    rows = slides.select("deck_id", "slide", "layout", F.explode(every).alias("f"))
-    return rows.select("deck_id", "slide", "layout", "f.field", "f.text").where("text IS NOT NULL AND trim(text) <> ''")
+    return F.filter(every, lambda f: f["text"].isNotNull() & (F.trim(f["text"]) != ""))
+
+
+def fields(slides: DataFrame) -> DataFrame:
+    """All audited texts of the slides; blank ones are left out."""
+    rows = slides.select("deck_id", "slide", "layout", F.explode(audited(slides)).alias("f"))
+    return rows.select("deck_id", "slide", "layout", "f.field", "f.text")
 
 
 def deck_flags(fields: DataFrame) -> DataFrame:
@@ -80,9 +106,27 @@ def longest_run(rows: DataFrame, group: str, order: str, value: str) -> DataFram
     return rows.withColumn("island", island).groupBy(group, value, "island").count().groupBy(group).agg(F.max("count").alias("max_run"))
 
 
+def _longest(values: Column) -> Column:
+    """The longest run of one value (null included) in an array."""
+    zero = F.struct(F.lit(None).cast("string").alias("v"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("best"))
+
+    def step(a: Column, v: Column) -> Column:
+        n = F.when((a["n"] > 0) & a["v"].eqNullSafe(v), a["n"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(v.alias("v"), n.alias("n"), F.greatest(a["best"], n).alias("best"))
+
+    return F.aggregate(values, zero, step, lambda a: a["best"])
+
+
 def layout_mix(slides: DataFrame, group: str = "deck_id", order: str = "slide", layout: str = "layout", bullet: str = "bullets") -> DataFrame:
-    counts = slides.groupBy(group).agg(F.count("*").alias("slides"), F.count_if(F.col(layout) == bullet).alias("bullets"))
-    return counts.join(longest_run(slides, group, order, layout), group).withColumn("bullet_ratio", F.col("bullets") / F.col("slides"))
+    """``group``, slides, bullets, max_run (the longest run of one layout), bullet_ratio; one exchange."""
+    own = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(layout).alias("l")))).alias("x")
+    rows = slides.groupBy(group).agg(F.count("*").alias("slides"), F.count_if(F.col(layout) == bullet).alias("bullets"), own)
+    return rows.select(group, "slides", "bullets", _longest(F.col("x.l")).alias("max_run"), (F.col("bullets") / F.col("slides")).alias("bullet_ratio"))
+
+
+def layout_counts(slides: DataFrame) -> DataFrame:
+    """deck_id, layout, slides: how many slides of a deck have each layout."""
+    return slides.groupBy("deck_id", "layout").agg(F.count("*").alias("slides"))
 
 
 def emphasis_over(fields: DataFrame, most: int = 2) -> DataFrame:
@@ -95,13 +139,17 @@ def emoji_audit(fields: DataFrame) -> DataFrame:
     return fields.select("deck_id", "slide", "field", F.array_join(H.emojis(F.col("text")), "").alias("chars")).where("chars <> ''")
 
 
-def figure_crowding(slides: DataFrame, most: int = 240) -> DataFrame:
+def _crowding() -> Column:
     chars = F.length(H.strip_emphasis(F.col("figure.caption"))) + F.length(H.strip_emphasis(F.col("annotation")))
-    return slides.where("layout = 'assertion-evidence' AND figure IS NOT NULL").select("deck_id", "slide", chars.cast("long").alias("chars")).where(F.col("chars") > most)
+    return F.when((F.col("layout") == "assertion-evidence") & F.col("figure").isNotNull(), chars.cast("long"))
 
 
-def spec_problems(slides: DataFrame) -> DataFrame:
-    """Unknown layouts, missing fields, absent provenance, annotated hero figures."""
+def figure_crowding(slides: DataFrame, most: int = 240) -> DataFrame:
+    return slides.select("deck_id", "slide", _crowding().alias("chars")).where(F.col("chars") > most)
+
+
+def _problems(slides: DataFrame) -> Column:
+    """array<struct<field, severity>> of a slide's problems."""
 
     def empty(name: str) -> Column:
         c = F.col(name)
@@ -113,7 +161,12 @@ def spec_problems(slides: DataFrame) -> DataFrame:
     checks = [F.when(~F.coalesce(known, F.lit(False)), p("layout", "error"))]
     checks += [F.when((F.col("layout") == k) & empty(f), p(f, "error")) for k, f in REQUIRED.items()]
     checks += [F.when(F.col("layout").isin(*FACTUAL) & empty("source_ref"), p("source_ref", "warn")), F.when(known & F.col("figure.hero") & ~empty("annotation"), p("annotation", "error"))]
-    rows = slides.select("deck_id", "slide", "layout", F.explode(F.array_compact(F.array(*checks))).alias("p"))
+    return F.array_compact(F.array(*checks))
+
+
+def spec_problems(slides: DataFrame) -> DataFrame:
+    """Unknown layouts, missing fields, absent provenance, annotated hero figures."""
+    rows = slides.select("deck_id", "slide", "layout", F.explode(_problems(slides)).alias("p"))
     return rows.select("deck_id", "slide", "layout", "p.field", "p.severity")
 
 
@@ -137,32 +190,73 @@ def notes_handout(slides: DataFrame) -> DataFrame:
     return rows.groupBy("deck_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slide", "part"))), lambda x: x["part"]), "\n\n").alias("handout"))
 
 
+def deck_reviews(slides: DataFrame, sources: DataFrame) -> DataFrame:
+    """deck_id, slides, bullets, max_run, findings (array<struct<severity, category>>) of every deck, in one pass.
+
+    A slide's checks are one array each; the slides of a deck meet once, by deck_id, and its source (deck_id,
+    source) once. What is gathered per deck are findings, distinct numbers and layouts, not its texts.
+    """
+    hit = lambda severity, category: F.struct(severity.alias("severity"), F.lit(category).alias("category"))
+    always = lambda severity, category: lambda _: hit(F.lit(severity), category)
+    once = lambda when, severity, category: F.array_compact(F.array(F.when(when, hit(F.lit(severity), category))))
+    rows = slides.select("deck_id", "slide", "layout", audited(slides).alias("f"), _crowding().alias("chars"), _problems(slides).alias("problems"))
+    roles = F.array_distinct(F.flatten(F.transform("f", lambda f: H.emphasis_roles(f["text"]))))
+    found = F.concat(
+        F.transform(F.flatten(F.transform("f", lambda f: H.flags(f["text"]))), always("P2", "flag")),
+        once(F.size(F.array_remove(roles, "key")) > 2, "P3", "emphasis"),
+        F.transform(F.filter("f", lambda f: F.size(H.emojis(f["text"])) > 0), always("P3", "emoji")),
+        once(F.col("chars") > 240, "P3", "crowding"),
+        F.transform(F.filter("problems", lambda p: p["severity"] == "error"), always("P0", "spec")),
+    )
+    grounded = F.filter("f", lambda f: (f["field"] != "figure.cite") & ~f["field"].startswith("entries["))
+    factual = lambda f: F.when(f["field"].startswith("table[") | F.coalesce(F.col("layout").isin("results-table", "equation"), F.lit(False)), "P1").otherwise("P2")
+    tokens = F.flatten(F.transform(grounded, lambda f: F.transform(F.filter(H.number_tokens(f["text"]), lambda v: F.length(v) >= 2), lambda v: F.struct(v.alias("value"), factual(f).alias("severity")))))
+    rows = rows.select("deck_id", "slide", "layout", found.alias("found"), tokens.alias("tokens"))
+    some = lambda c: F.flatten(F.collect_list(F.when(F.size(c) > 0, F.col(c)))).alias(c)
+    layouts = F.array_sort(F.collect_list(F.struct("slide", "layout"))).alias("x")
+    decks = rows.groupBy("deck_id").agg(F.count("*").alias("slides"), F.count_if(F.col("layout") == "bullets").alias("bullets"), some("found"), some("tokens"), layouts)
+    decks = decks.select("deck_id", "slides", "bullets", "found", "tokens", F.array_distinct("tokens.value").alias("asked"), _longest(F.col("x.layout")).alias("max_run"))
+    met = decks.join(sources.select("deck_id", H.rejoin_decimals(H.map_superscripts(F.col("source"))).alias("source")), "deck_id", "left")
+    missing = F.filter("asked", lambda v: ~F.coalesce(F.contains("source", v), F.lit(False)))
+    numbers = F.element_at(F.transform(F.array(missing), lambda m: F.transform(F.filter("tokens", lambda t: F.array_contains(m, t["value"])), lambda t: hit(t["severity"], "number"))), 1)
+    nudges = F.concat(once(F.col("bullets") / F.col("slides") > F.expr("1 / 3D"), "P3", "bullets"), once(F.col("max_run") >= 4, "P3", "run"))
+    return met.select("deck_id", "slides", "bullets", "max_run", F.concat("found", numbers, nudges).alias("findings"))
+
+
 def qa_findings(slides: DataFrame, sources: DataFrame) -> DataFrame:
     """deck_id, severity, category of every check of a deck, the deck-wide nudges included."""
-    f = fields(slides)
-    one = lambda df, severity, name: df.select("deck_id", (severity if isinstance(severity, Column) else F.lit(severity)).alias("severity"), F.lit(name).alias("category"))
-    mix = layout_mix(slides)
-    parts = [
-        one(ungrounded_numbers(f, sources), F.col("severity"), "number"), one(deck_flags(f), "P2", "flag"), one(emphasis_over(f), "P3", "emphasis"), one(emoji_audit(f), "P3", "emoji"),
-        one(figure_crowding(slides), "P3", "crowding"), one(mix.where("bullet_ratio > 1 / 3D"), "P3", "bullets"), one(mix.where("max_run >= 4"), "P3", "run"),
-        one(spec_problems(slides).where("severity = 'error'"), "P0", "spec"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return deck_reviews(slides, sources).select("deck_id", F.explode("findings").alias("f")).select("deck_id", "f.*")
+
+
+def _gate() -> Column:
+    return F.when(F.col("p0") > 0, "BLOCK").when(F.col("p1") > 0, "REVIEW").otherwise("PASS").alias("gate")
+
+
+def gated(reviews: DataFrame) -> DataFrame:
+    """``deck_reviews`` with p0 to p3, the findings of each severity, and gate."""
+    n = lambda k: F.size(F.filter("findings", lambda f: f["severity"] == f"P{k}")).cast("long").alias(f"p{k}")
+    return reviews.select("*", *(n(k) for k in range(4))).select("*", _gate())
 
 
 def qa_gate(findings: DataFrame, decks: DataFrame) -> DataFrame:
     """deck_id, p0 to p3, gate: BLOCK on P0, REVIEW on P1, else PASS; decks without findings pass."""
     counts = findings.groupBy("deck_id").agg(*(F.count_if(F.col("severity") == f"P{k}").alias(f"p{k}") for k in range(4)))
     rows = decks.select("deck_id").distinct().join(counts, "deck_id", "left").na.fill(0)
-    return rows.withColumn("gate", F.when(F.col("p0") > 0, "BLOCK").when(F.col("p1") > 0, "REVIEW").otherwise("PASS"))
+    return rows.withColumn("gate", _gate())
+
+
+def qa_report(findings: DataFrame) -> DataFrame:
+    """deck_id, report of findings (deck_id, severity, stage, check, slide, detail): P0 first, with the number of each severity; slide 0 or null is the deck."""
+    where = F.when(F.coalesce("slide", F.lit(0)) > 0, F.concat(F.lit("slide "), F.col("slide").cast("string"))).otherwise("deck")
+    line = F.concat(F.lit("  • ("), "stage", F.lit("/"), "check", F.lit(") "), where, F.lit(": "), F.coalesce("detail", F.lit("")))
+    rows = findings.where(F.col("severity").isin("P0", "P1", "P2", "P3")).groupBy("deck_id", "severity").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("slide", F.lit(0)).alias("s"), line.alias("line")))).alias("x"))
+    part = F.concat(F.lit("["), "severity", F.lit("] "), F.size("x").cast("string"), F.lit("\n"), F.array_join("x.line", "\n"))
+    return rows.groupBy("deck_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("severity", part.alias("part")))), lambda x: x["part"]), "\n\n").alias("report"))
 
 
-def dashboard(manifest: DataFrame, gates: DataFrame, mix: DataFrame, parity: DataFrame) -> DataFrame:
-    """One row per deck of the manifest; missing decks and P0 or parity findings fail hard. parity: deck_id, issues."""
-    rows = manifest.join(gates, "deck_id", "left").join(mix, "deck_id", "left").join(parity, "deck_id", "left")
+def dashboard(manifest: DataFrame, reviews: DataFrame, parity: DataFrame) -> DataFrame:
+    """One row per deck of the manifest, from ``gated`` reviews; missing decks and P0 or parity findings fail hard. parity: deck_id, issues."""
+    rows = manifest.join(reviews.select("deck_id", "gate", "slides", "max_run"), "deck_id", "left").join(parity, "deck_id", "left")
     issues = F.coalesce("issues", F.lit(-1))
     status = F.when(F.col("gate").isNull(), "MISSING").otherwise(F.col("gate"))
     return rows.select("deck_id", status.alias("status"), F.coalesce("slides", F.lit(0)).alias("slides"), F.coalesce("max_run", F.lit(0)).alias("max_run"), issues.cast("long").alias("parity"), (status.isin("MISSING", "BLOCK") | (issues > 0)).alias("hard_fail"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioguard.functions import text as H
+
+# How captions begin, and the letters that label panels.
 CAPTION = r"^\s*((?i:Figure|Fig\.?|Table|Tab\.?))\s+(\d+|[IVXLCDM]+)(?![A-Za-z0-9_])"
+PANELS = "abcdefgh"
 
 
 def captions(blocks: DataFrame) -> DataFrame:
@@ -102,8 +106,65 @@ def nearest_rect(captions: DataFrame, rects: DataFrame, most: float = 0.5) -> Da
     return met.groupBy("caption_id").agg(F.min(F.struct("gap", "rx0", "ry0", "rx1", "ry1")).alias("b")).select("caption_id", "b.*")
 
 
+def _run(letters: Column) -> Column:
+    """How many of a, b, c, ... ``letters`` holds without a gap; case counts."""
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(PANELS) - 1)), F.lit(0), lambda n, k: F.when((n == k) & F.array_contains(letters, F.char(k + 97)), n + 1).otherwise(n))
+
+
 def panel_runs(letters: DataFrame) -> DataFrame:
     """Per figure and style: the length of the run a, b, c, ... (8 at most) over single-letter spans (fig_id, style, letter)."""
-    seen = letters.groupBy("fig_id", "style").agg(F.collect_set(F.lower("letter")).alias("s"))
-    run = F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0), lambda n, k: F.when((n == k) & F.array_contains("s", F.char(k + 97)), n + 1).otherwise(n))
-    return seen.select("fig_id", "style", run.alias("run"))
+    seen = letters.groupBy("fig_id", "style").agg(F.collect_set("letter").alias("s"))
+    return seen.select("fig_id", "style", _run(F.col("s")).alias("run"))
+
+
+def panel_boxes(figures: DataFrame, spans: DataFrame, least: int = 3, tolerance: float = 0.045, slack: float = 2.0) -> DataFrame:
+    """fig_id, label, box of the panels of figures (fig_id, page_id, box).
+
+    Labels are spans (page_id, text, font, size, box) of one letter a to h with their centre in the figure. Of a
+    style (font and rounded size) the topmost, then leftmost one of each letter counts; the style with the longest run from a on,
+    then the largest size, then the first font by name, labels the panels, if the run has ``least`` letters. A panel reaches to the next label
+    in its row and column, else to the figure's edge.
+    """
+    s = spans.select("page_id", F.trim("text").alias("label"), F.coalesce("font", F.lit("")).alias("font"), F.bround("size", 0).alias("size"), *(F.col(c).alias("s" + c) for c in ("x0", "y0", "x1", "y1")))
+    s = s.where(F.col("label").isin(*PANELS))
+    cx, cy = (F.col("sx0") + F.col("sx1")) / 2, (F.col("sy0") + F.col("sy1")) / 2
+    inside = figures.join(s, "page_id").where(cx.between(F.col("x0") - slack, F.col("x1") + slack) & cy.between(F.col("y0") - slack, F.col("y1") + slack))
+    box = F.struct(*(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1"))).alias("box")
+    letters = inside.groupBy("fig_id", box, "font", "size", "label").agg(F.min(F.struct(F.col("sy0").alias("y"), F.col("sx0").alias("x"))).alias("at"))
+    styles = letters.groupBy("fig_id", "box", "font", "size").agg(F.array_sort(F.collect_list(F.struct("label", "at.x", "at.y"))).alias("a")).withColumn("run", _run(F.col("a.label")))
+    best = styles.groupBy("fig_id", "box").agg(F.min(F.struct((-F.col("run")).alias("run"), (-F.col("size")).alias("size"), "font", "a")).alias("s")).where(F.col("s.run") <= -least)
+    best = best.select("fig_id", "box", F.slice("s.a", F.lit(1), -F.col("s.run")).alias("a"))
+    row, column = tolerance * (F.col("box.y1") - F.col("box.y0")), tolerance * (F.col("box.x1") - F.col("box.x0"))
+    right = lambda p: F.array_min(F.transform(F.filter("a", lambda o: (o["x"] > p["x"] + column) & (F.abs(o["y"] - p["y"]) <= row)), lambda o: o["x"]))
+    down = lambda p: F.array_min(F.transform(F.filter("a", lambda o: (o["y"] > p["y"] + row) & (F.abs(o["x"] - p["x"]) <= column)), lambda o: o["y"]))
+    one = lambda p: F.struct(p["label"].alias("label"), p["x"].alias("x0"), p["y"].alias("y0"), F.coalesce(right(p), F.col("box.x1")).alias("x1"), F.coalesce(down(p), F.col("box.y1")).alias("y1"))
+    rows = best.select("fig_id", F.explode(F.transform("a", one)).alias("p"))
+    return rows.select("fig_id", "p.label", *(F.bround(f"p.{c}", 1).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
+def panel_clips(asked: DataFrame, panels: DataFrame, pages: DataFrame, pad: float = 1.0) -> DataFrame:
+    """asked (fig_id, label) with the panel's box padded by ``pad`` inside its page (fig_id, page_w, page_h), and found."""
+    rows = asked.join(panels, ["fig_id", "label"], "left").join(pages, "fig_id")
+    low = lambda c: F.greatest(F.lit(0.0), F.col(c) - pad).alias(c)
+    high = lambda c, edge: F.least(F.col(edge), F.col(c) + pad).alias(c)
+    some = F.col("x0").isNotNull()
+    boxes = [F.when(some, b).alias(c) for c, b in (("x0", low("x0")), ("y0", low("y0")), ("x1", high("x1", "page_w")), ("y1", high("y1", "page_h")))]
+    return rows.select("fig_id", "label", *boxes, some.alias("found"))
+
+
+def inventory_order(records: DataFrame) -> DataFrame:
+    """Records (doc_id, page, kind, number) with place: by page, kind and number as text, so "10" comes before "2"."""
+    return records.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "kind", "number")))
+
+
+def figure_order(records: DataFrame) -> DataFrame:
+    """Records (doc_id, kind, number) with place: figures first, then by value, roman or leading digits, else 0; ties by number as text."""
+    value = F.coalesce(F.nullif(H.roman(F.upper("number")), F.lit(0)), F.regexp_extract("number", r"^\s*(\d+)", 1).try_cast("int"), F.lit(0))
+    own = Window.partitionBy("doc_id").orderBy((F.col("kind") != "figure"), value, "number")
+    return records.withColumn("place", F.row_number().over(own))
+
+
+def bundle_counts(records: DataFrame) -> DataFrame:
+    """doc_id, n_figures, n_tables, n_localized, n_flagged of records (doc_id, kind, localized)."""
+    n = lambda c, name: F.count_if(c).alias(name)
+    return records.groupBy("doc_id").agg(n(F.col("kind") == "figure", "n_figures"), n(F.col("kind") == "table", "n_tables"), n(F.col("localized"), "n_localized"), n(~F.col("localized"), "n_flagged"))

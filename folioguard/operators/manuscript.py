@@ -46,15 +46,25 @@ def with_zones(lines: DataFrame) -> DataFrame:
     return lines.withColumn("zone", zone)
 
 
-def bibliography(zoned: DataFrame) -> DataFrame:
-    """doc_id, ref_no, entry: continuation lines are joined; of a repeated number the last entry counts."""
-    rows = zoned.where("zone = 'refs'").withColumn("no", F.coalesce(*(F.nullif(F.regexp_extract("line", ENTRY, k), F.lit("")).try_cast("long") for k in (1, 2))))
+def _with_entries(zoned: DataFrame) -> DataFrame:
+    """``zoned`` with no (the number that a line of the references starts with), entry_no (entries so far, 0 before the first) and part."""
+    no = F.coalesce(*(F.nullif(F.regexp_extract("line", ENTRY, k), F.lit("")).try_cast("long") for k in (1, 2)))
+    rows = zoned.withColumn("no", F.when(F.col("zone") == "refs", no))
     own = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("entry_no", F.count("no").over(own)).where("entry_no > 0")
     part = F.trim(F.when(F.col("no").isNotNull(), F.regexp_extract("line", ENTRY, 3)).otherwise(F.col("line")))
-    rows = rows.withColumn("part", part).where("part <> '' OR no IS NOT NULL")
-    entries = rows.groupBy("doc_id", "entry_no").agg(F.max("no").alias("ref_no"), F.array_sort(F.collect_list(F.struct("line_no", "part"))).alias("p"))
-    entries = entries.withColumn("entry", F.trim(F.array_join("p.part", " ")))
+    return rows.withColumns({"entry_no": F.count("no").over(own), "part": F.when(F.col("zone") == "refs", part)})
+
+
+def _entry_text() -> F.Column:
+    """The parts of an entry's lines, in order; an aggregate."""
+    parts = F.array_sort(F.collect_list(F.when((F.col("part") != "") | F.col("no").isNotNull(), F.struct("line_no", "part"))))
+    return F.trim(F.array_join(F.transform(parts, lambda x: x["part"]), " "))
+
+
+def bibliography(zoned: DataFrame) -> DataFrame:
+    """doc_id, ref_no, entry: continuation lines are joined; of a repeated number the last entry counts."""
+    rows = _with_entries(zoned).where("entry_no > 0")
+    entries = rows.groupBy("doc_id", "entry_no").agg(F.max("no").alias("ref_no"), _entry_text().alias("entry"))
     return entries.groupBy("doc_id", "ref_no").agg(F.max_by("entry", "entry_no").alias("entry"))
 
 
@@ -141,18 +151,34 @@ def display_equations(lines: DataFrame) -> DataFrame:
     return _exploded(with_box(lines), equation_hits())
 
 
-def unsupported_systematic(lines: DataFrame) -> DataFrame:
-    """Documents that call themselves systematic and lack terms of method; the detail lists the missing ones."""
-    docs = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    docs = docs.select("doc_id", F.trim(F.col("l")[0]["line"]).alias("title"), F.array_join("l.line", "\n").alias("full"), F.array_join(F.slice("l.line", 1, 150), "\n").alias("front"))
-    front = F.col("front")
+FRONT = 150
+
+
+def _supported() -> list[F.Column]:
+    """For each term of method, whether a line names it (no term spans lines)."""
+    return [F.contains(F.lower("line"), F.lit(t.lower())) for t in SUPPORT]
+
+
+def _claims_systematic(title: F.Column, front: F.Column) -> F.Column:
     for p in NEGATIONS:
         front = F.regexp_replace(front, "(?i)" + p, " ")
-    claim = F.col("title").rlike(r"^#\s") & F.col("title").rlike(r"(?i)\b(systematic\s+review|meta-?analysis)\b")
+    claim = title.rlike(r"^#\s") & title.rlike(r"(?i)\b(systematic\s+review|meta-?analysis)\b")
     for p in SELF_CLAIMS:
         claim = claim | front.rlike("(?i)" + p)
-    missing = F.filter(F.array(*map(F.lit, SUPPORT)), lambda t: ~F.contains(F.lower("full"), F.lower(t)))
-    rows = docs.where(claim).withColumn("missing", missing).where(F.size("missing") > 0)
+    return claim
+
+
+def unsupported_systematic(lines: DataFrame) -> DataFrame:
+    """Documents that call themselves systematic and lack terms of method; the detail lists the missing ones.
+
+    Only the first FRONT lines of a document are put together, for the claims.
+    """
+    named = [F.bool_or(c).alias(f"t{k}") for k, c in enumerate(_supported())]
+    front = F.array_sort(F.collect_list(F.when(F.col("line_no") <= FRONT, F.struct("line_no", "line"))))
+    docs = lines.groupBy("doc_id").agg(front.alias("front"), *named)
+    missing = F.array_compact(F.array(*(F.when(~F.col(f"t{k}"), F.lit(t)) for k, t in enumerate(SUPPORT))))
+    claim = _claims_systematic(F.trim(F.try_element_at("front.line", F.lit(1))), F.array_join("front.line", "\n"))
+    rows = docs.withColumn("missing", missing).where(claim & (F.size("missing") > 0))
     return _finding(rows, "critical", "unsupported_systematic_claim", F.lit(0), F.array_join("missing", ", "))
 
 
@@ -191,59 +217,76 @@ def duplicate_dois(refs: DataFrame) -> DataFrame:
     return _finding(rows, "high", "duplicate_doi", F.lit(0), F.concat(F.col("doi"), F.lit(" x"), F.col("count").cast("string")))
 
 
-def reconciled(zoned: DataFrame, refs: DataFrame, most: int = 20) -> DataFrame:
-    """The findings of ``missing_references``, ``author_mismatches``, ``uncited_references`` and
-    ``references_not_detected`` in one pass: entries and uses of a document meet in one partition,
-    and windows over (doc_id, number) inside it take the place of four joins. A null doc_id is a
-    document like any other here.
+def audit(lines: DataFrame, vendors: tuple[str, ...] = VENDORS) -> DataFrame:
+    """All findings of all manuscripts, in one pass with one exchange, by doc_id.
 
-    doc_id is carried through the explodes on purpose. Where all parts of a union are hashed by doc_id,
-    the planner takes the union to be so too (spark.sql.unionOutputPartitioning) and groups it without
-    an exchange, which has given several rows per doc_id; a column out of an explode makes no such claim."""
+    Windows give each line its zone, box and entry. The lines of an entry (and all lines before the first) are
+    then put together, then the entries of a document; both aggregates group inside the partitions that the windows
+    have made. What is gathered per document are findings, citations and entries, not its lines. A null doc_id is
+    a document like any other.
+    """
+    z = _with_entries(with_box(with_zones(lines)))
     line = F.col("line")
-    doc_id = F.col("doc_id")
-    cited = F.transform(H.citation_numbers(line), lambda n: F.struct(doc_id, n.alias("n"), F.lit(None).cast("string").alias("surname")))
-    named = F.transform(H.author_citations(line), lambda c: F.struct(doc_id, c["n"].alias("n"), c["surname"].alias("surname")))
-    uses = zoned.where("zone = 'body'").select("line_no", F.explode(F.concat(cited, named)).alias("u")).select("u.doc_id", "u.n", "line_no", "u.surname")
-    rows = uses.unionByName(refs.select("doc_id", F.col("ref_no").alias("n"), "entry"), allowMissingColumns=True).where("n IS NOT NULL")
-    is_ref, is_cite = F.col("line_no").isNull(), F.col("line_no").isNotNull() & F.col("surname").isNull()
-    doc, number = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "n")
-    rows = rows.withColumn("has_refs", F.bool_or(is_ref).over(doc)).select(
-        "*", F.bool_or(is_cite).over(number).alias("is_cited"), F.max("entry").over(number).alias("met")
+    hits = F.concat(placeholder_hits(), heading_hits(), tell_hits(), equation_hits(), vendor_hits(vendors))
+    at = lambda h: F.struct(h["severity"].alias("severity"), h["category"].alias("category"), F.col("line_no").cast("long").alias("line_no"), F.coalesce(h["detail"], F.lit("")).alias("detail"))
+    body = (F.col("zone") == "body") & F.contains(line, F.lit("["))
+    gathered = {
+        "hits": F.transform(hits, at),
+        "cites": F.when(body, F.transform(H.citation_numbers(line), lambda n: F.struct(F.col("line_no").cast("long").alias("line_no"), n.alias("n")))),
+        "named": F.when(body, F.transform(H.author_citations(line), lambda c: F.struct(F.col("line_no").cast("long").alias("line_no"), c["n"].alias("n"), c["surname"].alias("surname")))),
+    }
+    rows = z.select("doc_id", "line_no", "line", "no", "entry_no", "part", *(c.alias(k) for k, c in gathered.items()))
+    together = lambda k: F.flatten(F.collect_list(F.when(F.size(k) > 0, F.col(k)))).alias(k)
+    front = F.collect_list(F.when(F.col("line_no") <= FRONT, F.struct("line_no", "line")))
+    parts = rows.groupBy("doc_id", "entry_no").agg(
+        *(together(k) for k in gathered), F.max("no").alias("ref_no"), _entry_text().alias("entry"), front.alias("front"), *(F.bool_or(c).alias(f"t{k}") for k, c in enumerate(_supported()))
     )
-    names = H.author_tokens(F.col("met"))
-    other = F.col("surname").isNotNull() & (F.col("met") != "") & (F.size(names) > 0) & ~F.array_contains(names, F.col("surname"))
-    at_line = lambda h: F.struct(doc_id, F.col("line_no"), h.alias("h"))
-    own = F.when(is_cite & F.col("has_refs") & F.col("met").isNull(), at_line(_hit("high", "missing_reference", F.col("n").cast("string")))).when(
-        other, at_line(_hit("high", "author_citation_mismatch", F.concat(F.col("surname"), F.lit(" "), F.col("n").cast("string"))))
+    entry = F.when(F.col("entry_no") > 0, F.struct("ref_no", "entry_no", "entry"))
+    docs = parts.groupBy("doc_id").agg(
+        *(together(k) for k in gathered), F.array_sort(F.collect_list(entry)).alias("entries"), F.array_sort(F.flatten(F.collect_list("front"))).alias("front"), *(F.bool_or(f"t{k}").alias(f"t{k}") for k in range(len(SUPPORT)))
     )
-    uncited, undetected = is_ref & ~F.col("is_cited"), is_cite & ~F.col("has_refs")
-    docs = rows.groupBy("doc_id").agg(
-        F.collect_list(own).alias("own"), F.count_if(uncited).alias("k"), F.collect_set(F.when(uncited, F.col("n"))).alias("first"), F.count_if(undetected).alias("markers")
-    )
-    first = F.array_join(F.slice(F.array_sort("first"), 1, most).cast("array<string>"), ",")
-    at_doc = lambda h: F.struct(doc_id, F.lit(0).cast("long").alias("line_no"), h.alias("h"))
-    whole = _hits(
-        F.when(F.col("k") > 0, at_doc(_hit("low", "uncited_reference", F.concat(F.col("k").cast("string"), F.lit(": "), first)))),
-        F.when(F.col("markers") > 0, at_doc(_hit("low", "references_not_detected", F.col("markers").cast("string")))),
-    )
-    out = docs.select(F.explode(F.concat("own", whole)).alias("f"))
-    return out.select("f.doc_id", "f.h.severity", "f.h.category", F.col("f.line_no").alias("line_no"), "f.h.detail")
+    # Of a repeated number the last entry counts.
+    last = F.filter("entries", lambda e, i: ~F.coalesce(F.try_element_at("entries", i + 2)["ref_no"] == e["ref_no"], F.lit(False)))
+    docs = docs.withColumn("refs", F.transform(last, lambda e: F.struct(e["ref_no"].alias("n"), e["entry"].alias("entry"), H.author_tokens(e["entry"]).alias("names"))))
+    found = [F.col("hits"), _claim_findings(), _reference_findings(), _doi_findings()]
+    return docs.select("doc_id", F.explode(F.concat(*found)).alias("f")).select("doc_id", "f.*")
 
 
-def audit(lines: DataFrame, vendors: tuple[str, ...] = VENDORS) -> DataFrame:
-    """All findings of all manuscripts.
+def _whole(severity: str, category: str, detail: F.Column) -> F.Column:
+    return F.struct(F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.lit(0).cast("long").alias("line_no"), detail.alias("detail"))
 
-    The checks of single lines share one pass, those of citations another, so the lines are read for
-    each family of checks and not for each check.
-    """
-    zoned = with_zones(lines)
-    refs = bibliography(zoned)
-    by_line = F.concat(placeholder_hits(), heading_hits(), tell_hits(), equation_hits(), vendor_hits(vendors))
-    out = _exploded(with_box(zoned), by_line)
-    for part in (unsupported_systematic(lines), reconciled(zoned, refs), duplicate_dois(refs)):
-        out = out.unionByName(part)
-    return out
+
+def _claim_findings() -> F.Column:
+    missing = F.array_compact(F.array(*(F.when(~F.col(f"t{k}"), F.lit(t)) for k, t in enumerate(SUPPORT))))
+    claim = _claims_systematic(F.trim(F.try_element_at("front.line", F.lit(1))), F.array_join("front.line", "\n"))
+    return F.array_compact(F.array(F.when(claim & (F.size(missing) > 0), _whole("critical", "unsupported_systematic_claim", F.array_join(missing, ", ")))))
+
+
+def _let(value: F.Column, use) -> F.Column:
+    """``use`` of ``value``, which is evaluated once, also where ``use`` names it inside of a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _reference_findings(most: int = 20) -> F.Column:
+    """``missing_references``, ``author_mismatches``, ``uncited_references`` and ``references_not_detected`` of a document's cites, named and refs."""
+    hit = lambda severity, category, c, detail: F.struct(F.lit(severity).alias("severity"), F.lit(category).alias("category"), c["line_no"].alias("line_no"), detail.alias("detail"))
+    some = F.size("refs") > 0
+    unknown = F.when(some, F.array_except("cites.n", "refs.n")).otherwise(F.array().cast("array<bigint>"))
+    missing = _let(unknown, lambda u: F.transform(F.filter("cites", lambda c: F.array_contains(u, c["n"])), lambda c: hit("high", "missing_reference", c, c["n"].cast("string"))))
+    telling = F.filter("refs", lambda r: (r["entry"] != "") & (F.size(r["names"]) > 0))
+    other = lambda refs, c: F.exists(refs, lambda r: (r["n"] == c["n"]) & ~F.array_contains(r["names"], c["surname"]))
+    detail = lambda c: F.concat(c["surname"], F.lit(" "), c["n"].cast("string"))
+    mismatch = _let(telling, lambda refs: F.transform(F.filter("named", lambda c: F.coalesce(other(refs, c), F.lit(False))), lambda c: hit("high", "author_citation_mismatch", c, detail(c))))
+    first = lambda u: F.concat(F.size(u).cast("string"), F.lit(": "), F.array_join(F.slice(u, 1, most).cast("array<string>"), ","))
+    uncited = _let(F.array_sort(F.array_except("refs.n", "cites.n")), lambda u: F.array_compact(F.array(F.when(F.size(u) > 0, _whole("low", "uncited_reference", first(u))))))
+    undetected = F.array_compact(F.array(F.when(~some & (F.size("cites") > 0), _whole("low", "references_not_detected", F.size("cites").cast("string")))))
+    return F.concat(missing, mismatch, uncited, undetected)
+
+
+def _doi_findings() -> F.Column:
+    dois = F.flatten(F.transform("refs", lambda r: F.transform(F.regexp_extract_all(r["entry"], F.lit(DOI), 0), lambda d: F.rtrim(F.lower(d), F.lit(".")))))
+    times = lambda s, d: F.size(F.filter(s, lambda x: x == d))
+    return _let(dois, lambda s: F.transform(F.filter(F.array_distinct(s), lambda d: times(s, d) > 1), lambda d: _whole("high", "duplicate_doi", F.concat(d, F.lit(" x"), times(s, d).cast("string")))))
 
 
 def rank(severity) -> F.Column:

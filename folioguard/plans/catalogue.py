@@ -226,17 +226,16 @@ gates AS (SELECT *, CASE WHEN p0 > 0 THEN 'BLOCK' WHEN p1 > 0 THEN 'REVIEW' ELSE
 
 @_query(GATE + " SELECT * FROM gates")
 def qa_gate(spark, sf):
-    s = slides(spark, sf)
-    return D.qa_gate(D.qa_findings(s, sources(spark, sf)), s)
+    return D.gated(D.deck_reviews(slides(spark, sf), sources(spark, sf))).select("deck_id", "p0", "p1", "p2", "p3", "gate")
 
 
 @_query(GATE + ", par AS (SELECT deck_id, count(*) FILTER (slide % 10 = 0) AS issues FROM s GROUP BY deck_id HAVING count(*) > 1) SELECT o_orderkey AS deck_id, coalesce(gate, 'MISSING') AS status, coalesce(slides, 0) AS slides, coalesce(max_run, 0) AS max_run, coalesce(issues, -1) AS parity, coalesce(gate, 'MISSING') IN ('MISSING', 'BLOCK') OR coalesce(issues, -1) > 0 AS hard_fail FROM orders LEFT JOIN gates ON gates.deck_id = o_orderkey LEFT JOIN mix ON mix.deck_id = o_orderkey LEFT JOIN par ON par.deck_id = o_orderkey")
 def corpus_dashboard(spark, sf):
     s = slides(spark, sf)
-    gates = D.qa_gate(D.qa_findings(s, sources(spark, sf)), s)
+    reviews = D.gated(D.deck_reviews(s, sources(spark, sf)))
     parity = s.groupBy("deck_id").agg(F.count_if(F.col("slide") % 10 == 0).alias("issues"), F.count("*").alias("n")).where("n > 1").drop("n")
     manifest = table(spark, sf, "orders").select(F.col("o_orderkey").alias("deck_id"))
-    return D.dashboard(manifest, gates.select("deck_id", "gate"), D.layout_mix(s).select("deck_id", "slides", "max_run"), parity)
+    return D.dashboard(manifest, reviews, parity)
 
 
 def caps(spark, sf):
@@ -313,7 +312,7 @@ def nearest_rect(spark, sf):
 
 @_query("WITH l AS (SELECT DISTINCT l_orderkey AS fig_id, CAST(l_suppkey % 2 AS VARCHAR) AS style, CAST(l_linenumber AS BIGINT) AS k FROM lineitem WHERE l_linenumber <= 8) SELECT fig_id, style, CAST(coalesce(max(k) FILTER (k = r), 0) AS INTEGER) AS run FROM (SELECT *, row_number() OVER (PARTITION BY fig_id, style ORDER BY k) AS r FROM l) GROUP BY fig_id, style")
 def panels(spark, sf):
-    letters = table(spark, sf, "lineitem").where("l_linenumber <= 8").select(F.col("l_orderkey").alias("fig_id"), (F.col("l_suppkey") % 2).cast("string").alias("style"), F.char((F.col("l_linenumber") + 96).cast("long")).alias("letter"))
+    letters = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("fig_id"), (F.col("l_suppkey") % 2).cast("string").alias("style"), F.char((F.col("l_linenumber") + 96).cast("long")).alias("letter"))
     return G.panel_runs(letters)
 
 
@@ -377,12 +376,16 @@ def title_match(spark, sf):
     return B.title_match(pairs).select("p_partkey", "matched")
 
 
-@_query("SELECT l_orderkey AS deck_id, CAST(l_linenumber AS BIGINT) AS slide, 'cell' AS field FROM lineitem WHERE l_quantity >= 10")
+NUMBERS = "SELECT l_orderkey AS deck_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS slide, CAST(CAST(l_quantity AS BIGINT) AS STRING) AS q FROM lineitem"
+
+
+@_query(f"SELECT deck_id, slide, 'cell' AS field FROM ({NUMBERS.replace('STRING', 'VARCHAR')}) WHERE length(q) > 1")
 def parity_text(spark, sf):
     """Every expected number stands on its slide only inside a longer one if it has two digits."""
-    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("deck_id"), F.col("l_linenumber").cast("long").alias("slide"), F.monotonically_increasing_id().alias("row"), F.col("l_quantity").cast("long").cast("string").alias("q"))
-    expected = li.select("deck_id", "slide", F.lit("cell").alias("field"), F.col("q").alias("text"), F.when(F.length("q") > 1, F.concat(F.lit("7"), "q")).otherwise(F.concat(F.lit("(=="), "q", F.lit("==)"))).alias("built"))
-    return expected.where(~H.contains_whole(H.normalised(F.col("built")), H.normalised(F.col("text")))).select("deck_id", "slide", "field")
+    rows = _sql(spark, sf, NUMBERS, "lineitem")
+    expected = rows.select("deck_id", "slide", F.lit("cell").alias("field"), F.col("q").alias("text"))
+    built = rows.select("deck_id", "slide", F.when(F.length("q") > 1, F.concat(F.lit("7"), "q")).otherwise(F.concat(F.lit("(=="), "q", F.lit("==)"))).alias("text"))
+    return P.text_parity(expected, built)
 
 
 @_query()

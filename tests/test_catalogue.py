@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from folioguard.plans import rules  # noqa: F401 (registers its queries)
+from folioguard.plans import extracts, rules  # noqa: F401 (they register their queries)
 from folioguard.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.01"
