@@ -14,8 +14,9 @@ Null and empty texts have all statistics zero and get a score like any other. La
 ignored; several labels of a document count by their mean. Equal texts have equal scores, and ties in the
 calibration fold count as one value, so scores do not depend on the order of rows. A null doc_id is held
 out. Without both labels among the rows to learn from, every score is the share of label 1 (0.5 without
-any). Repeated rows get a row each; of rows that repeat a labelled doc_id one is learned from, that with
-the smallest hash of its text. Columns of the input with clashing names are ignored.
+any). Repeated rows get a row each. Rows that repeat a labelled doc_id are all learned from, but for documents that
+repeat them so often that the bound would not hold (``labelled_sample``). Columns of the input with clashing
+names are ignored.
 """
 
 from __future__ import annotations
@@ -175,16 +176,17 @@ def fold(doc_id: str | Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
     """text, y, fold of about ``sample`` labelled rows at most, none of them held out.
 
-    The labels' sample is bounded by ``sample``, so it is broadcast. One row of each doc_id is taken, so the
-    bound holds however often documents repeat one; only the sample's own texts are shuffled for that.
+    The labels' sample is bounded by ``sample``, so it is broadcast and the texts are not shuffled. Where documents
+    repeat labelled doc_ids so often that over twice ``sample`` rows meet it, one row of each doc_id is taken.
     """
     y = labels.where(F.col(label).isNotNull() & (fold("doc_id") > 0)).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     n = y.count()
     if n > sample:
         y = y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
     met = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")
-    one = met.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
-    return one.select("t.text", "y", fold("doc_id").alias("fold"))
+    if met.select("doc_id").count() > 2 * sample:
+        met = met.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("t.text", "y", "doc_id")
+    return met.select("text", "y", fold("doc_id").alias("fold"))
 
 
 def _stat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from folioguard.llm.quality import FEATURES, GAMMA, N_STATS, RIDGE, calibrated, classify_quality, isotonic, op5_quality
+from folioguard.llm.quality import FEATURES, GAMMA, N_STATS, RIDGE, calibrated, classify_quality, isotonic, labelled_sample, op5_quality
 
 from .auc import auc
 
@@ -185,3 +185,11 @@ def test_order_of_rows(spark):
         assert all(len(v) == 1 for v in by_text.values())
     for other in seen[1:]:
         np.testing.assert_allclose(seen[0], other, atol=1e-7)
+
+
+def test_sample_is_bounded_however_ids_repeat(spark):
+    docs = spark.createDataFrame([(i % 20, f"text {i % 3}") for i in range(2000)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], LABELS)
+    few = labelled_sample(docs, labels, "quality", 50)
+    ids = sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(20))
+    assert few.count() == ids and labelled_sample(docs, labels, "quality", 5000).count() == 100 * ids
