@@ -10,11 +10,14 @@ make that exact and bounded:
 2. Segments whose minimizer occurs twice or more are collapsed to distinct ones and, whole
    minimizers together, form document collections of bounded size. Each collection's BWT and common
    prefixes are built column-wise: all segments are aligned at the minimizer, and each round
-   inserts one symbol of every segment, taking the order of the new suffixes from a stable sort
-   of the last round's order by that symbol and the common prefixes from range minima of the last
-   round's. Symbols, common prefixes and segment numbers are appended to external files in the
-   shared folder and read back front to back. As equal windows always stand in the same column,
-   suffixes of different columns need not be interleaved; the files hold the BWT by column.
+   inserts one symbol of every segment. A round reads the file that the last one wrote, front to back: the
+   BWT (the symbol before each suffix, in the order of suffixes), common prefixes and segment numbers. The
+   BWT decides: its stable partition by symbol is the order of the suffixes that begin one column
+   earlier, and range minima of the prefixes give theirs. The round writes the next file with the BWT of that column,
+   whose symbols come from files of the segments' own columns, read front to back as well. All files lie in the
+   shared folder; in memory are one column (a few bytes a segment) and the repeats found. As equal windows
+   always stand in the same column, suffixes of different columns need not be interleaved: a file is the part of the
+   collection's BWT that belongs to its column.
 3. Windows with a common prefix of ``width`` with a neighbour, or in a segment that occurs more
    than once, are repeated; their runs go back to the documents by join.
 
@@ -31,9 +34,11 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,8 +50,11 @@ WIDTH = 200
 K = 32
 #: Most distinct segments of one minimizer in a collection (about 60 MB); more are dealt out by window.
 HOT = 50_000
-#: Segments in a collection, but for the rest of its last minimizer.
-BATCH = 8192
+#: Segments in a collection, but for the rest of its last minimizer; a round's file has 8 bytes for each.
+BATCH = 32_768
+#: Segments in one file of columns, and entries that are read at a time.
+BLOCK = 4096
+PIECE = 1 << 16
 SLICE = 1 << 19
 SEGMENT = "doc_id long, tid long, start long, n int, lead int, key long, h long"
 
@@ -132,29 +140,28 @@ def _segment_batches(width: int):
     return run
 
 
-def _cut(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, dict, bytes]]:
-    """Row, segment and the segment's bytes for each asked for in the batch's column ``want``."""
+def _cut(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, pa.StructArray, np.ndarray, np.ndarray]]:
+    """Rows, segments, bytes and offsets of the segments in the batch's column ``want``, some thousands at a time."""
     data, at = buffers(batch.column("text"))
-    for i, want in enumerate(batch.column("want").to_pylist()):
-        for w in want:
-            a = int(at[i]) + w["start"]
-            yield i, w, data[a : a + w["n"] + width - 1].tobytes()
+    want = batch.column("want")
+    row, flat = np.repeat(np.arange(len(want)), pc.list_value_length(want).to_numpy()), want.flatten()
+    for k in range(0, len(flat), 4 * BLOCK):
+        part, r = flat.slice(k, 4 * BLOCK), row[k : k + 4 * BLOCK]
+        a = at[r] + part.field("start").to_numpy()
+        size = part.field("n").to_numpy() + width - 1
+        off = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        yield r, part, data[np.arange(off[-1]) + np.repeat(a - off[:-1], size)], off
 
 
 def _window_batches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, other = Rolling(31, SLICE), Rolling(41, SLICE)
+        rolling, other = Rolling(31, 1 << 22), Rolling(41, 1 << 22)
         for batch in batches:
-            parts = []
-            for i, w, s in _cut(batch, width):
-                x = np.frombuffer(s, np.uint8)
-                r = _windows(x, np.array([0, len(x)]), width, rolling, other)
-                parts.append((r[0] + i, r[1] + w["start"], *r[2:]))
-                if sum(len(v[0]) for v in parts) > 100_000:
-                    yield _rows(batch, parts)
-                    parts = []
-            if parts:
-                yield _rows(batch, parts)
+            for row, part, x, off in _cut(batch, width):
+                if len(x) >= len(rolling.power):
+                    rolling, other = Rolling(31, len(x)), Rolling(41, len(x))
+                r = _windows(x, off, width, rolling, other)
+                yield _rows(batch, [(row[r[0]], r[1] + part.field("start").to_numpy()[r[0]], *r[2:])])
 
     return run
 
@@ -162,123 +169,163 @@ def _window_batches(width: int):
 def _string_batches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(w["key"], w["h"], w["count"], w["n"], w["lead"], s) for _, w, s in _cut(batch, width)]
-            for k in range(0, len(out), 20_000):
-                cols = list(zip(*out[k : k + 20_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["key", "h", "count", "n", "lead", "s"])
+            for _, part, x, off in _cut(batch, width):
+                s = pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+                names = ("key", "h", "count", "n", "lead")
+                yield pa.RecordBatch.from_arrays([*(part.field(k) for k in names), s], names=[*names, "s"])
 
     return run
 
 
-def column_bwt(texts: list[bytes], leads: np.ndarray, width: int, sink) -> int:
-    """Insert one symbol of each text a round, from the last column to the first, and append to ``sink``.
+class Collection:
+    """A document collection in files of the shared folder, and the rounds that build its BWT column by column.
 
-    Texts stand so that their offset ``leads`` falls into one column. For each column, ``sink``
-    gets the preceding symbols, the common prefixes (``width`` at most) and the texts' numbers, all
-    in suffix order. Returns the number of columns. Symbols are byte + 1; 0 is no symbol.
+    Texts stand so that their offset ``lead`` falls into one column. Symbols are byte + 1; 0 is no symbol.
+    Files are written and read front to back; they are gone on exit.
     """
-    m, left = len(texts), int(leads.max())
-    columns = left + max(len(t) - int(k) for t, k in zip(texts, leads, strict=True))
-    x = np.zeros((m, columns), np.uint16)
-    for i, (t, k) in enumerate(zip(texts, leads, strict=True)):
-        x[i, left - k : left - k + len(t)] = np.frombuffer(t, np.uint8)
-        x[i, left - k : left - k + len(t)] += 1
-    x = np.ascontiguousarray(x.T)
-    order, lcp = np.arange(m), np.zeros(m, np.int16)
-    levels = max(1, int(m - 1).bit_length())
-    for c in range(columns - 1, -1, -1):
-        symbol = x[c][order]
-        perm = np.argsort(symbol, kind="stable")
-        symbol = symbol[perm]
-        # Range minima of the last round's common prefixes, over (perm[i - 1], perm[i]].
-        table = [lcp]
-        for k in range(1, levels):
-            low = table[-1]
-            table.append(np.minimum(low[: max(0, len(low) - (1 << (k - 1)))], low[1 << (k - 1) :]))
-        new = np.zeros(m, np.int16)
-        same = np.flatnonzero((symbol[1:] == symbol[:-1]) & (symbol[1:] > 0)) + 1
-        if len(same):
-            a, b = perm[same - 1] + 1, perm[same] + 1
-            level = np.frexp((b - a).astype(np.float64))[1] - 1
-            for k in np.unique(level):
-                at = np.flatnonzero(level == k)
-                low = table[k]
-                new[same[at]] = np.minimum(low[a[at]], low[b[at] - (1 << int(k))])
-            new[same] = np.minimum(new[same] + 1, width)
-        order, lcp = order[perm], new
-        sink(x[c - 1][order] if c else np.zeros(m, np.uint16), lcp, order)
-    return columns
-
-
-class ExternalFiles:
-    """Three files in the shared folder, written and read front to back; gone on exit."""
-
-    def __init__(self, folder: str):
+
+    def __init__(self, folder: str, width: int):
         self.fs, path = fs.FileSystem.from_uri(folder)
-        self.path = f"{path}/{uuid.uuid4().hex}"
+        self.path, self.width = f"{path}/{uuid.uuid4().hex}", width
+        self.left, self.columns = width - K, 2 * width - K
+        self.blocks: list[int] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
 
     def __enter__(self):
         self.fs.create_dir(self.path, recursive=True)
-        self.out = [self.fs.open_output_stream(f"{self.path}/{k}") for k in ("bwt", "lcp", "text")]
         return self
 
-    def append(self, bwt: np.ndarray, lcp: np.ndarray, order: np.ndarray) -> None:
-        for f, v in zip(self.out, (bwt, lcp, order.astype(np.int32)), strict=True):
-            f.write(v.tobytes())
-
-    def columns(self, m: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Common prefixes and text numbers of each column, in the order of writing."""
-        for f in self.out:
-            f.close()
-        with self.fs.open_input_stream(f"{self.path}/lcp") as lcp, self.fs.open_input_stream(f"{self.path}/text") as text:
-            while part := lcp.read(2 * m):
-                yield np.frombuffer(part, np.int16), np.frombuffer(text.read(4 * m), np.int32)
-
     def __exit__(self, *_):
-        for f in self.out:
-            f.close()
         self.fs.delete_dir(self.path)
 
-
-def repeated_starts(texts: list[bytes], leads: np.ndarray, n: np.ndarray, count: np.ndarray, width: int, folder: str) -> np.ndarray:
-    """For each text, which of its first ``n`` windows occur elsewhere in the collection (m x max n booleans)."""
-    m = len(texts)
-    found = np.zeros((m, int(n.max())), bool)
-    with ExternalFiles(folder) as files:
-        columns = column_bwt(texts, leads, width, files.append)
-        for r, (lcp, order) in enumerate(files.columns(m)):
-            full = lcp >= width
-            twice = full | np.concatenate((full[1:], [False])) | (count[order] > 1)
-            start = columns - 1 - r - (int(leads.max()) - leads[order])
-            ok = twice & (start >= 0) & (start < n[order])
-            found[order[ok], start[ok]] = True
-    return found
+    def __len__(self) -> int:
+        return sum(self.blocks)
+
+    def add(self, info: tuple[np.ndarray, ...], data: np.ndarray, at: np.ndarray) -> None:
+        """Texts with their ``info`` (key, h, count, n, lead); their symbols go to files of columns, the last column first."""
+        for i in range(0, len(at) - 1, BLOCK):
+            j = min(i + BLOCK, len(at) - 1)
+            part = tuple(v[i:j] for v in info)
+            size = np.diff(at[i : j + 1])
+            row = np.repeat(np.arange(j - i), size)
+            column = self.left - part[4][row] + np.arange(at[j] - at[i]) - (at[i:j] - at[i])[row]
+            x = np.zeros((self.columns, j - i), np.uint16)
+            x[self.columns - 1 - column, row] = data[at[i] : at[j]].astype(np.uint16) + 1
+            with self.fs.open_output_stream(f"{self.path}/columns{len(self.blocks)}") as out:
+                out.write(x.tobytes())
+            self.blocks.append(j - i)
+            self.parts.append(part)
+
+    def _write(self, c: int, bwt: np.ndarray, lcp: np.ndarray, text: np.ndarray) -> None:
+        with self.fs.open_output_stream(f"{self.path}/bwt{c}") as out:
+            for i in range(0, len(bwt), PIECE):
+                for v, t in ((bwt, np.uint16), (lcp, np.int16), (text, np.int32)):
+                    out.write(v[i : i + PIECE].astype(t).tobytes())
+
+    def _read(self, c: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts, left = [], len(self)
+        with self.fs.open_input_stream(f"{self.path}/bwt{c}") as f:
+            while left:
+                n = min(left, PIECE)
+                parts.append([np.frombuffer(f.read(n * np.dtype(t).itemsize), t) for t in (np.uint16, np.int16, np.int32)])
+                left -= n
+        self.fs.delete_file(f"{self.path}/bwt{c}")
+        return tuple(np.concatenate(v) for v in zip(*parts, strict=True))
+
+    def rounds(self, first: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each column from the last to ``first``: its number, and the common prefixes (``width`` at most) and texts of its suffixes, in their order."""
+        m = len(self)
+        streams = [self.fs.open_input_stream(f"{self.path}/columns{k}") for k in range(len(self.blocks))]
+        column = lambda: np.concatenate([np.frombuffer(f.read(2 * n), np.uint16) for f, n in zip(streams, self.blocks, strict=True)])
+        try:
+            self._write(self.columns, column(), np.zeros(m, np.int16), np.arange(m))
+            for c in range(self.columns - 1, first - 1, -1):
+                symbol, lcp, text = self._read(c + 1)
+                before = column() if c else np.zeros(m, np.uint16)
+                perm = np.argsort(symbol, kind="stable")
+                lcp, text = _prefixes(symbol[perm], perm, lcp, self.width), text[perm]
+                self._write(c, before[text], lcp, text)
+                yield c, lcp, text
+        finally:
+            for f in streams:
+                f.close()
+
+    def repeats(self) -> pa.RecordBatch:
+        """key, h and runs of repeated windows (struct<a, b>, b exclusive) of each text that has any.
+
+        Columns come from the last on, so a text's runs are open until a window that is not repeated closes them.
+        """
+        key, h, count, n, lead = (np.concatenate(v) for v in zip(*self.parts, strict=True))
+        end, out = np.full(len(self), -1), []
+        first = self.left - int(lead.max())
+        for c, lcp, text in self.rounds(first):
+            full = lcp >= self.width
+            twice = full | np.concatenate((full[1:], [False])) | (count[text] > 1)
+            start = c - self.left + lead
+            flag = np.zeros(len(end), bool)
+            flag[text[twice]] = True
+            flag &= (start >= 0) & (start < n)
+            done = np.flatnonzero(~flag & (end >= 0))
+            out.append((done, start[done] + 1, end[done]))
+            end[done] = -1
+            new = flag & (end < 0)
+            end[new] = start[new] + 1
+        done = np.flatnonzero(end >= 0)
+        out.append((done, first - self.left + lead[done], end[done]))
+        row, a, b = (np.concatenate(v) for v in zip(*out, strict=True))
+        order = np.lexsort((a, row))
+        row, a, b = row[order], a[order], b[order]
+        at = np.searchsorted(row, np.arange(len(end) + 1))
+        runs = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["a", "b"]))
+        once = np.zeros(len(end), bool)
+        once[np.unique(np.stack((key, h)), axis=1, return_index=True)[1]] = True  # repeated rows of the input bring a segment again
+        batch = pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(h, pa.int64()), runs], names=["key", "h", "runs"])
+        return batch.filter(pa.array(once & (np.diff(at) > 0)))
+
+
+def _prefixes(symbol: np.ndarray, perm: np.ndarray, lcp: np.ndarray, width: int) -> np.ndarray:
+    """Common prefixes of neighbours after the stable partition ``perm``: one more than the least of the last round's between them."""
+    m = len(symbol)
+    new = np.zeros(m, np.int16)
+    same = np.flatnonzero((symbol[1:] == symbol[:-1]) & (symbol[1:] > 0)) + 1
+    if not len(same):
+        return new
+    a, b = perm[same - 1] + 1, perm[same] + 1
+    level = np.frexp((b - a).astype(np.float64))[1] - 1
+    low = lcp
+    for k in range(int(level.max()) + 1):
+        if k:
+            low = np.minimum(low[: len(low) - (1 << (k - 1))], low[1 << (k - 1) :])
+        at = np.flatnonzero(level == k)
+        new[same[at]] = np.minimum(low[a[at]], low[b[at] - (1 << k)])
+    new[same] = np.minimum(new[same] + 1, width)
+    return new
 
 
 def _repeat_batches(width: int, folder: str, most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def flush(rows: list[tuple]) -> pa.RecordBatch:
-            rows = list({(r[0], r[1]): r for r in rows}.values())  # repeated rows of the input bring a segment again
-            key, h, count, n, lead, s = zip(*rows, strict=True)
-            found = repeated_starts(list(s), np.array(lead), np.array(n), np.array(count), width, folder)
-            flat = np.concatenate((np.zeros((len(rows), 1), bool), found, np.zeros((len(rows), 1), bool)), axis=1)
-            row, edge = np.nonzero(flat[:, 1:] != flat[:, :-1])
-            row, a, b = row[::2], edge[::2], edge[1::2]
-            out = np.searchsorted(row, np.arange(len(rows) + 1))
-            runs = pa.ListArray.from_arrays(pa.array(out, pa.int32()), pa.StructArray.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["a", "b"]))
-            batch = pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(h, pa.int64()), runs], names=["key", "h", "runs"])
-            return batch.filter(pa.array(np.diff(out) > 0))
+    """Whole minimizers together, of about ``most`` segments, form a collection; the input is sorted by key."""
 
-        for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(held) >= most and r[0] != held[-1][0]:
-                    yield flush(held)
-                    held = []
-                held.append(r)
-        if held:
-            yield flush(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with ExitStack() as stack:
+            held, last = None, None
+            for batch in batches:
+                key, h, count, n, lead = (batch.column(k).to_numpy() for k in ("key", "h", "count", "n", "lead"))
+                data, at = buffers(batch.column("s"))
+                i = 0
+                while i < len(key):
+                    if held is not None and len(held) >= most and key[i] != last:
+                        yield held.repeats()
+                        stack.close()
+                        held = None
+                    if held is None:
+                        held = stack.enter_context(Collection(folder, width))
+                    # Up to the bound, and then to the end of the minimizer.
+                    j = min(len(key), i + max(1, most - len(held)))
+                    j += int(np.argmax(np.append(key[j:] != key[j - 1], True)))
+                    held.add(tuple(v[i:j] for v in (key, h, count, n, lead)), data, at[i : j + 1])
+                    last, i = key[j - 1], j
+            if held is not None:
+                yield held.repeats()
 
     return run
 

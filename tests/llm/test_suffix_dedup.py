@@ -2,9 +2,10 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from folioguard.llm.suffix_dedup import op1_suffix_dedup, substring_dedup
+from folioguard.llm.suffix_dedup import SLICE, Collection, op1_suffix_dedup, substring_dedup
 
 
 def brute(rows, width):
@@ -43,6 +44,47 @@ def test_against_brute_force(spark, hot, batch, width):
     assert sum(x[2] for x in got) > 1000
 
 
+def test_long_texts(spark):
+    """Texts of over half a megabyte are cut with overlap."""
+    r = random.Random(2)
+    noise = lambda n: "".join(r.choices("abcdefghijklmnop ", k=n))
+    shared, late = noise(700), noise(300)
+    long = noise(520_000) + shared + noise(4_000) + late + noise(300_000) + shared[100:500] + "é" * 90 + noise(200)
+    rows = [(1, long), (2, noise(50) + late), (3, noise(SLICE - 150) + shared[:260]), (4, long[SLICE - 300 : SLICE + 300])]
+    got = sorted((tuple(x) for x in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 96).collect()), key=str)
+    assert got == brute(rows, 96)
+    assert all(x[2] > 200 for x in got)
+
+
+def test_rounds_against_sorted_suffixes(tmp_path):
+    """Each round's order and common prefixes are those of the suffixes, and its file's BWT the symbols before them."""
+    r, width = random.Random(3), 64
+    texts = [bytes(r.choices(b"ab", k=r.randint(64, 96))) for _ in range(70)] + [b"a" * 64, b"a" * 80, b"a" * 64]
+    lead = np.array([r.randint(len(t) - 64, 32) for t in texts])
+    at = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    none = np.zeros(len(texts), np.int64)
+    with Collection("file://" + str(tmp_path), width) as c:
+        c.add((none, np.arange(len(texts)), none, none, lead), np.frombuffer(b"".join(texts), np.uint8), at)
+        seen = 0
+        for column, lcp, text in c.rounds():
+            own = [texts[k][max(0, column - c.left + lead[k]) :] if column >= c.left - lead[k] else b"" for k in text]
+            starts = column - c.left + lead[text]
+            real = [s if p >= 0 else None for s, p in zip(own, starts)]
+            some = [s for s in real if s]
+            assert some == sorted(some)
+            for i in range(1, len(real)):
+                if real[i] and real[i - 1]:
+                    k = next((k for k, (x, y) in enumerate(zip(real[i - 1], real[i])) if x != y), min(len(real[i - 1]), len(real[i])))
+                    assert lcp[i] == min(k, width)
+            data = (tmp_path / next(p.name for p in tmp_path.iterdir()) / f"bwt{column}").read_bytes()
+            bwt = np.frombuffer(data[: 2 * len(texts)], np.uint16)
+            for s, k, p in zip(bwt, text, starts):
+                assert s == (texts[k][p - 1] + 1 if 0 < p <= len(texts[k]) else 0)
+            seen += len(some)
+        assert seen == sum(map(len, texts))
+    assert not list(tmp_path.iterdir())
+
+
 def test_empty_table(spark):
     assert substring_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
