@@ -15,6 +15,14 @@ EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
 CJK = r"[\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}]"
 CJK_MARKS = r"[\x{3000}-\x{303F}\x{FF00}-\x{FFEF}]"
 LATIN_WORD = r"[A-Za-z0-9][A-Za-z0-9'’\-]*"
+NUMBER = r"\d+(?:\.\d+)?"
+CITED = r"\[([0-9][0-9,\-\s]*)\]"
+HEADING = r"^\s*#{1,6}\s+(.+?)\s*$"
+MATH = r"\$\$([\s\S]+?)\$\$|\$([^$\n]+?)\$"
+DATA_LAYOUT = 'data-layout="([^"]+)"'
+IMAGE_SOURCE = '<img[^>]+src="([^"]+)"'
+KATEX = r'<span class="katex[\s\S]*?</span></span>'
+SHOWN_MATH = r"\$[^$\n]{1,80}\$"
 HTML_PLACEHOLDERS = ("presenter", "presenters", "date", "name", "author", "authors", "venue", "affiliation", "institute", "email", "todo", "tbd", "placeholder", "your name", "主讲人", "日期", "姓名", "单位", "汇报人")
 
 
@@ -24,7 +32,7 @@ def map_superscripts(s: Column) -> Column:
 
 def number_tokens(s: Column) -> Column:
     """Runs of digits with an optional fraction, superscripts read as digits."""
-    return F.regexp_extract_all(map_superscripts(F.coalesce(s, F.lit(""))), F.lit(r"\d+(?:\.\d+)?"), 0)
+    return F.regexp_extract_all(map_superscripts(F.coalesce(s, F.lit(""))), F.lit(NUMBER), 0)
 
 
 def rejoin_decimals(s: Column) -> Column:
@@ -50,7 +58,7 @@ def render_emphasis(escaped: Column) -> Column:
 
 def math_segments(s: Column) -> Column:
     """array<struct<kind, text>> of prose, inline ($..$, one line) and display ($$..$$) parts in order; empty prose is left out."""
-    cut = F.regexp_replace(F.coalesce(s, F.lit("")), r"\$\$([\s\S]+?)\$\$|\$([^$\n]+?)\$", "\x00d$1\x01$2\x00")
+    cut = F.regexp_replace(F.coalesce(s, F.lit("")), MATH, "\x00d$1\x01$2\x00")
     parts = F.split(cut, "\x00")
 
     def segment(p: Column, i: Column) -> Column:
@@ -126,7 +134,7 @@ def citation_numbers(line: Column) -> Column:
 
     Numbers of over 18 digits are no BIGINT; they are left out, and the others of their bracket stay.
     """
-    brackets = F.regexp_extract_all(line, F.lit(r"\[([0-9][0-9,\-\s]*)\]"), 1)
+    brackets = F.regexp_extract_all(line, F.lit(CITED), 1)
 
     def part(p: Column) -> Column:
         p = F.trim(p)
@@ -156,7 +164,7 @@ def author_tokens(entry: Column) -> Column:
 
 def heading(line: Column) -> Column:
     """Text of a Markdown heading without closing marks; null if the line is none."""
-    text = F.regexp_extract(line, r"^\s*#{1,6}\s+(.+?)\s*$", 1)
+    text = F.regexp_extract(line, HEADING, 1)
     return F.when(text != "", F.trim(F.regexp_replace(text, r"^[：: .]+|[：: .]+$", "")))
 
 
@@ -238,11 +246,11 @@ def arxiv_id(text: Column, stamp_only: bool = False) -> Column:
 
 # Static checks on built HTML.
 def data_layouts(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit('data-layout="([^"]+)"'), 1)
+    return F.regexp_extract_all(html, F.lit(DATA_LAYOUT), 1)
 
 
 def image_sources(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit('<img[^>]+src="([^"]+)"'), 1)
+    return F.regexp_extract_all(html, F.lit(IMAGE_SOURCE), 1)
 
 
 def katex_errors(html: Column) -> Column:
@@ -250,8 +258,8 @@ def katex_errors(html: Column) -> Column:
 
 
 def unrendered_math(html: Column) -> Column:
-    plain = F.regexp_replace(F.regexp_replace(html, r'<span class="katex[\s\S]*?</span></span>', ""), "<[^>]+>", " ")
-    return F.regexp_extract_all(plain, F.lit(r"\$[^$\n]{1,80}\$"), 0)
+    plain = F.regexp_replace(F.regexp_replace(html, KATEX, ""), "<[^>]+>", " ")
+    return F.regexp_extract_all(plain, F.lit(SHOWN_MATH), 0)
 
 
 def html_placeholders(html: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from folioguard.functions import text as H
 
+# Ids, and the fields that hold a year.
 ARXIV = r"(?i)^(?:arxiv:)?(\d{4}\.\d{4,5})(?:v\d+)?$"
 DOI = r"(?i)^(?:doi:)?(10\.\d{4,9}/\S+)$"
 #: The first of these that has a year decides.
@@ -47,14 +48,15 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def title_match(pairs: DataFrame, threshold: float = 0.95) -> DataFrame:
     """``pairs`` (query, result) with matched: equal, a prefix of 15 characters or more, or a high ratio.
 
-    The ratio runs only where the cheap rules leave it open.
+    The ratio runs only where the cheap rules leave it open and the lengths allow it: it is twice the matching characters
+    over all of them, and no more than the shorter text can match.
     """
     a, b = H.normalised_title(F.col("query")), H.normalised_title(F.col("result"))
     rows = pairs.withColumns({"a": a, "b": b})
     short, long = F.when(F.length("a") <= F.length("b"), F.col("a")).otherwise(F.col("b")), F.when(F.length("a") <= F.length("b"), F.col("b")).otherwise(F.col("a"))
     some = (F.col("a") != "") & (F.col("b") != "")
     plain = some & ((F.col("a") == F.col("b")) | ((F.length(short) >= 15) & F.startswith(long, short)))
-    rows = rows.withColumn("plain", plain).withColumn("open", some & ~plain)
+    rows = rows.withColumn("plain", plain).withColumn("open", some & ~plain & (2 * F.length(short) >= threshold * (F.length("a") + F.length("b"))))
     ratio = sequence_ratio(F.when(F.col("open"), F.col("a")), F.when(F.col("open"), F.col("b")))
     return rows.withColumn("ratio", ratio).withColumn("matched", F.col("plain") | F.coalesce(F.col("ratio") >= threshold, F.lit(False))).drop("a", "b", "plain", "open", "ratio")
 

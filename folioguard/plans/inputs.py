@@ -38,8 +38,8 @@ SOURCES = "SELECT o_orderkey AS deck_id, concat('Orders of ', CAST(o_custkey AS
 #: Boxes: one caption per order and one rect per line of it, on a page of 800 x 1000.
 CAPTIONS = """
 SELECT o_orderkey AS page_id, o_orderkey AS caption_id, CASE WHEN o_custkey % 3 = 0 THEN 'table' ELSE 'figure' END AS kind,
-  100.0D0 AS x0, CAST(400 + o_custkey % 200 AS DOUBLE) AS y0, 500.0D0 AS x1, CAST(420 + o_custkey % 200 AS DOUBLE) AS y1, 1000.0D0 AS page_h FROM orders
-""".replace("100.0D0", "CAST(100 AS DOUBLE)").replace("500.0D0", "CAST(500 AS DOUBLE)").replace("1000.0D0", "CAST(1000 AS DOUBLE)")
+  CAST(100 AS DOUBLE) AS x0, CAST(400 + o_custkey % 200 AS DOUBLE) AS y0, CAST(500 AS DOUBLE) AS x1, CAST(420 + o_custkey % 200 AS DOUBLE) AS y1, CAST(1000 AS DOUBLE) AS page_h FROM orders
+"""
 RECTS = """
 SELECT l_orderkey AS page_id, CAST(l_suppkey % 7 * 60 AS DOUBLE) AS x0, CAST(l_partkey % 20 * 50 AS DOUBLE) AS y0,
   CAST(l_suppkey % 7 * 60 + 80 + l_quantity AS DOUBLE) AS x1, CAST(l_partkey % 20 * 50 + 20 + l_quantity AS DOUBLE) AS y1, CAST(1000 AS DOUBLE) AS page_h, l_quantity / 4 AS size FROM lineitem

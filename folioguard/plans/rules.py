@@ -43,7 +43,7 @@ def crowded_brackets(spark, sf):
     return P.crowded_brackets(_sql(spark, sf, BODY, "lineitem"))
 
 
-AUTHORS = "SELECT l_partkey AS k, l_orderkey * 10 + l_linenumber AS record_id, CASE l_suppkey % 4 WHEN 0 THEN 'Zhang H,Wang L,Chen Y,Liu Q' WHEN 1 THEN 'Zhang H,Wang L,Chen Y' WHEN 2 THEN 'Smith J,Johnson A,Williams M,Okonkwo D' ELSE 'Patel R,kumar A,Singh P,Sharma N' END AS who FROM lineitem"
+AUTHORS = "SELECT l_partkey AS k, l_orderkey * 10 + l_linenumber AS record_id, CASE l_suppkey % 6 WHEN 0 THEN 'Zhang H,Wang L,Chen Y,Liu Q' WHEN 1 THEN 'Zhang H,Wang L,Chen Y' WHEN 4 THEN 'Zhang H,Smith J,Patel R,Sato K' WHEN 5 THEN 'Zhang H,Wang L,Chen Y,Smith J' WHEN 2 THEN 'Smith J,Johnson A,Williams M,Okonkwo D' ELSE 'Patel R,kumar A,Singh P,Sharma N' END AS who FROM lineitem"
 
 
 @_query(f"SELECT record_id FROM ({AUTHORS}) WHERE who LIKE 'Zhang%Liu Q' OR who LIKE 'Patel%'")
@@ -222,10 +222,10 @@ def paragraph_lengths(spark, sf):
     return P.paragraph_lengths(_sql(spark, sf, PARAGRAPHS, "orders"))
 
 
-DIGESTS = "SELECT o_orderkey AS paper_id, concat('{\"problem\": \"', CASE WHEN o_custkey % 2 = 0 THEN 'p' ELSE ' ' END, '\", \"gap\": \"g\", \"thesis_claim\": \"t\", \"contributions\": [1], \"method\": {\"one_idea\": \"m\"}, \"results\": {\"key_metrics\": []}, \"ablations\": [1], \"asset_inventory\": [1], \"limitations\": ', CASE WHEN o_custkey % 3 = 0 THEN '[]' ELSE '[\"l\"]' END, ', \"language\": \"en\", \"notes_flags\": [', CASE WHEN o_custkey % 5 = 0 THEN '\"[MISSING problem]\"' ELSE '' END, ']}') AS digest FROM orders"
+DIGESTS = "SELECT o_orderkey AS paper_id, concat('{\"problem\": \"', CASE WHEN o_custkey % 2 = 0 THEN 'p' ELSE ' ' END, '\", \"gap\": \"g\", \"thesis_claim\": \"t\", \"contributions\": [1], \"method\": {\"one_idea\": \"m\"}, \"results\": {\"key_metrics\": []}, \"ablations\": [1], \"asset_inventory\": [1], \"limitations\": ', CASE WHEN o_custkey % 3 = 0 THEN '[]' ELSE '[\"l\"]' END, ', \"language\": \"en\", \"notes_flags\": [', CASE o_custkey % 5 WHEN 0 THEN '\"[MISSING: problem]\", \"[UNVERIFIED problems]\"' WHEN 1 THEN '\"[MISSING limitations in sec. 5]\"' WHEN 2 THEN '\"limitations\"' ELSE '' END, ']}') AS digest FROM orders"
 
 
-@_query("SELECT o_orderkey AS paper_id, unnest(list_filter(['bibliography', CASE WHEN o_custkey % 2 = 1 THEN 'problem' END, CASE WHEN o_custkey % 3 = 0 THEN 'limitations' END], lambda x: x IS NOT NULL)) AS key FROM orders WHERE o_custkey % 5 > 0")
+@_query("SELECT o_orderkey AS paper_id, unnest(list_filter(['bibliography', CASE WHEN o_custkey % 2 = 1 AND o_custkey % 5 > 0 THEN 'problem' END, CASE WHEN o_custkey % 3 = 0 AND o_custkey % 5 <> 1 THEN 'limitations' END], lambda x: x IS NOT NULL)) AS key FROM orders")
 def digest_gaps(spark, sf):
     return P.digest_gaps(_sql(spark, sf, DIGESTS, "orders"))
 
@@ -248,9 +248,14 @@ def chart_series(spark, sf):
     return C.chart_series(_charts(spark, sf)).withColumn("n_values", F.size("values").cast("long")).drop("values")
 
 
-@_query(f"SELECT chart_id, CAST(0 AS INTEGER) AS rotation, n * (c + 1) <= 12 AS labelled FROM ({SERIES})")
+# Categories from none to eleven, with labels of up to sixteen characters.
+TICKS = "SELECT o_orderkey AS chart_id, o_custkey % 12 AS c, o_custkey % 17 AS w, o_custkey % 4 + 1 AS n FROM orders"
+
+
+@_query(f"SELECT chart_id, CAST(CASE WHEN c > 8 OR (c > 0 AND w > 14) THEN 15 ELSE 0 END AS INTEGER) AS rotation, n * c <= 12 AS labelled FROM ({TICKS})")
 def chart_labels(spark, sf):
-    return _charts(spark, sf).select("chart_id", C.tick_rotation(F.col("categories")).alias("rotation"), C.labels_bars(F.col("series"), F.col("categories")).alias("labelled"))
+    rows = _sql(spark, sf, TICKS, "orders").select("chart_id", F.array_repeat(F.expr("repeat('x', CAST(w AS INT))"), F.col("c").cast("int")).alias("categories"), F.array_repeat("n", F.col("n").cast("int")).alias("series"))
+    return rows.select("chart_id", C.tick_rotation(F.col("categories")).alias("rotation"), C.labels_bars(F.col("series"), F.col("categories")).alias("labelled"))
 
 
 SPANS = "SELECT l_orderkey AS page_id, CASE WHEN l_partkey % 3 = 0 THEN ' a ' WHEN l_partkey % 3 = 1 THEN 'word' ELSE '  ' END AS text, 'f' AS font, CAST(l_quantity % 4 AS DOUBLE) AS size, CAST(l_suppkey % 9 AS DOUBLE) AS x0, CAST(l_partkey % 70 AS DOUBLE) AS y0, CAST(l_suppkey % 9 + l_quantity AS DOUBLE) AS x1, CAST(l_partkey % 70 + l_linenumber - 1 AS DOUBLE) AS y1, CAST(50 AS DOUBLE) AS page_w, l_suppkey % 2 AS type FROM lineitem"
