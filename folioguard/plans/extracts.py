@@ -11,9 +11,11 @@ from folioguard.operators import geometry as G
 from folioguard.operators import manuscript as M
 from folioguard.operators import parity as P
 from folioguard.operators import protocol as R
+from folioguard.operators import reports as W
 from folioguard.operators import tables as T
 from folioguard.plans import catalogue as C
 from folioguard.plans.catalogue import _query, _sql
+from folioguard.sources import extracted as X
 from folioguard.sources import readers
 from folioguard.sources.readers import table
 
@@ -243,3 +245,49 @@ def size_rules(spark, sf):
 @_query(f"SELECT kind, count(*) AS queries, count(*) FILTER (resolved) AS resolved FROM ({C.ORACLES['bib_resolve']}) GROUP BY kind")
 def resolved_counts(spark, sf):
     return B.resolved_counts(C.bib_resolve(spark, sf))
+
+
+PLACE = "list_position([" + ", ".join(f"'{c}'" for c in W.SCANNERS) + "], category)"
+
+
+@_query(C.ALL + f""", g AS (SELECT doc_id, string_agg(concat('{{"severity":"', severity, '","category":"', category, '","line_no":', line_no, ',"detail":"', detail, '"}}'), ',' ORDER BY {PLACE}, line_no, detail) AS items FROM f GROUP BY doc_id),
+c AS (SELECT doc_id, string_agg(concat('"', severity, '":', n), ',' ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END) AS summary FROM (SELECT doc_id, severity, count(*) AS n FROM f GROUP BY ALL) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS refs FROM refs GROUP BY doc_id)
+SELECT d.doc_id, concat('{{"file":', d.doc_id, ',"reference_count":', coalesce(refs, 0), ',"findings":[', coalesce(items, ''), '],"summary":{{', coalesce(summary, ''), '}}}}') AS report FROM (SELECT DISTINCT doc_id FROM lines) d LEFT JOIN g USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""")
+def audit_json(spark, sf):
+    lines, zoned, refs = C.lines(spark, sf), *C._parts(spark, sf)[:2]
+    return W.audit_documents(lines, M.audit(lines), refs)
+
+
+@_query(C.GATE + " SELECT deck_id, CASE gate WHEN 'BLOCK' THEN 2 WHEN 'REVIEW' THEN 1 ELSE 0 END AS status, concat('{\"p0\":', p0, ',\"p1\":', p1, ',\"p2\":', p2, ',\"p3\":', p3, '}') AS summary, p0 + p1 + p2 + p3 AS findings FROM gates")
+def review_json(spark, sf):
+    rows = W.review_documents(D.gated(D.deck_reviews(C.slides(spark, sf), C.sources(spark, sf))))
+    n = F.size(F.from_json(F.get_json_object("report", "$.findings"), "array<string>")).cast("long")
+    return rows.select("deck_id", "status", F.get_json_object("report", "$.summary").alias("summary"), n.alias("findings"))
+
+
+@_query("SELECT o_orderkey AS query, CASE WHEN o_custkey % 3 > 0 THEN concat('  [ok]  k', o_custkey, ': Ref.') ELSE concat('  [UNVERIFIED] ', o_orderkey) END AS line FROM orders")
+def reference_lines(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("query"), (F.col("o_custkey") % 3 > 0).alias("resolved"), F.concat(F.lit("k"), "o_custkey").alias("key"), F.lit("Ref.").alias("reference"))
+    return W.reference_lines(rows).withColumn("query", F.col("query").cast("long"))
+
+
+PAGED = "SELECT o_orderkey AS doc_id, k AS page, CASE WHEN k = 1 AND o_custkey % 3 = 0 THEN concat('arXiv:2101.', CAST(10000 + o_custkey AS STRING), 'v1 [cs] Jan') WHEN k = 2 THEN 'cites arXiv:1999.99999 [x]' WHEN k = 1 THEN concat('Page of ', CAST(o_custkey AS STRING)) END AS text FROM orders CROSS JOIN (SELECT 3 AS k UNION ALL SELECT 1 AS k UNION ALL SELECT 2 AS k) t WHERE k <= o_custkey % 4"
+
+
+def ingests(spark, sf):
+    meta = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("T"), "o_custkey")).otherwise("").alias("title"))
+    return X.ingest_of(_sql(spark, sf, PAGED, "orders"), meta)
+
+
+INGESTS = f"SELECT doc_id, n_pages, full_text, CASE WHEN o_custkey % 2 = 0 THEN concat('T', o_custkey) END AS title, CASE WHEN o_custkey % 3 = 0 THEN concat('2101.', 10000 + o_custkey) END AS arxiv_id FROM (SELECT doc_id, count(*) AS n_pages, string_agg(coalesce(text, ''), chr(10) ORDER BY page) AS full_text FROM ({PAGED.replace('STRING', 'VARCHAR')}) GROUP BY doc_id) JOIN orders ON o_orderkey = doc_id"
+
+
+@_query(INGESTS)
+def ingest_documents(spark, sf):
+    return ingests(spark, sf)
+
+
+@_query(f"""SELECT i.doc_id, concat('{{"doc_id":', i.doc_id, ',"n_pages":', n_pages, ',"title":', coalesce('"' || title || '"', 'null'), ',"arxiv_id":', coalesce('"' || arxiv_id || '"', 'null'), ',"n_figures":', coalesce(n_figures, 0), ',"n_tables":', coalesce(n_tables, 0), ',"n_localized":', coalesce(n_localized, 0), ',"n_flagged":', coalesce(n_flagged, 0), '}}') AS manifest FROM ({INGESTS}) i LEFT JOIN ({C.ORACLES.get('bundle_counts', '')}) b ON b.doc_id = i.doc_id""")
+def bundle_manifests(spark, sf):
+    return W.bundles(ingests(spark, sf), G.bundle_counts(C.inventory_best(spark, sf)))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioguard.functions import text as H
+
 BOX = ("x0", "y0", "x1", "y1")
 # Captions at the start of a line, with continuation lines.
 _REST = r"[.:\s]+([^\n]+(?:\n(?![A-Z]{2,}|\d+\.|Fig|Table)[^\n]+)*)"
@@ -16,6 +18,16 @@ UPPER_CAPTION = r"(?:^|\n)\s*FIGURE\s+(\d+)" + _REST
 TABLE_CAPTION = r"(?i)(?:^|\n)\s*Table\s+([IVXLCDM\d]+)" + _REST
 
 
+def ingest_of(pages: DataFrame, meta: DataFrame) -> DataFrame:
+    """doc_id, n_pages, full_text, title, arxiv_id of pages (doc_id, page, text) and meta (doc_id, title).
+
+    The id is the stamp of the first page; others may be those of cited papers. An empty title is none.
+    """
+    texts = F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text"))))
+    rows = pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"), texts.alias("p")).join(meta.select("doc_id", F.nullif("title", F.lit("")).alias("title")), "doc_id", "left")
+    return rows.select("doc_id", "n_pages", F.array_join("p.text", "\n").alias("full_text"), "title", H.arxiv_id(F.get("p.text", 0), True).alias("arxiv_id"))
+
+
 def page_blocks(blocks: DataFrame) -> DataFrame:
     """page_id, text, box of text blocks (page_id, type, spans: array<string>, x0, y0, x1, y1); type 0 is text, blank ones go."""
     rows = blocks.where(F.coalesce("type", F.lit(0)) == 0).withColumn("text", F.array_join("spans", " "))
