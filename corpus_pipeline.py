@@ -37,13 +37,14 @@ def _keep(docs: DataFrame, kept: DataFrame, once: bool = True) -> DataFrame:
     """
     bare = F.col("doc_id").isNull() & F.col("text").isNull()
     named = kept.groupBy("doc_id", "tid").agg(F.count("*").alias("_rows")).withColumnsRenamed({"doc_id": "_doc_id", "tid": "_tid"})
-    docs = docs.select(*COLUMNS)
+    named, docs = stored(named, "named"), docs.select(*COLUMNS)
+    rows = docs.where(~bare)
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64(nvl_text("text")) == F.col("_tid"))
-    if not once:
-        return docs.where(~bare).join(named, same, "left_semi").unionByName(docs.where(bare))
-    met = docs.where(~bare).join(stored(named, "named"), same)
-    one = met.where("_rows > 1").groupBy("_doc_id", "_tid").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
-    return met.where("_rows = 1").select(*COLUMNS).unionByName(one).unionByName(docs.where(bare))
+    again = named.where("_rows > 1")
+    if not once or again.isEmpty():
+        return rows.join(named, same, "left_semi").unionByName(docs.where(bare))
+    one = rows.join(again, same).groupBy("_doc_id", "_tid").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
+    return rows.join(named.where("_rows = 1"), same, "left_semi").unionByName(one).unionByName(docs.where(bare))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
