@@ -64,7 +64,7 @@ def min_font(boxes: DataFrame, spans: DataFrame) -> DataFrame:
 def grown_region(kind: Column, caption: Column, rects: Column, page_h: Column, gap: float = 0.038) -> Column:
     """The region that grows from a caption over rects on its side; null if nothing is absorbed.
 
-    Absorbing is monotone, so as many passes as rects reach the fixpoint in any order.
+    Absorbing is monotone, so as many passes as rects reach the fixpoint in any order; passes after one that moved nothing are skipped.
     """
     figure = kind == "figure"
     box = lambda a, b, c, d: F.struct(a.cast("double").alias("x0"), b.cast("double").alias("y0"), c.cast("double").alias("x1"), d.cast("double").alias("y1"))
@@ -76,8 +76,16 @@ def grown_region(kind: Column, caption: Column, rects: Column, page_h: Column, g
         near = (F.least(g["x1"], r["x1"]) - F.greatest(g["x0"], r["x0"]) > 0) & (F.greatest(g["y0"], r["y0"]) - F.least(g["y1"], r["y1"]) <= F.lit(gap) * page_h)
         return F.when(near, box(F.least(g["x0"], r["x0"]), F.least(g["y0"], r["y0"]), F.greatest(g["x1"], r["x1"]), F.greatest(g["y1"], r["y1"]))).otherwise(g)
 
-    passes = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(pool)))
-    g = F.aggregate(passes, seed, lambda s, _: F.aggregate(pool, s, absorb))
+    def once(s: Column, pool: Column) -> Column:
+        """A pass over the pool, unless the last one moved nothing; bound by a lambda, so that it runs once."""
+        new = F.transform(F.array(F.aggregate(pool, s["g"], absorb)), lambda g: F.struct(g.alias("g"), (g != s["g"]).alias("moved")))
+        return F.when(s["moved"], F.element_at(new, 1)).otherwise(s)
+
+    def grown(pool: Column) -> Column:
+        passes = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(pool)))
+        return F.aggregate(passes, F.struct(seed.alias("g"), F.lit(True).alias("moved")), lambda s, _: once(s, pool), lambda s: s["g"])
+
+    g = F.element_at(F.transform(F.array(pool), grown), 1)
     up = F.when(g["y0"] < caption["y0"] - 1, box(g["x0"], g["y0"], g["x1"], F.least(g["y1"], caption["y0"])))
     down = F.when(g["y1"] > caption["y1"] + 1, box(g["x0"], F.greatest(g["y0"], caption["y1"]), g["x1"], g["y1"]))
     return F.when(figure, up).otherwise(down)
