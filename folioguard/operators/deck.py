@@ -13,6 +13,7 @@ LAYOUTS = ("paper-title", "section", "outline-agenda", "assertion-evidence", "tw
 REQUIRED = {"paper-title": "title", "section": "title", "outline-agenda": "items", "equation": "equations", "results-table": "table", "critique-concerns": "points", "discussion-questions": "questions", "bullets": "points", "references": "entries"}
 FACTUAL = ("assertion-evidence", "results-table", "equation", "two-column")
 VOID_EXEMPT = ("paper-title", "section", "equation", "references", "assertion-evidence")
+SLIDE_IMAGE = r"(?i)^(\d+)-slide-.*\.(?:png|jpg|jpeg)$"
 DECK = (
     "meta STRUCT<title: STRING>, slides ARRAY<STRUCT<layout: STRING, title: STRING, action_title: STRING, note: STRING, annotation: STRING, source_ref: STRING, "
     "speaker_notes: STRING, points: ARRAY<VARIANT>, questions: ARRAY<STRING>, items: ARRAY<STRING>, entries: ARRAY<STRING>, equations: ARRAY<VARIANT>, "
@@ -352,3 +353,17 @@ def wrapped(text: Column, most: Column) -> Column:
         return F.when((a["line"] == "") | (F.length(longer) <= most), same).otherwise(F.struct(F.array_append(a["done"], a["line"]).alias("done"), w.alias("line")))
 
     return F.aggregate(words, start, step, lambda a: F.when(a["line"] == "", a["done"]).otherwise(F.array_append(a["done"], a["line"])))
+
+
+def slide_images(files: DataFrame, prompts: DataFrame) -> DataFrame:
+    """deck_id, place, number, name, folder, prompted of picture files (deck_id, folder, name) of slides.
+
+    Folders are the deck's root ('') and 'slides'; of one name the root's file counts. prompted: a prompt (deck_id, stem)
+    of that name exists. Slides are placed by number, those with the same one by name.
+    """
+    number = F.regexp_extract("name", SLIDE_IMAGE, 1)
+    one = files.where((number != "") & F.col("folder").isin("", "slides")).groupBy("deck_id", "name").agg(F.min("folder").alias("folder"))
+    rows = one.select("deck_id", "name", "folder", number.try_cast("int").alias("number"), F.regexp_replace("name", r"\.[^.]*$", "").alias("stem"))
+    rows = rows.join(prompts.select("deck_id", "stem", F.lit(True).alias("prompted")).distinct(), ["deck_id", "stem"], "left")
+    place = F.row_number().over(Window.partitionBy("deck_id").orderBy("number", "name"))
+    return rows.select("deck_id", place.alias("place"), "number", "name", "folder", F.coalesce("prompted", F.lit(False)).alias("prompted"))

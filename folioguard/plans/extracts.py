@@ -291,3 +291,14 @@ def ingest_documents(spark, sf):
 @_query(f"""SELECT i.doc_id, concat('{{"doc_id":', i.doc_id, ',"n_pages":', n_pages, ',"title":', coalesce('"' || title || '"', 'null'), ',"arxiv_id":', coalesce('"' || arxiv_id || '"', 'null'), ',"n_figures":', coalesce(n_figures, 0), ',"n_tables":', coalesce(n_tables, 0), ',"n_localized":', coalesce(n_localized, 0), ',"n_flagged":', coalesce(n_flagged, 0), '}}') AS manifest FROM ({INGESTS}) i LEFT JOIN ({C.ORACLES.get('bundle_counts', '')}) b ON b.doc_id = i.doc_id""")
 def bundle_manifests(spark, sf):
     return W.bundles(ingests(spark, sf), G.bundle_counts(C.inventory_best(spark, sf)))
+
+
+FILES = """SELECT l_orderkey AS deck_id, CASE l_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'slides' ELSE 'old' END AS folder,
+  concat(CAST(l_linenumber AS STRING), CASE WHEN l_partkey % 9 = 0 THEN '-page-' ELSE '-slide-' END, CASE WHEN l_partkey % 2 = 0 THEN 'x.y' ELSE 'z' END, CASE l_partkey % 4 WHEN 0 THEN '.png' WHEN 1 THEN '.JPG' WHEN 2 THEN '.jpeg' ELSE '.gif' END) AS name FROM lineitem"""
+
+
+@_query(f"WITH f AS ({FILES.replace('STRING', 'VARCHAR')}), o AS (SELECT deck_id, name, min(folder) AS folder, CAST(string_split(name, '-')[1] AS INTEGER) AS number FROM f WHERE contains(name, '-slide-') AND NOT ends_with(name, '.gif') AND folder <> 'old' GROUP BY deck_id, name) SELECT deck_id, row_number() OVER (PARTITION BY deck_id ORDER BY number, name) AS place, number, name, folder, number % 2 = 0 AND contains(name, 'x.y.') AS prompted FROM o")
+def slide_images(spark, sf):
+    files = _sql(spark, sf, FILES, "lineitem")
+    prompts = table(spark, sf, "orders").select(F.col("o_orderkey").alias("deck_id"), F.explode(F.array(*(F.lit(f"{k}-slide-x.y") for k in (2, 4, 6, 8)))).alias("stem"))
+    return D.slide_images(files, prompts)
