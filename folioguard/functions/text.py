@@ -232,10 +232,15 @@ def image_format(content: Column) -> Column:
 
 
 def png_size(content: Column) -> Column:
-    """struct<width, height> of a PNG whose first chunk is its header and has an area, else null."""
+    """struct<width, height> of a PNG, else null."""
     n = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("long")
-    head = (F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A") & (F.hex(F.substring(content, 13, 4)) == "49484452")
-    return F.when(head & (n(17) > 0) & (n(21) > 0), F.struct(n(17).alias("width"), n(21).alias("height")))
+    return F.when(F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A", F.struct(n(17).alias("width"), n(21).alias("height")))
+
+
+def probed_size(content: Column) -> Column:
+    """``png_size`` of files whose first chunk is the header and that have an area, else null."""
+    size = png_size(content)
+    return F.when((F.hex(F.substring(content, 13, 4)) == "49484452") & (size["width"] > 0) & (size["height"] > 0), size)
 
 
 def arxiv_id(text: Column, stamp_only: bool = False) -> Column:

@@ -215,7 +215,7 @@ def image_kinds(spark, sf):
     png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452000000"), F.lpad(F.hex(F.col("o_custkey") % 200), 2, "0"), F.lit("00000201"))
     k = F.col("o_orderkey") % 5
     content = F.unhex(F.when(k == 1, "FFD8FFE0").when(k == 2, "524946460000000057454250").when(k == 3, "00112233").otherwise(png))
-    rows = table(spark, sf, "orders").select("o_orderkey", H.image_format(content).alias("format"), H.png_size(content).alias("s"))
+    rows = table(spark, sf, "orders").select("o_orderkey", H.image_format(content).alias("format"), H.probed_size(content).alias("s"))
     return rows.select("o_orderkey", "format", "s.width", "s.height")
 
 
