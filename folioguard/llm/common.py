@@ -71,22 +71,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+def shuffles_dropped(spark: SparkSession, **more: str) -> Iterator[None]:
     """A write's own shuffle files are of no use after it; inside, Spark drops them at once.
 
-    The setting is put back as it was. It only tells when files are deleted, so another query of the
-    session that starts meanwhile gets the same rows.
+    ``more`` are further settings of the write. All are put back as they were. They only tell how files are
+    written and when they are deleted, so another query of the session that starts meanwhile gets the same rows.
     """
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | more
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -103,9 +105,14 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, upper, upper.lower()))
 
 
+def raw_words(c: Column) -> Column:
+    """The runs of digits, letters and non-ASCII characters of the text, in order, in their own case."""
+    return F.array_remove(F.split(c, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")
+
+
 def words(c: Column) -> Column:
-    """The runs of digits, letters and non-ASCII characters of the lower-cased text, in order."""
-    return F.filter(F.split(ascii_lower(c), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+    """``raw_words`` of the lower-cased text."""
+    return raw_words(ascii_lower(c))
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
@@ -123,7 +130,7 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAS
 
 
 class BucketedTable:
-    """A table in files under ``path``, bucketed by columns and sorted by others.
+    """A table in files under ``path``, bucketed by columns, each file sorted by others.
 
     Its files lie in a folder per version that also names the buckets, so another session opens the same
     table by the path; ``name`` is what the session's catalog calls it.
@@ -155,11 +162,18 @@ class BucketedTable:
                 raise ValueError(f"{self.name} is a table of another kind")
             self.spark.sql(f"DROP TABLE {self.name}")  # of an external table the files stay
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.SCHEMA.fields)
-        self.spark.sql(f"CREATE TABLE {self.name} ({columns}) USING parquet CLUSTERED BY ({', '.join(self.BY)}) SORTED BY ({', '.join(self.SORT)}) INTO {self.buckets} BUCKETS LOCATION '{self._folder()}'")
+        self.spark.sql(f"CREATE TABLE {self.name} ({columns}) USING parquet CLUSTERED BY ({', '.join(self.BY)}) INTO {self.buckets} BUCKETS LOCATION '{self._folder()}'")
 
     def _write(self, df: DataFrame, name: str, mode: str) -> None:
-        with shuffles_dropped(self.spark):
-            df.select(*self.SCHEMA.names).write.format("parquet").bucketBy(self.buckets, *self.BY).sortBy(*self.SORT).option("path", self._folder()).mode(mode).saveAsTable(name)
+        """Write rows that are dealt out by bucket, each task's sorted.
+
+        Spark's own sort for bucketed writes compares (bucket, column) pairs, and in a task that has one bucket each
+        comparison goes to the rows. Sorted by one column they are sorted by radix; the second setting lets the writer
+        take them as they are.
+        """
+        with shuffles_dropped(self.spark, **{"spark.sql.maxConcurrentOutputFileWriters": "16"}):
+            rows = df.select(*self.SCHEMA.names).sortWithinPartitions(*self.SORT)
+            rows.write.format("parquet").bucketBy(self.buckets, *self.BY).option("path", self._folder()).mode(mode).saveAsTable(name)
 
     def read(self) -> DataFrame:
         return self.spark.read.table(self.name)

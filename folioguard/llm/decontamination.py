@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioguard.llm.common import BucketedTable, nvl_text, read_table, scratch, small_enough, stored, words
+from folioguard.llm.common import BucketedTable, ascii_lower, nvl_text, raw_words, read_table, scratch, small_enough, stored, words
 
 LENGTH = 10
 ANCHORS = 2
@@ -67,7 +67,8 @@ class PositionalIndex(BucketedTable):
     def append(self, docs: DataFrame) -> None:
         """Add the postings of ``docs`` (doc_id, text). Documents that the index holds are not to be given again."""
         rows = document_keys(docs.select("doc_id", "text")).select("id", "key", F.col("text")).where("text IS NOT NULL").repartition(self.buckets, *self.BY)
-        posts = rows.select("id", "key", F.posexplode(words(F.col("text"))).alias("pos", "word"))
+        # Lower-cased word by word, as only the words that are not ASCII need the slow way.
+        posts = rows.select("id", "key", F.posexplode(raw_words(F.col("text"))).alias("pos", "raw")).withColumn("word", ascii_lower(F.col("raw")))
         self._write(posts.withColumn("term", F.xxhash64("word")), self.name, "append")
 
     def counts(self, terms: DataFrame) -> DataFrame:

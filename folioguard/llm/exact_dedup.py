@@ -5,8 +5,8 @@ it is made. New data is first reduced to one row per digest (partial aggregation
 so a text that fills a third of the table costs one row per task), then a sort-merge anti-join against
 the index finds the digests that are new, and these are appended. The aggregate's exchange is the only
 one: the join and the bucketed write take its partitions as they are, and the index is read by bucket. Files
-are sorted by digest, but Spark sorts the index side of a join again unless a bucket is one file (see
-``compact``) and spark.sql.legacy.bucketedTableScan.outputOrdering is set.
+are sorted by digest, but Spark does not rely on it and sorts the index side of a join again. ``compact`` leaves
+one file per bucket.
 
 Texts are equal when they are identical after deleting space, tab, line feed, vertical tab, form
 feed and carriage return. Null counts as the empty text. Within equal texts, the row with the most

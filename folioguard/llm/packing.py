@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioguard.llm.common import nvl_text, read_table, stored, words
+from folioguard.llm.common import nvl_text, raw_words, read_table, stored
 
 BUCKETS = 16
 BUDGET = 65_536
@@ -73,7 +73,7 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> lis
 
 def with_lengths(docs: DataFrame, pad_to: int = PAD_TO) -> DataFrame:
     """``docs`` with n_tokens (words) and padded (n_tokens rounded up)."""
-    n = F.size(words(nvl_text("text"))).cast("long")
+    n = F.size(raw_words(nvl_text("text"))).cast("long")
     return docs.withColumn("n_tokens", n).withColumn("padded", F.ceil(F.col("n_tokens") / pad_to) * pad_to)
 
 
