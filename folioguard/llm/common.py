@@ -22,6 +22,8 @@ M64 = (1 << 64) - 1
 #: Rows and bytes up to which a side may be broadcast; checked by counting, never assumed.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
+#: Property of the tables that ``BucketedTable`` may register anew.
+MARK = "folioguard.bucketed"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -158,11 +160,11 @@ class BucketedTable:
 
     def _register(self) -> None:
         if self.spark.catalog.tableExists(self.name):
-            if self.spark.catalog.getTable(self.name).tableType != "EXTERNAL":
+            if MARK not in {r.key for r in self.spark.sql(f"SHOW TBLPROPERTIES {self.name}").collect()}:
                 raise ValueError(f"{self.name} is a table of another kind")
             self.spark.sql(f"DROP TABLE {self.name}")  # of an external table the files stay
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.SCHEMA.fields)
-        self.spark.sql(f"CREATE TABLE {self.name} ({columns}) USING parquet CLUSTERED BY ({', '.join(self.BY)}) INTO {self.buckets} BUCKETS LOCATION '{self._folder()}'")
+        self.spark.sql(f"CREATE TABLE {self.name} ({columns}) USING parquet CLUSTERED BY ({', '.join(self.BY)}) INTO {self.buckets} BUCKETS LOCATION '{self._folder()}' TBLPROPERTIES ('{MARK}' = 'true')")
 
     def _write(self, df: DataFrame, name: str, mode: str) -> None:
         """Write rows that are dealt out by bucket, each task's sorted.

@@ -140,7 +140,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = LENGTH, ancho
     return decontaminated_rows(docs, items, length, anchors).drop("tid")
 
 
-def decontaminated_rows(docs: DataFrame, items: DataFrame, length: int = LENGTH, anchors: int = ANCHORS, name: str = "postings") -> DataFrame:
+def decontaminated_rows(docs: DataFrame, items: DataFrame, length: int = LENGTH, anchors: int = ANCHORS, name: str = "folioguard_postings") -> DataFrame:
     """``decontaminate`` with tid, the hash of the text, over an index made for the run."""
     index = PositionalIndex(docs.sparkSession, name, scratch(docs.sparkSession, "index"))
     index.append(docs)

@@ -67,6 +67,14 @@ def test_batches(spark):
     assert again.read().count() == len(rows)
 
 
+def test_tables_of_another_kind_stay(spark):
+    spark.createDataFrame([(1,)], "x int").write.option("path", scratch(spark, "own")).saveAsTable("somebodys")
+    with pytest.raises(ValueError, match="another kind"):
+        DigestIndex(spark, "somebodys", scratch(spark, "d"))
+    assert spark.read.table("somebodys").count() == 1
+    spark.sql("DROP TABLE somebodys")
+
+
 def test_one_exchange(spark):
     """The aggregate's exchange is the only one on the way into the index."""
     index = DigestIndex(spark, "digest_plan", scratch(spark, "d"))
