@@ -51,7 +51,7 @@ def cell_text(cell: Column) -> Column:
 
 
 def audited(slides: DataFrame) -> Column:
-    """array<struct<field, text>> of a slide's audited texts; blank ones are left out."""
+    """array<struct<field, text>> of a slide's audited texts, blank ones included."""
     one = lambda name, text: F.array(_pair(F.lit(name), text))
 
     def point(p: Column, i: Column) -> Column:
@@ -64,7 +64,7 @@ def audited(slides: DataFrame) -> Column:
         return F.transform(r, lambda c, j: _pair(F.format_string("table[%d][%d]", i, j), value(c)))
 
     none = F.array().cast(PAIRS)
-    every = F.concat(
+    return F.concat(
         *(one(n, F.col(n)) for n in ("action_title", "title", "note", "annotation")),
         F.coalesce(F.flatten(F.transform("points", point)), none),
         *(_many(n, F.col(n)) for n in ("questions", "items", "entries")),
@@ -74,13 +74,12 @@ def audited(slides: DataFrame) -> Column:
         one("table.footnote", F.col("table.footnote")),
         F.coalesce(F.flatten(F.transform(F.col("table.rows"), cell)), none),
     )
-    return F.filter(every, lambda f: f["text"].isNotNull() & (F.trim(f["text"]) != ""))
 
 
 def fields(slides: DataFrame) -> DataFrame:
     """All audited texts of the slides; blank ones are left out."""
     rows = slides.select("deck_id", "slide", "layout", F.explode(audited(slides)).alias("f"))
-    return rows.select("deck_id", "slide", "layout", "f.field", "f.text")
+    return rows.select("deck_id", "slide", "layout", "f.field", "f.text").where("text IS NOT NULL AND trim(text) <> ''")
 
 
 def deck_flags(fields: DataFrame) -> DataFrame:
@@ -200,7 +199,8 @@ def deck_reviews(slides: DataFrame, sources: DataFrame) -> DataFrame:
     hit = lambda severity, category: F.struct(severity.alias("severity"), F.lit(category).alias("category"))
     always = lambda severity, category: lambda _: hit(F.lit(severity), category)
     once = lambda when, severity, category: F.array_compact(F.array(F.when(when, hit(F.lit(severity), category))))
-    rows = slides.select("deck_id", "slide", "layout", audited(slides).alias("f"), _crowding().alias("chars"), _problems(slides).alias("problems"))
+    texts = F.filter(audited(slides), lambda f: f["text"].isNotNull() & (F.trim(f["text"]) != ""))
+    rows = slides.select("deck_id", "slide", "layout", texts.alias("f"), _crowding().alias("chars"), _problems(slides).alias("problems"))
     roles = F.array_distinct(F.flatten(F.transform("f", lambda f: H.emphasis_roles(f["text"]))))
     found = F.concat(
         F.transform(F.flatten(F.transform("f", lambda f: H.flags(f["text"]))), always("P2", "flag")),
