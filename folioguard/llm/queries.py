@@ -3,6 +3,7 @@
 from folioguard.llm.best_fit import op13_best_fit
 from folioguard.llm.decontamination import OP8_SQL, op8_decontaminate
 from folioguard.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from folioguard.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from folioguard.llm.packing import op3_packing
 from folioguard.llm.quality import op5_quality
 from folioguard.llm.secrets import op10_secrets
@@ -24,7 +25,8 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_secrets": op10_secrets,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_snapshot_diff": op12_snapshot_diff,
     "op13_best_fit": op13_best_fit,
 }
-ORACLES = {"op4_url_filter": OP4_SQL, "op6_warc": OP6_SQL, "op8_decontaminate": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op12_snapshot_diff": OP12_SQL}
+ORACLES = {"op4_url_filter": OP4_SQL, "op6_warc": OP6_SQL, "op8_decontaminate": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_snapshot_diff": OP12_SQL}
