@@ -11,8 +11,8 @@ every piece its bin. Crossover injects whole well-filled bins of one parent into
 the bins that held the same pieces, and puts displaced pieces where they fit best; mutation dissolves the
 emptiest bin and some others. After each epoch an island's elite moves to the next one of its shard.
 A shard ends early once it needs no more bins than the lower bound L2 of Martello and Toth. Then each shard
-gives back its emptiest bins, one in ``GIVE_BACK``, and these pieces are dealt out and packed anew, until
-one shard holds them: so borders between shards cost no more than one bin in the end.
+gives back its emptiest bins, one in ``GIVE_BACK`` and one at least, and these pieces are dealt out and packed anew, until
+one shard holds them. So each shard's last, half-filled bin is filled up by others'.
 
 Null and empty texts hold the end id alone. Repeated rows are packed one by one; doc_id may be null. No rows give no
 rows. Columns with clashing names are ignored. Sequence ids have no order and no gapless numbers.
@@ -41,7 +41,7 @@ ISLANDS = 2
 POPULATION = 6
 GENERATIONS = 12
 EPOCHS = 3
-GIVE_BACK = 50
+GIVE_BACK = 10
 #: Distinct parts whose ids a Python worker remembers; beyond that it forgets all and starts anew.
 REMEMBERED = 1_000_000
 PIECE = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"

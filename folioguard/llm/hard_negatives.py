@@ -25,6 +25,7 @@ blocks. No rows or no anchors give no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,6 +50,7 @@ NEGATIVES = 5
 SCALE = 256
 #: Scores of negatives lie between FLOOR percent of the positive's score and all of it.
 FLOOR = 80
+SHARE = (FLOOR // math.gcd(FLOOR, 100), 100 // math.gcd(FLOOR, 100))
 #: Anchors whose best a task holds at once.
 HELD = 50_000
 EXACT = 1 << 53
@@ -310,7 +312,7 @@ def _score_batches(dim: int, dtype: str, same: bool, exact: bool, k: int) -> Cal
                         s = scores[i]
                         for slot, p in enumerate(slots[i].tolist()):
                             if p >= 0:  # no score lies between FLOOR percent of a negative score and that score
-                                band = np.flatnonzero((100 * s >= FLOOR * p) & (s <= p))
+                                band = np.flatnonzero((SHARE[1] * s >= SHARE[0] * p) & (s <= p))
                                 _merge(held, (int(ids[i]), int(keys[i]), slot), band, s, cids, ckeys, k)
             if len(held) > HELD:
                 yield flush()
@@ -385,7 +387,7 @@ def hard_negatives(
     if not size.dim or not size.anchors:
         return none
     dim, reach = size.dim, size.dim * size.most * size.most
-    if 100 * reach >= 1 << 63:
+    if SHARE[1] * reach >= 1 << 63:
         raise ValueError("scores do not fit 64 bits")
     exact, dtype = reach < EXACT, "<i2" if size.most < 1 << 15 else "<i4" if size.most < 1 << 31 else "<i8"
     drawn = rows.orderBy(F.xxhash64("vec_id", "key"), "vec_id", "key").limit(sample).select("q").toArrow()

@@ -2,7 +2,7 @@
 
 import duckdb
 
-TABLES = "documents pages benchmark labels".split()
+TABLES = "documents embeddings pages benchmark labels".split()
 
 
 def by_sql(sql, sf_dir):
