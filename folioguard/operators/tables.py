@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioguard.functions import text as H
 
 TABLE = "caption STRING, footnote STRING, row_header BOOLEAN, columns ARRAY<VARIANT>, rows ARRAY<ARRAY<VARIANT>>"
+TABLE_STRUCT = "STRUCT<" + TABLE.replace(" ", ": ").replace(",: ", ", ") + ">"
 
 
 def _object(v: Column) -> Column:
@@ -36,29 +37,33 @@ def parsed(table: Column) -> Column:
     return F.when(t["columns"].isNotNull() & t["rows"].isNotNull(), t)
 
 
-def as_html(tables: DataFrame) -> DataFrame:
-    """table_id, html of tables (table_id, spec JSON): units in the header, bold cells strong, roomy up to 6 rows and 5 columns. html is null for malformed ones."""
-    rows = tables.select("table_id", parsed(F.col("spec")).alias("t"))
+def html_of(t: Column) -> Column:
+    """HTML of a struct<TABLE>: units in the header, bold cells strong, roomy up to 6 rows and 5 columns; null unless it has columns and rows."""
     text = lambda tag, s: F.concat(F.lit(f"<{tag}>"), s, F.lit(f"</{tag}>"))
     head = lambda c: text("th", F.concat(H.escape_html(_label(c)), F.when(_unit(c) != "", F.concat(F.lit('<span class="u">'), H.escape_html(_unit(c)), F.lit("</span>"))).otherwise("")))
 
     def cell(c: Column, i: Column) -> Column:
         inner = H.escape_html(_value(c))
         inner = F.when(_bold(c), text("strong", inner)).otherwise(inner)
-        return F.when(F.coalesce(F.col("t.row_header"), F.lit(False)) & (i == 0), text("th", inner)).otherwise(text("td", inner))
+        return F.when(F.coalesce(t["row_header"], F.lit(False)) & (i == 0), text("th", inner)).otherwise(text("td", inner))
 
     row = lambda r: text("tr", F.array_join(F.transform(r, cell), ""))
-    n = F.size("t.columns")
-    some = lambda c, a, b: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(a, H.escape_html(F.col(c)), b)).otherwise("")
+    n = F.size(t["columns"])
+    some = lambda c, a, b: F.when(F.coalesce(t[c], F.lit("")) != "", F.concat(a, H.escape_html(t[c]), b)).otherwise("")
     html = F.concat(
-        F.when((F.size("t.rows") <= 6) & (n <= 5), '<table class="results roomy">').otherwise('<table class="results">'),
-        some("t.caption", F.lit("<caption>"), F.lit("</caption>")),
-        text("thead", text("tr", F.array_join(F.transform("t.columns", head), ""))),
-        text("tbody", F.array_join(F.transform("t.rows", row), "")),
-        some("t.footnote", F.concat(F.lit('<tfoot><tr><td colspan="'), n.cast("string"), F.lit('">')), F.lit("</td></tr></tfoot>")),
+        F.when((F.size(t["rows"]) <= 6) & (n <= 5), '<table class="results roomy">').otherwise('<table class="results">'),
+        some("caption", F.lit("<caption>"), F.lit("</caption>")),
+        text("thead", text("tr", F.array_join(F.transform(t["columns"], head), ""))),
+        text("tbody", F.array_join(F.transform(t["rows"], row), "")),
+        some("footnote", F.concat(F.lit('<tfoot><tr><td colspan="'), n.cast("string"), F.lit('">')), F.lit("</td></tr></tfoot>")),
         F.lit("</table>"),
     )
-    return rows.select("table_id", F.when(F.col("t").isNotNull(), html).alias("html"))
+    return F.when(t["columns"].isNotNull() & t["rows"].isNotNull(), html)
+
+
+def as_html(tables: DataFrame) -> DataFrame:
+    """table_id, html of tables (table_id, spec JSON); html is null for malformed ones, see ``html_of``."""
+    return tables.select("table_id", html_of(F.from_json("spec", TABLE)).alias("html"))
 
 
 def table_rows(tables: DataFrame) -> DataFrame:
