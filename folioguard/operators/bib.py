@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,9 @@ ARXIV = r"(?i)^(?:arxiv:)?(\d{4}\.\d{4,5})(?:v\d+)?$"
 DOI = r"(?i)^(?:doi:)?(10\.\d{4,9}/\S+)$"
 #: The first of these that has a year decides.
 YEAR_FIELDS = ("published-print", "published-online", "issued", "created")
+#: Characters of a title from which on a longer one may extend it, and of the parts that near titles share.
+SPECIFIC = 15
+GRAM = 3
 
 
 def classified(q: Column) -> Column:
@@ -55,12 +58,72 @@ def title_match(pairs: DataFrame, threshold: float = 0.95) -> DataFrame:
     rows = pairs.withColumns({"a": a, "b": b})
     short, long = F.when(F.length("a") <= F.length("b"), F.col("a")).otherwise(F.col("b")), F.when(F.length("a") <= F.length("b"), F.col("b")).otherwise(F.col("a"))
     some = (F.col("a") != "") & (F.col("b") != "")
-    plain = some & ((F.col("a") == F.col("b")) | ((F.length(short) >= 15) & F.startswith(long, short)))
+    plain = some & ((F.col("a") == F.col("b")) | ((F.length(short) >= SPECIFIC) & F.startswith(long, short)))
     rows = rows.withColumn("plain", plain).withColumn("open", some & ~plain & (2 * F.length(short) >= threshold * (F.length("a") + F.length("b"))))
     ratio = sequence_ratio(F.when(F.col("open"), F.col("a")), F.when(F.col("open"), F.col("b")))
     return rows.withColumn("ratio", ratio).withColumn("matched", F.col("plain") | F.coalesce(F.col("ratio") >= threshold, F.lit(False))).drop("a", "b", "plain", "open", "ratio")
 
 
+def _rare_grams(titles: DataFrame, common: DataFrame, threshold: float) -> DataFrame:
+    """id, t, gram for the rarest grams (gram, number of its occurrence) of each title (id, t), as many as any near title must meet.
+
+    A ratio of ``threshold`` leaves at most (1 - threshold) * (a + b) characters to insert or delete, where the longer title has at most
+    (2 - threshold) / threshold times the characters of the shorter. Each of them spoils GRAM grams at most, so of GRAM times as many
+    grams and one more, one is left.
+    """
+    edits = F.floor((1 - threshold) * (1 + (2 - threshold) / threshold) * F.length("t") + 1e-9)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("n", "gram"))
+    return _grams(titles).join(common, "gram").withColumn("r", rank).where(F.col("r") <= GRAM * edits + 1).select("id", "t", "gram")
+
+
+def _grams(titles: DataFrame) -> DataFrame:
+    """id, t, gram: parts of GRAM characters of titles (id, t), numbered where they repeat."""
+    parts = F.transform(F.sequence(F.lit(1), F.length("t") - GRAM + 1), lambda i: F.substring(F.col("t"), i, F.lit(GRAM)))
+    rows = titles.where(F.length("t") >= GRAM).select("id", "t", F.posexplode(parts).alias("i", "g"))
+    number = F.row_number().over(Window.partitionBy("id", "g").orderBy("i"))
+    return rows.select("id", "t", F.concat_ws("#", "g", number.cast("string")).alias("gram"))
+
+
+def near_titles(queries: DataFrame, records: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """query_id, record_id, ratio (1 for equal titles, null for extended ones) of all pairs that ``title_match`` accepts.
+
+    queries: query_id, title; records: record_id, title; ids are unique. Three joins find the pairs, none of them over all: equal titles, titles
+    that extend another one (by its length and hash), and titles that share one of their rarest parts, whose ratio decides.
+    Titles without letters or digits match nothing.
+    """
+    side = lambda df, name: df.select(F.col(f"{name}_id").alias("id"), H.normalised_title(F.col("title")).alias("t")).where("t <> ''")
+    q, r = side(queries, "query"), side(records, "record")
+    pair = lambda c: (F.col("q.id").alias("query_id"), F.col("r.id").alias("record_id"), c.cast("double").alias("ratio"))
+    equal = q.alias("q").join(r.alias("r"), "t").select(*pair(F.lit(1)))
+
+    def begins(df: DataFrame) -> DataFrame:
+        """A row for each beginning of SPECIFIC characters or more that is not the title itself."""
+        n = F.explode(F.when(F.length("t") > SPECIFIC, F.sequence(F.lit(SPECIFIC), F.length("t") - 1)).otherwise(F.array().cast("array<int>")))
+        return df.select("id", "t", n.alias("n")).withColumn("h", F.xxhash64(F.substring(F.col("t"), F.lit(1), F.col("n"))))
+
+    whole = lambda df: df.where(F.length("t") >= SPECIFIC).withColumns({"n": F.length("t"), "h": F.xxhash64("t")})
+    extends = [
+        a.alias("q").join(b.alias("r"), ["n", "h"]).where(F.startswith(F.col(f"{long}.t"), F.col(f"{short}.t"))).select(*pair(F.lit(None)))
+        for a, b, short, long in ((whole(q), begins(r), "q", "r"), (begins(q), whole(r), "r", "q"))
+    ]
+    common = _grams(q).unionByName(_grams(r)).groupBy("gram").agg(F.count("*").alias("n"))
+    a, b = (_rare_grams(x, common, threshold) for x in (q, r))
+    met = a.alias("q").join(b.alias("r"), "gram").where(F.col("q.t") != F.col("r.t"))
+    la, lb = F.length("q.t"), F.length("r.t")
+    met = met.where(2 * F.least(la, lb) >= threshold * (la + lb)).where(~(F.least(la, lb) >= SPECIFIC) | ~(F.startswith(F.col("q.t"), F.col("r.t")) | F.startswith(F.col("r.t"), F.col("q.t"))))
+    met = met.select(F.col("q.id").alias("query_id"), F.col("r.id").alias("record_id"), F.col("q.t").alias("a"), F.col("r.t").alias("b")).distinct()
+    near = met.withColumn("ratio", sequence_ratio("a", "b")).where(F.col("ratio") >= threshold).select("query_id", "record_id", "ratio")
+    return equal.unionByName(extends[0]).unionByName(extends[1]).unionByName(near)
+
+
+def resolve_titles(queries: DataFrame, records: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """query_id, record_id, resolved: the best of ``near_titles`` for each query. Equal titles come first, then extended ones, then
+    the highest ratio, then the smallest record_id; queries without one have a null record_id."""
+    order = F.struct(F.when(F.col("ratio") == 1, 0).when(F.col("ratio").isNull(), 1).otherwise(2), -F.coalesce("ratio", F.lit(0.0)), "record_id")
+    best = near_titles(queries, records, threshold).groupBy("query_id").agg(F.min_by("record_id", order).alias("record_id"))
+    return queries.select("query_id").join(best, "query_id", "left").withColumn("resolved", F.col("record_id").isNotNull())
+
+
 def resolve(queries: DataFrame, records: DataFrame) -> DataFrame:
     """query, kind, value, record_id, resolved: by arXiv id, DOI, or normalised title, from ``records``."""
     q = queries.select("query", classified(F.col("query")).alias("c")).select("query", "c.kind", "c.value")

@@ -6,10 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioguard.functions import text as H
+from folioguard.sources.scratch import written
 
 # How captions begin, and the letters that label panels.
 CAPTION = r"^\s*((?i:Figure|Fig\.?|Table|Tab\.?))\s+(\d+|[IVXLCDM]+)(?![A-Za-z0-9_])"
 PANELS = "abcdefgh"
+#: Pages are searched by a grid of CELL points; what lies beyond EDGE cells counts to the last one.
+CELL = 64
+EDGE = 63
+#: Rects of a page that growing takes into one row; a page with more is grown in rounds over the grid.
+DENSE = 512
+
+
+def _cell(v: Column) -> Column:
+    return F.least(F.greatest(F.floor(v / CELL), F.lit(0)), F.lit(EDGE)).cast("int")
+
+
+def _cells(low: Column, high: Column) -> Column:
+    """The cells from ``low`` to ``high``; none if one is null or they are the wrong way round."""
+    a, b = _cell(low), _cell(high)
+    return F.when(low <= high, F.sequence(a, F.greatest(a, b))).otherwise(F.array().cast("array<int>"))
+
+
+def on_grid(rows: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
+    """A row for each cell (cx, cy) that the box touches."""
+    return rows.withColumn("cx", F.explode(_cells(x0, x1))).withColumn("cy", F.explode(_cells(y0, y1)))
 
 
 def captions(blocks: DataFrame) -> DataFrame:
@@ -55,10 +76,12 @@ def clip_boxes(boxes: DataFrame, pad: float = 4.0, share: float = 0.02) -> DataF
 
 def min_font(boxes: DataFrame, spans: DataFrame) -> DataFrame:
     """box_id, min_font: the smallest size of spans (page_id, x0..y1, size) with their centre in the box; null without any."""
-    s = spans.select("page_id", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), "size").where("size > 0")
-    inside = F.col("cx").between(F.col("x0"), F.col("x1")) & F.col("cy").between(F.col("y0"), F.col("y1"))
-    met = boxes.join(s, "page_id", "left").groupBy("box_id").agg(F.min(F.when(inside, F.col("size"))).alias("m"))
-    return met.select("box_id", F.bround("m", 1).alias("min_font"))
+    s = spans.select("page_id", ((F.col("x0") + F.col("x1")) / 2).alias("sx"), ((F.col("y0") + F.col("y1")) / 2).alias("sy"), "size").where("size > 0")
+    s = s.withColumns({"cx": _cell(F.col("sx")), "cy": _cell(F.col("sy"))})
+    inside = F.col("sx").between(F.col("x0"), F.col("x1")) & F.col("sy").between(F.col("y0"), F.col("y1"))
+    asked = on_grid(boxes.select("box_id", "page_id", "x0", "y0", "x1", "y1"), *(F.col(c) for c in ("x0", "y0", "x1", "y1")))
+    met = asked.join(s, ["page_id", "cx", "cy"]).where(inside).groupBy("box_id").agg(F.min("size").alias("m"))
+    return boxes.select("box_id").distinct().join(met, "box_id", "left").select("box_id", F.bround("m", 1).alias("min_font"))
 
 
 def grown_region(kind: Column, caption: Column, rects: Column, page_h: Column, gap: float = 0.038) -> Column:
@@ -85,10 +108,15 @@ def grown_region(kind: Column, caption: Column, rects: Column, page_h: Column, g
         passes = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(pool)))
         return F.aggregate(passes, F.struct(seed.alias("g"), F.lit(True).alias("moved")), lambda s, _: once(s, pool), lambda s: s["g"])
 
-    g = F.element_at(F.transform(F.array(pool), grown), 1)
+    return grown_part(kind, caption, F.element_at(F.transform(F.array(pool), grown), 1))
+
+
+def grown_part(kind: Column, caption: Column, g: Column) -> Column:
+    """What has grown, cut at the caption's edge; null if it did not leave it."""
+    box = lambda a, b, c, d: F.struct(a.cast("double").alias("x0"), b.cast("double").alias("y0"), c.cast("double").alias("x1"), d.cast("double").alias("y1"))
     up = F.when(g["y0"] < caption["y0"] - 1, box(g["x0"], g["y0"], g["x1"], F.least(g["y1"], caption["y0"])))
     down = F.when(g["y1"] > caption["y1"] + 1, box(g["x0"], F.greatest(g["y0"], caption["y1"]), g["x1"], g["y1"]))
-    return F.when(figure, up).otherwise(down)
+    return F.when(kind == "figure", up).otherwise(down)
 
 
 def plausible(kind: Column, region: Column, page_h: Column) -> Column:
@@ -96,24 +124,91 @@ def plausible(kind: Column, region: Column, page_h: Column) -> Column:
     return F.when(region["y1"] - region["y0"] <= F.when(kind == "figure", 0.85).otherwise(0.5) * page_h, region)
 
 
-def region_grow(captions: DataFrame, rects: DataFrame) -> DataFrame:
-    """caption_id and region of captions (page_id, caption_id, kind, x0..y1, page_h) over rects (page_id, x0..y1)."""
+def region_grow(captions: DataFrame, rects: DataFrame, dense: int = DENSE) -> DataFrame:
+    """caption_id and region of captions (page_id, caption_id, kind, x0..y1, page_h) over rects (page_id, x0..y1).
+
+    A page of up to ``dense`` rects is one row. If there are others (a count of rects by page tells), their captions grow in rounds.
+    """
+    crowded = written(rects.groupBy("page_id").agg(F.count("*").alias("n")).where(F.col("n") > dense).select("page_id"))
+    if crowded.isEmpty():
+        return _grown_in_rows(captions, rects)
+    few = _grown_in_rows(captions.join(crowded, "page_id", "left_anti"), rects.join(crowded, "page_id", "left_anti"))
+    return few.unionByName(_grown_in_rounds(captions.join(crowded, "page_id", "left_semi"), rects.join(crowded, "page_id", "left_semi")))
+
+
+def _regions(rows: DataFrame, g: Column) -> DataFrame:
+    region = plausible(F.col("kind"), g, F.col("page_h"))
+    return rows.select("caption_id", region.alias("r")).select("caption_id", "r.*")
+
+
+def _grown_in_rows(captions: DataFrame, rects: DataFrame) -> DataFrame:
     lists = rects.groupBy("page_id").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("rects"))
     rows = captions.join(lists, "page_id", "left").withColumn("rects", F.coalesce("rects", F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")))
-    region = plausible(F.col("kind"), grown_region(F.col("kind"), F.struct("x0", "y0", "x1", "y1"), F.col("rects"), F.col("page_h")), F.col("page_h"))
-    return rows.select("caption_id", region.alias("r")).select("caption_id", "r.*")
+    return _regions(rows, grown_region(F.col("kind"), F.struct("x0", "y0", "x1", "y1"), F.col("rects"), F.col("page_h")))
+
+
+def _grown_in_rounds(captions: DataFrame, rects: DataFrame, gap: float = 0.038) -> DataFrame:
+    """``grown_region`` for pages of any size: each round joins what still grows with the rects of the cells that it reaches.
+
+    A round takes in all that one step reaches, so their number follows the steps across the page, not its rects. Rects of a cell meet
+    by (page, cell) and are folded to one box per caption before they are shuffled again.
+    """
+    box = ("x0", "y0", "x1", "y1")
+    figure = F.col("kind") == "figure"
+    edge = F.when(figure, F.col("y0")).otherwise(F.col("y1"))
+    start = {"g0": F.col("x0"), "g1": edge, "g2": F.col("x1"), "g3": edge}
+    state = captions.select("page_id", "caption_id", "kind", "page_h", *box).withColumns({k: v.cast("double") for k, v in start.items()})
+    state = written(state.withColumns({"row": F.monotonically_increasing_id(), "moved": F.lit(True)}))
+    cells = rects.select("page_id", *(F.col(c).cast("double").alias("r" + c) for c in box))
+    cells = written(on_grid(cells, *(F.col("r" + c) for c in box)))
+    slack = F.lit(gap) * F.col("page_h")
+    while not state.where("moved").isEmpty():
+        growing = state.where("moved").select("row", "page_id", "kind", "page_h", "y0", "y1", "g0", "g1", "g2", "g3")
+        asked = on_grid(growing, F.col("g0"), F.col("g1") - slack, F.col("g2"), F.col("g3") + slack)
+        side = F.when(figure, F.col("ry1") <= F.col("y0") + 2).otherwise(F.col("ry0") >= F.col("y1") - 2)
+        near = (F.least("g2", "rx1") - F.greatest("g0", "rx0") > 0) & (F.greatest("g1", "ry0") - F.least("g3", "ry1") <= slack)
+        met = asked.join(cells, ["page_id", "cx", "cy"]).where(side & near)
+        met = met.groupBy("row").agg(F.min("rx0").alias("a"), F.min("ry0").alias("b"), F.max("rx1").alias("c"), F.max("ry1").alias("d"))
+        wider = {"g0": F.least("g0", "a"), "g1": F.least("g1", "b"), "g2": F.greatest("g2", "c"), "g3": F.greatest("g3", "d")}
+        moved = (F.col("a") < F.col("g0")) | (F.col("b") < F.col("g1")) | (F.col("c") > F.col("g2")) | (F.col("d") > F.col("g3"))
+        state = written(state.join(met, "row", "left").withColumns(wider | {"moved": F.coalesce(moved, F.lit(False))}).drop("a", "b", "c", "d"))
+    g = F.struct(*(F.col(f"g{k}").alias(c) for k, c in enumerate(box)))
+    return _regions(state, grown_part(F.col("kind"), F.struct(*box), g))
 
 
 def nearest_rect(captions: DataFrame, rects: DataFrame, most: float = 0.5) -> DataFrame:
-    """caption_id and the nearest rect on the caption's side that overlaps it in x, within ``most`` of the page."""
-    r = rects.select("page_id", *(F.col(c).alias("r" + c) for c in ("x0", "y0", "x1", "y1")))
+    """caption_id and the nearest rect on the caption's side that overlaps it in x, within ``most`` of the page.
+
+    Captions and rects meet by page and column of the grid.
+    """
+    r = rects.select("page_id", *(F.col(c).alias("r" + c) for c in ("x0", "y0", "x1", "y1"))).withColumn("cx", F.explode(_cells(F.col("rx0"), F.col("rx1"))))
+    asked = captions.select("page_id", "caption_id", "kind", "page_h", "x0", "y0", "x1", "y1").withColumn("cx", F.explode(_cells(F.col("x0"), F.col("x1"))))
     figure = F.col("kind") == "figure"
     gap = F.when(figure, F.col("y0") - F.col("ry1")).otherwise(F.col("ry0") - F.col("y1"))
     side = (gap >= -2) & (F.least("x1", "rx1") - F.greatest("x0", "rx0") > 0)
-    met = captions.join(r, "page_id").where(side).withColumn("gap", gap).where(F.col("gap") <= most * F.col("page_h"))
+    met = asked.join(r, ["page_id", "cx"]).where(side).withColumn("gap", gap).where(F.col("gap") <= most * F.col("page_h"))
     return met.groupBy("caption_id").agg(F.min(F.struct("gap", "rx0", "ry0", "rx1", "ry1")).alias("b")).select("caption_id", "b.*")
 
 
+def associated_region(captions: DataFrame, rects: DataFrame, most: float = 0.5, merge: float = 0.10) -> DataFrame:
+    """caption_id and the region around the nearest rect of ``nearest_rect``: rects on the caption's side that overlap the caption, and
+    that overlap the region in x and lie within ``merge`` of the page from it, join until none does."""
+    seeds = nearest_rect(captions, rects, most).select("caption_id", *(F.col("r" + c).alias("s" + c) for c in ("x0", "y0", "x1", "y1")))
+    r = rects.select("page_id", *(F.col(c).cast("double").alias("r" + c) for c in ("x0", "y0", "x1", "y1"))).withColumn("cx", F.explode(_cells(F.col("rx0"), F.col("rx1"))))
+    asked = captions.select("page_id", "caption_id", "kind", "page_h", "x0", "y0", "x1", "y1").withColumn("cx", F.explode(_cells(F.col("x0"), F.col("x1"))))
+    side = F.when(F.col("kind") == "figure", F.col("ry1") <= F.col("y0") + 2).otherwise(F.col("ry0") >= F.col("y1") - 2) & (F.least("x1", "rx1") - F.greatest("x0", "rx0") > 0)
+    pool = written(asked.join(r, ["page_id", "cx"]).where(side).select("caption_id", "rx0", "ry0", "rx1", "ry1").distinct())
+    state = captions.select("caption_id", "page_h").join(seeds, "caption_id").select("caption_id", "page_h", *(F.col("s" + c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    state = written(state.withColumn("moved", F.lit(True)))
+    while not state.where("moved").isEmpty():
+        near = (F.least("x1", "rx1") - F.greatest("x0", "rx0") > 0) & (F.greatest("y0", "ry0") - F.least("y1", "ry1") <= merge * F.col("page_h"))
+        met = state.where("moved").join(pool, "caption_id").where(near).groupBy("caption_id").agg(F.min("rx0").alias("a"), F.min("ry0").alias("b"), F.max("rx1").alias("c"), F.max("ry1").alias("d"))
+        moved = (F.col("a") < F.col("x0")) | (F.col("b") < F.col("y0")) | (F.col("c") > F.col("x1")) | (F.col("d") > F.col("y1"))
+        wider = {"x0": F.least("x0", "a"), "y0": F.least("y0", "b"), "x1": F.greatest("x1", "c"), "y1": F.greatest("y1", "d"), "moved": F.coalesce(moved, F.lit(False))}
+        state = written(state.join(met, "caption_id", "left").withColumns(wider).drop("a", "b", "c", "d"))
+    return state.select("caption_id", "x0", "y0", "x1", "y1")
+
+
 def _run(letters: Column) -> Column:
     """How many of a, b, c, ... ``letters`` holds without a gap; case counts."""
     return F.aggregate(F.sequence(F.lit(0), F.lit(len(PANELS) - 1)), F.lit(0), lambda n, k: F.when((n == k) & F.array_contains(letters, F.char(k + 97)), n + 1).otherwise(n))

@@ -370,7 +370,8 @@ def bib_resolve(spark, sf):
     return B.resolve(b.select("query"), b)
 
 
-@_query()
+@_query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 2 THEN l > 0 ELSE l >= 15 OR 2.0 * l / (2 * l + CASE p_partkey % 3 WHEN 0 THEN 9 ELSE 1 END) >= 0.95 END AS matched
+FROM (SELECT p_partkey, length(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'))) AS l FROM part)""")
 def title_match(spark, sf):
     pairs = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("query"), F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, ": a survey").when(F.col("p_partkey") % 3 == 1, "s").otherwise("")).alias("result"))
     return B.title_match(pairs).select("p_partkey", "matched")
@@ -388,7 +389,8 @@ def parity_text(spark, sf):
     return P.text_parity(expected, built)
 
 
-@_query()
+@_query("""SELECT l_orderkey AS deck_id, coalesce(string_agg(q, ',' ORDER BY q) FILTER (k > 1), '') AS missing
+FROM (SELECT l_orderkey, q, row_number() OVER (PARTITION BY l_orderkey, q) AS k FROM (SELECT l_orderkey, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS q FROM lineitem)) GROUP BY l_orderkey""")
 def parity_cells(spark, sf):
     li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.col("l_quantity").cast("long").cast("string"))).alias("want"), F.array_sort(F.collect_set(F.concat(F.lit("n "), F.col("l_quantity").cast("long").cast("string")))).alias("cells"))
     return li.select(F.col("l_orderkey").alias("deck_id"), F.array_join(P.missing_cells(F.col("want"), F.col("cells")), ",").alias("missing"))
