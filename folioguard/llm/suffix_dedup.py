@@ -25,7 +25,8 @@ A minimizer with more than ``hot`` distinct segments (one line in a third of all
 out again by the hash of each single window, which collapses fully.
 
 Null and empty texts: nothing is removed. Rows that repeat a doc_id stay apart by their text; equal
-rows count as separate occurrences and get the same result. Columns of the input with clashing names
+rows count as separate occurrences and get the same result; however many they are, two of them go through the
+three steps, and the result is joined back to all. Columns of the input with clashing names
 are ignored; only doc_id and text are read.
 """
 
@@ -373,6 +374,21 @@ def _with_text(docs: DataFrame, wanted: DataFrame, struct: list[str]) -> DataFra
     return docs.join(lists, on).select(docs.doc_id, docs.tid, docs.text, lists.want)
 
 
+def _twice_at_most(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, tid) with two of each row that is repeated: two are enough to make all its windows repeated ones.
+
+    Rows that stand alone are not shuffled, and repetitions are reduced before they are.
+    """
+    again = docs.groupBy("doc_id", "tid").count().where("count > 1").select(F.col("doc_id").alias("_doc_id"), F.col("tid").alias("_tid"))
+    again = stored(again, "again")
+    if again.isEmpty():
+        return docs
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("tid") == F.col("_tid"))
+    one = docs.join(again, same, "left_semi").groupBy("doc_id", "tid").agg(F.first("text").alias("text"))
+    two = one.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).select("doc_id", "text", "tid")
+    return docs.join(again, same, "left_anti").unionByName(two)
+
+
 def substring_dedup(docs: DataFrame, width: int = WIDTH, hot: int = HOT, batch: int = BATCH) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256.
 
@@ -381,7 +397,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, hot: int = HOT, batch:
     spark = docs.sparkSession
     docs = docs.select("doc_id", nvl_text("text").alias("text")).withColumn("tid", F.xxhash64("text"))
     folder = scratch(spark, "bwt")
-    long_docs = docs.where(F.octet_length("text") >= width)
+    long_docs = _twice_at_most(docs.where(F.octet_length("text") >= width))
     found = _repeated(long_docs.mapInArrow(_segment_batches(width), SEGMENT), "segments")
     classes = found.groupBy("key", "h").agg(F.count("*").alias("count"), F.min(F.struct("doc_id", "tid", "start", "n", "lead")).alias("at"))
     classes = stored(classes.select("key", "h", "count", "at.*"), "classes")

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -85,6 +86,27 @@ def test_rounds_against_sorted_suffixes(tmp_path):
     assert not list(tmp_path.iterdir())
 
 
+def test_thousands_of_equal_rows(spark):
+    """Equal rows, with an id and without, cost about as much as rows of distinct ids; results are those of brute force."""
+    r = random.Random(5)
+    text = "".join(r.choices("abcdefgh ", k=700))
+    own = [(i, "".join(r.choices("abcdefgh ", k=300)) + text[i : i + 220]) for i in range(20)]
+
+    def timed(rows):
+        began = time.time()
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        return sorted((tuple(x) for x in substring_dedup(df).collect()), key=str), time.time() - began
+
+    equal = [(7000, text)] * 2500 + [(None, text)] * 2500
+    distinct, base = timed([(k + 100, text) for k in range(5000)] + own)
+    got, took = timed(equal + own)
+    few = brute([(7000, text)] * 2 + [(None, text)] * 2 + own, 200)
+    assert sorted(set(got), key=str) == sorted(set(few), key=str)
+    assert sum(g[0] == 7000 for g in got) == sum(g[0] is None for g in got) == 2500 and len(got) == 5020
+    assert {g[1:] for g in distinct if g[0] >= 100} == {g[1:] for g in got if g[0] in (7000, None)}
+    assert took < 2 * base + 20
+
+
 def test_empty_table(spark):
     assert substring_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
