@@ -155,11 +155,16 @@ def auto_style(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", best.alias("b")).select("doc_id", F.when(F.col("b.n") > 0, F.col("b.style")).otherwise(DEFAULT_STYLE).alias("style"), F.col("b.n").alias("signals"))
 
 
+def slide_topic(text: Column) -> Column:
+    """The first topic of the table that the text names, else null."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return reduce(lambda c, kv: c.when(_any(low, kv[1]), kv[0]), list(SLIDE_TOPICS.items())[1:], F.when(_any(low, SLIDE_TOPICS["Methods"]), "Methods"))
+
+
 def figure_plan(captions: DataFrame) -> DataFrame:
     """fig_id, topic, source of (fig_id, kind, caption): first topic of the table named in it; extract or generate. Tables are extracted."""
     low = F.lower(_text("caption"))
-    topic = reduce(lambda c, kv: c.when(_any(low, kv[1]), kv[0]), list(SLIDE_TOPICS.items())[1:], F.when(_any(low, SLIDE_TOPICS["Methods"]), "Methods"))
-    return captions.select("fig_id", topic.alias("topic"), F.when((F.col("kind") == "table") | _any(low, EXTRACT), "extract").otherwise("generate").alias("source"))
+    return captions.select("fig_id", slide_topic(F.col("caption")).alias("topic"), F.when((F.col("kind") == "table") | _any(low, EXTRACT), "extract").otherwise("generate").alias("source"))
 
 
 def confidence_band(score: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from folioguard.operators import consistency as K
 from folioguard.operators import edits as E
+from folioguard.operators import mapping as M
 from folioguard.plans import catalogue as C
 from folioguard.plans.catalogue import _query, _sql
 from folioguard.sources import bundles as B
@@ -83,3 +84,30 @@ def bundle_folders(spark, sf):
     state = B.write_bundles(B.bundle_files(again), path)
     there = B.read_bundles(spark, path).groupBy("bundle").agg(*(F.max(F.when(F.col("file") == f, F.col("content"))).alias(f) for f in ("ingest", "figures")))
     return state.join(there, "bundle")
+
+
+# A slide for each line of an order, a figure for each line of every third part. Topic words are those of the table.
+PAGES = """SELECT l_orderkey AS deck_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS slide, l_partkey AS p,
+  concat(CASE l_partkey % 5 WHEN 0 THEN 'The framework of ' WHEN 1 THEN 'Main results on ' WHEN 2 THEN 'Ablation: ' ELSE 'On ' END, 'part ', substr('abcdefghijklmnopqrstuvwxyz', CAST(l_partkey % 20 + 1 AS INT), 4), ' from ', substr('zyxwvutsrqponmlkjihgfedcba', CAST(l_suppkey % 20 + 1 AS INT), 5)) AS text,
+  concat(CASE l_suppkey % 4 WHEN 0 THEN 'Our architecture with ' WHEN 1 THEN 'Comparison of ' ELSE 'Seen: ' END, substr('abcdefghijklmnopqrstuvwxyz', CAST(l_partkey % 20 + 1 AS INT), 4), ' part') AS caption FROM lineitem"""
+MAPPED = f"""WITH RECURSIVE s AS ({PAGES}), f AS (SELECT deck_id, slide AS fig_id, caption FROM s WHERE p % 3 = 0),
+t AS (SELECT 's' AS kind, deck_id, slide AS id, text FROM s UNION ALL SELECT 'f', deck_id, fig_id, caption FROM f),
+w AS (SELECT kind, deck_id, id, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS term FROM t),
+i AS (SELECT term, ln((1 + (SELECT count(*) FROM t)) / (1 + count(DISTINCT (kind, deck_id, id)))) + 1 AS idf FROM w GROUP BY term),
+n AS (SELECT kind, deck_id, id, term, count(*) * any_value(idf) AS w FROM w JOIN i USING (term) GROUP BY ALL),
+u AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY kind, deck_id, id)) AS v FROM n),
+c AS (SELECT a.deck_id, a.id AS fig_id, b.id AS slide, sum(a.v * b.v) AS cosine FROM u a JOIN u b ON a.kind = 'f' AND b.kind = 's' AND a.deck_id = b.deck_id AND a.term = b.term GROUP BY ALL),
+k AS (SELECT *, CASE WHEN contains(lower(text), 'architecture') OR contains(lower(text), 'framework') THEN 'Methods' WHEN contains(lower(text), 'comparison') OR contains(lower(text), 'results') THEN 'Results' WHEN contains(lower(text), 'ablation') THEN 'Analysis' END AS topic FROM t),
+g AS (SELECT a.deck_id, a.id AS fig_id, b.id AS slide, 1 AS agree FROM k a JOIN k b ON a.kind = 'f' AND b.kind = 's' AND a.deck_id = b.deck_id AND a.topic = b.topic),
+p AS (SELECT *, row_number() OVER (PARTITION BY deck_id ORDER BY score DESC, fig_id, slide) AS r FROM (SELECT deck_id, fig_id, slide, round(least(1, 0.5 * coalesce(agree, 0) + 0.5 * coalesce(cosine, 0)), 6) AS score FROM c FULL JOIN g USING (deck_id, fig_id, slide))),
+z AS (SELECT deck_id, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS fs, CAST([] AS BIGINT[]) AS ss, NULL::BIGINT AS fig_id, NULL::BIGINT AS slide, NULL::DOUBLE AS score, false AS taken FROM (SELECT DISTINCT deck_id FROM p)
+  UNION ALL SELECT deck_id, r, CASE WHEN ok THEN list_append(fs, fig_id) ELSE fs END, CASE WHEN ok THEN list_append(ss, slide) ELSE ss END, fig_id, slide, score, ok
+  FROM (SELECT z.deck_id, p.r, fs, ss, p.fig_id, p.slide, p.score, NOT list_contains(fs, p.fig_id) AND NOT list_contains(ss, p.slide) AS ok FROM z JOIN p ON p.deck_id = z.deck_id AND p.r = z.r + 1)),
+h AS (SELECT deck_id, fig_id, slide, score FROM z WHERE taken)
+SELECT deck_id, fig_id, slide, coalesce(score, 0) AS score, CASE WHEN score > 0.8 THEN 'auto' WHEN score >= 0.5 THEN 'review' ELSE 'skip' END AS band FROM f LEFT JOIN h USING (deck_id, fig_id)"""
+
+
+@_query(MAPPED)
+def mapped_figures(spark, sf):
+    rows = _sql(spark, sf, PAGES, "lineitem")
+    return M.mapped_figures(rows.where("p % 3 = 0").select("deck_id", F.col("slide").alias("fig_id"), "caption"), rows.select("deck_id", "slide", "text"))

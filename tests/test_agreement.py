@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioguard.operators import consistency as K
 from folioguard.operators import edits as E
+from folioguard.operators import mapping as M
 from folioguard.sources import bundles as B
 
 EDIT = "deck_id long, step long, op string, slug string, position long, new_slug string"
@@ -115,3 +116,34 @@ def test_bundles_after_a_failed_job(spark, tmp_path):
     assert {tuple(r) for r in B.read_bundles(spark, path).collect()} == before
     assert {r.state for r in B.write_bundles(new, path).collect()} == {"written"}
     assert {r.content for r in B.read_bundles(spark, path).where("file = 'ingest'").collect()} == {'{"new": 1}'}
+
+
+def mapped(spark, captions, slides):
+    c = spark.createDataFrame([(1, k, t) for k, t in enumerate(captions)], "deck_id long, fig_id long, caption string")
+    s = spark.createDataFrame([(1, k, t) for k, t in enumerate(slides)], "deck_id long, slide long, text string")
+    scores = {(r.fig_id, r.slide): r.score for r in M.mapping_scores(c, s).collect()}
+    return {r.fig_id: (r.slide, r.score, r.band) for r in M.mapped_figures(c, s).collect()}, scores
+
+
+def test_figures_to_slides(spark):
+    got, scores = mapped(
+        spark, ["Overview of the proposed framework", "Comparison with other methods: results on lungs", "Nothing shared", None, "framework framework"],
+        ["Results on lungs", "Comparison with other methods: results on lungs", "", None, "The framework"],
+    )
+    assert got[1] == (1, 1.0, "auto") and got[2] == got[3] == (None, 0.0, "skip")
+    assert {got[0][0], got[4][0]} == {4, None} and got[4][1] > 0.5 and got[4][2] in ("auto", "review")
+    assert (2, 2) not in scores and scores[1, 0] < scores[1, 1]
+
+
+def test_best_pairs_first(spark):
+    """Against a plain loop: take the best pair, cross out its row and column, and so on."""
+    rng = random.Random(3)
+    words = "lung heart liver bone vessel tumor nodule method results".split()
+    text = lambda: " ".join(rng.choices(words, k=rng.randint(0, 5)))
+    got, scores = mapped(spark, [text() for _ in range(9)], [text() for _ in range(7)])
+    left, want = dict(scores), {}
+    while left:
+        f, s = min(left, key=lambda k: (-left[k], k))
+        want[f] = (s, left[f, s])
+        left = {k: v for k, v in left.items() if k[0] != f and k[1] != s}
+    assert {f: v[:2] for f, v in got.items() if v[0] is not None} == want and len(got) == 9
