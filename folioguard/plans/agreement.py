@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from folioguard.operators import consistency as K
@@ -13,7 +11,7 @@ from folioguard.plans import catalogue as C
 from folioguard.plans.catalogue import _query, _sql
 from folioguard.sources import bundles as B
 from folioguard.sources.readers import table
-from folioguard.sources.scratch import scratch_folder
+from folioguard.sources.scratch import scratch_path
 
 # A deck for each order, a slide for each of its lines, and a log that depends on the order.
 DECKS = "SELECT l_orderkey AS deck_id, count(*) AS n, l_orderkey % 5 AS c FROM lineitem GROUP BY l_orderkey"
@@ -77,7 +75,7 @@ def bundle_folders(spark, sf):
         F.expr("concat('in/', CASE WHEN s_suppkey % 2 = 0 THEN 'a' ELSE 'b' END, '/paper ', CAST(floor(s_suppkey / 2) AS BIGINT), '.pdf')").alias("source"), "s_suppkey",
         F.expr("""concat('{"pages":', s_suppkey % 9, '}')""").alias("ingest"), F.expr("""CASE WHEN s_suppkey % 12 = 0 OR s_suppkey % 4 > 0 THEN concat('["', s_name, '"]') END""").alias("figures"), F.lit("{}").alias("manifest"),
     )
-    path = f"{scratch_folder(spark)}/bundles-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "bundles")
     B.write_bundles(B.bundle_files(rows), path)
     changed = F.col("s_suppkey") % 3 == 0
     again = rows.withColumns({"ingest": F.when(changed, F.replace("ingest", F.lit("}"), F.lit("0}"))).otherwise(F.col("ingest")), "figures": F.when(F.col("s_suppkey") % 12 > 0, F.col("figures"))})

@@ -20,11 +20,16 @@ def scratch_folder(spark: SparkSession) -> str:
     return spark._folioguard_rounds
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table of its own, without lineage. Its files go when the driver ends."""
-    spark = df.sparkSession
-    path = f"{scratch_folder(spark)}/folioguard-round-{uuid.uuid4().hex}"
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path that no other run uses; what lies there goes when the driver ends."""
+    path = f"{scratch_folder(spark)}/folioguard-{name}-{uuid.uuid4().hex}"
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    df.write.parquet(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table of its own, without lineage."""
+    path = scratch_path(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from folioguard.plans import agreement, decks, extracts, near, planted, rules  # noqa: F401 (they register their queries)
+from folioguard.plans import agreement, decks, extracts, files, near, planted, rules  # noqa: F401 (they register their queries)
 from folioguard.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.01"
