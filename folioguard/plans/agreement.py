@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioguard.operators import consistency as K
 from folioguard.operators import edits as E
 from folioguard.operators import mapping as M
+from folioguard.operators import placement as T
 from folioguard.plans import catalogue as C
 from folioguard.plans.catalogue import _query, _sql
 from folioguard.sources import bundles as B
@@ -109,3 +110,24 @@ SELECT deck_id, fig_id, slide, coalesce(score, 0) AS score, CASE WHEN score > 0.
 def mapped_figures(spark, sf):
     rows = _sql(spark, sf, PAGES, "lineitem")
     return M.mapped_figures(rows.where("p % 3 = 0").select("deck_id", F.col("slide").alias("fig_id"), "caption"), rows.select("deck_id", "slide", "text"))
+
+
+# A page for each part, of two sizes, with titles of up to six lines; some pictures have no area.
+TEMPLATES = """SELECT p_partkey AS page_id, CAST(repeat(concat(p_name, ' '), CAST(p_size % 28 AS INT)) AS STRING) AS title, repeat(concat(p_type, ' '), CAST(p_size % 40 AS INT)) AS caption,
+  p_size % 9 * 100 AS figure_w, p_size * 20 AS figure_h, CASE WHEN p_partkey % 2 = 0 THEN 1920 ELSE 1280 END AS width, CASE WHEN p_partkey % 2 = 0 THEN 1080 ELSE 720 END AS height FROM part"""
+_WRAP = "len(list_filter(string_split(coalesce(list_reduce(list_filter(string_split({text}, ' '), lambda w: w <> ''), lambda a, w: CASE WHEN length(regexp_extract(a, '[^\\n]*$')) + 1 + length(w) <= {most} THEN a || ' ' || w ELSE a || chr(10) || w END), ''), chr(10)), lambda w: w <> ''))"
+
+
+@_query(f"""WITH p AS (SELECT *, CASE WHEN width = 1920 THEN 48 ELSE 32 END AS tf, CASE WHEN width = 1920 THEN 24 ELSE 16 END AS cf, CASE WHEN width = 1920 THEN 20 ELSE 13 END AS pad, CASE WHEN width = 1920 THEN 80 ELSE 53 END AS edge FROM ({TEMPLATES.replace('STRING', 'VARCHAR').replace('AS INT)', 'AS INTEGER)')})),
+l AS (SELECT *, CASE WHEN trim(title) = '' THEN 0 ELSE {_WRAP.format(text='title', most=72)} END AS tn, CASE WHEN trim(caption) = '' THEN 0 ELSE {_WRAP.format(text='caption', most=136)} END AS cn FROM p),
+r AS (SELECT *, CAST(edge + tn * tf * 1.3 + 2 * pad AS DOUBLE) AS below, CAST(height - edge - (edge + tn * tf * 1.3 + 2 * pad) - 2 * pad AS DOUBLE) AS room FROM l),
+s AS (SELECT *, CASE WHEN least(height * 0.65, room) > 0 AND figure_w > 0 AND figure_h > 0 THEN least(width * 0.85 / figure_w, least(height * 0.65, room) / figure_h) END AS s FROM r)
+SELECT page_id, tf AS title_font, tn AS title_lines, cn AS caption_lines, CASE WHEN cn > 0 THEN round(CAST(height - edge + (cn - 1) * cf * 1.4 AS DOUBLE), 6) END AS last_y, round((width - figure_w * s) / 2, 6) AS x, round(below + (room - figure_h * s) / 2, 6) AS y,
+  round(figure_w * s + 2 * pad, 6) AS frame_w, round(figure_h * s + 2 * pad, 6) AS frame_h FROM s""")
+def template_places(spark, sf):
+    rows = T.template_places(_sql(spark, sf, TEMPLATES, "part"))
+    six = lambda c: F.round(F.col(c).cast("double"), 6)
+    return rows.select(
+        "page_id", "title_font", F.size("titles").cast("long").alias("title_lines"), F.size("captions").cast("long").alias("caption_lines"), F.round(F.try_element_at("captions", F.lit(-1))["y"], 6).alias("last_y"),
+        six("figure.x").alias("x"), six("figure.y").alias("y"), six("frame.w").alias("frame_w"), six("frame.h").alias("frame_h"),
+    )

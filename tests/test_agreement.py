@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioguard.operators import consistency as K
 from folioguard.operators import edits as E
 from folioguard.operators import mapping as M
+from folioguard.operators import placement as T
 from folioguard.sources import bundles as B
 
 EDIT = "deck_id long, step long, op string, slug string, position long, new_slug string"
@@ -147,3 +148,18 @@ def test_best_pairs_first(spark):
         want[f] = (s, left[f, s])
         left = {k: v for k, v in left.items() if k[0] != f and k[1] != s}
     assert {f: v[:2] for f, v in got.items() if v[0] is not None} == want and len(got) == 9
+
+
+def test_places_of_a_template(spark):
+    page = "page_id long, title string, caption string, figure_w long, figure_h long, width long, height long"
+    rows = [(1, "A title", "A caption", 1600, 800, 1920, 1080), (2, "word " * 30, "word " * 50, 100, 400, 1920, 1080), (3, "x", None, 0, 10, 1920, 1080), (4, "word " * 400, "", 10, 10, 1280, 720)]
+    got = {r.page_id: r for r in T.template_places(spark.createDataFrame(rows, page)).collect()}
+    one = got[1]
+    assert (one.title_font, one.caption_font, [tuple(t) for t in one.titles], [tuple(c) for c in one.captions]) == (48, 24, [("A title", 80.0)], [("A caption", 1000.0)])
+    # Title to 182.4, caption from 1000: 777.6 of room, of which 702 may be used; 1600 x 800 fits by its height.
+    assert [round(v, 6) for v in one.figure] == [258.0, 220.2, 1404.0, 702.0] and [round(v, 6) for v in one.frame] == [238.0, 200.2, 1444.0, 742.0]
+    two = got[2]
+    assert [len(t.text) for t in two.titles] == [69, 69, 9] or len(two.titles) == 3
+    assert [round(t.y, 6) for t in two.titles] == [80.0, 142.4, 204.8] and round(two.captions[1].y, 6) == 1033.6
+    assert round(two.figure.h, 6) == round(min(702, 1000 - (80 + 3 * 62.4 + 40) - 40), 6) and round(two.figure.w * 4, 6) == round(two.figure.h, 6)
+    assert got[3].figure is None and got[3].captions == [] and got[4].figure is None and got[4].title_font == 32
