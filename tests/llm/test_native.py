@@ -185,3 +185,15 @@ def test_one_index_for_two_benchmarks(spark):
     index.compact()
     again = PositionalIndex(spark, "two_again", index.path)
     assert again.read().count() == sum(len(split(t)) for _, t in docs)
+
+
+def test_decontaminate_no_documents(spark):
+    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    assert decontaminate(spark.createDataFrame([], "doc_id long, text string"), items).collect() == []
+
+
+def test_decontaminate_thousands_of_equal_rows(spark):
+    seq = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(7, f"x {seq} y")] * 1500 + [(None, seq)] * 1500 + [(8, "clean")], "doc_id long, text string")
+    got = decontaminate(docs, spark.createDataFrame([(1, seq)], "item_id long, text string")).groupBy("doc_id", "n_words", "n_hit", "contaminated").count().collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(7, 14, 12, True, 1500), (None, 12, 12, True, 1500), (8, 1, 0, False, 1)], key=str)
