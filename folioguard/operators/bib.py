@@ -16,7 +16,7 @@ DOI = r"(?i)^(?:doi:)?(10\.\d{4,9}/\S+)$"
 YEAR_FIELDS = ("published-print", "published-online", "issued", "created")
 #: Characters of a title from which on a longer one may extend it, and of the parts that near titles share.
 SPECIFIC = 15
-GRAM = 3
+GRAM = 4
 
 
 def classified(q: Column) -> Column:
