@@ -65,8 +65,8 @@ _IS_LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)
 REMEMBERED = 64
 
 
-def suspects(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Rows whose bytes may hold a disguise; no disguise escapes, as each kind has one of these patterns."""
+def _hits(x: np.ndarray) -> np.ndarray:
+    """Bytes of which every disguise holds one, as each kind has one of these patterns."""
     letter, leet, word, low = _IS_LETTER[x], _IS_LEET[x], WORD[x] > 0, LOWER[x]
     unit = letter | leet
     gap = ~word & ~leet
@@ -75,7 +75,34 @@ def suspects(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     # A letter or sign between separators, as in the middle of a spelled-out run, and a separator inside a word.
     hit[1:-1] |= unit[1:-1] & gap[:-2] & gap[2:]
     hit[1:-1] |= gap[1:-1] & letter[:-2] & (x[1:-1] > 32) & (x[2:] > 32)
-    return np.unique(np.searchsorted(at, np.flatnonzero(hit), side="right") - 1)
+    return np.flatnonzero(hit)
+
+
+def suspects(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows whose bytes may hold a disguise; no disguise escapes."""
+    return np.unique(np.searchsorted(at, _hits(x), side="right") - 1)
+
+
+def suspect_spans(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the parts of texts that may hold a disguise; each disguise lies in one of them.
+
+    Texts are cut at blanks that no disguise reaches over. One with blanks in it has single letters or signs between them, repeated
+    or not, so a blank beside two letters that differ is such a cut. A part keeps the blanks at its ends, because a disguise
+    depends on the characters beside it.
+    """
+    hit = _hits(x)
+    differ = np.zeros(len(x) + 4, bool)  # differ[k + 2]: the letters k and k + 1 of one text differ
+    if len(x) > 1:
+        letter, low = _IS_LETTER[x], LOWER[x]
+        differ[2 : len(x) + 1] = letter[:-1] & letter[1:] & (low[:-1] != low[1:])
+        differ[at[1:-1] + 1] = False
+    blank = np.flatnonzero(x == 32)
+    cut = blank[differ[blank] | differ[blank + 3]]
+    begins, ends = np.sort(np.concatenate((at[:-1], cut))), np.sort(np.concatenate((at[1:], cut + 1)))
+    b = begins[np.searchsorted(begins, hit, side="right") - 1]
+    e = ends[np.searchsorted(ends, hit, side="right")]
+    first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.zeros(0, np.int64)
+    return b[first], e[first]
 
 
 class Channel:
@@ -84,6 +111,7 @@ class Channel:
     def __init__(self, cost: np.ndarray):
         self.cost = cost.tolist()
         self.seen: dict[str, str] = {}
+        self.parts: dict[bytes, bytes] = {}
 
     def readings(self, text: str) -> list[list[tuple]]:
         """For each place of ``text``, the strings it may have meant, their costs, and the states that the model is to see for them, if others than their own."""
@@ -151,6 +179,19 @@ class Channel:
 
         return DISGUISED.sub(read, text)
 
+    def restore_part(self, part: bytes) -> bytes:
+        """``restore`` of a part of a text."""
+        new = self.parts.get(part)
+        if new is None:
+            text = part.decode("utf-8", "replace")
+            read = self.restore(text)
+            new = part if read == text else read.encode("utf-8")
+            if len(self.parts) > 100_000:
+                self.parts.clear()
+            if len(part) <= REMEMBERED:
+                self.parts[part] = new
+        return new
+
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(STATES**3, np.int64)
@@ -192,22 +233,26 @@ def evidence_hashes(x: np.ndarray, own: np.ndarray, rolling: Rolling) -> tuple[n
 
 def _restored(data: np.ndarray, at: np.ndarray, channel: Channel) -> tuple[np.ndarray, np.ndarray]:
     """The texts with disguises decoded, in the form of ``buffers``."""
-    change = {}
+    parts, more, last = [], np.zeros(len(at) - 1, np.int64), int(at[0])
     for i, j in chunks(at, PIECE):
-        for r in suspects(data[at[i] : at[j]], at[i : j + 1] - at[i]):
-            r = int(r) + i
-            text = data[at[r] : at[r + 1]].tobytes().decode("utf-8", "replace")
-            new = channel.restore(text)
-            if new != text:
-                change[r] = np.frombuffer(new.encode("utf-8"), np.uint8)
-    if not change:
+        base = int(at[i])
+        x = data[base : at[j]]
+        begins, ends = suspect_spans(x, at[i : j + 1] - base)
+        raw = x.tobytes()
+        for b, e in zip(begins.tolist(), ends.tolist(), strict=True):
+            new = channel.restore_part(raw[b:e])
+            if new != raw[b:e]:
+                # A blank at an end is never changed, and the next part may share it.
+                head, tail = raw[b] == 32, raw[e - 1] == 32
+                new = new[head : len(new) - tail]
+                b, e = base + b + head, base + e - tail
+                parts += [data[last:b], np.frombuffer(new, np.uint8)]
+                more[np.searchsorted(at, b, side="right") - 1] += len(new) - (e - b)
+                last = e
+    if not parts:
         return data, at
-    parts, size, last = [], np.diff(at), 0
-    for r, new in sorted(change.items()):
-        parts += [data[at[last] : at[r]], new]
-        size[r], last = len(new), r + 1
-    parts.append(data[at[last] : at[-1]])
-    return np.concatenate(parts), np.concatenate(([0], np.cumsum(size)))
+    parts.append(data[last : at[-1]])
+    return np.concatenate(parts), np.concatenate(([0], np.cumsum(np.diff(at) + more)))
 
 
 def _evidence_batches(cost: np.ndarray) -> Callable:

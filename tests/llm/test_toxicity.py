@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 
-from folioguard.llm.toxicity import DISGUISED, EDGE, OTHER, STATES, Channel, classify_toxicity, language_model, op7_toxicity, restore_texts, suspects
+from folioguard.llm.toxicity import DISGUISED, EDGE, OTHER, STATES, Channel, _restored, classify_toxicity, language_model, op7_toxicity, restore_texts, suspects
 
 from .auc import auc
 from .test_quality import brute_score
@@ -69,6 +69,23 @@ def test_suspects_miss_none():
     assert changed <= set(suspects(data, at).tolist())
 
 
+def test_parts_are_restored_as_whole_texts_are():
+    """Texts of the characters that kinds of disguises turn on, at random, many to a chunk and in chunks of their own."""
+    channel = Channel(np.random.default_rng(5).uniform(0, 4, (STATES, STATES, STATES)))
+    r = random.Random(8)
+    some = ["a", "b", "i", "d", "A", "1", "0", "@", "|", "2", " ", " ", " ", ".", "-", "\t", "\n", "\x7f", "é", "ab", "will", " the ", " i d i ", "l0l"]
+    texts = ["".join(r.choice(some) for _ in range(r.choice((0, 1, 2, 5, 9, 14, 40)))) for _ in range(30_000)]
+    texts += [" ".join(texts[:2_000]), "i d o", "x y z", " i d", "i d i ", "i d", "ab", "o i d", "x " * 700_000, "", ""]
+    lead = "dropped"  # a slice of a batch begins behind other bytes
+    data = np.frombuffer((lead + "".join(texts) + lead).encode(), np.uint8)
+    at = np.cumsum([len(lead), *(len(t.encode()) for t in texts)])
+    new, to = _restored(data, at, channel)
+    got = [new[a:b].tobytes().decode() for a, b in itertools.pairwise(to.tolist())]
+    want = [channel.restore(t) for t in texts]
+    assert sum(g != t for g, t in zip(want, texts)) > 1_000
+    assert [(g, w) for g, w in zip(got, want, strict=True) if g != w][:3] == []
+
+
 def test_model_is_a_distribution(spark):
     cost = language_model(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     np.testing.assert_allclose(np.exp(-cost).sum(2), 1)
