@@ -91,9 +91,16 @@ def normalised(s: Column) -> Column:
 
 
 def contains_whole(haystack: Column, needle: Column) -> Column:
-    """``needle`` occurs outside of ASCII letters and digits; an empty one always does."""
+    """``needle`` occurs outside of ASCII letters and digits; an empty one always does.
+
+    A search for the text alone, and a look at what stands beside its first place, decide nearly always. The pattern, which has to be
+    compiled for each row, is for a first place inside a word.
+    """
+    at = F.call_function("locate", needle, haystack)
+    beside = F.concat(F.when(at > 1, F.substring(haystack, at - 1, F.lit(1))).otherwise(F.lit("")), F.substring(haystack, at + F.length(needle), F.lit(1)))
     pattern = F.concat(F.lit(r"(?<![0-9a-z])\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![0-9a-z])"))
-    return (needle == "") | F.regexp_like(haystack, pattern)
+    plain = F.when(needle == "", True).when(at == 0, False).when(~F.rlike(beside, F.lit("[0-9a-z]")), True)
+    return plain.otherwise(F.regexp_like(haystack, pattern))
 
 
 def emojis(s: Column) -> Column:

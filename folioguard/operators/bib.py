@@ -17,6 +17,8 @@ YEAR_FIELDS = ("published-print", "published-online", "issued", "created")
 #: Characters of a title from which on a longer one may extend it, and of the parts that near titles share.
 SPECIFIC = 15
 GRAM = 4
+#: From this ratio on, edits leave a title of any length one part of GRAM characters at least.
+LEAST_RATIO = 0.94
 
 
 def classified(q: Column) -> Column:
@@ -89,8 +91,11 @@ def near_titles(queries: DataFrame, records: DataFrame, threshold: float = 0.95)
 
     queries: query_id, title; records: record_id, title; ids are unique. Three joins find the pairs, none of them over all: equal titles, titles
     that extend another one (by its length and hash), and titles that share one of their rarest parts, whose ratio decides.
-    Titles without letters or digits match nothing.
+    Titles without letters or digits match nothing. Below LEAST_RATIO a short title may share no part with a near one, so
+    no lower ``threshold`` is taken.
     """
+    if threshold < LEAST_RATIO:
+        raise ValueError(f"a threshold below {LEAST_RATIO} would lose pairs")
     side = lambda df, name: df.select(F.col(f"{name}_id").alias("id"), H.normalised_title(F.col("title")).alias("t")).where("t <> ''")
     q, r = side(queries, "query"), side(records, "record")
     pair = lambda c: (F.col("q.id").alias("query_id"), F.col("r.id").alias("record_id"), c.cast("double").alias("ratio"))

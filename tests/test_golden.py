@@ -1,5 +1,6 @@
 """Literal fixtures with values known beforehand."""
 
+import random
 import struct
 
 import pytest
@@ -62,6 +63,24 @@ def test_texts(spark):
     assert value(spark, H.html_placeholders(F.lit("&lt;presenter&gt; &lt; 日期 &gt; &lt;eos&gt;"))) == ["<presenter>", "<日期>"]
 
 
+def test_whole_words_against_a_search_of_all_places(spark):
+    r = random.Random(6)
+    some = ["a", "b", "1", " ", ".", "A", "é", "😀", "\\E", "\n"]
+    rows = [("".join(r.choice(some) for _ in range(r.randint(0, 12))), "".join(r.choice(some[: r.choice((3, 10))]) for _ in range(r.randint(0, 3)))) for _ in range(4_000)]
+    rows += [("xa a a", "a a"), ("a", "a"), ("ab a", "a"), ("", "a"), ("", "")]
+
+    def whole(h, n):
+        word = lambda c: c.isascii() and (c.isdigit() or c.islower())
+        at = [i for i in range(len(h) - len(n) + 1) if h.startswith(n, i)]
+        return n == "" or any(not (i and word(h[i - 1])) and not word(h[i + len(n) : i + len(n) + 1] or " ") for i in at)
+
+    df = spark.createDataFrame([*rows, (None, "a"), ("a", None), (None, "")], "h string, n string")
+    got = df.select("h", "n", H.contains_whole(F.col("h"), F.col("n")), F.element_at(F.transform(F.array("n"), lambda n: H.contains_whole(F.col("h"), n)), 1)).collect()
+    assert [tuple(x) for x in got if x[0] is None or x[1] is None] == [(None, "a", None, None), ("a", None, None, None), (None, "", True, True)]
+    assert [x for x in got if None not in x[:2] and not x[2] == x[3] == whole(x[0], x[1])] == []
+    assert sum(x[2] or False for x in got) > 300
+
+
 def test_deck(spark):
     spec = '{"slides":[{"layout":"results-table","title":"T","table":{"rows":[["A",{"v":"28.4","bold":true}],["29.1",7]]}},{"layout":"bullets","points":["N = 6",{"head":"h","body":"b"}],"entries":["x [UNVERIFIED]"]},{"layout":"odd"}]}'
     s = D.slides_of(spark.createDataFrame([(1, spec)], "deck_id long, spec string"))

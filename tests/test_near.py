@@ -113,6 +113,15 @@ def test_literal_titles(spark):
     assert got == {(0, 0), (1, 0), (3, 1)}
 
 
+def test_lower_thresholds_are_refused(spark):
+    titles = spark.createDataFrame([(1, "abcdefg")], "query_id long, title string")
+    with pytest.raises(ValueError):
+        B.near_titles(titles, titles.withColumnRenamed("query_id", "record_id"), B.LEAST_RATIO - 0.01)
+    for n in range(1, 2_000):
+        edits = int((1 - B.LEAST_RATIO) * (1 + (2 - B.LEAST_RATIO) / B.LEAST_RATIO) * n + 1e-9)
+        assert edits == 0 or B.GRAM * edits < n - B.GRAM + 1
+
+
 def test_all_pairs(spark):
     """The joins find exactly the pairs that a comparison of all finds, each once."""
     rng = random.Random(7)
