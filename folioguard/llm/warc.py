@@ -171,7 +171,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     write_archives(read_table(spark, sf_dir, "pages"), path)
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload_ok")
 
 
 OP6_SQL = """
@@ -179,6 +179,7 @@ WITH h AS (SELECT page_id, sha256(coalesce(html, '')) AS d, CAST(strlen(coalesce
 f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM h)
 SELECT page_id, n AS payload_bytes, d AS payload_digest,
        CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to,
+       true AS payload_ok
 FROM f
 """

@@ -75,6 +75,14 @@ def test_warc_cases(spark):
     assert list(parse_archive(b"")) == []
 
 
+def test_damaged_payload(spark):
+    path = scratch(spark, "warc")
+    write_archives(spark.createDataFrame([(1, "u", "one payload"), (2, "u", "two payload")], "page_id long, url string, html string").coalesce(1), path)
+    files = [bytes(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).collect()]
+    got = {(r[0], r[-1]) for f in files for r in parse_archive(f.replace(b"one payload", b"0ne payload"))}
+    assert got == {(1, False), (2, True)}
+
+
 def test_warc_files_are_bounded(spark):
     """Few bytes a file, whatever the lengths, and a file of its own for a record beyond them."""
     r = random.Random(1)
