@@ -11,7 +11,8 @@ Words are runs of digits, letters and non-ASCII characters after lower-casing A-
    base, position minus offset, which survives if the lists of the other terms hold it at their own offsets. The
    lists of the ``anchors`` rarest terms are intersected over the whole index, the remaining ones in the
    documents that are left, so lists of common words are only read there.
-4. Proximity matches come from the same lists, rarest term first.
+4. Proximity matches come from the same lists, rarest term first: ``near_windows`` finds the documents where a window's words
+   stand close together in any order, ``proximity_matches`` the tightest spans of any words asked for.
 
 Common words are never anchors unless a window has no others. Windows with equal words are looked up
 once. Postings follow the documents, windows the test set; no document is collected and no pairs of
@@ -30,10 +31,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioguard.llm.common import BucketedTable, ascii_lower, nvl_text, raw_words, read_table, scratch, small_enough, stored, words
+from folioguard.llm.common import BROADCAST_ROWS, BucketedTable, ascii_lower, nvl_text, raw_words, read_table, scratch, small_enough, stored, words
 
 LENGTH = 10
 ANCHORS = 2
+#: Words that the words of a window may spread over, in any order, to be a proximity match of the query.
+WITHIN = 20
 #: Offsets of a window are bits of a long.
 LONGEST = 62
 
@@ -72,8 +75,15 @@ class PositionalIndex(BucketedTable):
         self._write(posts.withColumn("term", F.xxhash64("word")), self.name, "append")
 
     def counts(self, terms: DataFrame) -> DataFrame:
-        """How often each of ``terms`` (word) occurs; 0 if never."""
-        found = self.read().select("term").join(small_enough(terms.select(F.xxhash64("word").alias("term")).distinct()), "term").groupBy("term").count()
+        """How often each of ``terms`` (word) occurs; 0 if never.
+
+        Few terms are broadcast to the postings. With many, postings are counted before they meet the terms, so that a common
+        word is a count per task by then, not a key with all of its postings.
+        """
+        asked, posts = terms.select(F.xxhash64("word").alias("term")).distinct(), self.read().select("term")
+        if _few(asked, BROADCAST_ROWS):
+            posts = posts.join(F.broadcast(asked), "term")
+        found = posts.groupBy("term").count()
         return terms.join(found, F.xxhash64("word") == F.col("term"), "left").select("word", F.coalesce("count", F.lit(0)).alias("n"))
 
     def lengths(self) -> DataFrame:
@@ -112,6 +122,28 @@ def _few(df: DataFrame, rows: int = 20_000) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def near_windows(index: PositionalIndex, ranked: DataFrame, within: int = WITHIN, anchors: int = ANCHORS) -> DataFrame:
+    """id, key, window: the words of a window all stand, in any order, within ``within`` words of a document.
+
+    A cell is twice as long and one begins at each multiple of ``within``, so such a span lies in the cell where it
+    begins. The lists of the ``anchors`` rarest terms are intersected by cell over the whole index; the other terms are
+    read in the documents that are left. What is gathered of a cell is at most its own places, which are then tried as beginnings.
+    """
+    place = F.floor(F.col("pos") / within).cast("int")
+    in_cells = lambda df: df.withColumn("cell", F.explode(F.array(place, place - 1))).where("cell >= 0")
+    k = ranked.groupBy("window").agg(F.count("*").cast("int").alias("k"))
+    lists = small_enough(ranked.where(F.col("rank") < anchors).join(k, "window").withColumn("needed", F.least(F.col("k"), F.lit(anchors))).select("window", "term", "word", "rank", "needed"))
+    met = in_cells(index.read().join(lists, ["term", "word"])).groupBy("id", "key", "window", "cell").agg(F.bit_or(F.expr("shiftleft(1L, rank)")).alias("slots"), F.max("needed").alias("needed"))
+    met = stored(met.where("bit_count(slots) = needed").select("id", "key", "window", "cell"), "cells")
+    left = met.select("id", "key", "cell").distinct()
+    posts = in_cells(index.read().select("id", "key", "pos", "word")).join(small_enough(left), ["id", "key", "cell"], "left_semi")
+    asked = met.join(small_enough(ranked.join(k, "window").select("window", "word", "rank", "k")), "window")
+    both = asked.join(posts, ["id", "key", "cell", "word"])
+    held = both.groupBy("id", "key", "window", "cell").agg(F.max("k").alias("k"), F.bit_or(F.expr("shiftleft(1L, rank)")).alias("slots"), F.collect_list(F.struct("pos", "rank")).alias("p")).where("bit_count(slots) = k")
+    reached = lambda x: F.size(F.array_distinct(F.transform(F.filter("p", lambda y: (y["pos"] >= x["pos"]) & (y["pos"] < x["pos"] + within)), lambda y: y["rank"])))
+    return held.where(F.exists("p", lambda x: reached(x) == F.col("k"))).select("id", "key", "window").distinct()
+
+
 def proximity_matches(index: PositionalIndex, asked: DataFrame, within: int) -> DataFrame:
     """query_id, doc_id, key, first, last: the tightest spans, of at most ``within`` words, that hold every one of a query's words.
 
@@ -135,20 +167,24 @@ def proximity_matches(index: PositionalIndex, asked: DataFrame, within: int) ->
     return spans.select("query_id", _doc_id(), "key", "first", "last")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, length: int = LENGTH, anchors: int = ANCHORS) -> DataFrame:
-    """One row per row of ``docs``: n_words, n_hit, n_items, items_sha256, contaminated."""
-    return decontaminated_rows(docs, items, length, anchors).drop("tid")
+def decontaminate(docs: DataFrame, items: DataFrame, length: int = LENGTH, anchors: int = ANCHORS, within: int | None = None) -> DataFrame:
+    """One row per row of ``docs``: n_words, n_hit, n_items, items_sha256, contaminated; n_near if ``within`` is given."""
+    return decontaminated_rows(docs, items, length, anchors, within=within).drop("tid")
 
 
-def decontaminated_rows(docs: DataFrame, items: DataFrame, length: int = LENGTH, anchors: int = ANCHORS, name: str = "folioguard_postings") -> DataFrame:
+def decontaminated_rows(docs: DataFrame, items: DataFrame, length: int = LENGTH, anchors: int = ANCHORS, name: str = "folioguard_postings", within: int | None = None) -> DataFrame:
     """``decontaminate`` with tid, the hash of the text, over an index made for the run."""
     index = PositionalIndex(docs.sparkSession, name, scratch(docs.sparkSession, "index"))
     index.append(docs)
-    return contamination(docs, items, index, length, anchors)
+    return contamination(docs, items, index, length, anchors, within)
 
 
-def contamination(docs: DataFrame, items: DataFrame, index: PositionalIndex, length: int = LENGTH, anchors: int = ANCHORS) -> DataFrame:
-    """``decontaminate`` with tid, out of an ``index`` that has been given ``docs``."""
+def contamination(docs: DataFrame, items: DataFrame, index: PositionalIndex, length: int = LENGTH, anchors: int = ANCHORS, within: int | None = None) -> DataFrame:
+    """``decontaminate`` with tid, out of an ``index`` that has been given ``docs``.
+
+    With ``within``, n_near is added: the items of which a window's words all stand within so many words, in any order. Where
+    ``within`` is not less than ``length``, these include all items that n_items counts.
+    """
     if length > LONGEST or anchors > LONGEST:
         raise ValueError(f"windows of more than {LONGEST} words are not supported")
     each = stored(item_windows(items, length), "windows")
@@ -169,12 +205,20 @@ def contamination(docs: DataFrame, items: DataFrame, index: PositionalIndex, len
     rows = document_keys(docs.select("doc_id", "text")).select("doc_id", F.xxhash64(nvl_text("text")).alias("tid"), "id", "key")
     out = rows.join(index.lengths(), ["id", "key"], "left").join(per_doc, ["id", "key"], "left")
     n, zero = F.coalesce("n_hit", F.lit(0)), F.lit(0).cast("long")
-    return out.select("doc_id", "tid", F.coalesce("n_words", zero).alias("n_words"), n.alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (n > 0).alias("contaminated"))
+    more = []
+    if within is not None:
+        near = near_windows(index, ranked, within, anchors).join(small_enough(each.select("window", F.col("item_id").cast("string").alias("item")).distinct()), "window")
+        out = out.join(near.groupBy("id", "key").agg(F.count_distinct("item").alias("n_near")), ["id", "key"], "left")
+        more = [F.coalesce("n_near", zero).alias("n_near")]
+    return out.select(
+        "doc_id", "tid", F.coalesce("n_words", zero).alias("n_words"), n.alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"),
+        (n > 0).alias("contaminated"), *more,
+    )
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return decontaminated_rows(docs, read_table(spark, sf_dir, "benchmark"), name=f"op8_postings_{zlib.crc32(sf_dir.encode()):08x}").drop("tid")
+    return decontaminated_rows(docs, read_table(spark, sf_dir, "benchmark"), name=f"op8_postings_{zlib.crc32(sf_dir.encode()):08x}", within=WITHIN).drop("tid")
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -190,8 +234,15 @@ dw AS (SELECT doc_id, i, k, array_to_string(w[i:i+k-1], ' ') AS s
 m AS (SELECT doc_id, i, dw.k, item_id FROM dw JOIN bw USING (s, k)),
 h AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM m) GROUP BY doc_id),
 t AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids
-      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM m) GROUP BY doc_id)
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM m) GROUP BY doc_id),
+f AS (SELECT v, count(*) AS n FROM (SELECT unnest(w) AS v FROM d) GROUP BY v),
+iw AS (SELECT s, string_split(s, ' ') AS ws FROM (SELECT DISTINCT s FROM bw)),
+iv AS (SELECT s, any_value(ws) AS ws, arg_min(v, coalesce(n, 0)) AS v FROM (SELECT s, ws, unnest(ws) AS v FROM iw) LEFT JOIN f USING (v) GROUP BY s),
+dp AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS v FROM d),
+c AS (SELECT doc_id, s, ws, unnest(range(greatest(1, p - 19), p + 1)) AS a FROM dp JOIN iv USING (v)),
+r AS (SELECT DISTINCT doc_id, s FROM c JOIN d USING (doc_id) WHERE list_has_all(w[a:a+19], ws)),
+nn AS (SELECT doc_id, count(DISTINCT item_id) AS n FROM r JOIN bw USING (s) GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated, coalesce(nn.n, 0) AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN nn USING (doc_id)
 """

@@ -197,3 +197,36 @@ def test_decontaminate_thousands_of_equal_rows(spark):
     docs = spark.createDataFrame([(7, f"x {seq} y")] * 1500 + [(None, seq)] * 1500 + [(8, "clean")], "doc_id long, text string")
     got = decontaminate(docs, spark.createDataFrame([(1, seq)], "item_id long, text string")).groupBy("doc_id", "n_words", "n_hit", "contaminated").count().collect()
     assert sorted(map(tuple, got), key=str) == sorted([(7, 14, 12, True, 1500), (None, 12, 12, True, 1500), (8, 1, 0, False, 1)], key=str)
+
+
+def test_near_windows(spark):
+    """Words of a window in any order, over the edges of cells too, against a search of all spans."""
+    r = random.Random(17)
+    vocabulary = [f"v{i}" for i in range(25)]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(n))) for i, n in enumerate([1, 3, 5, 6, 8, 12])] + [(90, None), (91, ""), (92, "v1 v1 v1")]
+    docs = [(i, " ".join(r.choice(vocabulary) for _ in range(r.choice([0, 3, 9, 30, 200])))) for i in range(40)]
+    docs += [(100 + i, "x " * i + " ".join(r.sample(items[4][1].split(), 8)) + " y" * 30) for i in range(12)] + [(None, items[3][1]), (None, None), (7, items[2][1])]
+    length, within = 5, 8
+
+    def near(text, item):
+        w, v = split(text), split(item)
+        k = min(len(v), length)
+        wins = [set(v[a : a + k]) for a in range(len(v) - k + 1)] if v else []
+        return any(win <= set(w[a : a + within]) for win in wins for a in range(len(w)))
+
+    want = sorted(((d, sum(near(t, x) for _, x in items)) for d, t in docs), key=str)
+    for anchors in (1, 2, 4):
+        got = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), length, anchors, within)
+        assert sorted(((x.doc_id, x.n_near) for x in got.collect()), key=str) == want
+        assert all(x.n_near >= x.n_items for x in got.collect())
+    assert not re.search("Python|Arrow|Pandas", got._jdf.queryExecution().toString())
+
+
+def test_counts_of_many_terms(spark, monkeypatch):
+    """Beyond the bound for broadcasts, postings are counted before they meet the terms."""
+    docs = [(1, "a b a"), (2, "the " * 50 + "b"), (3, None)]
+    index = index_of(spark, docs, "count_postings")
+    terms = spark.createDataFrame([("a",), ("b",), ("the",), ("none",)], "word string")
+    few = sorted(map(tuple, index.counts(terms).collect()))
+    monkeypatch.setattr("folioguard.llm.decontamination.BROADCAST_ROWS", 1)
+    assert sorted(map(tuple, index.counts(terms).collect())) == few == [("a", 2), ("b", 2), ("none", 0), ("the", 50)]
