@@ -252,6 +252,9 @@ def audit(lines: DataFrame, vendors: tuple[str, ...] = VENDORS) -> DataFrame:
     return docs.select("doc_id", F.explode(F.concat(*found)).alias("f")).select("doc_id", "f.*")
 
 
+_FOUND = "array<struct<severity:string,category:string,line_no:bigint,detail:string>>"
+
+
 def _whole(severity: str, category: str, detail: F.Column) -> F.Column:
     return F.struct(F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.lit(0).cast("long").alias("line_no"), detail.alias("detail"))
 
@@ -272,11 +275,14 @@ def _reference_findings(most: int = 20) -> F.Column:
     hit = lambda severity, category, c, detail: F.struct(F.lit(severity).alias("severity"), F.lit(category).alias("category"), c["line_no"].alias("line_no"), detail.alias("detail"))
     some = F.size("refs") > 0
     unknown = F.when(some, F.array_except("cites.n", "refs.n")).otherwise(F.array().cast("array<bigint>"))
-    missing = _let(unknown, lambda u: F.transform(F.filter("cites", lambda c: F.array_contains(u, c["n"])), lambda c: hit("high", "missing_reference", c, c["n"].cast("string"))))
+    missing = _let(unknown, lambda u: F.when(F.size(u) > 0, F.transform(F.filter("cites", lambda c: F.array_contains(u, c["n"])), lambda c: hit("high", "missing_reference", c, c["n"].cast("string")))).otherwise(F.array().cast(_FOUND)))
     telling = F.filter("refs", lambda r: (r["entry"] != "") & (F.size(r["names"]) > 0))
-    other = lambda refs, c: F.exists(refs, lambda r: (r["n"] == c["n"]) & ~F.array_contains(r["names"], c["surname"]))
+    # A number has one entry, whose place is found among plain longs; a number without one has place 0, which holds nobody.
+    names = lambda refs, c: F.try_element_at(refs["names"], F.nullif(F.array_position(refs["n"], c["n"]), F.lit(0).cast("long")).cast("int"))
+    other = lambda refs, c: ~F.array_contains(names(refs, c), c["surname"])
     detail = lambda c: F.concat(c["surname"], F.lit(" "), c["n"].cast("string"))
-    mismatch = _let(telling, lambda refs: F.transform(F.filter("named", lambda c: F.coalesce(other(refs, c), F.lit(False))), lambda c: hit("high", "author_citation_mismatch", c, detail(c))))
+    told = _let(telling, lambda t: F.struct(F.transform(t, lambda r: r["n"]).alias("n"), F.transform(t, lambda r: r["names"]).alias("names")))
+    mismatch = _let(told, lambda refs: F.transform(F.filter("named", lambda c: F.coalesce(other(refs, c), F.lit(False))), lambda c: hit("high", "author_citation_mismatch", c, detail(c))))
     first = lambda u: F.concat(F.size(u).cast("string"), F.lit(": "), F.array_join(F.slice(u, 1, most).cast("array<string>"), ","))
     uncited = _let(F.array_sort(F.array_except("refs.n", "cites.n")), lambda u: F.array_compact(F.array(F.when(F.size(u) > 0, _whole("low", "uncited_reference", first(u))))))
     undetected = F.array_compact(F.array(F.when(~some & (F.size("cites") > 0), _whole("low", "references_not_detected", F.size("cites").cast("string")))))

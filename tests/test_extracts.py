@@ -187,3 +187,20 @@ def test_unions_group_alike_with_partitioning_on_and_off(spark, setting):
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     assert len(rows) == len({r.doc_id for r in rows}) > 1000 and len(parts) == len({r.deck_id for r in parts}) > 500
+
+
+def test_audit_of_a_long_bibliography(spark):
+    """Citations meet the entries of a long manuscript as the operators for single checks find them; numbers without an entry, repeated ones and entries without names included."""
+    cited = [f"{'Wang' if k % 3 else 'Kim'} et al. [{k * 7 % 260 + 1}] reported units [{k * 11 % 300}]." for k in range(400)]
+    entries = [f"[{k}] " + ("" if k % 17 == 0 else f"{'Wang' if k % 2 else 'Kim'} A, Jones B. Part {k}.") for k in range(1, 251)] + ["[5] Sato C. Again.", "[99999999999] Kim D."]
+    docs = [(1, "\n".join([*cited, "## References", *entries])), (2, "\n".join(cited)), (None, "\n".join([*cited[:9], "## References", *entries[:3]])), (3, None)]
+    rows = M.lines_of(spark.createDataFrame(docs, "doc_id long, text string"))
+    zoned = M.with_zones(rows).where("doc_id IS NOT NULL")
+    refs, cites = M.bibliography(zoned), M.citations(zoned)
+    want = M.missing_references(cites, refs).unionByName(M.author_mismatches(zoned, refs)).unionByName(M.uncited_references(cites, refs)).unionByName(M.references_not_detected(cites, refs))
+    kinds = ["missing_reference", "author_citation_mismatch", "uncited_reference", "references_not_detected"]
+    got = M.audit(rows).where(F.col("category").isin(*kinds))
+    plain = lambda df: sorted(tuple(r[c] for c in ("doc_id", "severity", "category", "line_no", "detail")) for r in df.collect())
+    known = plain(got.where("doc_id IS NOT NULL"))
+    assert known == plain(want) and {r[2] for r in known} == set(kinds)
+    assert got.where("doc_id IS NULL AND category = 'missing_reference'").count() > 0
