@@ -26,8 +26,9 @@ LINES = "SELECT o_orderkey AS doc_id, CAST(o_custkey % 100 + 1 AS BIGINT) AS lin
 FOUND = "SELECT doc_id, '{severity}' AS severity, {category} AS category, line_no, {detail} AS detail FROM (" + LINES.replace("{", "{{").replace("}", "}}") + ") WHERE {when}"
 
 
-def _list(words) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+# Fixed values, stated here again so that a wrong list in the operators does not pass.
+SAID = "['has shown promising', 'may suggest', 'interestingly,', 'in recent years,', 'it is worth noting', 'demonstrates the effectiveness of', 'may offer significant advantages']"
+NAMED = "['HeartFlow', 'Cleerly', 'Caristo', 'Keya', 'Shukun', 'DeepVessel', 'CaRi-Heart', 'CaRi-Plaque']"
 
 
 def lines(spark, sf):
@@ -44,12 +45,12 @@ def planted_headings(spark, sf):
     return M.headings(lines(spark, sf))
 
 
-@_query(FOUND.format(severity="low", category="'llm_tell'", detail=f"unnest(list_filter({_list(M.TELLS)}, lambda p: contains(lower(line), p)))", when="true"))
+@_query(FOUND.format(severity="low", category="'llm_tell'", detail=f"unnest(list_filter({SAID}, lambda p: contains(lower(line), p)))", when="true"))
 def planted_tells(spark, sf):
     return M.phrase_tells(lines(spark, sf))
 
 
-@_query(FOUND.format(severity="high", category="'vendor_body_mention'", detail=f"unnest(list_filter({_list(M.VENDORS)}, lambda v: regexp_matches(line, '(^|[^A-Za-z0-9_])' || v || '($|[^A-Za-z0-9_])')))", when="NOT (starts_with(line, '|') AND ends_with(line, '|'))"))
+@_query(FOUND.format(severity="high", category="'vendor_body_mention'", detail=f"unnest(list_filter({NAMED}, lambda v: regexp_matches(line, '(^|[^A-Za-z0-9_])' || v || '($|[^A-Za-z0-9_])')))", when="NOT (starts_with(line, '|') AND ends_with(line, '|'))"))
 def planted_vendors(spark, sf):
     return M.vendor_mentions(M.with_zones(lines(spark, sf)))
 
