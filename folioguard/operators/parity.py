@@ -69,7 +69,7 @@ def parity_findings(slides: DataFrame, built: DataFrame) -> DataFrame:
     """
     b = built.select("deck_id", "slide", *(F.col(c).alias("b_" + c) for c in ("text", "notes", "cells", "has_picture", "has_table")))
     rows = slides.select("deck_id", "slide", "layout", "speaker_notes", F.col("figure.src").alias("src"), F.col("table").isNotNull().alias("tabled"), expected_texts(slides).alias("want"))
-    rows = rows.join(b, ["deck_id", "slide"]).withColumns({"shown": H.normalised(F.col("b_text")), "said": H.normalised(F.col("b_notes"))})
+    rows = rows.join(b.hint("merge"), ["deck_id", "slide"]).withColumns({"shown": H.normalised(F.col("b_text")), "said": H.normalised(F.col("b_notes"))})
     by_cell = lambda f: f["field"].startswith("table.cell[") & F.col("b_cells").isNotNull()
     cells = F.filter("want", by_cell)
     rows = rows.withColumns({"cells": cells, "texts": F.filter("want", lambda f: ~by_cell(f))})
@@ -90,11 +90,11 @@ def parity_findings(slides: DataFrame, built: DataFrame) -> DataFrame:
 
 def text_parity(expected: DataFrame, built: DataFrame) -> DataFrame:
     """deck_id, slide, field of expected texts (deck_id, slide, field, text) that the built slide (text) lacks."""
-    rows = expected.join(built.select("deck_id", "slide", F.col("text").alias("built")), ["deck_id", "slide"])
+    rows = expected.join(built.select("deck_id", "slide", F.col("text").alias("built")).hint("merge"), ["deck_id", "slide"])
     return rows.where(~H.contains_whole(H.normalised(F.col("built")), H.normalised(F.col("text")))).select("deck_id", "slide", "field")
 
 
 def slide_count_mismatches(expected: DataFrame, built: DataFrame) -> DataFrame:
     """deck_id, expected, built where the numbers of slides differ."""
     n = lambda df, name: df.groupBy("deck_id").agg(F.countDistinct("slide").alias(name))
-    return n(expected, "expected").join(n(built, "built"), "deck_id", "full").na.fill(0).where("expected <> built")
+    return n(expected, "expected").join(n(built, "built").hint("merge"), "deck_id", "full").na.fill(0).where("expected <> built")
