@@ -14,7 +14,7 @@ ARXIV = r"(?i)^(?:arxiv:)?(\d{4}\.\d{4,5})(?:v\d+)?$"
 DOI = r"(?i)^(?:doi:)?(10\.\d{4,9}/\S+)$"
 #: The first of these that has a year decides.
 YEAR_FIELDS = ("published-print", "published-online", "issued", "created")
-#: Characters of a title from which on a longer one may extend it, and of the parts that near titles share.
+#: Characters of a title from which on a longer one may extend it, and of the shortest parts that near titles share.
 SPECIFIC = 15
 GRAM = 4
 #: From this ratio on, edits leave a title of any length one part of GRAM characters at least.
@@ -66,24 +66,32 @@ def title_match(pairs: DataFrame, threshold: float = 0.95) -> DataFrame:
     return rows.withColumn("ratio", ratio).withColumn("matched", F.col("plain") | F.coalesce(F.col("ratio") >= threshold, F.lit(False))).drop("a", "b", "plain", "open", "ratio")
 
 
-def _rare_grams(titles: DataFrame, common: DataFrame, threshold: float) -> DataFrame:
-    """id, t, gram for the rarest grams (gram, number of its occurrence) of each title (id, t), as many as any near title must meet.
+def _edits(n: Column, threshold: float) -> Column:
+    """Most characters to insert or delete between a title of ``n`` characters and any that reaches ``threshold``: at most
+    (1 - threshold) * (a + b), where the longer title has at most (2 - threshold) / threshold times the characters of the shorter."""
+    return F.floor((1 - threshold) * (1 + (2 - threshold) / threshold) * n + 1e-9).cast("int")
 
-    A ratio of ``threshold`` leaves at most (1 - threshold) * (a + b) characters to insert or delete, where the longer title has at most
-    (2 - threshold) / threshold times the characters of the shorter. Each of them spoils GRAM grams at most, so of GRAM times as many
-    grams and one more, one is left.
+
+def _grams(titles: DataFrame, threshold: float) -> DataFrame:
+    """id, most, gram: parts of titles (id, t) as hashes of length, text and number of the occurrence, and how many of them a near title must meet.
+
+    A pair meets by parts of the greatest length that its shorter title allows: edits spoil that many parts each at most, and one part is
+    left. So a title is cut by its own length and by those of all shorter titles that it may be near to.
     """
-    edits = F.floor((1 - threshold) * (1 + (2 - threshold) / threshold) * F.length("t") + 1e-9)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("n", "gram"))
-    return _grams(titles).join(common, "gram").withColumn("r", rank).where(F.col("r") <= GRAM * edits + 1).select("id", "t", "gram")
+    n = F.length("t")
+    least = F.greatest(F.lit(1), F.ceil(n * (threshold / (2 - threshold)) - 1e-9).cast("int"))
+    lengths = F.array_distinct(F.transform(F.sequence(least, n), lambda m: F.floor(m / (_edits(m, threshold) + 1)).cast("int")))
+    rows = titles.select("id", "t", F.explode(lengths).alias("g"))
+    parts = F.transform(F.sequence(F.lit(1), n - F.col("g") + 1), lambda i: F.substring(F.col("t"), i, F.col("g")))
+    rows = rows.select("id", "g", (F.col("g") * _edits(n, threshold) + 1).alias("most"), parts.alias("parts"))
+    number = F.transform("parts", lambda p, i: F.xxhash64("g", p, F.size(F.filter(F.slice("parts", 1, i), lambda x: x == p))))
+    return rows.select("id", "g", "most", F.explode(number).alias("gram"))
 
 
-def _grams(titles: DataFrame) -> DataFrame:
-    """id, t, gram: parts of GRAM characters of titles (id, t), numbered where they repeat."""
-    parts = F.transform(F.sequence(F.lit(1), F.length("t") - GRAM + 1), lambda i: F.substring(F.col("t"), i, F.lit(GRAM)))
-    rows = titles.where(F.length("t") >= GRAM).select("id", "t", F.posexplode(parts).alias("i", "g"))
-    number = F.row_number().over(Window.partitionBy("id", "g").orderBy("i"))
-    return rows.select("id", "t", F.concat_ws("#", "g", number.cast("string")).alias("gram"))
+def _rare_grams(grams: DataFrame, common: DataFrame) -> DataFrame:
+    """id, gram for the rarest grams of each title and length, as many as any near title must meet."""
+    rank = F.row_number().over(Window.partitionBy("id", "g").orderBy("n", "gram"))
+    return grams.join(common.hint("merge"), "gram").withColumn("r", rank).where(F.col("r") <= F.col("most")).select("id", "gram")
 
 
 def near_titles(queries: DataFrame, records: DataFrame, threshold: float = 0.95) -> DataFrame:
@@ -99,7 +107,7 @@ def near_titles(queries: DataFrame, records: DataFrame, threshold: float = 0.95)
     side = lambda df, name: df.select(F.col(f"{name}_id").alias("id"), H.normalised_title(F.col("title")).alias("t")).where("t <> ''")
     q, r = side(queries, "query"), side(records, "record")
     pair = lambda c: (F.col("q.id").alias("query_id"), F.col("r.id").alias("record_id"), c.cast("double").alias("ratio"))
-    equal = q.alias("q").join(r.alias("r"), "t").select(*pair(F.lit(1)))
+    equal = q.alias("q").join(r.alias("r").hint("merge"), "t").select(*pair(F.lit(1)))
 
     def begins(df: DataFrame) -> DataFrame:
         """A row for each beginning of SPECIFIC characters or more that is not the title itself."""
@@ -108,15 +116,17 @@ def near_titles(queries: DataFrame, records: DataFrame, threshold: float = 0.95)
 
     whole = lambda df: df.where(F.length("t") >= SPECIFIC).withColumns({"n": F.length("t"), "h": F.xxhash64("t")})
     extends = [
-        a.alias("q").join(b.alias("r"), ["n", "h"]).where(F.startswith(F.col(f"{long}.t"), F.col(f"{short}.t"))).select(*pair(F.lit(None)))
+        a.alias("q").join(b.alias("r").hint("merge"), ["n", "h"]).where(F.startswith(F.col(f"{long}.t"), F.col(f"{short}.t"))).select(*pair(F.lit(None)))
         for a, b, short, long in ((whole(q), begins(r), "q", "r"), (begins(q), whole(r), "r", "q"))
     ]
-    common = _grams(q).unionByName(_grams(r)).groupBy("gram").agg(F.count("*").alias("n"))
-    a, b = (_rare_grams(x, common, threshold) for x in (q, r))
-    met = a.alias("q").join(b.alias("r"), "gram").where(F.col("q.t") != F.col("r.t"))
+    a, b = _grams(q, threshold), _grams(r, threshold)
+    common = a.unionByName(b).groupBy("gram").agg(F.count("*").alias("n"))
+    a, b = _rare_grams(a, common), _rare_grams(b, common)
+    ids = a.alias("q").join(b.alias("r").hint("merge"), "gram").select(F.col("q.id").alias("_q"), F.col("r.id").alias("_r")).distinct()
+    met = ids.join(q.alias("q").hint("merge"), F.col("_q") == F.col("q.id")).join(r.alias("r").hint("merge"), F.col("_r") == F.col("r.id")).where(F.col("q.t") != F.col("r.t"))
     la, lb = F.length("q.t"), F.length("r.t")
     met = met.where(2 * F.least(la, lb) >= threshold * (la + lb)).where(~(F.least(la, lb) >= SPECIFIC) | ~(F.startswith(F.col("q.t"), F.col("r.t")) | F.startswith(F.col("r.t"), F.col("q.t"))))
-    met = met.select(F.col("q.id").alias("query_id"), F.col("r.id").alias("record_id"), F.col("q.t").alias("a"), F.col("r.t").alias("b")).distinct()
+    met = met.select(F.col("q.id").alias("query_id"), F.col("r.id").alias("record_id"), F.col("q.t").alias("a"), F.col("r.t").alias("b"))
     near = met.withColumn("ratio", sequence_ratio("a", "b")).where(F.col("ratio") >= threshold).select("query_id", "record_id", "ratio")
     return equal.unionByName(extends[0]).unionByName(extends[1]).unionByName(near)
 
