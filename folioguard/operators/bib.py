@@ -136,7 +136,7 @@ def resolve_titles(queries: DataFrame, records: DataFrame, threshold: float = 0.
     the highest ratio, then the smallest record_id; queries without one have a null record_id."""
     order = F.struct(F.when(F.col("ratio") == 1, 0).when(F.col("ratio").isNull(), 1).otherwise(2), -F.coalesce("ratio", F.lit(0.0)), "record_id")
     best = near_titles(queries, records, threshold).groupBy("query_id").agg(F.min_by("record_id", order).alias("record_id"))
-    return queries.select("query_id").join(best, "query_id", "left").withColumn("resolved", F.col("record_id").isNotNull())
+    return queries.select("query_id").join(best.hint("merge"), "query_id", "left").withColumn("resolved", F.col("record_id").isNotNull())
 
 
 def resolve(queries: DataFrame, records: DataFrame) -> DataFrame:

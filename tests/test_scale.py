@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["parity_findings", "slide_counts", "parity_text", "min_font", "near_titles"])
+@pytest.mark.parametrize("name", ["parity_findings", "slide_counts", "parity_text", "min_font", "near_titles", "resolved_titles"])
 def test_no_side_is_broadcast(spark, name):
     df = entry.queries()[name](spark, SF)
     df.collect()
