@@ -40,7 +40,20 @@ def _sql(spark: SparkSession, sf: str, sql: str, *tables: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(I.MANUSCRIPTS.replace("FROM li", "FROM {li}"), li=_sql(spark, sf, I.LI, "lineitem"))
+    """The rows of MANUSCRIPTS: only columns of the table are shuffled, and texts are made of them where a document's rows have met."""
+    return spark.sql(I.NUMBERED_LINES, li=spark.sql(I.FIRST_ROWS, li=_spread(_sql(spark, sf, I.LI_ROWS, "lineitem"), "doc_id")))
+
+
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` by ``key`` in all shuffle partitions: they are narrow, and fewer would hold too much once texts are made of them."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def numbered(spark: SparkSession, sf: str, sql: str) -> DataFrame:
+    """``sql`` over lineitem, with its number of slides taken from the rows before texts are made of them."""
+    rows = spark.sql(f"SELECT *, {I.SLIDE_NO} AS slide_no FROM {{rows}}", rows=_spread(table(spark, sf, "lineitem"), "l_orderkey"))
+    assert I.SLIDE_NO in sql
+    return spark.sql(sql.replace("{", "{{").replace("}", "}}").replace(I.SLIDE_NO, "slide_no").replace("FROM lineitem", "FROM {numbered}"), numbered=rows)
 
 
 LINES = f"WITH li AS ({I.LI}), lines AS ({I.MANUSCRIPTS})"
@@ -171,7 +184,7 @@ UNION ALL SELECT deck_id, slide, layout, 'table[1][0]', 'row' FROM s WHERE layou
 
 def slides(spark, sf):
     """The derived decks, by way of JSON and the deck schema."""
-    s = _sql(spark, sf, I.SLIDES, "lineitem")
+    s = numbered(spark, sf, I.SLIDES)
     first = F.concat(F.lit('"'), "point", F.lit('"'))
     points = F.when(F.col("layout") != "critique-concerns", F.concat(F.lit("["), first, F.lit(',{"head":'), first, F.lit(',"body":"body"}]'))).otherwise("null")
     cells = F.concat(F.lit('[["'), "cell", F.lit('",{"v":"'), "cell", F.lit('","bold":true}],["row"]]'))

@@ -12,3 +12,13 @@ def test_no_side_is_broadcast(spark, name):
     df = entry.queries()[name](spark, SF)
     df.collect()
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_derived_texts_are_not_shuffled(spark):
+    """Lines of manuscripts and specifications of slides are made behind the one exchange of their rows."""
+    from folioguard.plans import catalogue as C
+
+    for df in (C.lines(spark, SF), C.slides(spark, SF)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        below = plan[plan.index("Exchange hashpartitioning") :]
+        assert plan.count("Exchange hashpartitioning") == 1 and "concat" not in below
