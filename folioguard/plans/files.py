@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioguard.plans.catalogue import _query
 from folioguard.sources import readers as R
+from folioguard.sources.folders import write_files
 from folioguard.sources.readers import table
 from folioguard.sources.scratch import scratch_path
 
@@ -14,12 +15,12 @@ from folioguard.sources.scratch import scratch_path
 def _files(rows: DataFrame, name: str) -> str:
     """Write rows (k, value), one file for each k, and give the folder."""
     path = scratch_path(rows.sparkSession, name)
-    rows.select("k", "value").repartition("k").write.partitionBy("k").text(path)
+    write_files(rows, path)
     return path
 
 
 def _key(path: str):
-    return F.regexp_extract(path, "/k=([0-9]+)/", 1).cast("long")
+    return F.regexp_extract(path, "/([0-9]+)$", 1).cast("long")
 
 
 def _suppliers(spark, sf, value: str) -> DataFrame:

@@ -22,3 +22,22 @@ def test_derived_texts_are_not_shuffled(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         below = plan[plan.index("Exchange hashpartitioning") :]
         assert plan.count("Exchange hashpartitioning") == 1 and "concat" not in below
+
+
+def test_files_share_folders(spark, tmp_path):
+    """A file for each key, but no folder for each: folders are listed and moved one by one."""
+    from folioguard.sources import readers
+    from folioguard.sources.folders import SHARDS, write_files
+
+    write_files(spark.range(300).selectExpr("id AS k", "concat('[\"q', id, '\"]') AS value"), str(tmp_path / "q"))
+    assert len(list(tmp_path.rglob("shard=*/*"))) == 300 and len(list((tmp_path / "q").iterdir())) <= SHARDS
+    assert sorted(r.query for r in readers.bib_queries(spark, str(tmp_path / "q")).collect()) == sorted(f"q{k}" for k in range(300))
+
+
+def test_queries_of_files_write_no_folder_for_each_key(spark):
+    import glob
+
+    from folioguard.plans.files import _files
+
+    path = _files(spark.range(300).selectExpr("id AS k", "'[]' AS value"), "few").removeprefix("file://")
+    assert len(glob.glob(path + "/*=*")) <= 64
