@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import quote, unquote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioguard.functions import text as H
+from folioguard.sources import folders
 from folioguard.sources.scratch import written
 
 FILES = ("ingest", "figures", "manifest")
+PART = "part-0.txt"
 
 
 def bundle_files(sources: DataFrame) -> DataFrame:
@@ -21,35 +28,65 @@ def bundle_files(sources: DataFrame) -> DataFrame:
     return rows.withColumn("k", k).select(name.alias("bundle"), F.explode(files).alias("f")).select("bundle", "f.*").where("content IS NOT NULL")
 
 
+def _content(files: fs.FileSystem, folder: str) -> dict[str, str]:
+    """What lies in the folder of a bundle, by file; without the end of the line that the writer puts."""
+    found = files.get_file_info(fs.FileSelector(folder, allow_not_found=True, recursive=True))
+    there = {}
+    for f in found:
+        name = f.path.rsplit("/", 2)[-2]
+        if f.is_file and f.base_name == PART and name.startswith("file="):
+            with files.open_input_stream(f.path) as s:
+                there[unquote(name[len("file=") :])] = s.read().decode().removesuffix("\n")
+    return there
+
+
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
-    """bundle, file, content of what ``write_bundles`` has written; no rows if there is nothing."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    schema = "content string, bundle string, file string"
-    if not fs.exists(p):
-        return spark.createDataFrame([], schema).select("bundle", "file", "content")
-    rows = spark.read.schema(schema).text(path, wholetext=True)
-    return rows.select("bundle", "file", F.regexp_replace("content", r"\n\z", "").alias("content"))  # the end of the line that the writer puts
+    """bundle, file, content of what ``write_bundles`` has written; no rows if there is nothing. A task lists a shard."""
+    root, schema = folders.qualified(spark, path), pa.schema([(n, pa.string()) for n in ("bundle", "file", "content")])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = folders.opened(root)
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                for f in files.get_file_info(fs.FileSelector(f"{base}/shard={k}", allow_not_found=True)):
+                    there = _content(files, f.path)
+                    yield pa.record_batch([pa.array([unquote(f.base_name[len("bundle=") :])] * len(there)), pa.array(there.keys(), pa.string()), pa.array(there.values(), pa.string())], schema=schema)
+
+    return spark.range(0, folders.SHARDS, 1, folders.SHARDS).mapInArrow(each, "bundle string, file string, content string")
 
 
 def write_bundles(files: DataFrame, path: str) -> DataFrame:
-    """Write ``bundle_files`` to ``path``/bundle=../file=..; returns bundle, state (written, unchanged).
+    """Write ``bundle_files`` to ``path``/shard=../bundle=../file=..; returns bundle, state (written, unchanged).
 
-    What is there is compared by hash, and only bundles that differ in a file are written, as a whole: Spark replaces the folders of these
-    and leaves all others alone. Tasks write to a folder aside that the job moves at its end, so a repeated task leaves nothing behind.
+    The task that holds a bundle compares it with what is there, and only bundles that differ in a file are written, as a whole; all others
+    are left alone. States are kept before the folders change that they follow from, so a repeated task writes the same files again.
     A file that a bundle no longer has is removed with an empty one in its place. Bundles that are not among ``files`` stay.
     """
-    spark, digest = files.sparkSession, F.sha2(F.coalesce("content", F.lit("")), 256)
-    old = read_bundles(spark, path).select("bundle", "file", digest.alias("old"))
-    new = files.select("bundle", "file", digest.alias("new"))
-    names = new.select("bundle").distinct()
-    met = new.join(old.join(names, "bundle", "left_semi"), ["bundle", "file"], "full").where("NOT old <=> new")
-    emptied = met.where(F.col("new").isNull() & (F.col("old") != F.sha2(F.lit(""), 256))).select("bundle", "file", F.lit("").alias("content"))
-    changed = met.where(F.col("new").isNotNull()).select("bundle").unionByName(emptied.select("bundle")).distinct()
-    state = names.join(changed.withColumn("c", F.lit(True)), "bundle", "left").select("bundle", F.when(F.col("c"), "written").otherwise("unchanged").alias("state"))
-    state = written(state)  # before the folders change that it follows from
-    rows = files.join(state.where("state = 'written'").select("bundle"), "bundle", "left_semi").unionByName(emptied)
-    rows = written(rows.select("content", "bundle", "file").repartition("bundle"))
-    if not rows.isEmpty():
-        rows.write.partitionBy("bundle", "file").option("partitionOverwriteMode", "dynamic").mode("overwrite").text(path)
-    return state
+    root = folders.qualified(files.sparkSession, path)
+    held = folders.spread(files.select("bundle", F.struct("file", "content").alias("f")), "bundle").groupBy("bundle").agg(F.collect_list("f").alias("files"))
+    held = written(held.withColumn("folder", F.concat(folders.shard("bundle"), F.lit("/bundle="))))  # before any folder is looked at, as contents may fail
+    entry = pa.list_(pa.struct([("file", pa.string()), ("content", pa.string())]))
+    schema = pa.schema([("bundle", pa.string()), ("folder", pa.string()), ("state", pa.string()), ("files", entry)])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on, base = folders.opened(root)
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                folder = row["folder"] + quote(row["bundle"])
+                new, old = {f["file"]: f["content"] or "" for f in row["files"]}, _content(on, f"{base}/{folder}")
+                emptied = {f: "" for f, content in old.items() if f not in new and content}
+                same = not emptied and all(f in old and old[f] == content for f, content in new.items())
+                put = [] if same else [{"file": f, "content": content} for f, content in (new | emptied).items()]
+                out.append({"bundle": row["bundle"], "folder": folder, "state": "unchanged" if same else "written", "files": put})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    def write(on: fs.FileSystem, base: str, row: dict) -> None:
+        for f in row["files"]:
+            folder = f"{base}/{row['folder']}/file={quote(f['file'])}"
+            on.create_dir(folder, recursive=True)
+            folders.put(on, f"{folder}/{PART}", f["content"])
+
+    state = written(held.mapInArrow(compared, "bundle string, folder string, state string, files array<struct<file: string, content: string>>"))
+    folders.run(state.where("state = 'written'"), write, path)
+    return state.select("bundle", "state")

@@ -41,3 +41,14 @@ def test_queries_of_files_write_no_folder_for_each_key(spark):
 
     path = _files(spark.range(300).selectExpr("id AS k", "'[]' AS value"), "few").removeprefix("file://")
     assert len(glob.glob(path + "/*=*")) <= 64
+
+
+def test_bundles_share_folders(spark, tmp_path):
+    """A folder for each bundle lies in one of few, which tasks list; the driver moves none."""
+    from folioguard.sources import bundles as B
+    from folioguard.sources.folders import SHARDS
+
+    rows = spark.range(200).selectExpr("concat('s', id) AS bundle", "'ingest' AS file", "CAST(id AS STRING) AS content")
+    B.write_bundles(rows, str(tmp_path / "out"))
+    assert len(list(tmp_path.rglob("bundle=*"))) == 200 and len(list((tmp_path / "out").iterdir())) <= SHARDS
+    assert {r.bundle: r.content for r in B.read_bundles(spark, str(tmp_path / "out")).collect()} == {f"s{k}": str(k) for k in range(200)}
