@@ -14,6 +14,8 @@ from folioguard.sources.scratch import written
 NAMED = r"[A-Z][A-Za-z0-9&-]*[A-Z][A-Za-z0-9&-]*(?![A-Za-z0-9])|[A-Z][a-z]+(?= et al)"
 UNITS = ("%", "patients?", "subjects?", "participants?", "cases?", "images?", "scans?", "slices?", "volumes?", "cent(?:er|re)s?", "sites?", "units?", "parameters?", "layers?", "years?", "mm", "cm", "ms")
 AMOUNT = r"(?<![A-Za-z0-9.\[])\d[\d,]*(?:\.\d+)?"
+#: Levels of a digest that one pass takes apart.
+LEVELS = 8
 #: Keys of a digest whose values are not taken from the source.
 OWN_KEYS = ("language", "notes_flags", "render_as", "kind", "factual", "resolved", "id", "key", "source_ref")
 
@@ -50,12 +52,35 @@ def conflicting_quantities(lines: DataFrame) -> DataFrame:
     return seen.where(F.size("amounts") > 1)
 
 
+def _depth(digest: Column) -> Column:
+    """How deep the brackets of a JSON text go, LEVELS + 1 at most; those inside of its strings do not count."""
+    bare = F.regexp_replace(F.regexp_replace(digest, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', ""), r"[^\[\]{}]+", "")
+    start = F.struct(bare.alias("left"), F.lit(0).alias("n"))
+    less = lambda s, _: F.when(s["left"] == "", s).otherwise(F.struct(F.regexp_replace(s["left"], r"\[\]|\{\}", "").alias("left"), (s["n"] + 1).alias("n")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS + 1)), start, less, lambda s: s["n"])
+
+
 def digest_leaves(digests: DataFrame) -> DataFrame:
     """paper_id, path, key, value: the leaves of digests (paper_id, digest JSON) of any depth; key is the last name on the path.
 
-    A level of all digests is taken apart at a time, so the rounds follow the depth. Unreadable digests have no leaves; empty objects and
-    arrays are none either.
+    Digests of up to LEVELS levels are taken apart in one pass, deeper ones a level at a time. Unreadable digests have no leaves; empty
+    objects and arrays are none either.
     """
+    sized = digests.where("digest IS NOT NULL").select("paper_id", "digest").withColumn("depth", _depth(F.col("digest")))
+    deepest = sized.agg(F.max("depth")).first()[0] or 0
+    rows = sized.where(F.col("depth") <= LEVELS).select("paper_id", F.lit("$").alias("path"), F.lit("").alias("key"), F.try_parse_json("digest").alias("v")).where("v IS NOT NULL")
+    for _ in range(min(deepest, LEVELS)):
+        rows = digests.sparkSession.sql(
+            """SELECT paper_id, CASE WHEN e.pos IS NULL THEN path WHEN e.key IS NULL THEN concat(path, '[', e.pos, ']') ELSE concat(path, '.', e.key) END AS path, coalesce(e.key, t.key) AS key, coalesce(e.value, t.v) AS v
+            FROM {t} t, LATERAL variant_explode_outer(v) e""", t=rows
+        )
+    kind = F.schema_of_variant("v")
+    leaves = rows.where(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY")).select("paper_id", "path", "key", F.try_variant_get("v", "$", "string").alias("value"))
+    return leaves if deepest <= LEVELS else leaves.unionByName(_leaves_in_rounds(sized.where(F.col("depth") > LEVELS)))
+
+
+def _leaves_in_rounds(digests: DataFrame) -> DataFrame:
+    """A level of all digests is taken apart at a time, so the rounds follow the depth."""
     rows = digests.select("paper_id", F.lit("$").alias("path"), F.lit("").alias("key"), F.try_parse_json("digest").alias("v")).where("v IS NOT NULL")
     done: list[DataFrame] = []
     while True:
@@ -80,9 +105,13 @@ def ungrounded_leaves(digests: DataFrame, sources: DataFrame, own: tuple[str, ..
     """
     leaves = digest_leaves(digests).where(~F.col("key").isin(*own)).where("trim(value) <> '' AND value NOT IN ('true', 'false')")
     leaves = leaves.where(F.size(H.flags(F.col("value"))) == 0).withColumn("numbers", F.array_distinct(H.number_tokens(F.col("value"))))
-    asked = leaves.where(F.size("numbers") > 0).select("paper_id", "path", "value", F.explode("numbers").alias("n"))
-    there = sources.select("paper_id", F.explode(F.array_distinct(H.number_tokens(H.rejoin_decimals(F.col("source"))))).alias("n")).distinct()
-    lost = asked.join(there, ["paper_id", "n"], "left_anti").groupBy("paper_id", "path", "value").agg(F.array_join(F.array_sort(F.collect_set("n")), ",").alias("missing"))
-    words = leaves.where(F.size("numbers") == 0).select("paper_id", "path", "value").join(sources, "paper_id", "left")
-    apart = words.where(~F.coalesce(H.contains_whole(H.normalised(F.col("source")), H.normalised(F.col("value"))), F.lit(False)))
-    return lost.unionByName(apart.select("paper_id", "path", "value", F.col("value").alias("missing")))
+    there = sources.select("paper_id", H.normalised(F.col("source")).alias("text"), F.array_distinct(H.number_tokens(H.rejoin_decimals(F.col("source")))).alias("n"))
+    there = there.groupBy("paper_id").agg(F.collect_list("text").alias("texts"), F.flatten(F.collect_list("n")).alias("there"))
+    rows = leaves.join(there.hint("merge"), "paper_id", "left")
+    lost = F.array_except("numbers", F.coalesce("there", F.array().cast("array<string>")))
+    borne = F.transform(F.array(H.normalised(F.col("value"))), lambda v: F.coalesce(F.exists("texts", lambda s: H.contains_whole(s, v)), F.lit(False)))[0]
+    numbered = F.size("numbers") > 0
+    missing = F.when(numbered, F.nullif(F.array_join(F.array_sort(lost), ","), F.lit(""))).otherwise(F.when(~borne, F.col("value")))
+    found = rows.select("paper_id", "path", "value", missing.alias("missing"), numbered.alias("numbered")).where("missing IS NOT NULL")
+    times = found.groupBy("paper_id", "path", "value", "missing", "numbered").agg(F.count("*").cast("int").alias("n"))  # one row for a value with numbers
+    return times.select("paper_id", "path", "value", "missing", F.explode(F.array_repeat(F.lit(1), F.when(F.col("numbered"), 1).otherwise(F.col("n"))))).drop("col")

@@ -163,3 +163,14 @@ def test_places_of_a_template(spark):
     assert [round(t.y, 6) for t in two.titles] == [80.0, 142.4, 204.8] and round(two.captions[1].y, 6) == 1033.6
     assert round(two.figure.h, 6) == round(min(702, 1000 - (80 + 3 * 62.4 + 40) - 40), 6) and round(two.figure.w * 4, 6) == round(two.figure.h, 6)
     assert got[3].figure is None and got[3].captions == [] and got[4].figure is None and got[4].title_font == 32
+
+
+def test_digests_in_one_pass(spark, monkeypatch):
+    """Digests of few levels are not written between levels; deeper ones, and brackets in strings, give the same leaves."""
+    texts = ['{"a": {"b": [1, [2, {"c": "]]}}{{[["}]]}, "d": {}, "e": [], "f\\"[": null}', "[" * 12 + '{"x": "\\"["}' + "]" * 12, "[", '"s"', "7", None]
+    digests = spark.createDataFrame(list(enumerate(texts)), "paper_id long, digest string")
+    whole = sorted(map(tuple, K.digest_leaves(digests).collect()), key=str)
+    assert [(r[0], r[2], r[3]) for r in whole if r[0] == 1] == [(1, "x", '"[')] and len(whole) == 7
+    assert whole == sorted(map(tuple, K._leaves_in_rounds(digests).collect()), key=str)
+    monkeypatch.setattr(K, "written", None)
+    assert sorted(map(tuple, K.digest_leaves(digests.where("paper_id NOT IN (1, 2)")).collect()), key=str) == [r for r in whole if r[0] != 1]
