@@ -44,9 +44,10 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(I.NUMBERED_LINES, li=spark.sql(I.FIRST_ROWS, li=_spread(_sql(spark, sf, I.LI_ROWS, "lineitem"), "doc_id")))
 
 
-def _spread(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` by ``key`` in all shuffle partitions: they are narrow, and fewer would hold too much once texts are made of them."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+def _spread(rows: DataFrame, key: str, most: int = 250_000) -> DataFrame:
+    """``rows`` by ``key`` in all shuffle partitions, and in more if one would get over ``most`` rows: they are narrow, and fewer would hold too much once texts are made of them."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-rows.count() // most)), key)
 
 
 def numbered(spark: SparkSession, sf: str, sql: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from folioguard.operators import manuscript as M
 from folioguard.operators import protocol as P
-from folioguard.plans.catalogue import _query, _sql
+from folioguard.plans.catalogue import _query, _spread, _sql
 
 PLANTED = (
     # Placeholders.
@@ -73,5 +73,5 @@ DOCS = "SELECT o_orderkey AS doc_id, o_custkey AS c, o_orderkey % {n} AS k, CASE
 @_query(f"WITH d AS (SELECT * FROM ({DOCS}) WHERE k < {len(TITLES) - 2}) SELECT doc_id, 1 AS ref_no, concat('Wang A, Li B. Study ', c, '. Later entry.') AS entry FROM d UNION ALL SELECT doc_id, 2, 'Xu C. and its second line third line' FROM d UNION ALL SELECT doc_id, 12, '' FROM d UNION ALL SELECT doc_id, 14, 'Kim D.' FROM d")
 def planted_entries(spark, sf):
     text = "concat('Body [1]\\n[9] no entry\\n', title, '\\nnot an entry yet\\n[1] First.\\n2. Xu C.\\n  and its second line\\n\\n third line  \\n[12] \\n  [14]Kim D.\\n[1] Wang A, Li B. Study ', CAST(c AS STRING), '.\\nLater entry.')"
-    docs = _sql(spark, sf, DOCS, "orders").selectExpr("doc_id", f"{text} AS text")
+    docs = _spread(_sql(spark, sf, DOCS, "orders"), "doc_id", 50_000).selectExpr("doc_id", f"{text} AS text")  # ten lines of each
     return M.bibliography(M.with_zones(M.lines_of(docs)))

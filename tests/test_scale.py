@@ -52,3 +52,13 @@ def test_bundles_share_folders(spark, tmp_path):
     B.write_bundles(rows, str(tmp_path / "out"))
     assert len(list(tmp_path.rglob("bundle=*"))) == 200 and len(list((tmp_path / "out").iterdir())) <= SHARDS
     assert {r.bundle: r.content for r in B.read_bundles(spark, str(tmp_path / "out")).collect()} == {f"s{k}": str(k) for k in range(200)}
+
+
+def test_texts_spread_by_their_number(spark):
+    """Partitions follow the rows, so what a task holds does not grow with the table; lines are made behind the one exchange."""
+    from folioguard.plans import catalogue as C
+
+    assert C._spread(spark.range(1000), "id", 100).rdd.getNumPartitions() == 10
+    plan = entry.queries()["planted_entries"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange hashpartitioning(doc_id") :]
+    assert "explode" not in below and "First." not in below
