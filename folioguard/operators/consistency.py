@@ -13,7 +13,8 @@ from folioguard.sources.scratch import written
 # Fixed values of our own: what counts as a named thing (two capitals or more, or an author with et al.), and units that are counted.
 NAMED = r"[A-Z][A-Za-z0-9&-]*[A-Z][A-Za-z0-9&-]*(?![A-Za-z0-9])|[A-Z][a-z]+(?= et al)"
 UNITS = ("%", "patients?", "subjects?", "participants?", "cases?", "images?", "scans?", "slices?", "volumes?", "cent(?:er|re)s?", "sites?", "units?", "parameters?", "layers?", "years?", "mm", "cm", "ms")
-AMOUNT = r"(?<![A-Za-z0-9.\[])\d[\d,]*(?:\.\d+)?"
+AMOUNT = r"\d(?<![A-Za-z0-9.\[]\d)[\d,]*(?:\.\d+)?"
+SENTENCE_END = r"\s(?<=[;!?]\s|(?<! al)\.\s)\s*"
 #: Levels of a digest that one pass takes apart.
 LEVELS = 8
 #: Keys of a digest whose values are not taken from the source.
@@ -25,31 +26,28 @@ def quantities(lines: DataFrame) -> DataFrame:
 
     Names lose their signs and case, units their plural; thousands separators go. Amounts without a name before them are left out.
     """
-    word = F.lit(rf"({NAMED})|({AMOUNT})\s*((?i:{'|'.join(UNITS)}))(?![A-Za-z0-9])")
-    got = [lambda s, k=k: F.regexp_extract_all(s, word, k) for k in (1, 2, 3)]
-    none = F.array().cast("array<struct<entity:string,amount:double,unit:string>>")
+    # One pass over a line finds names, amounts with their units, and white space where a sentence ends; most lines have no such amount.
+    counted = rf"{AMOUNT}\s*(?i:{'|'.join(UNITS)})(?![A-Za-z0-9])"
+    none = F.array().cast("array<struct<named:string,counted:string>>")
 
-    def of(sentence: Column) -> Column:
-        words = F.arrays_zip(*(g(sentence).alias(n) for g, n in zip(got, "eau")))
+    def step(state: Column, w: Column) -> Column:
+        kept = F.struct(state["last"].alias("last"), F.array_append(state["found"], F.struct(state["last"].alias("named"), w.alias("counted"))).alias("found"))
+        return F.when(~w.between("0", ":"), F.struct(w.alias("last"), state["found"].alias("found"))).when(state["last"].between("A", "["), kept).otherwise(state)
 
-        def step(state: Column, w: Column) -> Column:
-            unit = F.regexp_replace(F.regexp_replace(F.lower(w["u"]), "centre", "center"), "(?<=[a-z]{3})s$", "")
-            found = F.struct(state["last"].alias("entity"), F.regexp_replace(w["a"], ",", "").try_cast("double").alias("amount"), unit.alias("unit"))
-            named = F.struct(F.regexp_replace(F.lower(w["e"]), "[^a-z0-9]", "").alias("last"), state["found"].alias("found"))
-            kept = F.struct(state["last"].alias("last"), F.array_append(state["found"], found).alias("found"))
-            return F.when(w["e"] != "", named).when(state["last"] != "", kept).otherwise(state)
-
-        return F.aggregate(words, F.struct(F.lit("").alias("last"), none.alias("found")), step, lambda s: s["found"])
-
-    sentences = F.split(F.coalesce("line", F.lit("")), r"(?<=[;!?]|(?<! al)\.)\s+")
-    rows = lines.select("doc_id", "line_no", F.explode(F.flatten(F.transform(sentences, of))).alias("q"))
-    return rows.select("doc_id", "line_no", "q.*").where("amount IS NOT NULL")
+    words = F.regexp_extract_all("line", F.lit(rf"{NAMED}|{counted}|{SENTENCE_END}"), 0)
+    found = F.aggregate(words, F.struct(F.lit("").alias("last"), none.alias("found")), step, lambda s: s["found"])
+    rows = lines.where(F.regexp_like("line", F.lit(counted))).select("doc_id", "line_no", F.explode(found).alias("q")).select("doc_id", "line_no", "q.*")
+    unit = F.lower(F.regexp_replace("counted", r"^[0-9,.]+\s*", ""))
+    unit = F.regexp_replace(F.replace(unit, F.lit("centre"), F.lit("center")), "(?<=[a-z]{3})s$", "")
+    amount = F.translate(F.regexp_extract("counted", "^[0-9,.]+", 0), ",", "").try_cast("double")
+    return rows.select("doc_id", "line_no", F.translate(F.lower("named"), "&-", "").alias("entity"), amount.alias("amount"), unit.alias("unit")).where("amount IS NOT NULL")
 
 
 def conflicting_quantities(lines: DataFrame) -> DataFrame:
     """doc_id, entity, unit, amounts, lines (both ascending): things of a document that come with different amounts of one unit."""
-    seen = quantities(lines).groupBy("doc_id", "entity", "unit").agg(F.array_sort(F.collect_set("amount")).alias("amounts"), F.array_sort(F.collect_set("line_no")).alias("lines"))
-    return seen.where(F.size("amounts") > 1)
+    seen = quantities(lines).groupBy("doc_id", "entity", "unit").agg(F.collect_list(F.struct("amount", "line_no")).alias("seen"))
+    several = lambda c: F.array_sort(F.array_distinct(F.col("seen." + c)))
+    return seen.where(F.exists("seen", lambda x: x["amount"] != F.col("seen")[0]["amount"])).select("doc_id", "entity", "unit", several("amount").alias("amounts"), several("line_no").alias("lines"))
 
 
 def _depth(digest: Column) -> Column:

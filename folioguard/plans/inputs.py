@@ -25,7 +25,7 @@ FROM (SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS n, l_suppkey
 LI_ROWS = "SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS n, l_suppkey AS s, l_partkey AS p, CAST(l_quantity AS BIGINT) AS q FROM lineitem"
 FIRST_ROWS = "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n, s, p, q) = 1 AS once FROM {li}"
 NUMBERED_LINES = """
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, sub, line) AS line_no, line FROM (SELECT doc_id, inline(filter(array(
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, sub, line) AS line_no, line FROM (SELECT doc_id, inline(array(
   CASE WHEN once THEN named_struct('k', 0L, 'sub', 0L, 'line', CASE WHEN doc_id % 7 = 0 THEN '# A Systematic Review of Parts' ELSE '# A Narrative Review of Parts' END) END,
   CASE WHEN once AND doc_id % 2 = 0 THEN named_struct('k', 0L, 'sub', 1L, 'line', CASE WHEN doc_id % 4 = 0 THEN '### 2.1 Units' ELSE '#### Box of units' END) END,
   CASE WHEN once AND doc_id % 3 = 0 THEN named_struct('k', 0L, 'sub', 2L, 'line', '$$ a = b $$') END,
@@ -33,9 +33,9 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, sub, line) AS
     CASE WHEN p % 17 = 0 THEN ' [TBD].' WHEN p % 19 = 0 THEN ', which may suggest growth.' WHEN p % 29 = 0 THEN ' on Cleerly.' ELSE '.' END)),
   CASE WHEN once AND doc_id % 25 <> 0 THEN named_struct('k', 2L, 'sub', 0L, 'line', '## References') END,
   CASE WHEN (doc_id + n) % 11 <> 0 AND doc_id % 25 <> 0 THEN named_struct('k', 3L, 'sub', n * 10 + s % 10, 'line', concat('[', CAST(n AS STRING), '] ', bib, ' A, Jones B. Part study. doi:10.1234/p', CAST(p % 40 AS STRING))) END,
-  CASE WHEN once AND doc_id % 3 = 0 AND doc_id % 25 <> 0 THEN named_struct('k', 4L, 'sub', 0L, 'line', '[99] Brown C. Never cited. doi:10.1234/zz99') END), x -> x IS NOT NULL))
+  CASE WHEN once AND doc_id % 3 = 0 AND doc_id % 25 <> 0 THEN named_struct('k', 4L, 'sub', 0L, 'line', '[99] Brown C. Never cited. doi:10.1234/zz99') END))
   FROM (SELECT *, CASE s % 5 WHEN 0 THEN 'Wang' WHEN 1 THEN 'Zhang' WHEN 2 THEN 'Kumar' WHEN 3 THEN 'Smith' ELSE 'Sato' END AS who,
-    CASE (s + CASE WHEN p % 13 = 0 THEN 1 ELSE 0 END) % 5 WHEN 0 THEN 'Wang' WHEN 1 THEN 'Zhang' WHEN 2 THEN 'Kumar' WHEN 3 THEN 'Smith' ELSE 'Sato' END AS bib FROM {li})) raw
+    CASE (s + CASE WHEN p % 13 = 0 THEN 1 ELSE 0 END) % 5 WHEN 0 THEN 'Wang' WHEN 1 THEN 'Zhang' WHEN 2 THEN 'Kumar' WHEN 3 THEN 'Smith' ELSE 'Sato' END AS bib FROM {li})) raw WHERE k IS NOT NULL
 """
 #: The number of a line's slide, as the queries of decks have it.
 SLIDE_NO = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate)"

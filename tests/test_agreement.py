@@ -68,6 +68,13 @@ def test_quantities(spark):
     assert [tuple(r) for r in K.conflicting_quantities(df).collect()] == [(1, "orfan", "center", [8.0, 9.0], [0, 2])]
 
 
+def test_quantities_stay_in_their_sentence(spark):
+    lines = ["ORFAN.\t5 patients", "ORFAN et al. 5 patients; 6 patients", "ORFAN? \n 7 cases", " ORFAN 1,2,\t3.5\nCENTRES", "Wang et al.  9 ms! 8 ms", "ORFAN 5.patients; ORFAN .5 cm, v5 cm and 5cmx", "5 cm ORFAN,6 CM.7 mm"]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, line string").withColumn("line_no", F.lit(0))
+    got = sorted(tuple(r)[:1] + tuple(r)[2:] for r in K.quantities(df).collect())
+    assert got == [(1, "orfan", 5.0, "patient"), (3, "orfan", 3.5, "center"), (4, "wang", 9.0, "ms"), (6, "orfan", 6.0, "cm")]
+
+
 def test_digests(spark):
     digest = {
         "thesis_claim": "Attention  is ENOUGH", "contributions": ["28.4 BLEU", "made up"], "method": {"equations": [{"id": "1", "latex": "d_k = 64", "source_ref": "p. 999"}], "deep": [[{"x": [{"y": "2.3·10¹⁹"}]}]]},

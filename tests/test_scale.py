@@ -24,6 +24,12 @@ def test_derived_texts_are_not_shuffled(spark):
         assert plan.count("Exchange hashpartitioning") == 1 and "concat" not in below
 
 
+def test_a_line_is_searched_once(spark):
+    """Quantities take names, amounts, units and ends of sentences from one search, and lines are made in compiled code."""
+    plan = entry.queries()["conflicting_quantities"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and "split(" not in plan and "filter(array" not in plan
+
+
 def test_files_share_folders(spark, tmp_path):
     """A file for each key, but no folder for each: folders are listed and moved one by one."""
     from folioguard.sources import readers
