@@ -87,7 +87,9 @@ def strip_math(s: Column) -> Column:
 
 
 def normalised(s: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(strip_math(s), r"\s+", " ")))
+    """Without marks of math and emphasis, white space as single blanks, lower case. One search tells whether there is anything to replace."""
+    whole = F.when(F.rlike(s, F.lit(r"\$|==|\s\s|[\t\n\x0b\f\r]")), F.regexp_replace(strip_math(s), r"\s+", " ")).otherwise(F.coalesce(s, F.lit("")))
+    return F.lower(F.trim(whole))
 
 
 def contains_whole(haystack: Column, needle: Column) -> Column:

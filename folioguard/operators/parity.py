@@ -90,8 +90,9 @@ def parity_findings(slides: DataFrame, built: DataFrame) -> DataFrame:
 
 def text_parity(expected: DataFrame, built: DataFrame) -> DataFrame:
     """deck_id, slide, field of expected texts (deck_id, slide, field, text) that the built slide (text) lacks."""
-    rows = expected.join(built.select("deck_id", "slide", F.col("text").alias("built")).hint("merge"), ["deck_id", "slide"])
-    return rows.where(~H.contains_whole(H.normalised(F.col("built")), H.normalised(F.col("text")))).select("deck_id", "slide", "field")
+    text = H.normalised(F.col("text"))  # below the join, as its condition would form them again at each mention
+    rows = expected.select("deck_id", "slide", "field", text.alias("asked")).join(built.select("deck_id", "slide", text.alias("shown")).hint("merge"), ["deck_id", "slide"])
+    return rows.where(~H.contains_whole(F.col("shown"), F.col("asked"))).select("deck_id", "slide", "field")
 
 
 def slide_count_mismatches(expected: DataFrame, built: DataFrame) -> DataFrame:

@@ -30,6 +30,13 @@ def test_a_line_is_searched_once(spark):
     assert plan.count("regexp_extract_all(") == 1 and "split(" not in plan and "filter(array" not in plan
 
 
+def test_texts_are_normalised_once(spark):
+    """Each side of the parity check normalises its texts below the join: two searches of white space, none in the join's condition."""
+    df = entry.queries()["parity_text"](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(r"regexp_replace(regexp_replace(regexp_replace(") == 2 and "regexp_replace" not in plan[plan.index("SortMergeJoin") :].splitlines()[0]
+
+
 def test_files_share_folders(spark, tmp_path):
     """A file for each key, but no folder for each: folders are listed and moved one by one."""
     from folioguard.sources import readers
