@@ -108,7 +108,7 @@ SELECT deck_id, fig_id, slide, coalesce(score, 0) AS score, CASE WHEN score > 0.
 
 @_query(MAPPED)
 def mapped_figures(spark, sf):
-    rows = _sql(spark, sf, PAGES, "lineitem")
+    rows = C.numbered(spark, sf, PAGES)
     return M.mapped_figures(rows.where("p % 3 = 0").select("deck_id", F.col("slide").alias("fig_id"), "caption"), rows.select("deck_id", "slide", "text"))
 
 

@@ -157,6 +157,24 @@ def test_best_pairs_first(spark):
     assert {f: v[:2] for f, v in got.items() if v[0] is not None} == want and len(got) == 9
 
 
+def test_decks_in_tasks_and_by_joins(spark, monkeypatch):
+    """Decks mapped whole, large ones by joins, and all by joins for a large vocabulary come to the same, decks without a key or slides included."""
+    rng = random.Random(8)
+    words = "lung heart liver framework comparison ablation method results it".split()
+    text = lambda: " ".join(rng.choices(words, k=rng.randint(0, 5))) if rng.random() > 0.05 else None
+    rows = lambda most: [(d, k, text()) for d in [*range(60), None] for k in range(rng.randint(0, most))]
+    c, s = spark.createDataFrame(rows(4), "deck_id long, fig_id long, caption string"), spark.createDataFrame(rows(6), "deck_id long, slide long, text string")
+    got = lambda: sorted(map(str, M.mapped_figures(c, s).collect()))
+    whole = M.mapped_figures(c, s)
+    assert "Join" not in whole._jdf.queryExecution().executedPlan().toString()
+    whole = sorted(map(str, whole.collect()))
+    assert len(whole) == c.count()
+    monkeypatch.setattr(M, "DECK", 3)
+    assert got() == whole
+    monkeypatch.setattr(M, "VOCABULARY", 3)
+    assert got() == whole
+
+
 def test_places_of_a_template(spark):
     page = "page_id long, title string, caption string, figure_w long, figure_h long, width long, height long"
     rows = [(1, "A title", "A caption", 1600, 800, 1920, 1080), (2, "word " * 30, "word " * 50, 100, 400, 1920, 1080), (3, "x", None, 0, 10, 1920, 1080), (4, "word " * 400, "", 10, 10, 1280, 720)]
