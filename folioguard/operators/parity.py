@@ -74,7 +74,8 @@ def parity_findings(slides: DataFrame, built: DataFrame) -> DataFrame:
     cells = F.filter("want", by_cell)
     rows = rows.withColumns({"cells": cells, "texts": F.filter("want", lambda f: ~by_cell(f))})
     lost = F.transform(_unmatched(F.transform("cells", lambda f: f["text"]), F.coalesce("b_cells", F.array().cast("array<string>"))), lambda i: F.get("cells", i)["field"])
-    gone = F.transform(F.filter("texts", lambda f: ~H.contains_whole(F.col("shown"), H.normalised(f["text"]))), lambda f: f["field"])
+    asked = F.transform("texts", lambda f: F.struct(f["field"].alias("field"), H.normalised(f["text"]).alias("text")))  # once, however often a search mentions it
+    gone = F.transform(F.filter(asked, lambda f: ~H.contains_whole(F.col("shown"), f["text"])), lambda f: f["field"])
     hit = lambda kind, field: F.struct(F.lit(kind).alias("kind"), field.alias("field"))
     none, notes = F.lit(""), F.coalesce("speaker_notes", F.lit(""))
     whole = F.array_compact(F.array(
