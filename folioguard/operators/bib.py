@@ -165,11 +165,31 @@ def crossref_entry(message: Column) -> Column:
     return F.when(F.try_parse_json(message).isNotNull(), entry)
 
 
+#: Fixed value: the namespace of the fields that arXiv adds to a feed.
+ARXIV_NS = "{http://arxiv.org/schemas/atom}"
+
+
+def _feed_entry(xml: str | None) -> tuple | None:
+    """A feed is parsed once, for all of its fields; built-ins would parse it again for each path."""
+    import xml.etree.ElementTree as ET
+
+    if not xml:
+        return None
+    root = ET.fromstring(xml)
+    atom, name = root.tag[:-4], root.tag[-4:]
+    entry = root.find(f"{atom}entry") if name == "feed" and atom[-1:] in ("", "}") else None
+    if entry is None:
+        return None
+    said = lambda e: " ".join(("".join(e.itertext()) if len(e) else e.text or "").split())
+    first = {e.tag: said(e) for e in reversed(entry)}
+    names = [said(n) for e in entry if e.tag == f"{atom}author" for n in e if n.tag == f"{atom}name"]
+    _, abstract, arxiv = first.get(f"{atom}id", "").partition("/abs/")
+    venue, doi = (first.get(ARXIV_NS + k) for k in ("journal_ref", "doi"))
+    return first.get(f"{atom}title", ""), names, first.get(f"{atom}published", "")[:4] or None, venue or "arXiv preprint", doi or None, abstract and arxiv.split("v")[0] or None
+
+
 def atom_entry(xml: Column) -> Column:
     """struct<title, authors, year, venue, doi, arxiv> of a feed's first entry; null without one. Texts must be well-formed XML."""
-    one = lambda path: F.nullif(F.trim(F.regexp_replace(F.xpath_string(xml, F.lit(f"/feed/entry[1]/{path}")), r"\s+", " ")), F.lit(""))
-    authors = F.transform(F.xpath(xml, F.lit("/feed/entry[1]/author/name/text()")), lambda a: F.trim(F.regexp_replace(a, r"\s+", " ")))
-    arxiv = F.nullif(F.regexp_extract(one("id"), r"/abs/([^v]*)", 1), F.lit(""))
-    year = F.nullif(F.substring(one("published"), 1, 4), F.lit(""))
-    entry = F.struct(F.coalesce(one("title"), F.lit("")).alias("title"), authors.alias("authors"), year.alias("year"), F.coalesce(one("*[name()='arxiv:journal_ref']"), F.lit("arXiv preprint")).alias("venue"), one("*[name()='arxiv:doi']").alias("doi"), arxiv.alias("arxiv"))
-    return F.when(F.xpath_boolean(xml, F.lit("/feed/entry")), entry)
+    fields = "struct<title:string, authors:array<string>, year:string, venue:string, doi:string, arxiv:string>"
+    # Marked as not deterministic so that a filter on the result is no reason to parse each feed a second time.
+    return F.udf(_feed_entry, fields, useArrow=True).asNondeterministic()(xml)

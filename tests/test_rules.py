@@ -1,11 +1,13 @@
 """Prose rules, charts and page extracts on small rows: nulls, empty tables, ties and limits."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioguard.operators import bib as B
 from folioguard.operators import charts as C
 from folioguard.operators import deck as D
 from folioguard.operators import protocol as P
+from folioguard.plans import rules
 from folioguard.sources import extracted as X
 
 
@@ -87,3 +89,24 @@ def test_reports(spark):
     assert rows(D.review_findings(decks, reports)) == [(1, "aesthetics-rework-open", "P2"), (2, "aesthetics-report-invalid", "P2"), (3, "aesthetics-report-invalid", "P2"), (4, "aesthetics-not-run", "P3")]
     scores = spark.createDataFrame([(1, s, {"space": v, "figures": None}) for s, v in ((1, 4), (2, 3), (3, 2), (4, 4))] + [(2, 1, {"space": None})], "deck_id long, slide int, dims map<string,int>")
     assert rows(D.aesthetics(scores)) == [(1, 19.5, 1, "3,2,1")]
+
+
+def test_atom_entry(spark):
+    feed = lambda inner: f'<?xml version="1.0" encoding="UTF-8"?>\n<feed xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://arxiv.org/schemas/atom"><title>q</title>{inner}</feed>'
+    cases = [
+        (feed('<entry><id>http://arxiv.org/abs/2001.00001v2</id><published>2020-01-02</published><title type="html"> A &amp;\n <![CDATA[B <x>]]> <!-- no -->C</title><author><name>Ana Li</name><name/></author><author><name> Bo\n Roe </name></author><arxiv:doi>10.1/x</arxiv:doi><arxiv:journal_ref>J</arxiv:journal_ref></entry><entry><id>other</id></entry>'), ("A & B <x> C", ["Ana Li", "", "Bo Roe"], "2020", "J", "10.1/x", "2001.00001")),
+        (feed("<entry><title>first</title><title>second</title><doi>not arXiv's</doi><id>x</id></entry>"), ("first", [], None, "arXiv preprint", None, None)),
+        (feed("<entry/>"), ("", [], None, "arXiv preprint", None, None)),
+        ("<feed><entry><title>bare</title></entry></feed>", ("bare", [], None, "arXiv preprint", None, None)),
+        (feed(""), None), ("<rss><entry/></rss>", None), ("", None), (None, None),
+    ]
+    rows = spark.createDataFrame([(k, x) for k, (x, _) in enumerate(cases)], "k int, x string").select("k", B.atom_entry(F.col("x")).alias("e"))
+    assert {r.k: r.e and tuple(r.e) for r in rows.collect()} == {k: e for k, (_, e) in enumerate(cases)}
+    with pytest.raises(Exception, match="ParseError"):
+        spark.createDataFrame([("<feed><entry>",)], "x string").select(B.atom_entry(F.col("x"))).collect()
+
+
+def test_feeds_are_parsed_once(spark):
+    """One function for all fields and for the filter: a path of its own for each parsed a feed up to twenty times."""
+    plan = rules.atom_entry(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_feed_entry(") == 1 and "xpath" not in plan, plan
