@@ -64,10 +64,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{run}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts the lineage."""
+def stored(df: DataFrame, name: str, **more: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, which cuts the lineage. ``more`` are settings of the write."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    with shuffles_dropped(spark):
+    with shuffles_dropped(spark, **more):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -76,8 +76,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def shuffles_dropped(spark: SparkSession, **more: str) -> Iterator[None]:
     """A write's own shuffle files are of no use after it; inside, Spark drops them at once.
 
-    ``more`` are further settings of the write. All are put back as they were. They only tell how files are
-    written and when they are deleted, so another query of the session that starts meanwhile gets the same rows.
+    ``more`` are further settings of the write. All are put back as they were. They only tell how rows are
+    exchanged, how files are written and when they are deleted, so another query of the session that starts meanwhile gets the same rows.
     """
     settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | more
     before = {k: spark.conf.get(k, None) for k in settings}
@@ -141,6 +141,7 @@ class BucketedTable:
     SCHEMA: T.StructType
     BY: tuple[str, ...]
     SORT: tuple[str, ...]
+    CODEC = "snappy"
 
     def __init__(self, spark: SparkSession, name: str, path: str, buckets: int | None = None):
         """Open the table under ``path``, or create it empty with ``buckets`` (by default the session's shuffle partitions)."""
@@ -175,7 +176,7 @@ class BucketedTable:
         """
         with shuffles_dropped(self.spark, **{"spark.sql.maxConcurrentOutputFileWriters": "16"}):
             rows = df.select(*self.SCHEMA.names).sortWithinPartitions(*self.SORT)
-            rows.write.format("parquet").bucketBy(self.buckets, *self.BY).option("path", self._folder()).mode(mode).saveAsTable(name)
+            rows.write.format("parquet").option("compression", self.CODEC).bucketBy(self.buckets, *self.BY).option("path", self._folder()).mode(mode).saveAsTable(name)
 
     def read(self) -> DataFrame:
         return self.spark.read.table(self.name)

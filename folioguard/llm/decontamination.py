@@ -10,7 +10,7 @@ Words are runs of digits, letters and non-ASCII characters after lower-casing A-
 3. Offset-adjusted lists are intersected from the rarest term on: a posting of a window's rarest term gives a
    base, position minus offset, which survives if the lists of the other terms hold it at their own offsets. The
    lists of the ``anchors`` rarest terms are intersected over the whole index, the remaining ones in the
-   documents that are left, so lists of common words are only read there.
+   cells of documents that are left, so lists of common words are only read there, and only their postings there are exchanged.
 4. Proximity matches come from the same lists, rarest term first: ``near_windows`` finds the documents where a window's words
    stand close together in any order, ``proximity_matches`` the tightest spans of any words asked for.
 
@@ -66,6 +66,7 @@ class PositionalIndex(BucketedTable):
         [T.StructField("term", T.LongType()), T.StructField("word", T.StringType()), T.StructField("id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("pos", T.IntegerType())]
     )
     BY, SORT = ("id", "key"), ("term",)
+    CODEC = "zstd"
 
     def append(self, docs: DataFrame) -> None:
         """Add the postings of ``docs`` (doc_id, text). Documents that the index holds are not to be given again."""
@@ -98,26 +99,38 @@ def ranked_terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
     return ranked.select("window", F.posexplode("a").alias("rank", "x")).select("window", "rank", "x.word", "x.offset", F.xxhash64("x.word").alias("term"))
 
 
-def phrase_matches(index: PositionalIndex, windows: DataFrame, ranked: DataFrame, anchors: int = ANCHORS) -> DataFrame:
-    """id, key, window, base: every place where all words of a window (window, words) stand in a row."""
+def phrase_matches(index: PositionalIndex, windows: DataFrame, ranked: DataFrame, anchors: int = ANCHORS, length: int = LENGTH) -> DataFrame:
+    """id, key, window, base, k: every place where all words of a window (window, words; at most ``length``) stand in a row."""
     lists = ranked.where(F.col("rank") < anchors)
     needed = lists.groupBy("window").agg(F.count("*").alias("needed"))
     lists = small_enough(lists.join(needed, "window"))
     met = index.read().join(lists, ["term", "word"]).withColumn("base", F.col("pos") - F.col("offset")).where("base >= 0")
     slots = F.bit_or(F.expr("shiftleft(1L, rank)"))
-    bases = met.groupBy("id", "key", "window", "base").agg(F.max("needed").alias("needed"), slots.alias("slots")).where("bit_count(slots) = needed").select("id", "key", "window", "base")
-    bases = stored(bases, "bases")
-    # The other lists, in the documents that are left.
-    left = bases.select("id", "key").distinct()
-    left = small_enough(left) if _few(left) else left.hint("shuffle_hash")
-    posts = index.read().join(left, ["id", "key"], "left_semi")
+    bases = met.groupBy("id", "key", "window", "base").agg(F.max("needed").alias("needed"), slots.alias("slots")).where("bit_count(slots) = needed")
+    bases = stored(bases.select("id", "key", "window", "base", F.floor(F.col("base") / length).cast("int").alias("cell")), "bases")
+    # The other lists, in the cells that are left.
+    posts = postings_in_cells(index, ranked, bases, length)
     places = windows.select("window", F.size("words").alias("k"), F.posexplode("words").alias("offset", "word"))
-    asked = bases.join(small_enough(places), "window").select("id", "key", "window", "base", "k", "offset", "word", (F.col("base") + F.col("offset")).alias("pos"))
-    both = asked.join(posts.select("id", "key", "pos", "word"), ["id", "key", "pos", "word"])
+    both = bases.join(posts, ["id", "key", "cell"]).withColumn("offset", F.col("pos") - F.col("base")).where(F.col("offset").between(0, length - 1))
+    both = both.join(small_enough(places), ["window", "offset", "word"])
     whole = both.groupBy("id", "key", "window", "base", "k").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("seen"))
     return whole.where("bit_count(seen) = k").select("id", "key", "window", "base", "k")
 
 
+def postings_in_cells(index: PositionalIndex, ranked: DataFrame, found: DataFrame, size: int) -> DataFrame:
+    """id, key, cell, pos, word: postings of the ``ranked`` terms in the cells of ``found`` (id, key, cell).
+
+    A cell begins at each multiple of ``size`` and is twice as long. Cells go to the shards of their documents, however many they
+    are, and postings stay where they lie: the setting lets a join by document and cell do with the sharding by document.
+    """
+    cells = found.select("id", "key", "cell").distinct()
+    near = lambda df: small_enough(df) if _few(df) else df.hint("shuffle_hash")
+    posts = index.read().join(small_enough(ranked.select("term", "word").distinct()), ["term", "word"], "left_semi").join(near(cells.select("id", "key").distinct()), ["id", "key"], "left_semi")
+    place = F.floor(F.col("pos") / size).cast("int")
+    posts = posts.select("id", "key", "pos", "word", F.explode(F.array(place, place - 1)).alias("cell")).join(near(cells), ["id", "key", "cell"], "left_semi")
+    return stored(posts, "places", **{"spark.sql.requireAllClusterKeysForCoPartition": "false"})
+
+
 def _few(df: DataFrame, rows: int = 20_000) -> bool:
     return df.limit(rows + 1).count() <= rows
 
@@ -127,7 +140,7 @@ def near_windows(index: PositionalIndex, ranked: DataFrame, within: int = WITHIN
 
     A cell is twice as long and one begins at each multiple of ``within``, so such a span lies in the cell where it
     begins. The lists of the ``anchors`` rarest terms are intersected by cell over the whole index; the other terms are
-    read in the documents that are left. What is gathered of a cell is at most its own places, which are then tried as beginnings.
+    read in the cells that are left. What is gathered of a cell is at most its own places, which are then tried as beginnings.
     """
     place = F.floor(F.col("pos") / within).cast("int")
     in_cells = lambda df: df.withColumn("cell", F.explode(F.array(place, place - 1))).where("cell >= 0")
@@ -135,10 +148,8 @@ def near_windows(index: PositionalIndex, ranked: DataFrame, within: int = WITHIN
     lists = small_enough(ranked.where(F.col("rank") < anchors).join(k, "window").withColumn("needed", F.least(F.col("k"), F.lit(anchors))).select("window", "term", "word", "rank", "needed"))
     met = in_cells(index.read().join(lists, ["term", "word"])).groupBy("id", "key", "window", "cell").agg(F.bit_or(F.expr("shiftleft(1L, rank)")).alias("slots"), F.max("needed").alias("needed"))
     met = stored(met.where("bit_count(slots) = needed").select("id", "key", "window", "cell"), "cells")
-    left = met.select("id", "key", "cell").distinct()
-    posts = in_cells(index.read().select("id", "key", "pos", "word")).join(small_enough(left), ["id", "key", "cell"], "left_semi")
-    asked = met.join(small_enough(ranked.join(k, "window").select("window", "word", "rank", "k")), "window")
-    both = asked.join(posts, ["id", "key", "cell", "word"])
+    posts = postings_in_cells(index, ranked, met, within)
+    both = met.join(posts, ["id", "key", "cell"]).join(small_enough(ranked.join(k, "window").select("window", "word", "rank", "k")), ["window", "word"])
     held = both.groupBy("id", "key", "window", "cell").agg(F.max("k").alias("k"), F.bit_or(F.expr("shiftleft(1L, rank)")).alias("slots"), F.collect_list(F.struct("pos", "rank")).alias("p")).where("bit_count(slots) = k")
     reached = lambda x: F.size(F.array_distinct(F.transform(F.filter("p", lambda y: (y["pos"] >= x["pos"]) & (y["pos"] < x["pos"] + within)), lambda y: y["rank"])))
     return held.where(F.exists("p", lambda x: reached(x) == F.col("k"))).select("id", "key", "window").distinct()
@@ -190,7 +201,7 @@ def contamination(docs: DataFrame, items: DataFrame, index: PositionalIndex, len
     each = stored(item_windows(items, length), "windows")
     windows = stored(each.select("window", "words").distinct(), "windows")
     ranked = stored(ranked_terms(windows, index.counts(windows.select(F.explode("words").alias("word")).distinct())), "terms")
-    found = stored(phrase_matches(index, windows, ranked, anchors), "found")
+    found = stored(phrase_matches(index, windows, ranked, anchors, length), "found")
     # Runs of hit words: bases are bounded by the document's own length.
     hits = found.groupBy("id", "key").agg(F.array_sort(F.collect_set(F.struct("base", "k"))).alias("hits"))
     state = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))

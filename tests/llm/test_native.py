@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from folioguard.llm import decontamination
 from folioguard.llm.common import scratch
 from folioguard.llm.decontamination import OP8_SQL, PositionalIndex, contamination, decontaminate, op8_decontaminate, proximity_matches
 from folioguard.llm.exact_dedup import OP9_SQL, DigestIndex, digest_rows, exact_dedup, op9_exact_dedup
@@ -230,3 +231,29 @@ def test_counts_of_many_terms(spark, monkeypatch):
     few = sorted(map(tuple, index.counts(terms).collect()))
     monkeypatch.setattr("folioguard.llm.decontamination.BROADCAST_ROWS", 1)
     assert sorted(map(tuple, index.counts(terms).collect())) == few == [("a", 2), ("b", 2), ("none", 0), ("the", 50)]
+
+
+def test_postings_stay_in_their_shards(spark, monkeypatch):
+    """With more cells than a broadcast takes, as at 6 GB, only postings in such cells are exchanged, not all of them twice."""
+    own = decontamination.small_enough
+    monkeypatch.setattr(decontamination, "small_enough", lambda df, *a: df if {"id", "key"} <= set(df.columns) else own(df, *a))
+    monkeypatch.setattr(decontamination, "_few", lambda df, rows=20_000: rows > 20_000)
+    store = spark.sparkContext._jsc.sc().statusStore().store()
+
+    def shuffled():
+        stages, n = store.view(spark._jvm.java.lang.Class.forName("org.apache.spark.status.StageDataWrapper")).closeableIterator(), {}
+        while stages.hasNext():
+            i = stages.next().info()
+            n[i.stageId()] = i.shuffleWriteRecords()
+        return n
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        got = op8_decontaminate(spark, SF).collect()
+        sent = sum(v for k, v in shuffled().items() if k not in before)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sent < sum(r.n_words for r in got) / 2, sent
+    monkeypatch.undo()
+    assert sorted(got, key=lambda r: r.doc_id) == sorted(op8_decontaminate(spark, SF).collect(), key=lambda r: r.doc_id)
