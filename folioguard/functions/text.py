@@ -158,7 +158,9 @@ def citation_numbers(line: Column) -> Column:
         )
 
     parsed = F.transform(brackets, lambda b: F.flatten(F.transform(F.split(b, ","), part)))
-    return F.flatten(F.filter(parsed, lambda x: ~F.array_contains(x, F.lit(-1).cast("long"))))
+    # Most lines have one bracket with one number.
+    alone = F.regexp_extract(line, r"\A[^\[]*\[((?=[0-9]{1,18}\])0*[1-9][0-9]*)\][^\[]*\z", 1)
+    return F.when(alone != "", F.array(alone.try_cast("long"))).otherwise(F.flatten(F.filter(parsed, lambda x: ~F.array_contains(x, F.lit(-1).cast("long")))))
 
 
 def author_citations(line: Column) -> Column:
@@ -173,7 +175,7 @@ def author_tokens(entry: Column) -> Column:
 
 def heading(line: Column) -> Column:
     """Text of a Markdown heading without closing marks; null if the line is none."""
-    text = F.regexp_extract(line, HEADING, 1)
+    text = F.when(F.contains(line, F.lit("#")), F.regexp_extract(line, HEADING, 1))
     return F.when(text != "", F.trim(F.regexp_replace(text, r"^[：: .]+|[：: .]+$", "")))
 
 

@@ -12,6 +12,9 @@ from folioguard.functions import text as H
 
 # Rules that results depend on.
 PLACEHOLDERS = (r"\bxxx\b", r"\[TBD\]", r"x\):xxx", r"doi:\s*10\.[A-Za-z0-9_.-]+/x{2,}", "to be added", "to be declared", "figure placeholder", r"\[Figure placeholder\]")
+#: Each match of PLACEHOLDERS has one of these, in lower case; each claim one of those.
+PLACEHOLDER_PARTS = ("xxx", "[tbd]", "/xx", "to be added", "to be declared", "figure placeholder")
+CLAIM_PARTS = ("systematic", "meta")
 HEADINGS_LATIN = ("references", "reference list", "reference", "bibliography", "works cited", "literature cited")
 HEADINGS_CJK = ("参考文献", "引用文献", "参考资料", "参考书目")
 TELLS = ("has shown promising", "may suggest", "interestingly,", "in recent years,", "it is worth noting", "demonstrates the effectiveness of", "may offer significant advantages")
@@ -40,7 +43,8 @@ def with_zones(lines: DataFrame) -> DataFrame:
     """``lines`` with zone: body, heading (the first reference heading) or refs."""
     text = H.heading(F.col("line"))
     low = F.lower(text)
-    is_ref = F.coalesce(low.isin(*HEADINGS_LATIN) | F.array_contains(F.array(*(low.startswith(t + " ") for t in HEADINGS_LATIN)), True) | text.isin(*HEADINGS_CJK), F.lit(False))
+    said = low.isin(*HEADINGS_LATIN) | F.array_contains(F.array(*(low.startswith(t + " ") for t in HEADINGS_LATIN)), True) | text.isin(*HEADINGS_CJK)
+    is_ref = F.when(F.contains("line", F.lit("#")), F.coalesce(said, F.lit(False))).otherwise(False)
     first = F.min(F.when(is_ref, F.col("line_no"))).over(Window.partitionBy("doc_id"))
     zone = F.when(first.isNull() | (F.col("line_no") < first), "body").when(F.col("line_no") == first, "heading").otherwise("refs")
     return lines.withColumn("zone", zone)
@@ -78,51 +82,60 @@ def _finding(df: DataFrame, severity: str, category: str, line_no="line_no", det
     return df.select("doc_id", F.lit(severity).alias("severity"), F.lit(category).alias("category"), line.cast("long").alias("line_no"), (F.lit("") if detail is None else detail).alias("detail"))
 
 
-def _hit(severity: str, category: str | F.Column, detail: F.Column) -> F.Column:
-    category = F.lit(category) if isinstance(category, str) else category
-    return F.struct(F.lit(severity).alias("severity"), category.alias("category"), detail.alias("detail"))
+def _hit(severity: str, category: str, detail: F.Column) -> F.Column:
+    return F.struct(F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.col("line_no").cast("long").alias("line_no"), F.coalesce(detail, F.lit("")).alias("detail"))
 
 
 def _hits(*hits: F.Column) -> F.Column:
-    return F.array_compact(F.array(*hits))
+    """The hits that are there; null without any, so that a line without a hit costs no array."""
+    return F.when(F.coalesce(*hits).isNotNull(), F.array_compact(F.array(*hits)))
 
 
-def _exploded(rows: DataFrame, hits: F.Column) -> DataFrame:
-    """Findings out of an array of hits per line."""
-    return rows.select("doc_id", "line_no", F.explode(hits).alias("h")).select("doc_id", "h.severity", "h.category", F.col("line_no").cast("long").alias("line_no"), F.coalesce("h.detail", F.lit("")).alias("detail"))
+def _any(low: F.Column, parts: tuple[str, ...]) -> F.Column:
+    out = F.contains(low, F.lit(parts[0]))
+    for p in parts[1:]:
+        out = out | F.contains(low, F.lit(p))
+    return out
+
+
+def _exploded(rows: DataFrame, hits: list[F.Column]) -> DataFrame:
+    """Findings out of the hits of a line."""
+    return rows.select("doc_id", F.explode(_hits(*hits)).alias("h")).select("doc_id", "h.severity", "h.category", "h.line_no", "h.detail")
 
 
-def placeholder_hits() -> F.Column:
-    said = F.col("line").rlike("(?i)" + "|".join(f"(?:{p})" for p in PLACEHOLDERS))
-    return _hits(F.when(said, _hit("critical", "placeholder", H.excerpt(F.col("line")))))
+def placeholder_hits(low: F.Column | None = None) -> list[F.Column]:
+    """``low``, here and below, is the lower-cased line, if there is a column of it. What costs little to find decides first whether a pattern is tried."""
+    said = _any(F.lower("line") if low is None else low, PLACEHOLDER_PARTS) & F.col("line").rlike("(?i)" + "|".join(f"(?:{p})" for p in PLACEHOLDERS))
+    return [F.when(said, _hit("critical", "placeholder", H.excerpt(F.col("line"))))]
 
 
-def heading_hits() -> F.Column:
-    t, about = F.trim("line"), H.excerpt(F.col("line"))
-    numbered = t.rlike(r"^#{2,4}\s+\d+(?:\.\d+)*\.?\s+")
-    return _hits(F.when(numbered, _hit("medium", "numbered_heading", about)), F.when(t.startswith("#### "), _hit("medium", "h4_heading", about)))
+def heading_hits() -> list[F.Column]:
+    t, about, some = F.trim("line"), H.excerpt(F.col("line")), F.contains("line", F.lit("##"))
+    numbered = some & t.rlike(r"^#{2,4}\s+\d+(?:\.\d+)*\.?\s+")
+    return [F.when(numbered, _hit("medium", "numbered_heading", about)), F.when(some & t.startswith("#### "), _hit("medium", "h4_heading", about))]
 
 
-def tell_hits(phrases: tuple[str, ...] = TELLS) -> F.Column:
-    return _hits(*(F.when(F.contains(F.lower("line"), F.lit(p)), _hit("low", "llm_tell", F.lit(p))) for p in phrases))
+def tell_hits(phrases: tuple[str, ...] = TELLS, low: F.Column | None = None) -> list[F.Column]:
+    low = F.lower("line") if low is None else low
+    return [F.when(F.contains(low, F.lit(p)), _hit("low", "llm_tell", F.lit(p))) for p in phrases]
 
 
-def vendor_hits(vendors: tuple[str, ...] = VENDORS) -> F.Column:
+def vendor_hits(vendors: tuple[str, ...] = VENDORS) -> list[F.Column]:
     """Reads ``zone``. Each pattern is a constant, so it is compiled once."""
     t = F.trim("line")
     prose = (F.col("zone") == "body") & ~(t.startswith("|") & t.endswith("|"))
     edge = lambda v: F.contains("line", F.lit(v)) & F.col("line").rlike(rf"(?<![A-Za-z0-9_])\Q{v}\E(?![A-Za-z0-9_])")
-    return _hits(*(F.when(prose & edge(v), _hit("high", "vendor_body_mention", F.lit(v))) for v in vendors))
+    return [F.when(edge(v) & prose, _hit("high", "vendor_body_mention", F.lit(v))) for v in vendors]
 
 
-def equation_hits() -> F.Column:
+def equation_hits() -> list[F.Column]:
     """Reads ``box``."""
-    return _hits(F.when(F.contains("line", F.lit("$$")) & ~F.col("box"), _hit("medium", "display_equation_outside_box", H.excerpt(F.col("line")))))
+    return [F.when(F.contains("line", F.lit("$$")) & ~F.col("box"), _hit("medium", "display_equation_outside_box", H.excerpt(F.col("line"))))]
 
 
 def with_box(lines: DataFrame) -> DataFrame:
     """``lines`` with box: the last heading of level 1 to 4 says 'box'."""
-    level = F.regexp_extract("line", r"^(#{1,4})\s+", 1) != ""
+    level = F.contains("line", F.lit("#")) & (F.regexp_extract("line", r"^(#{1,4})\s+", 1) != "")
     own = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumn("box", F.coalesce(F.last(F.when(level, F.contains(F.lower("line"), F.lit("box"))), ignorenulls=True).over(own), F.lit(False)))
 
@@ -160,12 +173,14 @@ def _supported() -> list[F.Column]:
 
 
 def _claims_systematic(title: F.Column, front: F.Column) -> F.Column:
+    """``title`` is the first line of ``front``."""
+    some = _any(F.lower(front), CLAIM_PARTS)
     for p in NEGATIONS:
         front = F.regexp_replace(front, "(?i)" + p, " ")
     claim = title.rlike(r"^#\s") & title.rlike(r"(?i)\b(systematic\s+review|meta-?analysis)\b")
     for p in SELF_CLAIMS:
         claim = claim | front.rlike("(?i)" + p)
-    return claim
+    return some & claim
 
 
 def unsupported_systematic(lines: DataFrame) -> DataFrame:
@@ -218,38 +233,46 @@ def duplicate_dois(refs: DataFrame) -> DataFrame:
 
 
 def audit(lines: DataFrame, vendors: tuple[str, ...] = VENDORS) -> DataFrame:
-    """All findings of all manuscripts, in one pass with one exchange, by doc_id.
+    """All findings of all manuscripts, a row each; see ``audits``."""
+    return audits(lines, vendors).select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.*")
+
+
+def audits(lines: DataFrame, vendors: tuple[str, ...] = VENDORS) -> DataFrame:
+    """doc_id, reference_count, findings of every manuscript, those without findings too, in one pass with one exchange, by doc_id.
 
     Windows give each line its zone, box and entry. The lines of an entry (and all lines before the first) are
     then put together, then the entries of a document; both aggregates group inside the partitions that the windows
     have made. What is gathered per document are findings, citations and entries, not its lines. A null doc_id is
     a document like any other.
     """
-    z = _with_entries(with_box(with_zones(lines)))
+    low = F.col("low")
+    z = with_zones(lines.withColumn("low", F.lower("line")))
+    may = F.max((F.col("line_no") <= FRONT) & _any(low, CLAIM_PARTS)).over(Window.partitionBy("doc_id"))
+    z = _with_entries(with_box(z.withColumn("may_claim", may)))
     line = F.col("line")
-    hits = F.concat(placeholder_hits(), heading_hits(), tell_hits(), equation_hits(), vendor_hits(vendors))
-    at = lambda h: F.struct(h["severity"].alias("severity"), h["category"].alias("category"), F.col("line_no").cast("long").alias("line_no"), F.coalesce(h["detail"], F.lit("")).alias("detail"))
+    hits = _hits(*placeholder_hits(low), *heading_hits(), *tell_hits(low=low), *equation_hits(), *vendor_hits(vendors))
     body = (F.col("zone") == "body") & F.contains(line, F.lit("["))
     gathered = {
-        "hits": F.transform(hits, at),
+        "hits": hits,
         "cites": F.when(body, F.transform(H.citation_numbers(line), lambda n: F.struct(F.col("line_no").cast("long").alias("line_no"), n.alias("n")))),
         "named": F.when(body, F.transform(H.author_citations(line), lambda c: F.struct(F.col("line_no").cast("long").alias("line_no"), c["n"].alias("n"), c["surname"].alias("surname")))),
     }
-    rows = z.select("doc_id", "line_no", "line", "no", "entry_no", "part", *(c.alias(k) for k, c in gathered.items()))
+    # Claims and terms of method are looked for in documents that may claim something.
+    terms = F.when(F.col("may_claim"), sum((F.when(F.contains(low, F.lit(t.lower())), 1 << k).otherwise(0) for k, t in enumerate(SUPPORT)), F.lit(0)))
+    front = F.when(F.col("may_claim") & (F.col("line_no") <= FRONT), F.struct("line_no", "line"))
+    rows = z.select("doc_id", "line_no", "no", "entry_no", "part", front.alias("front"), terms.alias("terms"), *(c.alias(k) for k, c in gathered.items()))
     together = lambda k: F.flatten(F.collect_list(F.when(F.size(k) > 0, F.col(k)))).alias(k)
-    front = F.collect_list(F.when(F.col("line_no") <= FRONT, F.struct("line_no", "line")))
-    parts = rows.groupBy("doc_id", "entry_no").agg(
-        *(together(k) for k in gathered), F.max("no").alias("ref_no"), _entry_text().alias("entry"), front.alias("front"), *(F.bool_or(c).alias(f"t{k}") for k, c in enumerate(_supported()))
-    )
+    parts = rows.groupBy("doc_id", "entry_no").agg(*(together(k) for k in gathered), F.max("no").alias("ref_no"), _entry_text().alias("entry"), F.collect_list("front").alias("front"), F.bit_or("terms").alias("terms"))
     entry = F.when(F.col("entry_no") > 0, F.struct("ref_no", "entry_no", "entry"))
     docs = parts.groupBy("doc_id").agg(
-        *(together(k) for k in gathered), F.array_sort(F.collect_list(entry)).alias("entries"), F.array_sort(F.flatten(F.collect_list("front"))).alias("front"), *(F.bool_or(f"t{k}").alias(f"t{k}") for k in range(len(SUPPORT)))
+        *(together(k) for k in gathered), F.array_sort(F.collect_list(entry)).alias("entries"), F.array_sort(F.flatten(F.collect_list("front"))).alias("front"), F.bit_or("terms").alias("terms")
     )
     # Of a repeated number the last entry counts.
     last = F.filter("entries", lambda e, i: ~F.coalesce(F.try_element_at("entries", i + 2)["ref_no"] == e["ref_no"], F.lit(False)))
     docs = docs.withColumn("refs", F.transform(last, lambda e: F.struct(e["ref_no"].alias("n"), e["entry"].alias("entry"), H.author_tokens(e["entry"]).alias("names"))))
     found = [F.col("hits"), _claim_findings(), _reference_findings(), _doi_findings()]
-    return docs.select("doc_id", F.explode(F.concat(*found)).alias("f")).select("doc_id", "f.*")
+    # An array of one element, so that what is made of the findings does not find them again.
+    return docs.select("doc_id", F.size("refs").cast("long").alias("reference_count"), F.explode(F.array(F.concat(*found))).alias("findings"))
 
 
 _FOUND = "array<struct<severity:string,category:string,line_no:bigint,detail:string>>"
@@ -260,8 +283,8 @@ def _whole(severity: str, category: str, detail: F.Column) -> F.Column:
 
 
 def _claim_findings() -> F.Column:
-    missing = F.array_compact(F.array(*(F.when(~F.col(f"t{k}"), F.lit(t)) for k, t in enumerate(SUPPORT))))
-    claim = _claims_systematic(F.trim(F.try_element_at("front.line", F.lit(1))), F.array_join("front.line", "\n"))
+    missing = F.array_compact(F.array(*(F.when(F.col("terms").bitwiseAND(F.lit(1 << k)) == 0, F.lit(t)) for k, t in enumerate(SUPPORT))))
+    claim = (F.size("front") > 0) & _claims_systematic(F.trim(F.try_element_at("front.line", F.lit(1))), F.array_join("front.line", "\n"))
     return F.array_compact(F.array(F.when(claim & (F.size(missing) > 0), _whole("critical", "unsupported_systematic_claim", F.array_join(missing, ", ")))))
 
 
@@ -303,17 +326,41 @@ def rank(severity) -> F.Column:
 
 
 def severity_summary(findings: DataFrame) -> DataFrame:
-    """Per document: findings of each severity (zeros included) and their number."""
+    """Per document: findings of each severity (zeros included) and their number. ``summaries`` does it for ``audits``."""
     return findings.groupBy("doc_id").agg(*(F.count_if(F.col("severity") == s).alias(s) for s in RANKS), F.count("*").alias("findings"))
 
 
+def summaries(audits: DataFrame) -> DataFrame:
+    """``severity_summary`` of ``audits``."""
+    n = lambda s: F.size(F.filter("findings", lambda f: f["severity"] == s)).cast("long").alias(s)
+    return audits.where(F.size("findings") > 0).select("doc_id", *map(n, RANKS), F.size("findings").cast("long").alias("findings"))
+
+
+def gates(audits: DataFrame, fail_on: str = "high") -> DataFrame:
+    """``gate`` of ``audits``."""
+    severe = [s for s, r in RANKS.items() if r >= RANKS[fail_on]]
+    return audits.where(F.size("findings") > 0).select("doc_id", F.arrays_overlap(F.col("findings.severity"), F.array(*map(F.lit, severe))).alias("failed"))
+
+
 def gate(findings: DataFrame, fail_on: str = "high") -> DataFrame:
     """doc_id, failed: any finding at least as severe as ``fail_on``."""
     return findings.groupBy("doc_id").agg(F.bool_or(rank(F.col("severity")) >= RANKS[fail_on]).alias("failed"))
 
 
+def _markdown(findings: F.Column) -> F.Column:
+    text = lambda f: F.concat(F.lit("- **"), f["severity"], F.lit("** "), f["category"], F.lit(" ("), F.when(f["line_no"] == 0, "global").otherwise(F.concat(F.lit("line "), f["line_no"].cast("string"))), F.lit("): "), f["detail"])
+    return F.array_join(F.transform(F.array_sort(findings), text), "\n").alias("report")
+
+
+def _ranked(of=F.col) -> F.Column:
+    return F.struct((-rank(of("severity"))).alias("r"), *(of(c).alias(c) for c in ("category", "line_no", "severity", "detail")))
+
+
 def as_markdown(findings: DataFrame) -> DataFrame:
     """One report per document: findings from severe to mild, then by category and line; line 0 is global."""
-    row = F.struct((-rank(F.col("severity"))).alias("r"), "category", "line_no", "severity", "detail")
-    text = lambda f: F.concat(F.lit("- **"), f["severity"], F.lit("** "), f["category"], F.lit(" ("), F.when(f["line_no"] == 0, "global").otherwise(F.concat(F.lit("line "), f["line_no"].cast("string"))), F.lit("): "), f["detail"])
-    return findings.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), text), "\n").alias("report"))
+    return findings.groupBy("doc_id").agg(_markdown(F.collect_list(_ranked())))
+
+
+def markdowns(audits: DataFrame) -> DataFrame:
+    """``as_markdown`` of ``audits``."""
+    return audits.where(F.size("findings") > 0).select("doc_id", _markdown(F.transform("findings", lambda f: _ranked(lambda c: f[c]))))

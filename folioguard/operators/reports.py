@@ -20,18 +20,32 @@ def _counts(severities: Column, order: tuple[str, ...]) -> Column:
     return F.map_from_entries(F.array_compact(F.array(*(F.when(n(s) > 0, F.struct(F.lit(s).alias("k"), n(s).alias("v"))) for s in order))))
 
 
+def _audit_report(found: Column) -> Column:
+    """The JSON document of a row with doc_id and reference_count; found: findings with their place among the scanners first."""
+    items = F.transform(found, lambda x: F.struct(x["severity"].alias("severity"), x["category"].alias("category"), x["line_no"].alias("line_no"), x["detail"].alias("detail")))
+    severities = F.transform(found, lambda x: x["severity"])
+    report = F.struct(F.col("doc_id").alias("file"), F.coalesce("reference_count", F.lit(0)).alias("reference_count"), items.alias("findings"), _counts(severities, tuple(RANKS)).alias("summary"))
+    return F.to_json(report).alias("report")
+
+
+def _placed(of=F.col) -> Column:
+    place = F.array_position(F.array(*map(F.lit, SCANNERS)), of("category"))
+    return F.struct(place.alias("place"), *(of(c).alias(c) for c in ("line_no", "detail", "severity", "category")))
+
+
 def audit_documents(docs: DataFrame, findings: DataFrame, refs: DataFrame) -> DataFrame:
     """doc_id, report: one JSON document per doc_id of ``docs``, with file, reference_count, findings in the order of scanners, and summary."""
-    place = F.array_position(F.array(*map(F.lit, SCANNERS)), F.col("category"))
-    rows = F.array_sort(F.collect_list(F.struct(place.alias("place"), "line_no", "detail", "severity", "category")))
-    found = findings.groupBy("doc_id").agg(rows.alias("f"))
+    found = findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(_placed())).alias("f"))
     counts = refs.groupBy("doc_id").agg(F.count("*").alias("reference_count"))
     both = docs.select("doc_id").distinct().join(counts, "doc_id", "left").join(found, "doc_id", "left")
     none = F.array().cast(found.schema["f"].dataType)
-    both = both.withColumn("f", F.coalesce("f", none))
-    items = F.transform("f", lambda x: F.struct(x["severity"].alias("severity"), x["category"].alias("category"), x["line_no"].alias("line_no"), x["detail"].alias("detail")))
-    report = F.struct(F.col("doc_id").alias("file"), F.coalesce("reference_count", F.lit(0)).alias("reference_count"), items.alias("findings"), _counts(F.col("f.severity"), tuple(RANKS)).alias("summary"))
-    return both.select("doc_id", F.to_json(report).alias("report"))
+    return both.withColumn("f", F.coalesce("f", none)).select("doc_id", _audit_report(F.col("f")))
+
+
+def audited_documents(audits: DataFrame) -> DataFrame:
+    """``audit_documents`` of ``manuscript.audits``, whose rows have all that a report takes."""
+    rows = audits.select("doc_id", "reference_count", F.array_sort(F.transform("findings", lambda f: _placed(lambda c: f[c]))).alias("f"))
+    return rows.select("doc_id", _audit_report(F.col("f")))
 
 
 def review_documents(reviews: DataFrame) -> DataFrame:

@@ -178,7 +178,7 @@ def qa_report(spark, sf):
 
 @_query(C.ALL + " SELECT doc_id, string_agg(concat('- **', severity, '** ', category, ' (', CASE line_no WHEN 0 THEN 'global' ELSE concat('line ', line_no) END, '): ', detail), chr(10) ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END, category, line_no, detail) AS report FROM f GROUP BY doc_id")
 def audit_markdown(spark, sf):
-    return M.as_markdown(M.audit(C.lines(spark, sf)))
+    return M.markdowns(M.audits(C.lines(spark, sf)))
 
 
 TALK = "SELECT conv_id AS deck_id, CAST(turn AS BIGINT) AS slide, CASE WHEN turn % 2 = 0 THEN 'bullets' ELSE 'section' END AS layout, CASE WHEN turn % 3 = 0 THEN '' ELSE concat('Turn $t_', CAST(turn AS STRING), '$ ==k|on==') END AS action_title, CASE WHEN turn % 3 = 0 AND turn % 2 = 0 THEN '' ELSE role END AS title, text AS speaker_notes FROM conversations"
@@ -255,8 +255,7 @@ c AS (SELECT doc_id, string_agg(concat('"', severity, '":', n), ',' ORDER BY CAS
 n AS (SELECT doc_id, count(*) AS refs FROM refs GROUP BY doc_id)
 SELECT d.doc_id, concat('{{"file":', d.doc_id, ',"reference_count":', coalesce(refs, 0), ',"findings":[', coalesce(items, ''), '],"summary":{{', coalesce(summary, ''), '}}}}') AS report FROM (SELECT DISTINCT doc_id FROM lines) d LEFT JOIN g USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""")
 def audit_json(spark, sf):
-    lines, zoned, refs = C.lines(spark, sf), *C._parts(spark, sf)[:2]
-    return W.audit_documents(lines, M.audit(lines), refs)
+    return W.audited_documents(M.audits(C.lines(spark, sf)))
 
 
 @_query(C.GATE + " SELECT deck_id, CASE gate WHEN 'BLOCK' THEN 2 WHEN 'REVIEW' THEN 1 ELSE 0 END AS status, concat('{\"p0\":', p0, ',\"p1\":', p1, ',\"p2\":', p2, ',\"p3\":', p3, '}') AS summary, p0 + p1 + p2 + p3 AS findings FROM gates")

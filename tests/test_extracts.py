@@ -1,6 +1,7 @@
 """Literal fixtures of panels, parity, tables, readers and text helpers."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from folioguard.operators import deck as D
 from folioguard.operators import geometry as G
 from folioguard.operators import manuscript as M
 from folioguard.operators import parity as P
+from folioguard.operators import reports as W
 from folioguard.operators import tables as T
+from folioguard.plans import catalogue
 from folioguard.sources import readers
 
 BOX = "x0 double, y0 double, x1 double, y1 double"
@@ -204,3 +207,32 @@ def test_audit_of_a_long_bibliography(spark):
     known = plain(got.where("doc_id IS NOT NULL"))
     assert known == plain(want) and {r[2] for r in known} == set(kinds)
     assert got.where("doc_id IS NULL AND category = 'missing_reference'").count() > 0
+
+
+def test_cheap_checks_lose_nothing(spark):
+    """Lines that a pattern matches pass what is asked before it, and the short way reads the same numbers."""
+    said = ["a XXX b", "see [tbd]", "x):xXx", "DOI: 10.1/xx", "To Be Added", "TO BE DECLARED", "a Figure Placeholder", "xx", "10.1/x", "tbd", None]
+    lines = spark.createDataFrame([(1, k, x) for k, x in enumerate(said)], "doc_id int, line_no int, line string")
+    assert {r.line_no for r in M.placeholders(lines).collect()} == set(range(7))
+    cases = {"a [3]": [3], "[0]": [], "[007] b": [7], "[1] [0] [2]": [1, 2], f"[{10**18 - 1}]": [10**18 - 1], f"[{10**18}]": [], f"[{'0' * 18}1]": [], "[x [4]": [4], "a\n[5]\n": [5], "[1, 0]": [], "none": []}
+    rows = spark.createDataFrame([(x,) for x in cases], "x string").select("x", H.citation_numbers(F.col("x")).alias("n")).collect()
+    assert {r.x: r.n for r in rows} == cases
+
+
+def test_results_of_audits(spark):
+    """Out of a document's row come the same results as out of findings and joins; documents without findings stay in reports only."""
+    texts = [(1, "# A Systematic Review\nfoo et al. [1] [TBD]\n## References\n[2] Roe A. X. doi:10.1234/a doi:10.1234/a"), (2, "# Plain\nnothing"), (None, "#### 1. H\nOur SYSTEMATIC\nreview of x")]
+    lines = M.lines_of(spark.createDataFrame(texts, "doc_id long, text string")).cache()
+    found, audits, refs = M.audit(lines), M.audits(lines), M.bibliography(M.with_zones(lines))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert {(r.doc_id, r.category) for r in found.collect()} >= {(1, "unsupported_systematic_claim"), (1, "missing_reference"), (1, "duplicate_doi"), (None, "numbered_heading"), (None, "h4_heading"), (None, "unsupported_systematic_claim")}
+    assert rows(M.summaries(audits)) == rows(M.severity_summary(found)) and rows(M.gates(audits)) == rows(M.gate(found)) and rows(M.gates(audits, "critical")) == rows(M.gate(found, "critical"))
+    assert rows(M.markdowns(audits)) == rows(M.as_markdown(found))
+    named = lambda df: [r for r in rows(df) if r[0] is not None]
+    assert named(W.audited_documents(audits)) == named(W.audit_documents(lines, found, refs)) and audits.count() == 3
+
+
+def test_audits_are_made_once(spark):
+    """audit_json read its lines three times and joined what it made of them."""
+    plan = catalogue.QUERIES["audit_json"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and len(re.findall(r"Relation \[", plan)) == 1, plan
