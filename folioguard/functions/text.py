@@ -27,7 +27,8 @@ HTML_PLACEHOLDERS = ("presenter", "presenters", "date", "name", "author", "autho
 
 
 def map_superscripts(s: Column) -> Column:
-    return F.translate(s, *SUPERSCRIPTS)
+    """Superscripts as digits; a text of ASCII has none and stays as it is."""
+    return F.when(F.length(s) == F.octet_length(s), s).otherwise(F.translate(s, *SUPERSCRIPTS))
 
 
 def number_tokens(s: Column) -> Column:

@@ -41,8 +41,12 @@ def _pair(name: Column, text: Column) -> Column:
     return F.struct(name.alias("field"), text.alias("text"))
 
 
+def _at(name: str, *places: Column) -> Column:
+    return F.concat(F.lit(name), *(x for i in places for x in (F.lit("["), i.cast("string"), F.lit("]"))))
+
+
 def _many(name: str, c: Column) -> Column:
-    return F.coalesce(F.transform(c, lambda x, i: _pair(F.format_string(name + "[%d]", i), x)), F.array().cast(PAIRS))
+    return F.coalesce(F.transform(c, lambda x, i: _pair(_at(name, i), x)), F.array().cast(PAIRS))
 
 
 def cell_text(cell: Column) -> Column:
@@ -57,11 +61,11 @@ def audited(slides: DataFrame) -> Column:
     def point(p: Column, i: Column) -> Column:
         head, body = (F.try_variant_get(p, f"$.{k}", "string") for k in ("head", "body"))
         split = F.schema_of_variant(p).startswith("OBJECT")
-        return F.when(split, F.array(_pair(F.format_string("points[%d].head", i), head), _pair(F.format_string("points[%d].body", i), body))).otherwise(F.array(_pair(F.format_string("points[%d]", i), F.try_variant_get(p, "$", "string"))))
+        return F.when(split, F.array(_pair(F.concat(_at("points", i), F.lit(".head")), head), _pair(F.concat(_at("points", i), F.lit(".body")), body))).otherwise(F.array(_pair(_at("points", i), F.try_variant_get(p, "$", "string"))))
 
     def cell(r: Column, i: Column) -> Column:
         value = lambda c: F.coalesce(F.try_variant_get(c, "$.v", "string"), F.try_variant_get(c, "$", "string"))
-        return F.transform(r, lambda c, j: _pair(F.format_string("table[%d][%d]", i, j), value(c)))
+        return F.transform(r, lambda c, j: _pair(_at("table", i, j), value(c)))
 
     none = F.array().cast(PAIRS)
     return F.concat(
@@ -89,14 +93,14 @@ def deck_flags(fields: DataFrame) -> DataFrame:
 def ungrounded_numbers(fields: DataFrame, sources: DataFrame) -> DataFrame:
     """Numbers of two characters or more that the deck's source (deck_id, source) does not contain.
 
-    Distinct tokens of a deck meet its source once; a deck without a source grounds nothing.
+    Tokens are made once and meet their deck's source as they are; a deck without a source grounds nothing.
     """
     audited = fields.where("field <> 'figure.cite' AND NOT startswith(field, 'entries[')")
     tokens = audited.select("deck_id", "slide", "layout", "field", F.explode(H.number_tokens(F.col("text"))).alias("value")).where("length(value) >= 2")
-    asked = tokens.select("deck_id", "value").distinct().join(sources.select("deck_id", H.rejoin_decimals(H.map_superscripts(F.col("source"))).alias("source")), "deck_id", "left")
-    missing = asked.where(~F.coalesce(F.contains("source", "value"), F.lit(False))).select("deck_id", "value")
+    met = tokens.join(sources.select("deck_id", H.rejoin_decimals(H.map_superscripts(F.col("source"))).alias("source")), "deck_id", "left")
+    missing = met.where(~F.coalesce(F.contains("source", "value"), F.lit(False)))
     factual = F.col("field").startswith("table[") | F.col("layout").isin("results-table", "equation")
-    return tokens.join(missing, ["deck_id", "value"]).select("deck_id", "slide", "field", "value", F.when(factual, "P1").otherwise("P2").alias("severity"))
+    return missing.select("deck_id", "slide", "field", "value", F.when(factual, "P1").otherwise("P2").alias("severity"))
 
 
 def longest_run(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Literal pages of every layout, and PPTX files written and read back."""
 
 import json
+import re
 import zipfile
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from folioguard.operators import deck as D
 from folioguard.operators import layouts as L
 from folioguard.operators import parity as P
+from folioguard.plans import catalogue
 from folioguard.plans.decks import pptx_bytes
 from folioguard.sources import pptx as X
 
@@ -161,3 +163,13 @@ def test_cells_of_a_file_serve_once(spark, tmp_path):
     shown = X.built_slides(X.pptx_shapes(X.pptx_files(spark, path).withColumn("deck_id", F.lit(1).cast("long"))))
     slides = D.slides_of(spark.createDataFrame([(1, json.dumps({"slides": spec}))], "deck_id long, spec string"))
     assert sorted((r.slide, r.kind, r.field) for r in P.parity_findings(slides, shown).collect()) == [(0, "slide-count", "2/1"), (1, "missing-text", "table.cell[1]"), (1, "missing-text", "table.cell[2]")]
+
+
+def test_numbers_are_made_once(spark):
+    """Tokens meet their source in one join; they were derived twice, once to ask for the distinct ones."""
+    plan = catalogue.QUERIES["ungrounded_numbers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and len(re.findall(r"\bJoin ", plan)) == 1, plan
+    rows = [(1, 1, "results-table", "points[0]", "in 12 and 1² or 34. of 34.5, 12"), (2, 1, "bullets", "title", "77"), (None, 1, "bullets", "title", "88")]
+    fields = spark.createDataFrame(rows, "deck_id long, slide int, layout string, field string, text string")
+    got = D.ungrounded_numbers(fields, spark.createDataFrame([(1, "has 34.  5 and ¹²"), (3, "77")], "deck_id long, source string"))
+    assert sorted(map(tuple, got.collect()), key=str) == [(2, 1, "title", "77", "P2"), (None, 1, "title", "88", "P2")]
