@@ -13,7 +13,7 @@ from folioguard.operators import manuscript as M
 from folioguard.operators import parity as P
 from folioguard.operators import reports as W
 from folioguard.operators import tables as T
-from folioguard.plans import catalogue
+from folioguard.plans import extracts
 from folioguard.sources import readers
 
 BOX = "x0 double, y0 double, x1 double, y1 double"
@@ -234,5 +234,5 @@ def test_results_of_audits(spark):
 
 def test_audits_are_made_once(spark):
     """audit_json read its lines three times and joined what it made of them."""
-    plan = catalogue.QUERIES["audit_json"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    plan = extracts.audit_json(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and len(re.findall(r"Relation \[", plan)) == 1, plan
